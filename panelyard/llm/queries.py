@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import decontaminate, packing, quality, secrets, simhash
+from panelyard.llm import decontaminate, fingerprint, packing, quality, secrets, sharding, simhash, urls, warc, wrapper
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages")).drop("url")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -20,10 +24,22 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
+def op6_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(_read(spark, sf_dir, "pages"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_read(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(_read(spark, sf_dir, "documents"))
 
@@ -33,5 +49,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_decontamination, op5_secrets, op8_packing, op9_simhash)}
-ORACLES: dict[str, str] = {}
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_decontamination, op4_urls, op5_secrets, op6_wrapper, op7_sharding, op8_packing, op9_simhash, op10_fingerprint)}
+
+#: The others hold trained models, hashes or searches that SQL can't say; tests/llm holds them against brute force.
+ORACLES = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+             g AS (SELECT *, octet_length(encode(payload)) AS payload_bytes, max(page_id) OVER (PARTITION BY payload) AS kept FROM p),
+             r AS (SELECT *, payload_bytes >= 1000 AND kept IS NOT NULL AND kept IS DISTINCT FROM page_id AS again FROM g)
+        SELECT page_id, payload_bytes, sha1(payload) AS payload_digest,
+               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN kept END AS refers_to
+        FROM r""",
+}
