@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.pandas.types import to_arrow_type
 
 from panelyard.llm.common import texts
 
@@ -70,6 +70,8 @@ def best_alignment(item: np.ndarray, region: np.ndarray, max_edits: int) -> tupl
 
     The band is as wide as the region is longer than the item, and ``max_edits`` to either side.
     """
+    if len(region) < len(item) - max_edits:
+        return None
     m, width = len(item), max(1, len(region) - len(item) + 1 + 2 * max_edits)
     padded = np.concatenate([np.full(max_edits, 0, np.uint32), region, np.full(width + max_edits, 0, np.uint32)])
     step = np.arange(width)
@@ -97,6 +99,7 @@ class Index:
     place: np.ndarray
     seen: np.ndarray
     tiny: dict
+    longest: int
 
 
 def build(items: list[tuple], q: int, rate: float) -> Index:
@@ -116,7 +119,7 @@ def build(items: list[tuple], q: int, rate: float) -> Index:
     seen[(distinct >> np.uint64(64 - _BITS)).astype(np.int64)] = True
     edits = np.array([budget(len(c), q, rate) for _, c in own], np.int64)
     needed = np.array([len(c) - q + 1 for _, c in own], np.int64) - q * edits
-    return Index([i for i, _ in own], [c for _, c in own], edits, np.maximum(needed, 1), distinct, np.r_[first, len(flat)].astype(np.int64), item[order], place[order].astype(np.int64), seen, tiny)
+    return Index([i for i, _ in own], [c for _, c in own], edits, np.maximum(needed, 1), distinct, np.r_[first, len(flat)].astype(np.int64), item[order], place[order].astype(np.int64), seen, tiny, max((len(c) for _, c in own), default=0))
 
 
 def regions(text: str, index: Index, q: int) -> list[tuple]:
@@ -136,7 +139,7 @@ def regions(text: str, index: Index, q: int) -> list[tuple]:
     n = index.first[slot + 1] - index.first[slot]
     posting = np.repeat(index.first[slot] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
     item = index.item[posting]
-    diagonal = np.repeat(places, n) - index.place[posting] + len(max(index.chars, key=len))
+    diagonal = np.repeat(places, n) - index.place[posting] + index.longest
     band = diagonal // (index.edits[item] + 1)
     key = np.concatenate([item, item]) * np.int64(1 << 40) + np.concatenate([band, band - 1]) + 1
     keys, counts = np.unique(key, return_counts=True)
@@ -146,7 +149,7 @@ def regions(text: str, index: Index, q: int) -> list[tuple]:
         if shared < index.needed[i]:
             continue
         own, e = index.chars[i], int(index.edits[i])
-        low = b * (e + 1) - len(max(index.chars, key=len))
+        low = b * (e + 1) - index.longest
         start, end = max(0, low), min(len(chars), low + 2 * (e + 1) + len(own))
         region = chars[start:end]
         if (aligned := best_alignment(own, region, e)) is None:
@@ -163,7 +166,7 @@ def regions(text: str, index: Index, q: int) -> list[tuple]:
 
 
 def blocks(benchmark: DataFrame, block_chars: int) -> list[int]:
-    """Numbers of the blocks that ``in_block`` cuts the benchmark into."""
+    """Numbers of the blocks that the benchmark is cut into."""
     total = benchmark.agg(F.sum(F.length(F.coalesce("text", F.lit(""))))).first()[0] or 0
     return list(range(max(1, -(-2 * total // block_chars))))
 
@@ -174,7 +177,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, max_edit_rate:
     numbers = blocks(items, block_chars)
     source = texts(docs, "doc_id")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, start long, end long, edits int, shared long"
-    arrow = None
+    arrow = to_arrow_type(items.schema["item_id"].dataType)
 
     def one(number: int) -> DataFrame:
         # A block of the items by hash: at most about block_chars characters, whatever the size of the benchmark.
@@ -194,9 +197,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, max_edit_rate:
 
         return source.mapInArrow(scan, schema)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow = to_arrow_type(items.schema["item_id"].dataType)
     return reduce(DataFrame.unionByName, [one(k) for k in numbers])
 
 
