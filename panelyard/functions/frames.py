@@ -73,7 +73,14 @@ def slope(x: Column, ordinal: Column, size: int, w: WindowSpec | None = None) ->
 def rolling_corr(x: Column, y: Column, size: int, least: int, w: WindowSpec | None = None) -> Column:
     frame = (w or history()).rowsBetween(1 - size, 0)
     both = F.when(x.isNotNull() & y.isNotNull(), F.lit(1))
-    return F.when(F.count(both).over(frame) >= least, F.corr(F.when(both == 1, x), F.when(both == 1, y)).over(frame))
+    a, b = F.when(both == 1, x), F.when(both == 1, y)
+    spread = F.stddev_pop(a).over(frame) * F.stddev_pop(b).over(frame)
+    return F.when(F.count(both).over(frame) >= least, safe_ratio(F.covar_pop(a, b).over(frame), spread))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation as an aggregate over complete pairs; missing where a side does not vary."""
+    return safe_ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def prior_percentile(x: Column, size: int, least: int, w: WindowSpec | None = None) -> Column:

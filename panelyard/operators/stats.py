@@ -37,7 +37,7 @@ def daily_ic(rows: DataFrame, factor: str = "factor_value", target: str = "stock
         x, y = F.col("_xr"), F.col("_yr")
     else:
         x, y = F.col("_x"), F.col("_y")
-    return pairs.groupBy(*axes, "trade_date").agg(F.count("*").alias("n"), F.corr(x, y).alias("ic")).select(*axes, "trade_date", "n", F.when((F.col("n") >= least) & ~F.isnan("ic"), F.col("ic")).alias("ic"))
+    return pairs.groupBy(*axes, "trade_date").agg(F.count("*").alias("n"), frames.correlation(x, y).alias("ic")).select(*axes, "trade_date", "n", F.when(F.col("n") >= least, F.col("ic")).alias("ic"))
 
 
 def ic_summary(ic: DataFrame, axes: Iterable[str] = ()) -> DataFrame:
