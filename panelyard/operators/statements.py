@@ -18,7 +18,7 @@ FIELDS = ("revenue_ttm", "net_assets", "roe_ttm", "revenue_growth_yoy", "roe_cha
 
 def statements(raw: DataFrame, values: list[str]) -> DataFrame:
     """ts_code, event_date, end_date, values: consolidated reports only, announced on f_ann_date or ann_date; the last update of a day wins."""
-    day = lambda c: F.try_to_date(F.col(c).cast("string"), F.lit("yyyyMMdd")) if c in raw.columns else F.lit(None).cast("date")
+    day = lambda c: F.try_to_date(F.col(c).cast("string"), "yyyyMMdd") if c in raw.columns else F.lit(None).cast("date")
     have = [F.col(v).cast("double").alias(v) if v in raw.columns else F.lit(None).cast("double").alias(v) for v in values]
     flag = F.coalesce(F.col("update_flag").cast("int"), F.lit(0)) if "update_flag" in raw.columns else F.lit(0)
     rows = raw.filter(F.col("report_type").cast("string") == "1") if "report_type" in raw.columns else raw

@@ -14,7 +14,7 @@ from panelyard.functions import frames
 def parse_date(c: Column) -> Column:
     """yyyyMMdd, yyyyMM (its first day) or ISO text as a date; anything else is missing."""
     t = F.trim(c.cast("string"))
-    return F.when(t.rlike(r"^\d{8}$"), F.try_to_date(t, F.lit("yyyyMMdd"))).when(t.rlike(r"^\d{6}$"), F.try_to_date(F.concat(t, F.lit("01")), F.lit("yyyyMMdd"))).otherwise(F.try_to_date(t))
+    return F.when(t.rlike(r"^\d{8}$"), F.try_to_date(t, "yyyyMMdd")).when(t.rlike(r"^\d{6}$"), F.try_to_date(F.concat(t, F.lit("01")), "yyyyMMdd")).otherwise(F.try_to_date(t))
 
 
 def number(c: Column) -> Column:
@@ -68,8 +68,7 @@ def option_price(spot, strike, years, rate, sigma, call):
     return np.where(call, value, value - spot + strike * np.exp(-rate * years))
 
 
-@F.pandas_udf("double")
-def implied_volatility(price: pd.Series, spot: pd.Series, strike: pd.Series, years: pd.Series, rate: pd.Series, call: pd.Series) -> pd.Series:
+def _implied(price: pd.Series, spot: pd.Series, strike: pd.Series, years: pd.Series, rate: pd.Series, call: pd.Series) -> pd.Series:
     """By bisection on [1e-4, 5], a whole batch at once; missing where no volatility gives the price."""
     p, s, k, t, r = (x.to_numpy(float) for x in (price, spot, strike, years, rate))
     c = call.fillna(False).to_numpy(bool)
@@ -84,6 +83,11 @@ def implied_volatility(price: pd.Series, spot: pd.Series, strike: pd.Series, yea
     return pd.Series((low + high) / 2).where(ok)
 
 
+def implied_volatility(price: Column, spot: Column, strike: Column, years: Column, rate: Column, call: Column) -> Column:
+    """The Black-Scholes volatility of an option price, by Arrow batches."""
+    return F.pandas_udf(_implied, "double")(price, spot, strike, years, rate, call)
+
+
 def position(score: Column, low: float, high: float) -> Column:
     """0 at or below ``low``, 1 at or above ``high``, linear between."""
     return F.when(score.isNotNull(), F.least(F.greatest((score - low) / (high - low), F.lit(0.0)), F.lit(1.0)))

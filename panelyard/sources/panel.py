@@ -37,7 +37,7 @@ SYNCED = FlagPolicy(name="synced", st_in_eligible=True, liquid_by="rank")
 
 def vendor_date(c: str) -> Column:
     """yyyyMMdd text as a date; what is no date is missing."""
-    return F.try_to_date(F.col(c).cast("string"), F.lit("yyyyMMdd"))
+    return F.try_to_date(F.col(c).cast("string"), "yyyyMMdd")
 
 
 def dated(df: DataFrame, *columns: str) -> DataFrame:
