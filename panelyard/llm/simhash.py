@@ -68,7 +68,7 @@ def position_triples() -> list[tuple[int, int, int]]:
 
 def _linked(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
     """Which pairs share at least BYTES - max_bits positional bytes (the count filter) and then verify."""
-    diff = a ^ b
+    diff = (a ^ b).astype(np.int64).view(np.uint64)  # bits of a signed number are counted without its sign
     shared = (diff[..., None].view(np.uint8) == 0).sum(axis=-1)
     return (shared >= BYTES - max_bits) & (np.bitwise_count(diff) <= max_bits)
 
