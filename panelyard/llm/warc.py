@@ -175,7 +175,7 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = 1 << 30, date: str
                     row = next(rows, None)
                     yield record
 
-            with fs.open_output_stream(f"{top}/{name}") as stream:
+            with fs.open_output_stream(f"{top}/{name}", compression=None) as stream:
                 n = write_archive(stream, some())
             part += 1
             yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "records": pa.array([n], pa.int64())})
@@ -191,7 +191,7 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 fs, path = pa.fs.FileSystem.from_uri(uri)
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     rows, size = [], 0
                     for record in read_archive(stream):
                         rows.append(decode(record) | ({} if payloads else {"payload": None}))
