@@ -8,9 +8,8 @@ divisible bounds the capacity from below, taking them as atomic from above, and
 while the bounds differ the segments where cuts may fall are split further by a
 Spark aggregate.  The driver holds at most ``2**first_bits`` segments and
 ``refine_at_once * 2**6`` more a round, whatever the number of rows.  The shards
-are then cut under that capacity, each cut as near to an equal share of what is
-left as the capacity allows, so a group larger than the rest does not leave
-shards empty that need not be.
+are then cut under that capacity as evenly as it allows, so a group larger than
+an equal share does not leave other shards empty or small.
 
 Slots come from counts of fixed units of rows, so no shard is numbered in one task.
 
@@ -73,21 +72,36 @@ class Segments:
         return np.flatnonzero(near & ~self.atomic.astype(bool))
 
     def cuts(self, capacity: int, shards: int) -> list[int]:
-        """First keys of shards 1 and on: cut nearest to an equal share of the rest, no shard over the capacity."""
-        total, latest, at = int(self.ends[-1]), [0] * (shards + 1), 0
+        """First keys of shards 1 and on: as even as the capacity allows.
+
+        A segment larger than an equal share is a shard of its own; each stretch
+        between such segments is cut evenly into the whole number of shards that
+        comes nearest to the share.
+        """
+        total, latest, n = int(self.ends[-1]), [0] * (shards + 1), len(self.size)
         latest[shards] = total
         for k in range(shards - 1, -1, -1):  # where shard k may start at the earliest so that the rest still fits
             latest[k] = int(self.ends[np.searchsorted(self.ends, latest[k + 1] - capacity, "left")])
-        keys = []
+        share, large = total / shards, np.zeros(n, bool)
+        while (more := self.size > share).sum() > large.sum() and more.sum() < shards:
+            large, share = more, (total - self.size[more].sum()) / (shards - more.sum())
+        ahead, keys, at = np.append(np.flatnonzero(large), n), [], 0  # at: a segment
         for k in range(shards - 1):
-            low = int(np.searchsorted(self.ends, max(at, latest[k + 1]), "left"))
-            high = int(np.searchsorted(self.ends, at + capacity, "right")) - 1
-            share = at + (total - at) / (shards - k)
-            near = int(np.clip(np.searchsorted(self.ends, share), low, high))
-            if near > low and abs(self.ends[near - 1] - share) <= abs(self.ends[near] - share):
-                near -= 1
-            at = int(self.ends[near])
-            keys.append(int(self.first[near]) if near < len(self.first) else 1 << KEY_BITS)
+            begin, left = int(self.ends[at]), shards - k
+            low = max(int(np.searchsorted(self.ends, latest[k + 1], "left")), min(at + 1, n))
+            high = max(low, int(np.searchsorted(self.ends, begin + capacity, "right")) - 1)
+            if at < n and large[at]:
+                near = at + 1
+            else:
+                stretch = int(ahead[np.searchsorted(ahead, at)])
+                others = (total - begin - int(self.size[at:][large[at:]].sum())) / max(1, left - int(large[at:].sum()))
+                length = int(self.ends[stretch]) - begin
+                goal = begin + length / max(1, round(length / others) if others else 1)
+                near = int(np.searchsorted(self.ends, goal))
+                if near > at + 1 and abs(self.ends[near - 1] - goal) <= abs(self.ends[min(near, n)] - goal):
+                    near -= 1
+            at = int(np.clip(near, low, high))
+            keys.append(int(self.first[at]) if at < n else 1 << KEY_BITS)
         return keys
 
 
