@@ -25,7 +25,8 @@ class Settings:
     least_section: int = 5
 
 
-DAY, CELL = Window.partitionBy("trade_date"), Window.partitionBy("trade_date", "industry_l1_code")
+def _cell(*by: str):
+    return Window.partitionBy("trade_date", *by)
 
 
 def _base(panel: DataFrame, s: Settings) -> DataFrame:
@@ -49,7 +50,7 @@ def index_up_breadth_down(df: DataFrame, s: Settings) -> tuple[DataFrame, Column
 def turnover_concentration(df: DataFrame, s: Settings) -> tuple[DataFrame, Column, Column]:
     d = df.withColumn("amount_pct", frames.pct_rank(F.col("amount_cny")))
     top = F.when(F.col("amount_pct") >= 0.95, F.col("amount_cny")).otherwise(0.0)
-    d = _past(d.withColumn("top_share", frames.safe_ratio(F.sum(top).over(DAY), F.sum("amount_cny").over(DAY))), "top_share", "concentration_pct", s)
+    d = _past(d.withColumn("top_share", frames.safe_ratio(F.sum(top).over(_cell()), F.sum("amount_cny").over(_cell()))), "top_share", "concentration_pct", s)
     return d, (F.col("concentration_pct") >= s.upper) & (F.col("amount_pct") >= 0.95), F.col("concentration_pct") - s.upper + F.col("amount_pct") - 0.95
 
 
@@ -80,8 +81,8 @@ def price_volume_residual(df: DataFrame, s: Settings) -> tuple[DataFrame, Column
 
 
 def leader_decoupling(df: DataFrame, s: Settings) -> tuple[DataFrame, Column, Column]:
-    d = df.withColumn("size_pct", frames.pct_rank(F.col("log_total_mv"), "industry_l1_code")).withColumn("gap", F.col("return_short") - F.median("return_short").over(CELL))
-    d = d.withColumn("industry_advancing", F.avg(F.coalesce(F.col("return_1d") > 0, F.lit(False)).cast("double")).over(CELL))
+    d = df.withColumn("size_pct", frames.pct_rank(F.col("log_total_mv"), "industry_l1_code")).withColumn("gap", F.col("return_short") - F.median("return_short").over(_cell("industry_l1_code")))
+    d = d.withColumn("industry_advancing", F.avg(F.coalesce(F.col("return_1d") > 0, F.lit(False)).cast("double")).over(_cell("industry_l1_code")))
     d = _past(d, "gap", "gap_pct", s)
     return d, (F.col("size_pct") >= 0.9) & (F.col("gap_pct") >= s.upper) & (F.col("industry_advancing") <= 0.5 - s.step / 2), F.col("gap_pct") - s.upper + 0.5 - F.col("industry_advancing")
 

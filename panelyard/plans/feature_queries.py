@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelyard.functions import frames
 from panelyard.functions.frames import shown
-from panelyard.operators import portfolio, recipes, supply
+from panelyard.operators import execution, portfolio, recipes, supply
 from panelyard.plans import experiment
 from panelyard.plans.formula_queries import MOMENTUM
 from panelyard.plans.panel_queries import RETURNS_SQL, W, r6, rows
@@ -93,9 +93,33 @@ def experiment_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _experiment(spark, sf_dir)["robustness"]
 
 
-QUERIES |= {f.__name__: f for f in (supply_prices, supply_activity, supply_scarcity, experiment_tests, experiment_quality, experiment_robustness)} | {f"recipe_{name}": _recipe(name) for name in recipes.RECIPES}
+def execution_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calm = lambda c: frames.rolling(F.col(c), 26, "mean", 1)
+    p = weekly_panel(spark, sf_dir).withColumns({"adj_open": calm("adj_open"), "adj_close": calm("adj_close")}).withColumn("raw_open", F.col("adj_open")).withColumn("is_suspended", F.lit(False))
+    scores = p.select("trade_date", "ts_code", F.pmod(F.xxhash64("trade_date", "ts_code"), F.lit(1000)).cast("double").alias("factor_value"))
+    rules = {"cheap": execution.Costs(initial_cash=1e6, lot_size=1, multiplier=0.0), "dear": execution.Costs(initial_cash=1e6, lot_size=1, multiplier=2.0)}
+    return execution.ledgers(execution.prepared(portfolio.executable(p, portfolio.Rules())), execution.equal_targets(scores, p, 8, 10), rules)
+
+
+def exit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = weekly_panel(spark, sf_dir)
+    v, c = F.col("volume_shares"), F.col("adj_close")
+    flags = p.select("trade_date", "ts_code", (v < 30).alias("price_weak"), (c < 1500).alias("diffusion_weak"), (v < 20).alias("relative_weak"), (v < 5).alias("breakdown"), F.rank().over(frames.section().orderBy(F.desc("amount_cny"))).alias("rank"))
+    return execution.exit_states(flags).select("trade_date", "ts_code", "price_streak", "dual_streak", "severe_streak", "state")
+
+
+EXIT_SQL = f"""{PANEL_SQL}, a AS (SELECT trade_date, ts_code, volume_shares < 30 AS p, volume_shares < 30 AND adj_close < 1500 AS d, volume_shares < 30 AND adj_close < 1500 AND volume_shares < 20 AND rank() OVER (PARTITION BY trade_date ORDER BY amount_cny DESC) > 10 AS s,
+ volume_shares < 5 AS b, volume_shares < 30 OR adj_close < 1500 OR volume_shares < 20 AS weak FROM panel),
+i AS (SELECT *, sum(CAST(NOT p AS INTEGER)) OVER {W} AS ip, sum(CAST(NOT d AS INTEGER)) OVER {W} AS id, sum(CAST(NOT s AS INTEGER)) OVER {W} AS iss FROM a),
+k AS (SELECT *, CAST(CASE WHEN p THEN sum(CAST(p AS INTEGER)) OVER (PARTITION BY ts_code, ip ORDER BY trade_date) ELSE 0 END AS INTEGER) AS price_streak, CAST(CASE WHEN d THEN sum(CAST(d AS INTEGER)) OVER (PARTITION BY ts_code, id ORDER BY trade_date) ELSE 0 END AS INTEGER) AS dual_streak,
+ CAST(CASE WHEN s THEN sum(CAST(s AS INTEGER)) OVER (PARTITION BY ts_code, iss ORDER BY trade_date) ELSE 0 END AS INTEGER) AS severe_streak FROM i)
+SELECT trade_date, ts_code, price_streak, dual_streak, severe_streak, CASE WHEN b OR severe_streak >= 2 THEN 'SELL' WHEN dual_streak >= 2 THEN 'REDUCE' WHEN weak THEN 'WATCH' ELSE 'HOLD' END AS state FROM k"""
+
+
+QUERIES |= {f.__name__: f for f in (supply_prices, supply_activity, supply_scarcity, execution_ledgers, exit_states, experiment_tests, experiment_quality, experiment_robustness)} | {f"recipe_{name}": _recipe(name) for name in recipes.RECIPES}
 ORACLES |= {
     "supply_prices": f"{PRICES_SQL} SELECT trade_date, ts_code, {', '.join(f'{r6(x)} AS {n}' for n, x in STAGE_ONE.items())} FROM s1",
     "supply_activity": f"{PRICES_SQL} SELECT trade_date, ts_code, {', '.join(f'{r6(x)} AS {n}' for n, x in STAGE_TWO.items())} FROM s1 WINDOW c AS (PARTITION BY trade_date, industry_l1_code)",
     "recipe_failed_breakout": FAILED_SQL,
+    "exit_states": EXIT_SQL,
 }

@@ -16,7 +16,10 @@ from panelyard.sources.market import PANEL_SQL, table, weekly_panel
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 W = "(PARTITION BY ts_code ORDER BY trade_date)"
-C = F.col("adj_close")
+
+
+def close():
+    return F.col("adj_close")
 
 
 def query(sql: str | None = None):
@@ -40,7 +43,7 @@ def r6(x: str) -> str:
 
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weekly_panel(spark, sf_dir).withColumn("step", frames.safe_ratio(C, F.lag(C, 1).over(frames.history())) - 1)
+    return weekly_panel(spark, sf_dir).withColumn("step", frames.safe_ratio(close(), F.lag(close(), 1).over(frames.history())) - 1)
 
 
 RETURNS_SQL = f"{PANEL_SQL}, ret AS (SELECT *, adj_close / lag(adj_close, 1) OVER {W} - 1 AS step FROM panel)"
@@ -140,7 +143,7 @@ def join_asof_lagged(spark, sf_dir):
 def join_event_path(spark, sf_dir):
     p = weekly_panel(spark, sf_dir).withColumn("n", F.row_number().over(frames.history()))
     e = p.filter("volume_shares > 100").select("ts_code", "n", F.col("trade_date").alias("event_date"))
-    return joins.event_paths(e, p, "ts_code", "n", 3, ["adj_close"]).select("ts_code", "event_date", "offset", shown(C).alias("adj_close"))
+    return joins.event_paths(e, p, "ts_code", "n", 3, ["adj_close"]).select("ts_code", "event_date", "offset", shown(close()).alias("adj_close"))
 
 
 # Aggregates
@@ -238,12 +241,12 @@ windowed("win_corr", lambda: frames.rolling_corr(S(), F.col("turnover_rate"), 15
 windowed("win_forward_max", lambda: frames.forward(F.col("adj_high"), 5, "max"), f"CASE WHEN count(adj_high) OVER {rows('1 FOLLOWING', '5 FOLLOWING')} >= 5 THEN max(adj_high) OVER {rows('1 FOLLOWING', '5 FOLLOWING')} END")
 windowed("win_forward_mean", lambda: frames.forward(S(), 4, "mean"), f"CASE WHEN count(step) OVER {rows('1 FOLLOWING', '4 FOLLOWING')} >= 4 THEN avg(step) OVER {rows('1 FOLLOWING', '4 FOLLOWING')} END")
 windowed("win_compound", lambda: frames.compound(S() / 10, 6), f"CASE WHEN count(step) OVER {rows('5 PRECEDING', 'CURRENT ROW')} >= 6 THEN exp(sum(ln(1 + greatest(step / 10, -0.999999))) OVER {rows('5 PRECEDING', 'CURRENT ROW')}) - 1 END")
-windowed("win_drawdown", lambda: C / F.max(C).over(frames.history().rowsBetween(Window.unboundedPreceding, 0)) - 1, f"adj_close / max(adj_close) OVER {rows('UNBOUNDED PRECEDING', 'CURRENT ROW')} - 1")
-windowed("win_forward_fill", lambda: F.last(F.when(F.col("volume_shares") > 40, C), ignorenulls=True).over(frames.history().rowsBetween(Window.unboundedPreceding, 0)), f"last_value(CASE WHEN volume_shares > 40 THEN adj_close END IGNORE NULLS) OVER {rows('UNBOUNDED PRECEDING', 'CURRENT ROW')}")
+windowed("win_drawdown", lambda: close() / F.max(close()).over(frames.history().rowsBetween(Window.unboundedPreceding, 0)) - 1, f"adj_close / max(adj_close) OVER {rows('UNBOUNDED PRECEDING', 'CURRENT ROW')} - 1")
+windowed("win_forward_fill", lambda: F.last(F.when(F.col("volume_shares") > 40, close()), ignorenulls=True).over(frames.history().rowsBetween(Window.unboundedPreceding, 0)), f"last_value(CASE WHEN volume_shares > 40 THEN adj_close END IGNORE NULLS) OVER {rows('UNBOUNDED PRECEDING', 'CURRENT ROW')}")
 windowed("win_cumulative", lambda: F.sum("volume_shares").over(frames.history().rowsBetween(Window.unboundedPreceding, 0)) / F.row_number().over(frames.history()), f"sum(volume_shares) OVER {rows('UNBOUNDED PRECEDING', 'CURRENT ROW')} / row_number() OVER {W}")
 windowed(
     "win_average_true_range", lambda: frames.rolling(F.col("tr"), 10), f"CASE WHEN count(tr) OVER {rows('9 PRECEDING', 'CURRENT ROW')} >= 10 THEN avg(tr) OVER {rows('9 PRECEDING', 'CURRENT ROW')} END",
-    lambda s, d: weekly_panel(s, d).withColumn("tr", frames.true_range(F.col("adj_high"), F.col("adj_low"), F.lag(C, 1).over(frames.history()), strict=True)),
+    lambda s, d: weekly_panel(s, d).withColumn("tr", frames.true_range(F.col("adj_high"), F.col("adj_low"), F.lag(close(), 1).over(frames.history()), strict=True)),
     f"{PANEL_SQL}, pc AS (SELECT *, lag(adj_close) OVER {W} AS p FROM panel), src AS (SELECT *, CASE WHEN p IS NOT NULL THEN greatest(adj_high - adj_low, abs(adj_high - p), abs(adj_low - p)) END AS tr FROM pc)",
 )
 windowed(

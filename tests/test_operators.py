@@ -7,7 +7,7 @@ from panels import day, make_panel, one_stock
 from pyspark.sql import functions as F
 
 from panelyard.functions import frames
-from panelyard.operators import boxes, events, joins, portfolio, residual, rotation, statements, stats, timing
+from panelyard.operators import boxes, events, execution, joins, portfolio, residual, rotation, statements, stats, timing
 from panelyard.sources import panel as panels
 
 
@@ -212,3 +212,17 @@ def test_hmm_filter_is_causal_and_normalised(spark):
     short = {r["trade_date"]: (r["p0"], r["p1"]) for r in timing.hmm_filter(df.filter("trade_date < 150"), "v", "e", fit_rows=120, refit=20).collect()}
     assert all(sum(p) == pytest.approx(1) for p in full.values()) and all(full[k] == pytest.approx(v) for k, v in short.items())
     assert np.mean([(p[1] > 0.5) == (x[k] > 0) for k, p in full.items()]) > 0.95
+
+
+def test_execution_ledger_fills_over_days_and_balances(spark):
+    days = pd.bdate_range("2024-01-02", periods=30)
+    pdf = pd.DataFrame([{"trade_date": d.date(), "ts_code": c, "raw_open": 10.0, "adj_open": 10.0, "adj_close": 10.0, "amount_cny": 1e6, "is_suspended": False, "listing_trade_days": 100} for d in days for c in ("a", "b")])
+    panel = execution.prepared(portfolio.executable(spark.createDataFrame(pdf), portfolio.Rules()))
+    targets = spark.createDataFrame([(days[12].date(), "a", 0.5), (days[12].date(), "b", 0.5)], "entry_date date, ts_code string, target_weight double")
+    free = execution.Costs(initial_cash=400_000, lot_size=100, participation=0.05, multiplier=0.0)
+    got = execution.ledgers(panel, targets, {"free": free, "dear": execution.Costs(initial_cash=400_000)}).orderBy("scenario", "trade_date").collect()
+    days_free = [r for r in got if r["scenario"] == "free"]
+    assert all(r["nav"] == pytest.approx(400_000) for r in days_free)
+    assert [r["cash"] for r in days_free][12:17] == pytest.approx([300_000, 200_000, 100_000, 0, 0], abs=1.0)
+    dear = [r for r in got if r["scenario"] == "dear"]
+    assert dear[-1]["nav"] < 400_000 and all(r["cash"] >= 0 for r in dear)

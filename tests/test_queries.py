@@ -59,3 +59,13 @@ def test_entry_has_rows(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(registry.QUERIES) > 80
     assert e.entry(spark).count() > 0
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parent.parent
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=top, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0 and int(said.stdout) > 80, said.stderr
