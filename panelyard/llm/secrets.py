@@ -2,8 +2,8 @@
 
 Two first-order Markov models over character classes are trained by counting
 transitions: one on labelled random strings (hex, base64 and base32 spellings of
-hashes), one on ordinary identifiers (words of a bounded sample of documents,
-alone and joined as snake, kebab and camel case).  A candidate, a maximal run of
+hashes), one on ordinary identifiers (fixed words and those of a bounded sample of documents,
+alone and joined as snake, kebab and camel case, and in capitals).  A candidate, a maximal run of
 ``[A-Za-z0-9+/_=-]`` of ``min_length`` or more characters, is a secret if its mean
 log-likelihood ratio per transition is above ``threshold``.  The table of ratios
 has a fixed size (classes squared) and is a literal of the plan.
@@ -32,8 +32,20 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"  # a run of 18 or more: a shorter run can't hold a
 HEX = r"[0-9a-f]{16,}"  # maximal runs, so the same as [0-9a-f]+ of 16 or more
 KINDS = ("assign", "access", "hex", "markov")
 
+# Ordinary words, labelled samples that are there whatever the corpus.
+ORDINARY = (
+    "about account action active address after amount array before between body buffer cache called change check class client close code color column common config content context control count create current "
+    "data date default delete description device display document during element enable error event every example false field file filter first format from function group handler header height image index "
+    "input instance item language large length level library list local location message method model module name network next number object option order other output package page parameter parent password "
+    "path people pattern period place point position previous process product project property query question random range read record reference region remote report request resource response result return "
+    "right round sample schema screen search second section secret select server service session setting should simple single size source start state status string style submit system table target template "
+    "text their there these think through time title token total track transfer type under update upload user value variable vector version view volume water where which while width window without word world write years"
+)
+
 CLASSES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 K = len(CLASSES)
+#: Added to every count of a transition.
+SMOOTHING = 0.1
 
 
 def spans_of(text: Column, pattern: str, kind: int, keep=None) -> Column:
@@ -75,17 +87,18 @@ def identifiers(docs: DataFrame, sample_docs: int) -> DataFrame:
     """Labelled samples of class ordinary: the words of the ``sample_docs`` documents of the smallest hashes, and compounds of neighbours."""
     sample = texts(docs, "doc_id").filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     plain = F.translate("text", "áàâäãéèêëíìîïóòôöõúùûüçñß", "aaaaaeeeeiiiiooooouuuucns")
-    words = sample.select(F.filter(F.split(plain, "[^A-Za-z]+"), lambda w: F.length(w) >= 2).alias("ws"))
+    words = sample.select(F.filter(F.split(plain, "[^A-Za-z0-9]+"), lambda w: w.rlike("^[A-Za-z]{2,}$")).alias("ws"))
     next_to = F.transform("ws", lambda w, i: F.struct(w.alias("w"), F.coalesce(F.get("ws", i + 1), F.lit("")).alias("v")))
-    two = words.select(F.explode(next_to).alias("x")).select("x.w", "x.v")
-    return two.select(F.explode(F.array(F.col("w"), F.lower("w"), F.concat_ws("_", "w", "v"), F.concat_ws("-", F.lower("w"), F.lower("v")), F.concat("w", F.initcap("v")))).alias("s")).filter("length(s) >= 2")
+    known = docs.sparkSession.range(1).select(F.split(F.lit(ORDINARY), " ").alias("ws"))
+    two = words.unionAll(known).select(F.explode(next_to).alias("x")).select("x.w", "x.v")
+    return two.select(F.explode(F.array(F.col("w"), F.lower("w"), F.concat_ws("_", "w", "v"), F.concat_ws("_", F.upper("w"), F.upper("v")), F.concat_ws("-", F.lower("w"), F.lower("v")), F.concat("w", F.initcap("v")))).alias("s")).filter("length(s) >= 2")
 
 
 def train(docs: DataFrame, sample_docs: int = 200, n_random: int = 1000) -> list[float]:
-    """Log-likelihood ratios random : ordinary of all transitions, row by row; K * K numbers, add-one smoothed."""
+    """Log-likelihood ratios random : ordinary of all transitions, row by row; K * K numbers, smoothed."""
 
     def log_probabilities(strings: DataFrame) -> list[list[float]]:
-        counts = [[1.0] * K for _ in range(K)]
+        counts = [[SMOOTHING] * K for _ in range(K)]
         for r in _transitions(strings).collect():  # at most K * K rows
             counts[r["a"] - 1][r["b"] - 1] += r["n"]
         return [[math.log(c / sum(row)) for c in row] for row in counts]
