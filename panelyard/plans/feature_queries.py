@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from panelyard.functions import frames
 from panelyard.functions.frames import shown
-from panelyard.operators import execution, portfolio, recipes, supply
+from panelyard.operators import events, execution, models, portfolio, recipes, stats, supply
 from panelyard.plans import experiment
 from panelyard.plans.formula_queries import MOMENTUM
-from panelyard.plans.panel_queries import RETURNS_SQL, W, r6, rows
+from panelyard.plans.panel_queries import RETURNS_SQL, W, future, r6, rows
 from panelyard.sources.market import PANEL_SQL, weekly_panel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,6 +108,41 @@ def exit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return execution.exit_states(flags).select("trade_date", "ts_code", "price_streak", "dual_streak", "severe_streak", "state")
 
 
+def _learned(spark, sf_dir, kind: str, label: str = "fwd") -> DataFrame:
+    p = future(spark, sf_dir).withColumn("r4", frames.rolling(F.col("step"), 4, "sum")).withColumn("up", (F.col("fwd") > 0).cast("double"))
+    rows_ = p.filter("fwd is not null and r4 is not null").select("trade_date", "ts_code", "step", "r4", "turnover_rate", "log_total_mv", "fwd", "up")
+    return models.walk_forward(rows_, ["step", "r4", "turnover_rate", "log_total_mv"], label, models.folds(rows_, 150, 100, 2, embargo=1), kind)
+
+
+def model_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.daily_ic(_learned(spark, sf_dir, "ridge"), "prediction", "fwd", ["fold"])
+
+
+def model_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.calibration(_learned(spark, sf_dir, "logistic", "up"), "up")
+
+
+def model_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.folds(weekly_panel(spark, sf_dir), 100, 50, 2, embargo=1, length=80)
+
+
+def model_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = events.market_regimes(weekly_panel(spark, sf_dir))
+    return models.mixture_regimes(m.select("trade_date", "market_return_20d", "market_volatility_20d"), ["market_return_20d", "market_volatility_20d"])
+
+
+def model_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = weekly_panel(spark, sf_dir)
+    return models.adjusted_rand(p.select((F.col("volume_shares") > 30).alias("a"), (F.col("amount_cny") > 50000).alias("b")), "a", "b").withColumn("ari", shown(F.col("ari")))
+
+
+FOLDS_SQL = f"""{PANEL_SQL}, cal AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS s FROM (SELECT DISTINCT trade_date FROM panel)),
+g AS (SELECT CAST(range AS INTEGER) AS fold, 100 + 50 * range AS t FROM range(100) WHERE 100 + 50 * range < (SELECT count(*) FROM cal))
+SELECT fold, trade_date, CASE WHEN s >= t AND s < t + 50 THEN 'test' ELSE 'train' END AS part FROM cal, g WHERE (s >= t AND s < t + 50) OR (s < t - 4 AND s >= t - 84)"""
+STABILITY_SQL = f"""{PANEL_SQL}, c AS (SELECT volume_shares > 30 AS a, amount_cny > 50000 AS b, CAST(count(*) AS DOUBLE) AS n FROM panel GROUP BY 1, 2),
+s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS s, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM c GROUP BY a)) AS sa, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM c GROUP BY b)) AS sb, (SELECT sum(n) * (sum(n) - 1) / 2 FROM c) AS t)
+SELECT {r6('(s - sa * sb / t) / ((sa + sb) / 2 - sa * sb / t)')} AS ari FROM s"""
+
 EXIT_SQL = f"""{PANEL_SQL}, a AS (SELECT trade_date, ts_code, volume_shares < 30 AS p, volume_shares < 30 AND adj_close < 1500 AS d, volume_shares < 30 AND adj_close < 1500 AND volume_shares < 20 AND rank() OVER (PARTITION BY trade_date ORDER BY amount_cny DESC) > 10 AS s,
  volume_shares < 5 AS b, volume_shares < 30 OR adj_close < 1500 OR volume_shares < 20 AS weak FROM panel),
 i AS (SELECT *, sum(CAST(NOT p AS INTEGER)) OVER {W} AS ip, sum(CAST(NOT d AS INTEGER)) OVER {W} AS id, sum(CAST(NOT s AS INTEGER)) OVER {W} AS iss FROM a),
@@ -116,10 +151,12 @@ k AS (SELECT *, CAST(CASE WHEN p THEN sum(CAST(p AS INTEGER)) OVER (PARTITION BY
 SELECT trade_date, ts_code, price_streak, dual_streak, severe_streak, CASE WHEN b OR severe_streak >= 2 THEN 'SELL' WHEN dual_streak >= 2 THEN 'REDUCE' WHEN weak THEN 'WATCH' ELSE 'HOLD' END AS state FROM k"""
 
 
-QUERIES |= {f.__name__: f for f in (supply_prices, supply_activity, supply_scarcity, execution_ledgers, exit_states, experiment_tests, experiment_quality, experiment_robustness)} | {f"recipe_{name}": _recipe(name) for name in recipes.RECIPES}
+QUERIES |= {f.__name__: f for f in (supply_prices, supply_activity, supply_scarcity, execution_ledgers, exit_states, model_walk_forward, model_calibration, model_folds, model_regimes, model_stability, experiment_tests, experiment_quality, experiment_robustness)} | {f"recipe_{name}": _recipe(name) for name in recipes.RECIPES}
 ORACLES |= {
     "supply_prices": f"{PRICES_SQL} SELECT trade_date, ts_code, {', '.join(f'{r6(x)} AS {n}' for n, x in STAGE_ONE.items())} FROM s1",
     "supply_activity": f"{PRICES_SQL} SELECT trade_date, ts_code, {', '.join(f'{r6(x)} AS {n}' for n, x in STAGE_TWO.items())} FROM s1 WINDOW c AS (PARTITION BY trade_date, industry_l1_code)",
     "recipe_failed_breakout": FAILED_SQL,
     "exit_states": EXIT_SQL,
+    "model_folds": FOLDS_SQL,
+    "model_stability": STABILITY_SQL,
 }
