@@ -162,8 +162,10 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, max_bits: int =
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct, max_bits))
     grouped = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    return fps.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    # Components of two fingerprints and more have a name of their own; written, so that the join sees their size.
+    names = written(grouped.groupBy("root").agg(F.min("least").alias("name"), F.count("*").alias("n")).filter("n > 1").select("root", "name"), "simhash-names")
+    named = grouped.join(names, "root", "left").select("fp", F.coalesce("name", "least").alias("component_id"))
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
