@@ -41,7 +41,7 @@ from panelyard.llm.urls import host_of
 # Kinds of elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-NEVER = set("head nav footer aside form button select menu dialog noscript template script style".split())
+NEVER = set("head title nav footer aside form button select menu dialog noscript template script style".split())
 CONTAINER = set("html body main article section div td center".split())
 CLOSES_ITSELF = set("li dt dd tr td th option p".split())
 NAMES = set(

@@ -5,26 +5,9 @@ import numpy as np
 from panelyard.llm import packing
 
 
-def plain(lengths, sources, clusters, capacity):
-    """Best fit by looking at every bin."""
-    bins = []
-    out = {}
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        fits = [(capacity - sum(lengths[j] for j in b), k) for k, b in enumerate(bins) if sum(lengths[j] for j in b) + lengths[i] <= capacity and not any((sources[i] >= 0 and sources[j] == sources[i]) or (clusters[i] >= 0 and clusters[j] == clusters[i]) for j in b)]
-        if fits:
-            k = min(fits)[1]
-            bins[k].append(i)
-        else:
-            bins.append([i])
-    for b in bins:
-        for i in b:
-            out[i] = tuple(sorted(b))
-    return bins, out
-
-
 def test_every_piece_goes_to_a_tightest_compatible_bin():
     rng = np.random.default_rng(4)
-    for trial in range(30):
+    for _ in range(30):
         n = int(rng.integers(1, 60))
         lengths = rng.integers(0, 50, n)
         sources, clusters = rng.integers(-1, 6, n), rng.integers(-1, 70, n)
@@ -40,7 +23,6 @@ def test_every_piece_goes_to_a_tightest_compatible_bin():
             assert offset[i] == 60 - room.get(b, 60)
             room[b] = room.get(b, 60) - lengths[i]
             members[b].append(i)
-        assert max(len(set(bin_of)), 1) == len(plain(lengths, sources, clusters, 60)[0]) or trial >= 0
 
 
 def test_all_characters_once_and_no_conflict(docs, corpus):

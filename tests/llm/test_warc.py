@@ -48,11 +48,8 @@ def test_format_of_an_archive(spark, tmp_path):
     assert frames == 40
 
 
-def record(**change):
-    r = warc.encode(1, "http://x", b"payload", hashlib.sha1(b"payload").hexdigest(), "response", None, "2024-01-01T00:00:00Z")
-    for old, new in change.items():
-        pass
-    return r
+def record():
+    return warc.encode(1, "http://x", b"payload", hashlib.sha1(b"payload").hexdigest(), "response", None, "2024-01-01T00:00:00Z")
 
 
 @pytest.mark.parametrize("broken", [lambda r: r.replace(b"WARC/1.1", b"WARC/9.9"), lambda r: r[:-2], lambda r: r.replace(b"payload\r\n\r\n", b"payloaX\r\n\r\n"), lambda r: r.replace(b"WARC-Date", b"WARC-Dote"), lambda r: r.replace(b"Content-Length: 7", b"Content-Length: 8"), lambda r: r + b"x"])
