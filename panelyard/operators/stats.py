@@ -29,7 +29,10 @@ def forward_targets(panel: DataFrame, horizon: int, group: str = "industry_l1_co
 
 
 def daily_ic(rows: DataFrame, factor: str = "factor_value", target: str = "stock_return", axes: Iterable[str] = (), method: str = "spearman", least: int = 3) -> DataFrame:
-    """axes, trade_date, ic, n: correlation of factor and target over the pairs of a date; Spearman ranks pairs only."""
+    """axes, trade_date, ic, n: correlation of factor and target over the pairs of a date; Spearman ranks pairs only.
+
+    Rounded to twelve places, so that no correlation is no sign.
+    """
     axes = list(axes)
     pairs = rows.filter(F.col(factor).isNotNull() & F.col(target).isNotNull()).select(*axes, "trade_date", F.col(factor).alias("_x"), F.col(target).alias("_y"))
     if method == "spearman":
@@ -37,7 +40,7 @@ def daily_ic(rows: DataFrame, factor: str = "factor_value", target: str = "stock
         x, y = F.col("_xr"), F.col("_yr")
     else:
         x, y = F.col("_x"), F.col("_y")
-    return pairs.groupBy(*axes, "trade_date").agg(F.count("*").alias("n"), frames.correlation(x, y).alias("ic")).select(*axes, "trade_date", "n", F.when(F.col("n") >= least, F.col("ic")).alias("ic"))
+    return pairs.groupBy(*axes, "trade_date").agg(F.count("*").alias("n"), F.round(frames.correlation(x, y), 12).alias("ic")).select(*axes, "trade_date", "n", F.when(F.col("n") >= least, F.col("ic")).alias("ic"))
 
 
 def ic_summary(ic: DataFrame, axes: Iterable[str] = ()) -> DataFrame:

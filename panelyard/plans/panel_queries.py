@@ -347,7 +347,7 @@ def stat_pearson_ic(spark, sf_dir):
     return _ic(spark, sf_dir, method="pearson", least=20).withColumn("ic", shown(F.col("ic")))
 
 
-@query(f"{IC_SQL} SELECT count(ic) AS days, {r6('avg(ic)')} AS mean, {r6('stddev_samp(ic)')} AS std, {r6('avg(CASE WHEN ic > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END)')} AS positive_ratio, {r6('avg(ic) / stddev_samp(ic) * sqrt(252)')} AS icir, {r6('avg(ic) / stddev_samp(ic) * sqrt(count(ic))')} AS t_value FROM ic")
+@query(f"{IC_SQL} SELECT count(ic) AS days, {r6('avg(ic)')} AS mean, {r6('stddev_samp(ic)')} AS std, {r6('avg(CASE WHEN ic > 1e-12 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END)')} AS positive_ratio, {r6('avg(ic) / stddev_samp(ic) * sqrt(252)')} AS icir, {r6('avg(ic) / stddev_samp(ic) * sqrt(count(ic))')} AS t_value FROM ic")
 def stat_ic_summary(spark, sf_dir):
     s = stats.ic_summary(_ic(spark, sf_dir))
     return s.select("days", *(shown(F.col(c)).alias(c) for c in ("mean", "std", "positive_ratio", "icir", "t_value")))
