@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from panelyard.llm.common import texts, written
 
 K = 32
-SEGMENTS = 64
+SEGMENTS, LEAST_PARTS = 64, 4
 _UNIT = 1 << 21
 
 
@@ -72,7 +72,7 @@ def _ranges(docs: DataFrame, rows_per_range: int) -> Column:
     """The range of an id: 64 segments by quantiles, each cut evenly; a function that grows with the id."""
     r = docs.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", [i / SEGMENTS for i in range(SEGMENTS + 1)], 10000).alias("q")).first()
     q = sorted(r["q"] or [0] * (SEGMENTS + 1))
-    parts = max(1, -(-r["n"] // (SEGMENTS * rows_per_range)))
+    parts = max(LEAST_PARTS, -(-r["n"] // (SEGMENTS * rows_per_range)))
     segment = sum(((F.col("doc_id") >= b).cast("int") for b in q[1:-1]), F.lit(0))
     low, high = (F.element_at(F.array(*map(F.lit, side)), segment + 1) for side in (q[:-1], q[1:]))
     part = F.floor((F.col("doc_id") - low) / F.greatest(high - low, F.lit(1)).cast("double") * parts)
