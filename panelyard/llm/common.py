@@ -30,3 +30,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def texts(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns and ``text`` with null read as empty; no other column of ``docs`` comes along."""
     return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def one_row_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of ``docs`` with the smallest doc_id (null last) of each group ``root`` of ``found``.
+
+    ``found`` has doc_id, h (xxhash64 of the text, null as empty), rows and root for
+    each distinct id and text; rows that share both count as one.
+    """
+    firsts = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "rows")).alias("w"))
+    firsts = firsts.select(F.col("w.doc_id").alias("_id"), F.col("w.h").alias("_h"), F.col("w.rows").alias("_rows"))
+    kept = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit("")))).join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_h")))
+    row = F.struct(*docs.columns)
+    repeated = kept.filter("_rows > 1").groupBy("_id", "_h").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return kept.filter("_rows = 1").select(*docs.columns).unionByName(repeated)
