@@ -24,10 +24,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import texts, written
+from panelyard.llm.common import one_row_each, texts, written
 
 BYTES = 8
 
@@ -45,14 +45,14 @@ def fingerprint_of(text: str | None, words_per_shingle: int = 4) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 4) -> DataFrame:
-    """doc_id, fp (signed long) for each row of ``docs``."""
+def fingerprints(docs: DataFrame, words_per_shingle: int = 4, *also: Column) -> DataFrame:
+    """doc_id, fp (signed long) and ``also`` for each row of ``docs``."""
 
     @F.pandas_udf("long")
     def fp(text: pd.Series) -> pd.Series:
         return pd.Series([fingerprint_of(t, words_per_shingle) for t in text], dtype="int64")
 
-    return texts(docs, "doc_id").select("doc_id", fp("text").alias("fp"))
+    return texts(docs, "doc_id").select("doc_id", fp("text").alias("fp"), *also)
 
 
 def position_triples() -> list[tuple[int, int, int]]:
@@ -168,14 +168,13 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, max_bits: int =
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **params) -> DataFrame:
+def keep_one(docs: DataFrame, words_per_shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id.
 
-    Rows that repeat a doc_id count as one; rows with a null doc_id stay only if
-    no row of their component has an id.
+    Rows that repeat an id and its text count as one; a row with a null doc_id
+    stays only if no row of its component has an id.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), **params)
-    firsts = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_first")).agg(F.count("*").alias("_rows"))
-    kept = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")))
-    once = kept.filter("_rows = 1").select(*docs.columns)
-    return once.unionByName(kept.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    fps = written(fingerprints(docs.select("doc_id", "text"), words_per_shingle, F.xxhash64("text").alias("h")), "simhash")
+    roots = components(links(fps.select("fp").distinct(), max_bits))
+    ids = fps.groupBy("doc_id", "h", "fp").agg(F.count("*").alias("rows"))
+    return one_row_each(docs, ids.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "h", F.coalesce("root", "fp").alias("root"), "rows"))
