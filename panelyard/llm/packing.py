@@ -73,28 +73,44 @@ def pack(lengths: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacit
     return bin_of, offset
 
 
-def pieces(docs: DataFrame, capacity: int, cluster: str | None = None) -> DataFrame:
-    """doc_id, piece, start, n_chars, source, cluster of each piece of each row of ``docs``."""
+def pieces(docs: DataFrame, capacity: int, cluster: str | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, piece, start, n_chars, source, cluster, ``also`` of each piece of each row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     same = F.xxhash64(F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))) if cluster is None else F.xxhash64(F.col(cluster))
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.length(text).alias("size"), same.alias("cluster"))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.length(text).alias("size"), same.alias("cluster"), *also)
     cut = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("size") - 1) / capacity).cast("int")))))
-    return cut.select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).alias("n_chars"), "source", "cluster")
+    return cut.select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).alias("n_chars"), "source", "cluster", *also)
 
 
-def best_fit(docs: DataFrame, capacity: int = 16384, group_rows: int = 4096, cluster: str | None = None) -> DataFrame:
-    """bin_id, slot, bin_offset and doc_id, piece, start, n_chars, source of each piece of each row of ``docs``."""
-    cut = pieces(docs, capacity, cluster)
+def best_fit(docs: DataFrame, capacity: int = 16384, group_rows: int = 4096, cluster: str | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """bin_id, slot, bin_offset and doc_id, piece, start, n_chars, source, ``also`` of each piece of each row of ``docs``."""
+    cut = pieces(docs, capacity, cluster, also)
     # Rows, not pieces, set the number of groups: counting them reads no text.
     groups = max(1, -(-docs.count() // group_rows))
     dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "n_chars"), F.lit(groups)))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in also)
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["n_chars", "doc_id", "piece", "cluster"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         sources = pd.factorize(group["source"])[0]
         bin_of, offset = pack(group["n_chars"].to_numpy(np.int64), sources, pd.factorize(group["cluster"])[0], capacity)
         first = int(group["pack_group"].iloc[0]) << 24
-        return pd.DataFrame({"bin_id": bin_of + first, "slot": group.groupby(bin_of).cumcount(), "bin_offset": offset, "doc_id": group["doc_id"], "piece": group["piece"], "start": group["start"], "n_chars": group["n_chars"], "source": group["source"]})
+        return pd.DataFrame({"bin_id": bin_of + first, "slot": group.groupby(bin_of).cumcount(), "bin_offset": offset, "doc_id": group["doc_id"], "piece": group["piece"], "start": group["start"], "n_chars": group["n_chars"], "source": group["source"]} | {c: group[c] for c in also})
 
-    return dealt.groupBy("pack_group").applyInPandas(packed, f"bin_id long, slot int, bin_offset int, doc_id {kind}, piece int, start int, n_chars int, source string")
+    return dealt.groupBy("pack_group").applyInPandas(packed, f"bin_id long, slot int, bin_offset int, doc_id {kind}, piece int, start int, n_chars int, source string" + kinds)
+
+
+def best_fit_with_text(docs: DataFrame, capacity: int = 16384, **params) -> DataFrame:
+    """The columns of ``best_fit`` and text, the characters of each piece.
+
+    Groups are packed by ids and lengths alone; texts come back by id, hash and
+    piece, so that null and shared ids meet their own text.
+    """
+    rows = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    bins = best_fit(rows, capacity, also=("_text",), **params)
+    own = rows.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_h"), F.coalesce("text", F.lit("")).alias("_whole")).dropDuplicates(["_id", "_h"])
+    last = F.greatest(F.lit(0), F.floor((F.length("_whole") - 1) / capacity).cast("int"))
+    cut = own.withColumn("_piece", F.explode(F.sequence(F.lit(0), last))).select("_id", "_h", "_piece", F.substring("_whole", F.col("_piece") * capacity + 1, F.lit(capacity)).alias("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_h")) & (F.col("piece") == F.col("_piece"))
+    return bins.join(cut, same).drop("_text", "_id", "_h", "_piece")
