@@ -290,7 +290,7 @@ def timing_rsi(spark, sf_dir):
 
 @query()
 def timing_hmm(spark, sf_dir):
-    return timing.hmm_filter(_industry_returns(spark, sf_dir).filter("cast(code as int) < 5"), "r", "code", refit=40, iterations=8)
+    return timing.hmm_filter(_industry_returns(spark, sf_dir), "r", "code")
 
 
 @query()
