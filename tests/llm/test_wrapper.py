@@ -1,4 +1,7 @@
 import random
+import time
+
+import pytest
 
 from panelyard.llm import wrapper
 
@@ -41,9 +44,41 @@ def test_copies_do_not_become_template(spark):
     assert all(r["text"] == text for r in got if r["page_id"] != 99)
 
 
+def furnished(rng, i, article):
+    """A page without telling names: constant furniture among the paragraphs, a menu that varies, adverts from a small pool."""
+    w = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "amet", "sit"]) + str(rng.randint(0, 999)) for _ in range(n))
+    title, paras = w(4), [w(rng.randint(12, 40)) for _ in range(rng.randint(2, 5))]
+    text = f"<h1>{title}</h1><p>{paras[0]}</p><p>Print this page or send it to a friend</p>" + "".join(f"<p>{x}</p>" for x in paras[1:]) + "<div>Rate this: <b>1 2 3 4 5</b></div>"
+    main = f"<article>{text}</article>" if article else f"<div>{text}</div>"
+    menu = "".join(f'<div><a href="/{k}">{w(1)}</a></div>' for k in range(rng.randint(2, 6)))
+    return f"<html><body><div>{menu}</div><div>The daily paper of the town</div><table><tr><td>Offer {i % 3}: all you can carry</td></tr></table>{main}</body></html>", "\n\n".join([title, *paras])
+
+
+@pytest.mark.parametrize("article", [True, False])
+def test_slots_and_template_decide(spark, article):
+    rng = random.Random(6)
+    made = [furnished(rng, i, article) for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame([(i, f"http://h.org/{i}", h) for i, (h, _) in enumerate(made)], "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(40)] == [t for _, t in made]
+    assert all(wrapper.main_text(h) != t for h, t in made)  # without the wrapper no page comes out right
+
+
+def test_a_paragraph_that_some_pages_share_is_no_template(spark):
+    rng = random.Random(7)
+    made = [page(rng, i) for i in range(30)]
+    rows = [(i, "http://h.org/", h.replace("</article>", "<p>A licence line.</p></article>") if i % 3 else h, t + "\n\nA licence line." if i % 3 else t) for i, (h, t) in enumerate(made)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(30)] == [r[3] for r in rows]
+
+
+def test_names_inside_an_article():
+    html = '<div class="content"><h2 id="related-work">Related</h2><p id="comment-syntax">one <span class="search-term">two</span></p><div class="post-comments">no</div><div class="siteFooter">no</div></div>'
+    assert wrapper.main_text(html) == "Related\n\none two"
+
+
 def test_references_spaces_and_broken_markup():
     def own(html):
-        return wrapper.main_text(html, None, 0, set())
+        return wrapper.main_text(html)
 
     assert own("<p>a&amp;b &#233;&nbsp;x\n\n  y</p><p> </p>z") == "a&b é x y\n\nz"
     assert own('<article><p>one<p>two<li>three<i>four</i></article><p class="x>y">five') == "one\n\ntwo\n\nthreefour"
@@ -51,11 +86,42 @@ def test_references_spaces_and_broken_markup():
     assert own("<article>a<script>if (a<b) {}</script>b<!-- c --><div>d</div></article>") == "ab\n\nd"
 
 
+def plain_match(a, b, i=0, j=0):
+    """The recurrence of simple tree matching, by dynamic programming."""
+    if a[1][i] != b[1][j]:
+        return 0
+    ka, kb = ([k for k, up in enumerate(t[0]) if up == n] for t, n in ((a, i), (b, j)))
+    best = [[0] * (len(kb) + 1) for _ in range(len(ka) + 1)]
+    for x in range(len(ka)):
+        for y in range(len(kb)):
+            best[x + 1][y + 1] = max(best[x][y + 1], best[x + 1][y], best[x][y] + plain_match(a, b, ka[x], kb[y]))
+    return best[-1][-1] + 1
+
+
 def test_simple_tree_matching():
-    a = ["r", 0, ["x", 0], ["y", 0, ["z", 0]], ["x", 0]]
-    b = ["r", 0, ["y", 0, ["z", 0], ["w", 0]], ["x", 0]]
-    assert wrapper.match(a, b)[0] == 4 and dict(wrapper.match(a, b)[1]) == {0: 0, 2: 1, 3: 2, 4: 4}
-    assert wrapper.match(a, ["q", 0])[0] == 0
+    rng = random.Random(8)
+
+    def tree():
+        parents, labels, seen = [-1], [""], set()
+        for _ in range(rng.randint(0, 25)):
+            key = (rng.randrange(len(labels)), rng.choice("abcdef"))
+            if key not in seen:
+                seen.add(key), parents.append(key[0]), labels.append(key[1])
+        return parents, labels
+
+    for _ in range(300):
+        a, b = tree(), tree()
+        size, to = wrapper.match(a, b)
+        assert size == plain_match(a, b) == sum(x >= 0 for x in to)
+        assert all(a[1][i] == b[1][j] and (i == 0 or to[a[0][i]] == b[0][j]) for i, j in enumerate(to) if j >= 0)
+
+
+@pytest.mark.parametrize("html", ["<div x='" * 100_000, "<div>" * 150_000, "<div>" * 90_000 + "</p>" * 60_000 + "</b>" * 60_000, "<a" * 400_000, "<p a=\"" * 100_000 + ">", "<" * 1_000_000, "<p>x</p>" * 100_000], ids=range(7))
+def test_long_and_unbalanced_pages_take_linear_time(html):
+    began = time.process_time()
+    _, shape, *_ = wrapper.summary(html)
+    wrapper.main_text(html, shape)
+    assert time.process_time() - began < 20
 
 
 def test_empty(spark):
