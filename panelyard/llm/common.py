@@ -32,15 +32,27 @@ def texts(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for inner columns beside those of ``df``: ``names``, lengthened where ``df`` has a column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def one_row_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The row of ``docs`` with the smallest doc_id (null last) of each group ``root`` of ``found``.
 
     ``found`` has doc_id, h (xxhash64 of the text, null as empty), rows and root for
     each distinct id and text; rows that share both count as one.
     """
+    own, one, h, rows, row = fresh(docs, "own", "one", "h", "rows", "row")
     firsts = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "rows")).alias("w"))
-    firsts = firsts.select(F.col("w.doc_id").alias("_id"), F.col("w.h").alias("_h"), F.col("w.rows").alias("_rows"))
-    kept = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit("")))).join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_h")))
-    row = F.struct(*docs.columns)
-    repeated = kept.filter("_rows > 1").groupBy("_id", "_h").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
-    return kept.filter("_rows = 1").select(*docs.columns).unionByName(repeated)
+    firsts = firsts.select(F.col("w.doc_id").alias(one), F.col("w.h").alias(h), F.col("w.rows").alias(rows))
+    kept = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))).join(firsts, F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(own) == F.col(h)))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    repeated = kept.filter(F.col(rows) > 1).groupBy(one, h).agg(F.min_by(whole, F.to_json(whole)).alias(row)).select(f"{row}.*")
+    return kept.filter(F.col(rows) == 1).select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(repeated)

@@ -1,5 +1,8 @@
+import base64
 import hashlib
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -65,3 +68,48 @@ def test_no_python_on_the_main_path_and_empty(spark):
     out = secrets.scan(frame(spark))
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
     assert secrets.scan(frame(spark).limit(0)).count() == 0
+
+
+def test_long_texts_take_linear_time(spark, monkeypatch):
+    run = "k3Jh9sQ2vX7pLw0RtYbN4mEcD8uGfA1z" * 32_000  # 1 MB
+    many = "token=abcdefghijklmnop, " * 40_000
+    made = [(1, run), (2, many), (3, "é" * 500_000 + many), (4, "a " * 500_000)]
+    frame = spark.createDataFrame(made, "doc_id long, text string").repartition(4).cache()
+    frame.count()
+    ratios = secrets.train(frame)
+    monkeypatch.setattr(secrets, "train", lambda docs: ratios)
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.scan(frame).collect()}
+    assert got[1]["spans"] == f"markov:0:{len(run)}" and got[2]["n_assign"] == got[3]["n_assign"] == 40_000 and got[4]["spans"] == ""
+    assert got[3]["spans"].endswith(f"assign:{500_000 + 24 * 39_999}:{500_000 + 24 * 39_999 + 22}")
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(frame).collect()}
+    assert clean[1] == "[SECRET]" and clean[2] == "[SECRET], " * 40_000 and clean[3] == "é" * 500_000 + clean[2] and clean[4] == made[3][1]
+    assert time.time() - began < 60
+    frame.unpersist()
+
+
+def test_running_sums_by_blocks(spark):
+    for n in (0, 1, 127, 128, 129, 1000):
+        own = [(7 * i) % 11 for i in range(n)]
+        row = spark.createDataFrame([(own,)], "v array<int>").select(secrets.running(F.col("v"), secrets._sum, lambda a, b: a + b).alias("s"), secrets.running(F.col("v"), secrets._max, F.greatest).alias("m")).first()
+        assert row["s"] == [sum(own[:i]) for i in range(n)] and row["m"] == [max(own[:i], default=-1) for i in range(n)]
+
+
+def test_spans_of_one_start_stand_by_kind(spark):
+    text = "AKIA" + "ABCDEFGHIJ1234567890" + "/abcxyz"
+    spans = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), min_length=5, threshold=-99.0).first()["spans"]
+    assert spans == f"access:0:24,markov:0:{len(text)}"
+
+
+def test_models_on_strings_they_did_not_see(spark):
+    """Held out: hashes beyond the trained ones are found, compounds of words that no trained document holds are left alone."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice(["an", "er", "th", "on", "in", "re", "st", "ou", "le", "mi"]) for _ in range(rng.randint(2, 4)))
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(100))) for i in range(60)], "doc_id long, text string")
+    ratios = secrets.train(docs)
+    fresh = [base64.b64encode(hashlib.sha256(f"new{i}".encode()).digest()).decode().rstrip("=")[: rng.randint(20, 43)] for i in range(500)]
+    plain = [rng.choice("_-").join(word() for _ in range(rng.randint(4, 6))) for _ in range(500)]
+    rows = spark.createDataFrame([(x, 1) for x in fresh] + [(x, 0) for x in plain], "s string, y int")
+    judged = rows.select("y", (secrets.mean_ratio(F.col("s"), ratios) > 0.6).cast("int").alias("p")).groupBy("y").agg(F.avg("p").alias("p")).collect()
+    share = {r["y"]: r["p"] for r in judged}
+    assert share[1] > 0.97 and share[0] < 0.01, share
