@@ -13,14 +13,18 @@ the documents holds one block, so what a task holds is bounded however large the
 benchmark is.
 
 Cases: null text is the empty text; items without letters and digits match
-nothing; repeated items and rows each come back; empty tables give no rows.
+nothing; repeated items and rows each come back; other columns are not read
+(``drop_leaking`` returns them); empty tables give no rows.  A text is one array
+of its characters; the tally of a very long or repetitive one is bounded by a
+chunk of hits, a transform of its length and the half-bands of its items.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import cache, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from panelyard.llm.common import texts
+from panelyard.llm.common import fresh, texts
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _BITS = 22
+#: Hits tallied at once, and hits of one q-gram that are counted by a convolution.
+CHUNK, HEAVY = 1 << 20, 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -122,8 +128,81 @@ def build(items: list[tuple], q: int, rate: float) -> Index:
     return Index([i for i, _ in own], [c for _, c in own], edits, np.maximum(needed, 1), distinct, np.r_[first, len(flat)].astype(np.int64), item[order], place[order].astype(np.int64), seen, tiny, max((len(c) for _, c in own), default=0))
 
 
+def band_counts(places: np.ndarray, slot: np.ndarray, index: Index) -> Iterator[tuple[int, int, int]]:
+    """(item, band, shared q-grams) of each band of two half-bands of diagonals that meets its item's bound.
+
+    Hits are tallied in chunks of at most about ``CHUNK``.  Where one q-gram stands
+    at many places of both texts, its hits are counted by a convolution instead of
+    one by one, so repetitive texts take no more than a few transforms an item.
+    """
+    n = index.first[slot + 1] - index.first[slot]
+    size = int(places[-1]) + 1
+    order = np.argsort(slot, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(slot[order]) > 0])
+    heavy = np.zeros(len(places), bool)
+    groups = []
+    for a, b in zip(starts, np.r_[starts[1:], len(order)]):
+        k = slot[order[a]]
+        if (b - a) * int(index.first[k + 1] - index.first[k]) > HEAVY:
+            heavy[order[a:b]] = True
+            groups.append((order[a:b], int(k)))
+    tallies: dict[int, np.ndarray] = {}  # by item: hits of each half-band, from diagonal -longest on
+
+    def halves(item: int) -> np.ndarray:
+        if item not in tallies:
+            tallies[item] = np.zeros((size + index.longest) // int(index.edits[item] + 1) + 2, np.int64)
+        return tallies[item]
+
+    spectra: dict[int, list] = {}
+    for rows, k in groups:
+        posting = slice(int(index.first[k]), int(index.first[k + 1]))
+        for item in np.unique(index.item[posting]):
+            own = index.place[posting][index.item[posting] == item]
+            spectra.setdefault(int(item), []).append((places[rows], own))
+    for item, pairs in spectra.items():
+        longest = len(index.chars[item])
+        width = 1 << int(size + longest).bit_length()
+        total = np.zeros(width // 2 + 1, np.complex128)
+        for doc, own in pairs:
+            there, here = np.zeros(width, np.float64), np.zeros(width, np.float64)
+            there[doc] = 1
+            here[longest - own] = 1
+            total += np.fft.rfft(there) * np.fft.rfft(here)
+        hits = np.rint(np.fft.irfft(total, width)).astype(np.int64)[: size + longest]  # at diagonal + longest
+        band = (np.arange(len(hits)) - longest + index.longest) // int(index.edits[item] + 1)
+        halves(item)[: band[-1] + 1] += np.bincount(band, hits, band[-1] + 1).astype(np.int64)
+    light = np.flatnonzero(~heavy)
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in np.split(light, np.flatnonzero(np.diff(np.cumsum(n[light]) // CHUNK)) + 1):
+        if not len(part):
+            continue
+        posting = np.repeat(index.first[slot[part]] - np.r_[0, np.cumsum(n[part])[:-1]], n[part]) + np.arange(n[part].sum())
+        item = index.item[posting]
+        band = (np.repeat(places[part], n[part]) - index.place[posting] + index.longest) // (index.edits[item] + 1)
+        own, seen = np.unique(item * np.int64(1 << 40) + band, return_counts=True)
+        keys, inverse = np.unique(np.r_[keys, own], return_inverse=True)
+        counts = np.bincount(inverse, np.r_[counts, seen], len(keys)).astype(np.int64)
+    more: list[np.ndarray] = []
+    for item, tally in tallies.items():
+        low, high = np.searchsorted(keys, [item << 40, item + 1 << 40])
+        tally[keys[low:high] & ((1 << 40) - 1)] += counts[low:high]
+        keys, counts = np.delete(keys, slice(low, high)), np.delete(counts, slice(low, high))
+        at = np.flatnonzero(tally)
+        more.append(np.array([(item << 40) + at, tally[at]]))
+    keys, counts = np.concatenate([np.array([keys, counts]), *more], axis=1)
+    both, inverse = np.unique(np.r_[keys, keys - 1], return_inverse=True)  # a band starts at each half-band and takes the next
+    shared = np.bincount(inverse, np.r_[counts, counts], len(both)).astype(np.int64)
+    item = (both + 1) >> 40  # the band before an item's first
+    enough = shared >= index.needed[item]
+    for k, i, c in zip(both[enough].tolist(), item[enough].tolist(), shared[enough].tolist()):
+        yield i, k - (i << 40), c
+
+
 def regions(text: str, index: Index, q: int) -> list[tuple]:
-    """(item id, start, end, edits, shared q-grams) of each region of the text, in code points; those of an item don't overlap."""
+    """(item id, start, end, edits, shared q-grams) of each region of the text, in code points; those of an item don't overlap.
+
+    Exact copies come first, then the regions of the bands that share most, each the best of its band and the two beside it.
+    """
     chars, at = normalised(text)
     if 0 < len(chars) < q:
         return [(i, int(at[0]), int(at[-1]) + 1, 0, 0) for i in index.tiny.get(chars.tobytes(), [])]
@@ -136,33 +215,63 @@ def regions(text: str, index: Index, q: int) -> list[tuple]:
     places, slot = places[hit], slot[hit]
     if not len(places):
         return []
-    n = index.first[slot + 1] - index.first[slot]
-    posting = np.repeat(index.first[slot] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-    item = index.item[posting]
-    diagonal = np.repeat(places, n) - index.place[posting] + index.longest
-    band = diagonal // (index.edits[item] + 1)
-    key = np.concatenate([item, item]) * np.int64(1 << 40) + np.concatenate([band, band - 1]) + 1
-    keys, counts = np.unique(key, return_counts=True)
-    found = []
-    for k, shared in zip(keys.tolist(), counts.tolist()):
-        i, b = k >> 40, (k & ((1 << 40) - 1)) - 1
-        if shared < index.needed[i]:
-            continue
-        own, e = index.chars[i], int(index.edits[i])
-        low = b * (e + 1) - index.longest
-        start, end = max(0, low), min(len(chars), low + 2 * (e + 1) + len(own))
-        region = chars[start:end]
-        if (aligned := best_alignment(own, region, e)) is None:
-            continue
-        edits, stop = aligned
-        back = best_alignment(own[::-1], region[:stop][::-1][: len(own) + e], e)
-        begin = stop - (back[1] if back else len(own))
-        found.append((edits, start + max(0, begin), start + stop, i, shared))
-    out: list[tuple] = []
-    for edits, begin, stop, i, shared in sorted(found):
-        if stop > begin and all(j != i or stop <= b or begin >= s for j, b, s, *_ in out):
-            out.append((i, begin, stop, edits, shared))
-    return [(index.ids[i], int(at[begin]), int(at[stop - 1]) + 1, edits, shared) for i, begin, stop, edits, shared in out]
+    by_item: dict[int, dict[int, int]] = {}
+    for i, band, shared in band_counts(places, slot, index):
+        by_item.setdefault(i, {})[band] = shared
+    whole, out = chars.astype("<u4").tobytes() if by_item else b"", []
+    for i, bands in by_item.items():
+        own = index.chars[i]
+        exact = list(copies(whole, own.astype("<u4").tobytes()))
+        taken = [(begin, begin + len(own)) for begin in exact]
+        out += [(i, *span, 0, len(own) - q + 1) for span in taken]
+        align = cache(lambda start, end, own=own, e=int(index.edits[i]): region_in(own, chars, start, end, e))
+        for band in sorted(bands, key=lambda b: (-bands[b], b)):
+            while near := [(*r, bands[b]) for b in (band, band - 1, band + 1) if b in bands for gap in free(taken, *stretch(index, i, b, len(chars))) if (r := align(*gap))]:
+                edits, begin, stop, shared = min(near)
+                insort(taken, (begin, stop))
+                out.append((i, begin, stop, edits, shared))
+    return [(index.ids[i], int(at[begin]), int(at[stop - 1]) + 1, edits, shared) for i, begin, stop, edits, shared in sorted(out, key=lambda r: r[1:4] + r[:1])]
+
+
+def stretch(index: Index, item: int, band: int, n: int) -> tuple[int, int]:
+    """The part of a text of ``n`` characters that a band of an item's diagonals covers."""
+    step = int(index.edits[item]) + 1
+    low = band * step - index.longest
+    return max(0, low), min(n, low + 2 * step + len(index.chars[item]))
+
+
+def region_in(own: np.ndarray, chars: np.ndarray, start: int, end: int, e: int) -> tuple[int, int, int] | None:
+    """Edits, start and end of the best alignment of an item in a stretch, if it is within the budget."""
+    if end - start < len(own) - e or (aligned := best_alignment(own, chars[start:end], e)) is None:
+        return None
+    edits, stop = aligned
+    back = best_alignment(own[::-1], chars[start : start + stop][::-1][: len(own) + e], e)
+    begin = max(0, stop - (back[1] if back else len(own)))
+    return (edits, start + begin, start + stop) if stop > begin else None
+
+
+def copies(whole: bytes, own: bytes) -> Iterator[int]:
+    """Where exact copies stand, in characters of four bytes; leftmost, without overlap."""
+    at = whole.find(own)
+    while at >= 0:
+        if at % 4:
+            at = whole.find(own, at + 1)
+        else:
+            yield at // 4
+            at = whole.find(own, at + len(own))
+
+
+def free(taken: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
+    """The parts of a stretch that no taken one covers; taken is in order and without overlap."""
+    k = max(0, bisect_left(taken, (start, start)) - 1)
+    out = []
+    while k < len(taken) and taken[k][0] < end:
+        if taken[k][1] > start:
+            if taken[k][0] > start:
+                out.append((start, taken[k][0]))
+            start = taken[k][1]
+        k += 1
+    return [*out, (start, end)] if start < end else out
 
 
 def blocks(benchmark: DataFrame, block_chars: int) -> list[int]:
@@ -205,5 +314,6 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
 
     Rows are told apart by doc_id; rows with a null id are kept, as they can't be named.
     """
-    leaking = find_leaks(docs, benchmark, **params).select(F.col("doc_id").alias("_leaking")).distinct()
-    return docs.join(leaking, F.col("doc_id") == F.col("_leaking"), "left_anti")
+    (own,) = fresh(docs, "leaking")
+    leaking = find_leaks(docs, benchmark, **params).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(leaking, F.col("doc_id") == F.col(own), "left_anti")

@@ -1,6 +1,10 @@
 import random
+import time
+import tracemalloc
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from panelyard.llm import decontaminate as d
 
@@ -102,3 +106,43 @@ def test_empty(spark):
     docs = spark.createDataFrame([(1, "some text here")], "doc_id long, text string")
     assert d.find_leaks(docs, bench).count() == 0
     assert d.find_leaks(docs.limit(0), spark.createDataFrame([(1, "some text here")], "item_id long, text string")).count() == 0
+
+
+def plain_counts(places, slot, index):
+    seen = Counter()
+    for p, s in zip(places, slot):
+        for k in range(index.first[s], index.first[s + 1]):
+            i = int(index.item[k])
+            band = (p - index.place[k] + index.longest) // (index.edits[i] + 1)
+            seen[i, int(band)] += 1
+            seen[i, int(band) - 1] += 1
+    return {k: n for k, n in seen.items() if n >= index.needed[k[0]]}
+
+
+@pytest.mark.parametrize("limit", [1 << 16, 5])
+def test_tallies_in_chunks_and_by_convolution_are_the_plain_ones(monkeypatch, limit):
+    rng = random.Random(3)
+    monkeypatch.setattr(d, "CHUNK", 50)
+    monkeypatch.setattr(d, "HEAVY", limit)
+    for _ in range(30):
+        texts = ["".join(rng.choice("ab") for _ in range(rng.randint(8, 60))) for _ in range(4)] + ["ab" * 20, "a" * 30]
+        index = d.build(list(enumerate(texts)), 4, 0.1)
+        chars = np.array([ord(rng.choice("ab")) for _ in range(rng.randint(30, 200))] + [97] * 40, np.uint32)
+        h = d.qgram_hashes(chars, 4)
+        slot = np.minimum(np.searchsorted(index.hashes, h), len(index.hashes) - 1)
+        places = np.flatnonzero(index.hashes[slot] == h)
+        assert {(i, b): n for i, b, n in d.band_counts(places, slot[places], index)} == plain_counts(places, slot[places], index)
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "ab" * 500_000, "the same line again and again. " * 30_000], ids=["letter", "pair", "line"])
+def test_long_repetitive_texts(text):
+    index = d.build([(1, "a" * 2000), (2, "ab" * 700), (3, "the same line again and again. " * 20), (4, "qu" * 300)], 8, 0.1)
+    tracemalloc.start()
+    began = time.process_time()
+    found = d.regions(text, index, 8)
+    assert time.process_time() - began < 30 and tracemalloc.get_traced_memory()[1] < 600_000_000
+    tracemalloc.stop()
+    assert len({r[0] for r in found}) == 1 and all(r[3] == 0 for r in found)
+    chars = len(letters(text))
+    own = len(letters({1: "a" * 2000, 2: "ab" * 700, 3: "the same line again and again. " * 20}[found[0][0]]))
+    assert len(found) == chars // own
