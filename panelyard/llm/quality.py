@@ -3,13 +3,16 @@
 Words, adjacent word pairs and character 3- to 5-grams (with word boundaries)
 are hashed into ``2**bits`` learned vectors.  A document is the mean of its
 vectors; a softmax over two classes reads it.  Training runs on the driver over
-a bounded sample (``max_rows`` rows and ``max_bytes`` of text, smallest hashes of
-doc_id first); scoring is one pass over whole texts, where the model is folded
-into one number per hash bucket.
+a bounded sample (``max_rows`` labelled documents of at most ``max_text_bytes``
+each, smallest hashes of doc_id first); scoring is one pass over whole texts,
+where the model is folded into one number per hash bucket.
 
 Cases: null text is the empty text and gets the score of the bias alone; labels
-that repeat are averaged, null ones ignored; without both classes in the sample
-every score is the sample's share of class 1 (0.5 for no labels).
+that repeat are averaged, null ones and those of absent documents ignored;
+without both classes in the sample every score is the sample's share of class 1
+(0.5 for no labels); repeated rows get equal scores; a very long text takes memory
+in proportion to itself; other columns are not read (``keep_good`` returns them);
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,9 +24,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from panelyard.llm.common import texts
+from panelyard.llm.common import fresh, texts
 
 #: Odd multipliers of the polynomial hashes.
 _P, _Q, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -104,18 +106,22 @@ def score_of(model: Model, text: str) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 64_000_000) -> DataFrame:
-    """quality, text of at most ``max_rows`` labelled rows outside the held-out fold, smallest hashes of doc_id first."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_text_bytes: int = 16_000) -> DataFrame:
+    """quality, text of the ``max_rows`` labelled documents outside the held-out fold of the smallest hashes of doc_id.
+
+    Texts of more than ``max_text_bytes`` are not learnt from, so a row's size is
+    bounded and no text keeps others out; of rows that share an id the text of the
+    smallest hash counts.
+    """
     marked = (
         labels.filter("doc_id is not null and quality is not null")
         .filter(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    joined = texts(docs, "doc_id").join(F.broadcast(marked), "doc_id")  # at most max_rows rows
-    first = joined.select("quality", "text", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "text").limit(max_rows)
-    running = F.sum(F.octet_length("text")).over(Window.orderBy("_h", "text").rowsBetween(Window.unboundedPreceding, 0))
-    return first.withColumn("_bytes", running).filter(F.col("_bytes") <= max_bytes).select("quality", "text")
+    short = texts(docs, "doc_id").filter(F.octet_length("text") <= max_text_bytes)
+    ids = short.select("doc_id").join(marked, "doc_id").distinct().select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = short.join(F.broadcast(ids), "doc_id")  # at most max_rows rows
+    return rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "quality", "text")).alias("r")).select("r.quality", "r.text", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("quality", "text")
 
 
 def held_out(doc_id):
@@ -123,8 +129,8 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 64_000_000, **params) -> Model:
-    rows = labelled_sample(docs, labels, max_rows, max_bytes).collect()  # bounded by max_rows and max_bytes
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_text_bytes: int = 16_000, **params) -> Model:
+    rows = labelled_sample(docs, labels, max_rows, max_text_bytes).collect()  # at most max_rows * max_text_bytes
     return fit([r["text"] for r in rows], np.array([r["quality"] for r in rows], int), **params)
 
 
@@ -149,5 +155,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **param
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **params) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with their columns."""
-    scored = score(docs, train(docs, labels, **params), "_quality_score")
-    return scored.filter(F.col("_quality_score") >= threshold).select(*docs.columns)
+    (own,) = fresh(docs, "own_score")
+    scored = score(docs, train(docs, labels, **params), own)
+    return scored.filter(F.col(own) >= threshold).drop(own)

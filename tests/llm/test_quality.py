@@ -63,10 +63,47 @@ def test_keep_good_keeps_columns(spark):
     assert len(ids ^ good) <= 4
 
 
-def test_sample_is_bounded(spark):
+def test_sample_is_bounded_and_no_text_keeps_others_out(spark):
     data = rows(200)
     docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, q) for i, _, q in data], "doc_id long, quality int")
-    assert quality.labelled_sample(docs, labels, max_rows=10).count() == 10
-    few = quality.labelled_sample(docs, labels, max_bytes=500).collect()
-    assert 0 < sum(len(r["text"].encode()) for r in few) <= 500
+    labels = spark.createDataFrame([(i, q) for i, _, q in data] + [(-i, 1) for i in range(1, 500)], "doc_id long, quality int")
+    assert quality.labelled_sample(docs, labels, max_rows=10).count() == 10  # labels of absent documents take no place
+    whole = quality.labelled_sample(docs, labels).collect()
+    huge = docs.unionByName(spark.createDataFrame([(i, "an " * 400_000) for i in range(1000, 1004)], docs.schema))
+    more = labels.unionByName(spark.createDataFrame([(i, 0) for i in range(1000, 1004)], labels.schema))
+    assert quality.labelled_sample(huge, more).collect() == whole
+    few = quality.labelled_sample(docs, labels, max_text_bytes=100).collect()
+    assert 0 < len(few) and max(len(r["text"].encode()) for r in few) <= 100
+
+
+def test_scores_and_training_are_those_of_plain_loops():
+    """One model trained gram by gram in plain Python; the scores agree."""
+    data = rows(40)
+    texts_, labels = [t for _, t, _ in data], np.array([q for *_, q in data])
+    bits, dim, epochs, rate = 12, 3, 2, 0.5
+    model = quality.fit(texts_, labels, bits=bits, dim=dim, epochs=epochs, rate=rate, seed=3)
+    rng = np.random.default_rng(3)
+    vector, out = rng.normal(0, 0.1, (2**bits, dim)).astype(np.float32).astype(float), rng.normal(0, 0.5, (dim, 2)).astype(np.float32).astype(float)
+    bias, steps = [float(np.log(1 - labels.mean())), float(np.log(labels.mean()))], 0
+    for _ in range(epochs):
+        for i in rng.permutation(len(texts_)):
+            ids = quality.grams(texts_[i], bits).tolist()
+            lr, steps = rate * (1 - steps / (epochs * len(texts_))), steps + 1
+            share = {g: ids.count(g) / len(ids) for g in set(ids)}
+            hidden = [sum(w * vector[g][d] for g, w in share.items()) for d in range(dim)]
+            z = [sum(hidden[d] * out[d][c] for d in range(dim)) + bias[c] for c in range(2)]
+            p = [np.exp(x) / sum(np.exp(y) for y in z) for x in z]
+            p[labels[i]] -= 1
+            square, back = sum(w * w for w in share.values()), [out[d][0] * p[0] + out[d][1] * p[1] for d in range(dim)]
+            for g, w in share.items():
+                for d in range(dim):
+                    vector[g][d] -= lr * w / square * back[d]
+            for c in range(2):
+                for d in range(dim):
+                    out[d][c] -= 0.1 * lr * hidden[d] * p[c]
+                bias[c] -= 0.02 * lr * p[c]
+    for t in [*texts_, "", "unseen words"]:
+        ids = quality.grams(t, bits).tolist()
+        hidden = [sum(vector[g][d] for g in ids) / max(1, len(ids)) for d in range(dim)]
+        z = [sum(hidden[d] * out[d][c] for d in range(dim)) + bias[c] for c in range(2)]
+        assert abs(quality.score_of(model, t) - 1 / (1 + np.exp(z[0] - z[1]))) < 1e-3
