@@ -1,16 +1,20 @@
 """URL filters: allow and block rules, and gradient-boosted trees on lexical features for what no rule decides.
 
 Features are lengths, path depth, digit ratio, character entropy, parameter
-counts and statistics of the host's suffix: how many labelled URLs have it and
-what share of them is blocked, smoothed.  The trees learn from labelled URLs
+counts and statistics of the host's suffix: how many other labelled URLs have it
+and what share of them is blocked, smoothed.  The trees learn from labelled URLs
 (``label`` 1 block, 0 allow); ``judge`` labels with the rules the URLs they
-decide.  Training takes a bounded sample (``max_rows`` labelled URLs of the
-smallest hashes); suffix counts and judging cover all rows.
+decide, so what it learns is which URLs look like those that the rules block: it
+can't tell more than the rules' authors did.  Training takes a bounded sample of
+different URLs (``max_rows``, at most half from each class, smallest hashes first);
+suffix counts and judging cover all rows.
 
 Cases: a null URL or one without ``://`` has empty host and path and is judged by
-the trees like any other; repeated rows are judged alike; without labelled URLs
-of both classes the verdict is that of the only class, or allow; an empty table
-gives no rows.
+the trees like any other; repeated rows are judged alike and counted as one URL;
+URLs of equal hashes stand in their own order; without labelled URLs of both
+classes the verdict is that of the only class, or allow; other columns are not
+read; a long URL takes time in proportion to its length and its different
+characters; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -70,38 +74,55 @@ def features(urls: DataFrame) -> DataFrame:
 
 
 def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """suffix, suffix_n, suffix_block over all labelled URLs; the share is smoothed towards a half by ten."""
-    return labelled.groupBy("suffix").agg(F.log1p(F.count("*").cast("double")).alias("suffix_n"), ((F.sum("label") + 5.0) / (F.count("*") + 10.0)).alias("suffix_block"))
+    """suffix, n, blocked over all different labelled URLs."""
+    return labelled.groupBy("suffix").agg(F.count("*").cast("double").alias("n"), F.sum("label").alias("blocked"))
+
+
+def with_suffixes(rows: DataFrame, statistics: DataFrame, own: Column) -> DataFrame:
+    """``rows`` with suffix_n and suffix_block, without the row's ``own`` label (null for none); the share is smoothed towards a half by ten."""
+    others = F.greatest(F.coalesce("n", F.lit(0.0)) - own.isNotNull().cast("double"), F.lit(0.0))
+    blocked = F.greatest(F.coalesce("blocked", F.lit(0.0)) - F.coalesce(own, F.lit(0.0)), F.lit(0.0))
+    return rows.join(statistics, "suffix", "left").withColumn("suffix_n", F.log1p(others)).withColumn("suffix_block", (blocked + 5.0) / (others + 10.0)).drop("n", "blocked")
 
 
 def train(labelled: DataFrame, max_rows: int = 20000, trees: int = 20, depth: int = 4, seed: int = 7):
-    """The model on ``labelled`` (FEATURES, label, url), or the only class there is."""
-    sample = labelled.select(*FEATURES, F.col("label").cast("double").alias("label"), F.xxhash64("url").alias("_h")).orderBy("_h").limit(max_rows)
-    sample = written(sample.drop("_h"), "url-sample")
-    classes = [r[0] for r in sample.select("label").distinct().collect()]  # 0 and 1 at most
-    if len(classes) < 2:
-        return classes[0] if classes else 0.0
+    """The model on different labelled URLs (FEATURES, label, url), or the only class there is.
+
+    The sample takes at most half of ``max_rows`` from each class, smallest hashes of the URL first.
+    """
+    rows = labelled.select(*FEATURES, F.col("label").cast("double").alias("label"), F.xxhash64("url").alias("h"), "url")
+    classes = [rows.filter(F.col("label") == c).orderBy("h", "url").limit(max_rows // 2) for c in (0.0, 1.0)]
+    sample = written(classes[0].unionByName(classes[1]).drop("h", "url"), "url-sample")
+    found = [r[0] for r in sample.select("label").distinct().collect()]  # 0 and 1 at most
+    if len(found) < 2:
+        return found[0] if found else 0.0
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
     return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.2).fit(assembled)
 
 
+def labelled_by(rows: DataFrame, label: Column) -> DataFrame:
+    """The different URLs of ``rows`` (url, host, path) that have a ``label``, with it and their features."""
+    return features(rows.withColumn("label", label.cast("double")).filter("label is not null").select("url", "host", "path", "label").distinct())
+
+
 def judge(pages: DataFrame, rules=RULES, **params) -> DataFrame:
     """page_id, host, path, rule, verdict, block_score for each row of ``pages``."""
     verdicts = F.lit(None).cast("string")
     for rule, verdict in rules:
         verdicts = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(verdicts)
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = features(rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))).withColumn("by_rule", verdicts)
-    labelled = rows.filter("by_rule is not null").withColumn("label", (F.col("by_rule") == "block").cast("double"))
+    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("by_rule", verdicts)
+    block = (F.col("by_rule") == "block").cast("double")
+    labelled = written(labelled_by(rows, block), "url-labelled")
     statistics = written(suffix_statistics(labelled), "url-suffixes")
-    known = lambda df: df.join(statistics, "suffix", "left").fillna({"suffix_n": 0.0, "suffix_block": 0.5})
-    model = train(known(labelled), **params)
+    model = train(with_suffixes(labelled, statistics, F.col("label")), **params)
+    known = with_suffixes(features(rows), statistics, block)
     if isinstance(model, float):
-        judged = known(rows).withColumn("block_score", F.lit(model))
+        judged = known.withColumn("block_score", F.lit(model))
     else:
         from pyspark.ml.functions import vector_to_array
 
-        scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known(rows)))
+        scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known))
         judged = scored.withColumn("block_score", vector_to_array("probability")[1])
     verdict = F.coalesce("by_rule", F.when(F.col("block_score") > 0.5, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_score")

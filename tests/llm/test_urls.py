@@ -61,7 +61,8 @@ def test_trees_learn_held_out_urls(spark):
     make = lambda i, bad: f"http://h{i % 7}.shop/{'p' * (i % 5)}" + (f"?id={i * 7919}&s={i * 104729}&t={i * 31}" if bad else f"/about/{'word' * (i % 3)}")
     rows = [(i, make(i, i % 2 == 0), float(i % 2 == 0)) for i in range(400)]
     df = spark.createDataFrame(rows, "page_id long, url string, label double").select("*", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
-    f = urls.features(df).join(urls.suffix_statistics(urls.features(df)), "suffix")
+    f = urls.features(df)
+    f = urls.with_suffixes(f, urls.suffix_statistics(f), F.col("label"))
     model = urls.train(f.filter("page_id % 5 <> 0"))
     from pyspark.ml.feature import VectorAssembler
 
@@ -74,3 +75,16 @@ def test_one_class_and_none(spark):
     assert {r["verdict"] for r in urls.judge(frame(spark, only)).collect()} == {"allow"}
     assert urls.judge(frame(spark).limit(0)).count() == 0
     assert {r["verdict"] for r in urls.judge(frame(spark, [(1, "http://b.net/1")])).collect()} == {"allow"}
+
+
+def test_a_repeated_url_is_one_url(spark):
+    base = [(i, f"http://h{i % 9}.org/{'a' * (i % 17)}/{i}") for i in range(120)] + [(1000 + i, f"http://h{i % 9}.com/de/{i}?q={i * 7919}") for i in range(60)] + [(2000 + i, f"http://h{i}.com/de-x/{i}?q={i * 104729}") for i in range(20)]
+    again = base + [(5000 + i, base[3][1]) for i in range(3000)]
+    one, two = ({r["page_id"]: (r["verdict"], r["block_score"]) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), max_rows=100).collect() if r["page_id"] < 5000} for rows in (base, again))
+    assert one == two and {one[2000 + i][0] for i in range(20)} == {"block"}
+
+
+def test_suffix_share_leaves_the_row_out(spark):
+    rows = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 0.0), ("c", "y", 1.0)], "url string, suffix string, label double")
+    got = {r["url"]: (round(math.expm1(r["suffix_n"]), 6), r["suffix_block"]) for r in urls.with_suffixes(rows, urls.suffix_statistics(rows), F.col("label")).collect()}
+    assert got == {"a": (1.0, 5 / 11), "b": (1.0, 6 / 11), "c": (0.0, 0.5)}
