@@ -8,13 +8,15 @@ the first bin with room enough and goes on to its successors, without a limit,
 until one has neither the piece's source bit nor its cluster bit.  A document
 longer than ``capacity`` is cut into pieces of ``capacity`` characters and a rest.
 
-The documents are dealt by hash into groups of about ``group_rows`` pieces, one
+The pieces are dealt by hash into groups of about ``group_pieces`` pieces, one
 group a time is packed in a task; the number of groups grows with the input, so
 a hot source or cluster is spread over all of them and no task holds more.
 
 Cases: null and empty texts are pieces of length 0; a null source conflicts with
 nothing; without ``cluster`` the cluster is the text itself, white space and case
-aside; repeated rows are packed each; an empty table gives no rows.
+aside, so near copies may share a bin; pieces of one length stand by doc_id, then
+piece; repeated rows are packed each; other columns are not read; a very long text
+is so many pieces, dealt like any others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -82,12 +84,12 @@ def pieces(docs: DataFrame, capacity: int, cluster: str | None = None, also: tup
     return cut.select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).alias("n_chars"), "source", "cluster", *also)
 
 
-def best_fit(docs: DataFrame, capacity: int = 16384, group_rows: int = 4096, cluster: str | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+def best_fit(docs: DataFrame, capacity: int = 16384, group_pieces: int = 4096, cluster: str | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """bin_id, slot, bin_offset and doc_id, piece, start, n_chars, source, ``also`` of each piece of each row of ``docs``."""
     cut = pieces(docs, capacity, cluster, also)
-    # Rows, not pieces, set the number of groups: counting them reads no text.
-    groups = max(1, -(-docs.count() // group_rows))
-    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "n_chars"), F.lit(groups)))
+    groups = max(1, -(-(cut.select("piece").count()) // group_pieces))
+    # The row's number spreads rows that repeat; it is the same whenever a task is run again.
+    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "n_chars", F.monotonically_increasing_id()), F.lit(groups)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in also)
 
@@ -107,10 +109,10 @@ def best_fit_with_text(docs: DataFrame, capacity: int = 16384, **params) -> Data
     Groups are packed by ids and lengths alone; texts come back by id, hash and
     piece, so that null and shared ids meet their own text.
     """
-    rows = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    bins = best_fit(rows, capacity, also=("_text",), **params)
-    own = rows.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_h"), F.coalesce("text", F.lit("")).alias("_whole")).dropDuplicates(["_id", "_h"])
-    last = F.greatest(F.lit(0), F.floor((F.length("_whole") - 1) / capacity).cast("int"))
-    cut = own.withColumn("_piece", F.explode(F.sequence(F.lit(0), last))).select("_id", "_h", "_piece", F.substring("_whole", F.col("_piece") * capacity + 1, F.lit(capacity)).alias("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_h")) & (F.col("piece") == F.col("_piece"))
-    return bins.join(cut, same).drop("_text", "_id", "_h", "_piece")
+    rows = docs.select("doc_id", "text", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("of_text"))
+    bins = best_fit(rows, capacity, also=("of_text",), **params)
+    own = rows.select(F.col("doc_id").alias("own_id"), F.col("of_text").alias("own_text"), F.coalesce("text", F.lit("")).alias("whole")).dropDuplicates(["own_id", "own_text"])
+    last = F.greatest(F.lit(0), F.floor((F.length("whole") - 1) / capacity).cast("int"))
+    cut = own.withColumn("own_piece", F.explode(F.sequence(F.lit(0), last))).select("own_id", "own_text", "own_piece", F.substring("whole", F.col("own_piece") * capacity + 1, F.lit(capacity)).alias("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("of_text") == F.col("own_text")) & (F.col("piece") == F.col("own_piece"))
+    return bins.join(cut, same).drop("of_text", "own_id", "own_text", "own_piece")

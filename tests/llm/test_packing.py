@@ -26,7 +26,7 @@ def test_every_piece_goes_to_a_tightest_compatible_bin():
 
 
 def test_all_characters_once_and_no_conflict(docs, corpus):
-    rows = packing.best_fit(docs, capacity=500, group_rows=16).collect()
+    rows = packing.best_fit(docs, capacity=500, group_pieces=16).collect()
     assert Counter(r["doc_id"] for r in rows for _ in range(r["n_chars"])) == Counter(i for i, t, *_ in corpus for _ in range(len(t or "")))
     assert len(rows) == sum(max(1, -(-len(t or "") // 500)) for _, t, *_ in corpus)
     bins = defaultdict(list)
