@@ -1,19 +1,24 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most ``max_bits`` = 4 bits agree in at
-least 8 - 4 = 4 of their 8 bytes.  The index posts each *distinct* fingerprint
-under (byte positions, byte values) keys.  Any 4 agreeing positions contain one
-of 20 chosen position triples (a Turan system), so posting under those triples
-meets every pair that can reach the guaranteed minimum, with 24-bit posting
-lists.  Within a list the shared positional bytes of each pair are tallied,
-pairs below the minimum are dropped, the rest verified by their differing bits.
-No pair leaves a task: a task returns a spanning forest of the links it found.
-Lists longer than ``block`` are dealt out as pairs of bounded blocks, so no task
-holds a whole hot list; exact copies meet before the index, as one fingerprint.
+least 8 - 4 = 4 of their 8 bytes.  The index has two levels.  Spark posts each
+*distinct* fingerprint under 20 (byte positions, byte values) keys of three
+positions, chosen so that any 4 agreeing positions contain one (a Turan system);
+within such a list every fingerprint is posted again under each other position and
+its byte.  A pair's shared positional bytes are tallied from these postings: three
+of the key and one for each inner list that holds both.  Only pairs that an inner
+list brings together are ever formed; those that reach the guaranteed minimum are
+verified by their differing bits.  No pair leaves a task: a task returns stars of
+the links it found.  Lists longer than ``block`` are dealt out as pairs of bounded
+blocks, so no task holds a whole hot list; exact copies meet before the index, as
+one fingerprint, and come back to their rows in bounded parts.
 
 Cases: null text is the empty text; no words give fingerprint 0, which links
 like any other; repeated rows and ids each come back; a component of null ids
-only has a null component_id; an empty table gives an empty result.
+only has a null component_id; other columns are not read (``keep_one`` returns
+them); a text of any length takes memory in proportion to itself; ``components``
+raises if a chain of links is so long that 60 rounds (2^30 links and more) don't
+settle it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ from pyspark.sql import functions as F
 from panelyard.llm.common import one_row_each, texts, written
 
 BYTES = 8
+#: Rows of a fingerprint that stay together: HOT_ROWS, or a HOT-th of all where that is more.
+HOT, HOT_ROWS = 10_000, 512
 
 
 def fingerprint_of(text: str | None, words_per_shingle: int = 4) -> int:
@@ -66,34 +73,51 @@ def position_triples() -> list[tuple[int, int, int]]:
     return [t for t in combinations(range(BYTES), 3) if chosen(t)]
 
 
-def _linked(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
-    """Which pairs share at least BYTES - max_bits positional bytes (the count filter) and then verify."""
-    diff = (a ^ b).astype(np.int64).view(np.uint64)  # bits of a signed number are counted without its sign
-    shared = (diff[..., None].view(np.uint8) == 0).sum(axis=-1)
-    return (shared >= BYTES - max_bits) & (np.bitwise_count(diff) <= max_bits)
+def tallied(fps: np.ndarray, cell: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of one cell that share a byte beside the ``known`` ones of their list's key, and how many bytes they share.
 
-
-def _forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``fps``, breadth first and a row of pairs at a time."""
-    left, out = np.ones(len(fps), bool), []
-    for start in range(len(fps)):
-        if not left[start]:
-            continue
-        left[start], todo = False, [start]
-        while todo:
-            at = todo.pop()
-            rest = np.flatnonzero(left)
-            found = rest[_linked(fps[rest], fps[at], max_bits)]
-            left[found] = False
-            out += [(at, i) for i in found]
-            todo += found.tolist()
-    return out
+    Each fingerprint is posted again inside its cell under every other position and
+    its byte there; a pair's count is that of the key and one for each posting list
+    in which both stand.  known: of each row a bitmap of its key's positions.
+    """
+    n, found = np.int64(len(fps)), []
+    values = fps.view(np.uint8).reshape(-1, BYTES)  # little endian: position p is bits 8 p and on
+    for p in range(BYTES):
+        rows = np.flatnonzero(known >> p & 1 == 0)
+        list_of = cell[rows] * np.int64(256) + values[rows, p]
+        order = np.argsort(list_of, kind="stable")
+        rows, list_of = rows[order], list_of[order]
+        for step in range(1, len(rows)):
+            same = np.flatnonzero(list_of[step:] == list_of[:-step])
+            if not len(same):
+                break  # a list's rows are neighbours: none is this long
+            a, b = rows[same], rows[same + step]
+            found.append(np.minimum(a, b) * n + np.maximum(a, b))
+    pairs, count = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
+    i, j = pairs // n, pairs % n
+    return i, j, count + np.bitwise_count(known[i])
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest row linked to each of ``n`` rows, directly or through others."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], least)
+        np.minimum.at(new, label[j], least)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
 
 
 def links(distinct: DataFrame, max_bits: int = 4, block: int = 1024) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints ``fp`` whose components are those of all links."""
+    """Edges (u, v) between distinct fingerprints ``fp`` whose components are those of all links; a task's edges are stars.
+    """
     byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(255)
-    keys = [F.lit(k << 24).cast("long") + byte(a) * 65536 + byte(b) * 256 + byte(c) for k, (a, b, c) in enumerate(position_triples())]
+    triples = position_triples()
+    keys = [F.lit(k << 24).cast("long") + byte(a) * 65536 + byte(b) * 256 + byte(c) for k, (a, b, c) in enumerate(triples)]
     posted = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     lists = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     dealt = (
@@ -105,6 +129,7 @@ def links(distinct: DataFrame, max_bits: int = 4, block: int = 1024) -> DataFram
         .repartition("key", "lo", "hi")
         .sortWithinPartitions("key", "lo", "hi")
     )
+    positions = np.array([sum(1 << p for p in t) for t in triples], np.int64)
 
     def forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
@@ -113,23 +138,24 @@ def links(distinct: DataFrame, max_bits: int = 4, block: int = 1024) -> DataFram
             cell = rows[["key", "lo", "hi"]].to_numpy()
             starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)])
             kept = rows.iloc[starts[-1] :]  # the last cell may go on in the next batch
-            yield cells(rows["fp"].to_numpy(np.int64)[: starts[-1]], starts)
+            yield from cells(rows, starts)
         if kept is not None:
-            fps = kept["fp"].to_numpy(np.int64)
-            yield cells(fps, np.array([0, len(fps)]))
-
-    def cells(fps: np.ndarray, bounds: np.ndarray) -> pd.DataFrame:
-        sizes = np.diff(bounds)
-        two = bounds[:-1][sizes == 2]
-        a, b = fps[two], fps[two + 1]
-        ok = _linked(a, b, max_bits)
-        u, v = [a[ok]], [b[ok]]
-        for start, size in zip(bounds[:-1][sizes > 2], sizes[sizes > 2]):
-            own = fps[start : start + size]
-            edges = np.array(_forest(own, max_bits), np.int64).reshape(-1, 2)
-            u.append(own[edges[:, 0]])
-            v.append(own[edges[:, 1]])
-        return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
+            yield from cells(kept, np.array([0, len(kept)]))
+
+    def cells(rows: pd.DataFrame, bounds: np.ndarray) -> Iterator[pd.DataFrame]:
+        fps, key, sizes = rows["fp"].to_numpy(np.int64), rows["key"].to_numpy(np.int64), np.diff(bounds)
+        part = np.cumsum(sizes.astype(np.float64) ** 2) // (2 * block) ** 2  # cells of bounded pairs at once
+        for own in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(part)) + 1):
+            if not len(own):
+                continue
+            rows_of = slice(bounds[own[0]], bounds[own[-1] + 1])
+            some = np.ascontiguousarray(fps[rows_of])
+            i, j, count = tallied(some, np.repeat(own, sizes[own]), positions[key[rows_of] >> 24])
+            near = np.flatnonzero(count >= BYTES - max_bits)  # the guaranteed minimum
+            ok = near[np.bitwise_count((some[i[near]] ^ some[j[near]]).view(np.uint64)) <= max_bits]
+            label = forest(len(some), i[ok], j[ok])
+            joined = np.flatnonzero(label != np.arange(len(some)))
+            yield pd.DataFrame({"u": some[label[joined]], "v": some[joined]})
 
     return dealt.mapInPandas(forests, "u long, v long").distinct()
 
@@ -158,14 +184,20 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id linked, directly or through others) for each row of ``docs``."""
-    fps = written(fingerprints(docs, words_per_shingle), "simhash")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    fps = written(fingerprints(docs, words_per_shingle, F.monotonically_increasing_id().alias("row")), "simhash")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "simhash-distinct")
     roots = components(links(distinct, max_bits))
-    grouped = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    grouped = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
     # Components of two fingerprints and more have a name of their own; written, so that the join sees their size.
     names = written(grouped.groupBy("root").agg(F.min("least").alias("name"), F.count("*").alias("n")).filter("n > 1").select("root", "name"), "simhash-names")
-    named = grouped.join(names, "root", "left").select("fp", F.coalesce("name", "least").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = grouped.join(names, "root", "left").select("fp", "rows", F.coalesce("name", "least").alias("component_id"))
+    # Fingerprints of many rows are dealt out in parts; fewer than HOT have more than a HOT-th of the rows, so they can be broadcast.
+    most = max(HOT_ROWS, -(-(distinct.agg(F.sum("rows")).first()[0] or 0) // HOT))
+    parts = F.ceil(F.col("rows") / most).cast("int")
+    hot = distinct.filter(F.col("rows") > most).select("fp", parts.alias("parts"))
+    salted = fps.join(F.broadcast(hot), "fp", "left").withColumn("part", F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))).cast("int"))
+    spread = named.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return salted.join(spread, ["fp", "part"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words_per_shingle: int = 4, max_bits: int = 4) -> DataFrame:
