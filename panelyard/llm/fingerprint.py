@@ -11,11 +11,17 @@ the generalised Jaccard similarity.
 ``neighbours`` puts each document next to its successor by doc_id with one
 shuffle of the texts: documents are dealt to ranges of ids, each range also gets
 the first document of the next, and the successor is the next row in the range.
+Ranges hold equal bytes (4 MB, or a 65,536th of all where that is more), whatever the
+ids: their cuts come from a sort of the keys alone, and an id or a row that repeats
+is cut like others, by the text's hash and the row's number.
+
+With 32 samples a likeness has a standard error of up to 0.09 (0.5 / sqrt(32)).
 
 Cases: null text is the empty text; without words the fingerprint is all zeros
 (alike to another such); ids that repeat are ordered by their text's hash, null
-ids come first; a single document is its own successor; an empty table gives no
-rows.
+ids come first; a single document is its own successor; other columns are not
+read; a very long text is a range of its own, its words one array; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql.window import Window
 from panelyard.llm.common import texts, written
 
 K = 32
-SEGMENTS, LEAST_PARTS = 64, 4
+MOST_RANGES = 65536
 _UNIT = 1 << 21
 
 
@@ -68,28 +74,50 @@ def likeness(one: str, other: str) -> Column:
     return sum(((at(one, k) == at(other, k)).cast("int") for k in range(K)), F.lit(0)) / float(K)
 
 
-def _ranges(docs: DataFrame, rows_per_range: int) -> Column:
-    """The range of an id: 64 segments by quantiles, each cut evenly; a function that grows with the id."""
-    r = docs.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", [i / SEGMENTS for i in range(SEGMENTS + 1)], 10000).alias("q")).first()
-    q = sorted(r["q"] or [0] * (SEGMENTS + 1))
-    parts = max(LEAST_PARTS, -(-r["n"] // (SEGMENTS * rows_per_range)))
-    segment = sum(((F.col("doc_id") >= b).cast("int") for b in q[1:-1]), F.lit(0))
-    low, high = (F.element_at(F.array(*map(F.lit, side)), segment + 1) for side in (q[:-1], q[1:]))
-    part = F.floor((F.col("doc_id") - low) / F.greatest(high - low, F.lit(1)).cast("double") * parts)
-    spread = -1 - F.pmod(F.col("h"), F.lit(SEGMENTS * parts))  # null ids: before all others, in any order
-    return F.when(F.col("doc_id").isNull(), spread).otherwise(segment * parts + F.greatest(F.lit(0), F.least(part, F.lit(parts - 1)))).cast("long")
+def _cuts(rows: DataFrame, range_bytes: int) -> list:
+    """First keys (doc_id, h, tie) of ranges of about ``range_bytes`` each, in order; at most about ``MOST_RANGES``.
+
+    Only keys and sizes are sorted: Spark deals them to ranges of its own, and each of these is cut by its running size.
+    """
+    key = [F.col("doc_id").asc_nulls_first(), F.col("h").asc(), F.col("tie").asc()]
+    light = rows.select("doc_id", "h", "tie", (F.octet_length("text") + 64).cast("long").alias("size")).repartitionByRange(*key).sortWithinPartitions(*key)
+    light = written(light.withColumn("at", F.monotonically_increasing_id()), "neighbour-keys")
+    total = light.agg(F.sum("size")).first()[0] or 0
+    part = F.shiftright("at", 33)  # the partition in which the row was numbered
+    before = F.coalesce(F.sum("size").over(Window.partitionBy(part).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = light.select("doc_id", "h", "tie", "at", part.alias("part"), F.floor(before / max(range_bytes, -(-total // MOST_RANGES))).alias("number"))
+    firsts = ranges.groupBy("part", "number").agg(F.min(F.struct("at", "doc_id", "h", "tie")).alias("first"))
+    return firsts.select("first.*").orderBy("at").drop("at").collect()  # MOST_RANGES, and one for each partition
+
+
+def _range_of(cuts: list) -> Column:
+    """Number of the range of a row (doc_id, h, tie): the last cut that is not above it, by binary search in literals."""
+    longs = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+    ids, hs, ties = (longs([c[k] or 0 for c in cuts]) for k in ("doc_id", "h", "tie"))
+    no_id, own = sum(c["doc_id"] is None for c in cuts), F.col("doc_id").cast("long")
+
+    def reached(k: Column) -> Column:
+        later = (F.col("h") > F.get(hs, k)) | (F.col("h") == F.get(hs, k)) & (F.col("tie") >= F.get(ties, k))
+        above = own.isNotNull() & ((own > F.get(ids, k)) | (own == F.get(ids, k)) & later)
+        return F.coalesce(F.when(k < no_id, own.isNotNull() | later).otherwise(above), F.lit(False))
+
+    steps = F.array(*(F.lit(1 << k) for k in range(len(cuts).bit_length(), -1, -1)))
+    below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when((at + step <= len(cuts)) & reached(at + step - 1), step).otherwise(0))
+    return F.greatest(below - 1, F.lit(0))
 
 
-def neighbours(docs: DataFrame, rows_per_range: int = 32768) -> DataFrame:
+def neighbours(docs: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
     """range, rn, extra, doc_id, text, next_text: rows with ``extra`` are first documents of the next range, there to be a successor."""
-    base = texts(docs, "doc_id").withColumn("h", F.xxhash64("text"))
-    base = base.withColumn("range", _ranges(docs.select("doc_id"), rows_per_range))
-    order = Window.orderBy("range")  # of one row per range: a row for rows_per_range documents
-    firsts = base.groupBy("range").agg(F.min(F.struct("doc_id", "h")).alias("first"))
-    heads = firsts.select(F.coalesce(F.lag("range").over(order), F.max("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to"), F.col("range").alias("_from"), F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
-    heads = written(heads, "range-heads")
-    taken = base.join(heads, (F.col("range") == F.col("_from")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("doc_id", "text", "h", F.col("_to").alias("range"), F.lit(True).alias("extra"))
-    both = base.withColumn("extra", F.lit(False)).unionByName(taken)
+    spark = docs.sparkSession
+    base = texts(docs, "doc_id").withColumn("h", F.xxhash64("text")).withColumn("tie", F.monotonically_increasing_id())
+    cuts = _cuts(base, range_bytes)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    heads = spark.createDataFrame([(k - 1 if k else len(cuts) - 1, c["doc_id"], c["h"]) for k, c in enumerate(cuts)], f"to int, head_id {kind}, head_h long")
+    same = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h"))
+    wanted = F.broadcast(heads.select("head_id", "head_h").distinct())  # no more rows than cuts
+    firsts = base.join(wanted, same).groupBy("doc_id", "h").agg(F.first("text").alias("text"))  # equal texts
+    taken = firsts.join(F.broadcast(heads), same).select("doc_id", "text", "h", F.col("to").alias("range"), F.lit(True).alias("extra"))
+    both = base.select("doc_id", "text", "h", _range_of(cuts).alias("range"), F.lit(False).alias("extra")).unionByName(taken)
     w = Window.partitionBy("range").orderBy("extra", F.col("doc_id").asc_nulls_first(), "h")
     return both.select("range", F.row_number().over(w).alias("rn"), "extra", "doc_id", "text", F.coalesce(F.lead("text").over(w), F.lit("")).alias("next_text"))
 

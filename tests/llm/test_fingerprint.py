@@ -72,5 +72,18 @@ def test_single_and_none_and_native(spark, no_docs):
 def test_small_ranges_chain(spark):
     rows = [(i * i, f"w{i} x{i % 7} common") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: r["next_text"] for r in fingerprint.neighbours(df, rows_per_range=1).filter("not extra").collect()}
+    found = fingerprint.neighbours(df, range_bytes=200)
+    got = {r["doc_id"]: r["next_text"] for r in found.filter("not extra").collect()}
     assert got == {i: rows[(k + 1) % 300][1] for k, (i, _) in enumerate(rows)}
+    assert found.filter("not extra").groupBy("range").count().agg(F.max("count")).first()[0] <= 4
+
+
+def test_outlier_ids_and_hot_rows_are_cut(spark):
+    rows = [(i, f"w{i}") for i in range(100)] + [(2**62, "far"), (-(2**62), "near")] + [(50, f"other {i}") for i in range(200)] + [(60, "the same row")] * 300 + [(None, f"none {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = fingerprint.neighbours(df, range_bytes=800)
+    assert found.filter("not extra").groupBy("range").count().agg(F.max("count")).first()[0] <= 14
+    h = {t: v for t, v in df.select("text", F.xxhash64("text")).distinct().collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]]))
+    want = sorted((repr(i), t, ordered[(k + 1) % len(ordered)][1]) for k, (i, t) in enumerate(ordered))
+    assert sorted((repr(r["doc_id"]), r["text"], r["next_text"]) for r in found.filter("not extra").collect()) == want
