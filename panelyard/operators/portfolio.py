@@ -158,24 +158,20 @@ def universe_benchmark(panel: DataFrame, universe: str = "is_liquid") -> DataFra
     return means.select("trade_date", F.coalesce(F.lag("_m", 2).over(cal), F.lit(0.0)).alias("benchmark_return"))
 
 
-def capped_weights(scores: DataFrame, by: list[str], weight: str, cap: float) -> DataFrame:
-    """``scores`` with weights of each group that sum to one and are at most ``cap`` (or equal, where the cap can't hold): excess goes to the rest in proportion."""
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = pdf[weight].clip(lower=0).fillna(0).to_numpy(float)
-        w = w / w.sum() if w.sum() > 0 else np.full(len(w), 1 / len(w))
-        if cap * len(w) <= 1:
-            w = np.full(len(w), 1 / len(w))
-        else:
-            full = np.zeros(len(w), bool)
-            while (w > cap + 1e-12).any():
-                full |= w >= cap - 1e-12
-                rest = np.where(full, 0, w)
-                if rest.sum() <= 0:
-                    rest = np.where(full, 0, 1.0)
-                w = np.where(full, cap, rest * (1 - cap * full.sum()) / rest.sum())
-        return pdf.assign(capped=w)
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return scores.groupBy(*by).applyInPandas(fill, StructType([*scores.schema.fields, StructField("capped", DoubleType())]))
+def capped_weights(scores: DataFrame, by: list[str], weight: str, cap: float, code: str = "ts_code") -> DataFrame:
+    """``scores`` with weights (capped) of each group that sum to one and are at most ``cap`` (or equal, where the cap can't hold): excess goes to the rest in proportion.
+
+    From the largest weight down, one is capped if its share of what is left of the sum,
+    after a cap for each before it, is above the cap; the rest share what then remains.
+    """
+    whole = Window.partitionBy(*by)
+    down = whole.orderBy(F.desc("_v"), code).rowsBetween(Window.unboundedPreceding, -1)
+    d = scores.withColumn("_v", F.greatest(F.coalesce(F.col(weight), F.lit(0.0)), F.lit(0.0)).cast("double"))
+    d = d.withColumn("_n", F.count("*").over(whole)).withColumn("_v", F.when(F.sum("_v").over(whole) > 0, F.col("_v")).otherwise(1.0))
+    d = d.withColumn("_left", F.sum("_v").over(whole) - F.coalesce(F.sum("_v").over(down), F.lit(0.0))).withColumn("_k", F.count("*").over(down))
+    d = d.withColumn("_full", F.coalesce(F.col("_v") * (1 - cap * F.col("_k")) > (cap + 1e-12) * F.col("_left"), F.lit(False)))
+    full = F.sum(F.col("_full").cast("int")).over(whole)
+    share = F.col("_v") * (1 - cap * full) / F.sum(F.when(~F.col("_full"), F.col("_v"))).over(whole)
+    capped = F.when(cap * F.col("_n") <= 1, 1 / F.col("_n")).when(F.col("_full"), F.lit(cap)).otherwise(share)
+    return d.withColumn("capped", capped).drop("_v", "_n", "_left", "_k", "_full")
+
