@@ -16,8 +16,11 @@ def _own_folder() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset (local tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset and Spark runs on this machine alone."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or _own_folder()).rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

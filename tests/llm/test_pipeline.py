@@ -72,3 +72,27 @@ def test_held_out_fold_is_fixed(spark):
     rows = spark.range(50).withColumnRenamed("id", "doc_id")
     got = {r["doc_id"]: r["h"] for r in rows.select("doc_id", quality.held_out(rows["doc_id"]).alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(50)}
+
+
+def test_columns_of_inner_names_come_through(spark, folder):
+    """Every stage returns columns whose names it uses itself, as they came."""
+    d, docs, _ = folder
+    inner = ["own_score", "leaking", "spans", "clean", "own", "one", "h", "rows", "row", "root", "fp", "_first", "_leaking", "_quality_score", "_secret_spans", "keys"]
+    frame = spark.createDataFrame([(i, t, lang, src, n, *(f"{c}{i}" for c in inner)) for i, t, lang, src, n in docs], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in inner))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = spark.createDataFrame(stage(spark, frame, d).collect(), frame.schema)
+        assert kept.columns == frame.columns and kept.count() > 0
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in kept.collect() for c in inner)
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, d).count() > 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from panelyard.llm import common
+
+    conf = lambda **given: SimpleNamespace(conf=SimpleNamespace(get=lambda k, default=None: given.get(k.replace(".", "_"), default)))
+    assert common.shared_dir(conf(spark_master="spark://h:7077", spark_checkpoint_dir="hdfs:///x/")) == "hdfs:///x"
+    assert common.shared_dir(conf(spark_master="local[4]")).startswith("file:")
+    with pytest.raises(ValueError):
+        common.shared_dir(conf(spark_master="yarn"))
