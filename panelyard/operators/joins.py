@@ -99,3 +99,15 @@ def event_paths(events: DataFrame, panel: DataFrame, by: str, ordinal: str, hori
     """The rows 1 to ``horizon`` after each event of the same ``by``, as one row per (event, offset)."""
     steps = events.withColumn("offset", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("_row", F.col(ordinal) + F.col("offset"))
     return steps.join(panel.select(F.col(by).alias("_by"), F.col(ordinal).alias("_at"), *values), (F.col(by) == F.col("_by")) & (F.col("_row") == F.col("_at"))).drop("_by", "_at", "_row")
+
+
+def stitched_interval_join(left: DataFrame, right: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, values: list[str], edition: str) -> DataFrame:
+    """``interval_join`` over several editions of a classification, each of which holds only in its own span.
+
+    spans: edition, valid_from, valid_to (open if null), a few rows; an edition's
+    intervals are cut to its span, so at any date the edition of that date decides.
+    """
+    cut = right.join(F.broadcast(spans), edition)
+    first, last = F.greatest(start, "valid_from"), F.least(end, "valid_to")  # nulls, open ends, give way
+    cut = cut.withColumn("_first", first).withColumn("_last", last).filter(F.col("_last").isNull() | (F.col("_first") < F.col("_last")))
+    return interval_join(left, cut.select(*by, F.col("_first").alias(start), F.col("_last").alias(end), *values), by, at, start, end, values)

@@ -165,13 +165,14 @@ def capped_weights(scores: DataFrame, by: list[str], weight: str, cap: float, co
     after a cap for each before it, is above the cap; the rest share what then remains.
     """
     whole = Window.partitionBy(*by)
-    down = whole.orderBy(F.desc("_v"), code).rowsBetween(Window.unboundedPreceding, -1)
+    down = whole.orderBy(F.desc("_v"), *([code] if code in scores.columns else [])).rowsBetween(Window.unboundedPreceding, -1)
     d = scores.withColumn("_v", F.greatest(F.coalesce(F.col(weight), F.lit(0.0)), F.lit(0.0)).cast("double"))
     d = d.withColumn("_n", F.count("*").over(whole)).withColumn("_v", F.when(F.sum("_v").over(whole) > 0, F.col("_v")).otherwise(1.0))
     d = d.withColumn("_left", F.sum("_v").over(whole) - F.coalesce(F.sum("_v").over(down), F.lit(0.0))).withColumn("_k", F.count("*").over(down))
     d = d.withColumn("_full", F.coalesce(F.col("_v") * (1 - cap * F.col("_k")) > (cap + 1e-12) * F.col("_left"), F.lit(False)))
     full = F.sum(F.col("_full").cast("int")).over(whole)
-    share = F.col("_v") * (1 - cap * full) / F.sum(F.when(~F.col("_full"), F.col("_v"))).over(whole)
+    rest = F.sum(F.when(~F.col("_full"), F.col("_v"))).over(whole)
+    share = (1 - cap * full) * F.when(rest > 0, F.try_divide(F.col("_v"), rest)).otherwise(F.try_divide(F.lit(1.0), F.col("_n") - full))  # what weighs nothing shares alike
     capped = F.when(cap * F.col("_n") <= 1, 1 / F.col("_n")).when(F.col("_full"), F.lit(cap)).otherwise(share)
     return d.withColumn("capped", capped).drop("_v", "_n", "_left", "_k", "_full")
 

@@ -106,3 +106,26 @@ def rolling_residual(df: DataFrame, y: str, controls: list[str], window: int, ou
         return pdf[[entity, time]].assign(**{out: pd.Series(res).astype(object).where(np.isfinite(res), None)})
 
     return df.select(entity, time, y, *controls).groupBy(entity).applyInPandas(solve, f"`{entity}` {kinds[entity]}, `{time}` {kinds[time]}, `{out}` double")
+
+
+def regime_residual(daily: DataFrame, axes: list[str], y: str, controls: list[str], baseline: int, recent: int, out: str, least: int = 60, order: str = "trade_date") -> DataFrame:
+    """axes, order, out: y of a daily series minus what its controls say by a fit on the ``baseline`` rows before the last ``recent``.
+
+    A series with too short a baseline comes back as it is; rows that lack a control have none.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in daily.schema.fields}
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, ignore_index=True)
+        v = pdf[[y, *controls]].to_numpy(float)
+        usable = np.flatnonzero(np.isfinite(v).all(axis=1))
+        base = usable[-(baseline + recent) : -recent] if recent else usable[-baseline:]
+        res = v[:, 0].copy()
+        if len(base) >= max(least, len(controls) + 2):
+            design = np.column_stack([np.ones(len(v)), v[:, 1:]])
+            beta = np.linalg.lstsq(design[base], v[base, 0], rcond=None)[0]
+            res = np.full(len(v), np.nan)
+            res[usable] = v[usable, 0] - design[usable] @ beta
+        return pdf[[*axes, order]].assign(**{out: pd.Series(res).astype(object).where(np.isfinite(res), None)})
+
+    return daily.select(*axes, order, y, *controls).groupBy(*axes).applyInPandas(solve, ", ".join(f"`{c}` {kinds[c]}" for c in (*axes, order)) + f", `{out}` double")

@@ -85,17 +85,26 @@ NEWEY_WEST = {
 }
 
 
-def newey_west_sums(ic: DataFrame, axes: list[str], lags: int, value: str = "ic", order: str = "trade_date") -> DataFrame:
-    """axes, n, mean, nw_t (Bartlett) of many series at once: sums of lagged products, no series leaves the cluster."""
+def newey_west_sums(ic: DataFrame, axes: list[str], lags: int | None, value: str = "ic", order: str = "trade_date", kernel: str = "bartlett", least: int = 2, truncate: bool = True, floor: float = 0.0, most: int = 12) -> DataFrame:
+    """axes, n, mean, nw_t of many series at once: sums of lagged products, no series leaves the cluster.
+
+    The variants of ``newey_west``: a flat kernel divides lag k by n - k; without
+    ``lags`` they follow from a series' length, up to ``most`` (some 14,000 values).
+    """
     clean = ic.filter(F.col(value).isNotNull())
     d = clean.withColumn("_d", F.col(value) - F.avg(value).over(Window.partitionBy(*axes)))
     w = Window.partitionBy(*axes).orderBy(order)
-    d = d.withColumns({f"_p{k}": F.col("_d") * F.lag("_d", k).over(w) for k in range(lags + 1)})
-    s = d.groupBy(*axes).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), *(F.coalesce(F.sum(f"_p{k}"), F.lit(0.0)).alias(f"_s{k}") for k in range(lags + 1)))
-    used = F.least(F.lit(lags), F.col("n") - 1)
-    variance = F.col("_s0") + sum((F.when(F.lit(k) <= used, 2 * (1 - k / (used + 1)) * F.col(f"_s{k}")).otherwise(0.0) for k in range(1, lags + 1)), F.lit(0.0))
-    t = frames.safe_ratio(F.col("mean"), F.sqrt(F.greatest(variance, F.lit(0.0)) / F.col("n") / F.col("n")))
-    return s.select(*axes, "n", "mean", F.when(F.col("n") >= 2, t).alias("nw_t"))
+    top = most if lags is None else lags
+    d = d.withColumns({f"_p{k}": F.col("_d") * F.lag("_d", k).over(w) for k in range(top + 1)})
+    s = d.groupBy(*axes).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), *(F.coalesce(F.sum(f"_p{k}"), F.lit(0.0)).alias(f"_s{k}") for k in range(top + 1)))
+    n = F.col("n")
+    given = F.lit(lags) if lags is not None else F.least(F.floor(4 * F.pow(n / 100, F.lit(2 / 9))), F.lit(most))
+    used = F.least(given, n - 1)
+    share = lambda k: F.lit(1.0) if kernel == "flat" else 1 - k / ((used if truncate else given) + 1)
+    over = lambda k: n - k if kernel == "flat" else n
+    variance = F.col("_s0") / n + sum((F.when(F.lit(k) <= used, 2 * share(k) * F.col(f"_s{k}") / over(k)).otherwise(0.0) for k in range(1, top + 1)), F.lit(0.0))
+    t = frames.safe_ratio(F.col("mean"), F.sqrt(F.greatest(variance, F.lit(floor)) / n))
+    return s.select(*axes, "n", "mean", F.when(n >= max(least, 1), t).alias("nw_t"))
 
 
 def fdr(tests: DataFrame, p: str = "p_value", axes: Iterable[str] = (), clip: bool = False) -> DataFrame:

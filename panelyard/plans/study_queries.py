@@ -6,9 +6,9 @@ import math
 
 from pyspark.sql import functions as F
 
-from panelyard.functions import frames
+from panelyard.functions import frames, text
 from panelyard.functions.frames import shown
-from panelyard.operators import gates, paths, regimes
+from panelyard.operators import gates, joins, paths, regimes, residual, stats, value
 from panelyard.plans import panel_queries as base
 from panelyard.plans.experiment import two_sided_p
 from panelyard.plans.panel_queries import FUTURE_SQL, IC_SQL, RETURNS_SQL, W, _avg_rank, future, r6, returns
@@ -259,3 +259,78 @@ SELECT c_custkey, {r6('1 - share')} AS w_price, {r6('CASE WHEN x + y > 0 THEN x
 def blend_weights(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("price"), ((F.col("c_custkey") % 7 - 2) * 100.0).alias("x"), ((F.col("c_nationkey") - 10) * 50.0).alias("y"))
     return said(gates.blend_weights(c, ["c_custkey"], "price", ["x", "y"], 0.35), "w_price", "w_x", "w_y")
+
+
+# Long-run variances, regimes of a relation, names, editions, value features
+
+
+def _hac_sql(terms: str, n: str = "sum(1)") -> str:
+    lags = ", ".join(f"d * lag(d, {k}) OVER (PARTITION BY g ORDER BY trade_date) AS p{k}" for k in range(1, 13))
+    return f"""{IC_SQL}, v AS (SELECT year(trade_date) AS g, trade_date, ic FROM ic WHERE ic IS NOT NULL), c AS (SELECT *, ic - avg(ic) OVER (PARTITION BY g) AS d FROM v), p AS (SELECT g, ic, d * d AS p0, {lags} FROM c),
+s AS (SELECT g, count(*) AS n, avg(ic) AS mean, sum(p0) AS s0, {', '.join(f'coalesce(sum(p{k}), 0) AS s{k}' for k in range(1, 13))} FROM p GROUP BY 1) SELECT g AS year, n, {r6('mean')} AS mean, {r6(f'CASE WHEN n >= 3 THEN mean / nullif(sqrt(greatest({terms}, 1e-12) / n), 0) END')} AS nw_t FROM s"""
+
+
+_AUTO = "least(floor(4 * pow(n / 100.0, 2.0 / 9)), 12, n - 1)"
+
+
+def _hac(spark, sf_dir, **params):
+    ic = base._ic(spark, sf_dir).withColumn("year", F.year("trade_date"))
+    return said(stats.newey_west_sums(ic, ["year"], least=3, floor=1e-12, **params), "mean", "nw_t")
+
+
+@query(_hac_sql("s0 / n + " + " + ".join(f"CASE WHEN {k} <= {_AUTO} THEN 2 * (1 - {k} / ({_AUTO} + 1)) * s{k} / n ELSE 0 END" for k in range(1, 13))))
+def stat_newey_west_auto(spark, sf_dir):
+    return _hac(spark, sf_dir, lags=None)
+
+
+@query(_hac_sql("s0 / n + " + " + ".join(f"CASE WHEN {k} <= n - 1 THEN 2 * s{k} / (n - {k}) ELSE 0 END" for k in range(1, 5))))
+def stat_newey_west_flat(spark, sf_dir):
+    return _hac(spark, sf_dir, lags=4, kernel="flat")
+
+
+@query(_hac_sql("s0 / n + " + " + ".join(f"CASE WHEN {k} <= n - 1 THEN 2 * (1 - {k} / 11.0) * s{k} / n ELSE 0 END" for k in range(1, 11))))
+def stat_newey_west_untruncated(spark, sf_dir):
+    return _hac(spark, sf_dir, lags=10, truncate=False)
+
+
+@query(f"""{FUTURE_SQL}, d AS (SELECT industry_l1_code, trade_date, avg(fwd) AS y, avg(turnover_rate) AS x FROM fut GROUP BY ALL), u AS (SELECT *, row_number() OVER (PARTITION BY industry_l1_code ORDER BY trade_date DESC) AS k FROM d WHERE y IS NOT NULL AND x IS NOT NULL),
+f AS (SELECT industry_l1_code, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM u WHERE k > 30 AND k <= 180 GROUP BY 1)
+SELECT d.industry_l1_code, d.trade_date, {r6('CASE WHEN n >= 60 THEN y - a - b * x ELSE y END')} AS residual FROM d LEFT JOIN f USING (industry_l1_code)""")
+def residual_regime(spark, sf_dir):
+    d = future(spark, sf_dir).groupBy("industry_l1_code", "trade_date").agg(F.avg("fwd").alias("y"), F.avg("turnover_rate").alias("x"))
+    return said(residual.regime_residual(d, ["industry_l1_code"], "y", ["x"], 150, 30, "residual"), "residual")
+
+
+_THEMES = (("metal", ("STEEL", "TIN", "COPPER")), ("coated", ("PLATED", "ANODIZED")), ("plain", ("BRUSHED", "BURNISHED", "POLISHED")))
+
+
+@query("SELECT p_partkey, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(upper(p_type), {k!r})' for k in ks)} THEN '{n}'" for n, ks in _THEMES) + " ELSE 'other_theme' END AS theme, regexp_replace(replace(replace(replace(upper(p_name), '100%', ''), '(', ''), ')', ''), '[^0-9A-Z]', '', 'g') AS name_key FROM part")
+def text_themes(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", text.theme(F.upper("p_type"), _THEMES).alias("theme"), text.benchmark_key(F.col("p_name")).alias("name_key"))
+
+
+@query(f"""{PANEL_SQL}, {base.MEMBERS_SQL}, ed AS (SELECT * FROM (VALUES (0, DATE '1990-01-01', DATE '1997-01-01'), (1, DATE '1997-01-01', CAST(NULL AS DATE))) e(edition, valid_from, valid_to)),
+cu AS (SELECT ts_code, slice, greatest(in_date, valid_from) AS a, least(out_date, valid_to) AS b FROM members JOIN ed ON ed.edition = slice % 2)
+SELECT p.trade_date, p.ts_code, (SELECT arg_max(slice, a) FROM cu WHERE cu.ts_code = p.ts_code AND p.trade_date >= a AND (b IS NULL OR p.trade_date < b)) AS slice FROM panel p""")
+def join_stitched_editions(spark, sf_dir):
+    spans = spark.createDataFrame([(0, "1990-01-01", "1997-01-01"), (1, "1997-01-01", None)], "edition int, f string, t string").select("edition", F.to_date("f").alias("valid_from"), F.to_date("t").alias("valid_to"))
+    members = base._members(spark, sf_dir).withColumn("edition", (F.col("slice") % 2).cast("int"))
+    p = weekly_panel(spark, sf_dir).select("trade_date", "ts_code")
+    return joins.stitched_interval_join(p, members, spans, ["ts_code"], "trade_date", "in_date", "out_date", ["slice"], "edition").select("trade_date", "ts_code", "slice")
+
+
+def value_features(spark, sf_dir):
+    """No SQL: the chain of regressions is held against plain least squares in the tests."""
+    p = weekly_panel(spark, sf_dir)
+    w = frames.history()
+    amount = F.avg("amount_cny").over(w.rowsBetween(-12, 0))
+    year = F.avg("amount_cny").over(w.rowsBetween(-64, -52))
+    p = p.withColumns({
+        "revenue_ttm": amount * 52, "net_assets": F.col("total_mv_cny") / (1 + F.col("ts_code") % 3), "roe_ttm": amount / F.col("total_mv_cny"), "revenue_growth_yoy": frames.safe_ratio(amount, year) - 1,
+        "roe_change_yoy": (amount - year) / F.col("total_mv_cny"), "debt_to_assets": (F.col("ts_code") % 7) / 10.0, "net_profit_ttm": amount - year,
+    })
+    return value.value_features(p, value.Parameters(revision=4, formation=12, skip=4, delay_window=26, delay_change=4, least=12))
+
+
+QUERIES["value_features"] = value_features
