@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 HEADLINE = (
     "factor_momentum", "dsl_cs_rank", "dsl_slope", "dsl_nested", "join_asof", "join_interval", "agg_leave_one_out", "win_prior_percentile", "residual_industry_size",
-    "stat_rank_ic", "stat_conditional_ic", "combine_weighted", "radar_price_drop_without_volume", "event_matching", "portfolio_ledgers", "breakout_boxes", "panel_build", "stream_sessions",
+    "stat_rank_ic", "stat_conditional_ic", "combine_weighted", "radar_price_drop_without_volume", "event_matching", "path_evaluation", "conditional_grid", "regime_document", "value_features", "portfolio_ledgers", "breakout_boxes", "panel_build", "stream_sessions",
 )
 
 
@@ -31,9 +31,10 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()
     seconds = {}
     for name in HEADLINE:
-        began = time.time()
-        registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.time() - began, 3)
+        for _ in range(2):  # the second run counts: the first pays for code generation and cold files
+            began = time.time()
+            registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            seconds[name] = round(time.time() - began, 3)
     print(json.dumps({"metric": "panel_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 

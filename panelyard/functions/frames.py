@@ -97,6 +97,12 @@ def trailing_rank(x: Column, size: int, least: int, w: WindowSpec | None = None)
     return F.when(x.isNotNull() & (F.size(seen) >= least), (less + (same + 1) / 2) / F.size(seen))
 
 
+def trailing_share(x: Column, size: int, least: int, w: WindowSpec | None = None) -> Column:
+    """Share of the values of the last ``size`` rows, this one included, that are at most ``x``."""
+    seen = F.collect_list(x).over((w or history()).rowsBetween(1 - size, 0))
+    return F.when(x.isNotNull() & (F.size(seen) >= least), F.size(F.filter(seen, lambda z: z <= x)) / F.size(seen))
+
+
 def forward(x: Column, size: int, kind: str = "max", w: WindowSpec | None = None) -> Column:
     """max, min or mean of the next ``size`` rows, if all have a value."""
     frame = (w or history()).rowsBetween(1, size)

@@ -116,7 +116,23 @@ def short_long_conflict(df: DataFrame, s: Settings) -> tuple[DataFrame, Column,
     return d, F.abs("gap") >= s.step, F.abs("gap") - s.step
 
 
-RECIPES = {f.__name__: f for f in (index_up_breadth_down, turnover_concentration, turnover_displacement_close, enhanced_residual, price_volume_residual, leader_decoupling, failed_breakout, participation_deterioration, percentile_migration, short_long_conflict)}
+def residual_concentration(df: DataFrame, s: Settings) -> tuple[DataFrame, Column, Column]:
+    """Trading beyond what a security's own usual amount and size explain, on days when a few securities hold most of it."""
+    usual = frames.rolling(F.ln(F.when(F.col("amount_cny") > 0, F.col("amount_cny"))), s.long, "mean", max(5, s.long // 2), shift=1)
+    d = df.withColumn("log_amount", F.when(F.col("amount_cny") > 0, F.ln("amount_cny"))).withColumn("usual_amount", usual)
+    d = d.withColumn("own_amount", F.when(F.coalesce("is_liquid", F.lit(False)), F.col("log_amount")))
+    res = least_squares(d, "own_amount", ["usual_amount", "log_total_mv"], ["trade_date"], s.least_section, "excess")
+    d = d.join(res.select("trade_date", "ts_code", "excess"), ["trade_date", "ts_code"])
+    d = d.withColumn("excess_pct", frames.pct_rank(F.col("excess"))).withColumn("mass", F.expm1(F.greatest("excess", F.when(F.col("excess").isNotNull(), F.lit(0.0)))))
+    d = d.withColumn("mass", F.when(F.col("excess").isNotNull(), F.col("mass"))).withColumn("contributes", F.coalesce((F.col("excess") > 0) & (F.col("excess_pct") >= s.upper), F.lit(False)))
+    daily = d.groupBy("trade_date").agg(frames.safe_ratio(F.sum(F.when(F.col("contributes"), F.col("mass"))), F.sum("mass")).alias("mass_share"))
+    market = Window.orderBy("trade_date")  # one row a session
+    daily = daily.withColumn("share_pct", frames.prior_percentile(F.col("mass_share"), s.window, s.least, market)).select("trade_date", "share_pct")
+    d = d.join(F.broadcast(daily), "trade_date")
+    return d, F.col("contributes") & (F.col("share_pct") >= s.upper), F.col("excess_pct") - s.upper + F.col("share_pct") - s.upper
+
+
+RECIPES = {f.__name__: f for f in (index_up_breadth_down, turnover_concentration, turnover_displacement_close, enhanced_residual, price_volume_residual, leader_decoupling, failed_breakout, participation_deterioration, percentile_migration, short_long_conflict, residual_concentration)}
 
 
 def scan(panel: DataFrame, recipe: str, settings: Settings = Settings()) -> DataFrame:

@@ -129,3 +129,28 @@ def regime_residual(daily: DataFrame, axes: list[str], y: str, controls: list[st
         return pdf[[*axes, order]].assign(**{out: pd.Series(res).astype(object).where(np.isfinite(res), None)})
 
     return daily.select(*axes, order, y, *controls).groupBy(*axes).applyInPandas(solve, ", ".join(f"`{c}` {kinds[c]}" for c in (*axes, order)) + f", `{out}` double")
+
+
+def neutral_score(df: DataFrame, score: str, controls: list[str], out: str, group: str = "industry_l1_code", least: int = 5, spare: int = 4, time: str = "trade_date") -> DataFrame:
+    """time, ts_code, out: a score without what controls and industries explain of it, by date.
+
+    Missing controls count as the date's median, missing industries as one of their own.
+    Where a date has no more than ``spare`` rows beyond its terms, the score is only
+    centred; with fewer than ``least`` rows it is missing.
+    """
+    day = Window.partitionBy(time)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rows = df.filter(F.col(score).isNotNull()).select(time, "ts_code", F.coalesce(F.col(group).cast("string"), F.lit("UNKNOWN")).alias("_g"), F.col(score).cast("double").alias("_y"), *(F.coalesce(F.col(c), F.median(c).over(day)).cast("double").alias(c) for c in controls))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf["_y"].to_numpy(float), pdf[controls].to_numpy(float)
+        res = np.full(len(y), np.nan)
+        if len(y) >= least:
+            sd = x.std(axis=0)
+            z = np.nan_to_num((x - x.mean(axis=0)) / np.where(sd > 0, sd, np.nan))
+            dummies = pd.get_dummies(pdf["_g"], drop_first=True, dtype=float).to_numpy()
+            design = np.column_stack([np.ones(len(y)), z, dummies])
+            res = y - y.mean() if len(y) <= design.shape[1] + spare else y - design @ np.linalg.lstsq(design, y, rcond=None)[0]
+        return pdf[[time, "ts_code"]].assign(**{out: pd.Series(res, index=pdf.index).astype(object).where(np.isfinite(res), None)})
+
+    return rows.groupBy(time).applyInPandas(solve, f"`{time}` {kinds[time]}, ts_code {kinds['ts_code']}, `{out}` double")

@@ -175,3 +175,33 @@ def rsi(df: DataFrame, window: int = 14) -> DataFrame:
 
     return d.select("ts_code", "trade_date", "_g", "_l").groupBy("ts_code").applyInPandas(run, f"ts_code {kinds['ts_code']}, trade_date {kinds['trade_date']}, rsi double")
 
+
+
+def dataset(base: DataFrame, groups: dict[str, DataFrame], lag: int = 1, window: int = 60, least: int = 20, changes: tuple[int, ...] = (1, 5), extreme: float = 0.9, interactions: tuple[tuple[str, str], ...] = (), time: str = "trade_date") -> DataFrame:
+    """``base`` (one row a session) with the features of groups of daily measures, none known before its day.
+
+    groups: name -> frame of ``time`` and measures, joined by session.  Each measure
+    comes as ``<group>__<measure>``, ``lag`` sessions late, with its robust z, its share
+    in the window, its changes, flags of high and low extremes, and products of the z of
+    chosen pairs.  Windows need no partition: there is one series of one row a session.
+    """
+    w = Window.orderBy(time)
+    out, names = base, []
+    for group, frame in groups.items():
+        measures = [c for c in frame.columns if c != time]
+        out = out.join(frame.select(time, *(F.col(c).alias(f"{group}__{c}") for c in measures)), time, "left")
+        names += [f"{group}__{c}" for c in measures]
+    out = out.withColumns({n: F.lag(n, lag).over(w) for n in names}) if lag else out
+    for n in names:
+        out = mad_z(out, n, window, least, f"{n}__z", w)
+    out = out.withColumns({f"{n}__pct": frames.trailing_share(F.col(n), window, least, w) for n in names} | {f"{n}__chg{k}": F.col(n) - F.lag(n, k).over(w) for n in names for k in changes})
+    out = out.withColumns({f"{n}__high": (F.col(f"{n}__pct") >= extreme).cast("int") for n in names} | {f"{n}__low": (F.col(f"{n}__pct") <= 1 - extreme).cast("int") for n in names})
+    return out.withColumns({f"{a}__x__{b}": F.col(f"{a}__z") * F.col(f"{b}__z") for a, b in interactions}) if interactions else out
+
+
+def known_monthly(base: DataFrame, monthly: DataFrame, known: str, values: list[str], time: str = "trade_date") -> DataFrame:
+    """``base`` with the last monthly values known at each session: an as-of join on the day they became available."""
+    from panelyard.operators.joins import asof
+
+    one = F.lit(1)
+    return asof(base.withColumn("_all", one), monthly.withColumn("_all", one), ["_all"], time, known, values).drop("_all")

@@ -111,6 +111,12 @@ _recipe(
 _recipe("short_long_conflict", [{"sp": _prior("amount_cny", 20, 10), "lp": _prior("amount_cny")}, {"gap": "sp - lp"}], f"abs(gap) >= {S.step}", f"abs(gap) - {S.step}", "CASE WHEN gap >= 0 THEN 'recent_only_extreme' ELSE 'long_term_only_extreme' END")
 
 
+_RC = """, c0 AS (SELECT *, CASE WHEN amount_cny > 0 THEN ln(amount_cny) END AS la FROM b0), c1 AS (SELECT *, CASE WHEN count(la) OVER f >= 10 THEN avg(la) OVER f END AS usual, CASE WHEN is_liquid THEN la END AS own FROM c0 WINDOW f AS (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)), src AS (SELECT * FROM c1), {fit}, ex AS (SELECT c1.*, {res} AS excess FROM c1 LEFT JOIN fit USING (trade_date, ts_code)),
+m0 AS (SELECT *, {pct} AS ep, CASE WHEN excess IS NOT NULL THEN exp(greatest(excess, 0)) - 1 END AS mass FROM ex), m1 AS (SELECT *, coalesce(excess > 0 AND ep >= {upper}, false) AS con FROM m0),
+dy0 AS (SELECT trade_date, sum(CASE WHEN con THEN mass END) / nullif(sum(mass), 0) AS share FROM m1 GROUP BY 1), dy1 AS (SELECT trade_date, share, list_filter(list(share) OVER (ORDER BY trade_date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), lambda z: z IS NOT NULL) AS past FROM dy0),
+dy AS (SELECT trade_date, CASE WHEN share IS NOT NULL AND len(past) >= 20 THEN (len(list_filter(past, lambda z: z < share)) + 0.5 * len(list_filter(past, lambda z: z = share))) / len(past) END AS sp FROM dy1), fin AS (SELECT m1.*, sp FROM m1 JOIN dy USING (trade_date))"""
+
+
 # Residuals and buckets: two controls by their normal equations
 
 
@@ -123,6 +129,8 @@ sums AS (SELECT *, sum(ca * ca) {o} + {ridge} AS aa, sum(cb * cb) {o} + {ridge}
     return ctes, "cy - ba * ca - b_b * cb"
 
 
+_FIT, _RES = _two("own", "usual", "log_total_mv", "trade_date", S.least_section)
+_recipe("residual_concentration", [{"same": "con"}], f"con AND sp >= {S.upper}", f"ep - {S.upper} + sp - {S.upper}", base=_BASE_SQL + _RC.format(fit=_FIT, res=_RES.replace("ba ", "fit.ba ").replace("b_b", "fit.b_b"), pct=_pct("excess"), upper=S.upper), last="fin")
 _LS, _RES = _two("step", "log_total_mv", "turnover_rate", "trade_date", 10)
 proved("residual_least_squares", f"{RETURNS_SQL}, src AS (SELECT * FROM ret), {_LS} SELECT r.trade_date, r.ts_code, {r6(_RES)} AS residual FROM ret r LEFT JOIN fit USING (trade_date, ts_code)", "residual")
 _RI, _RES = _two("step", "log_total_mv", "turnover_rate", "trade_date, industry_l1_code", 5, 1.0, True)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelyard.functions import frames, text
 from panelyard.functions.frames import shown
-from panelyard.operators import gates, joins, paths, regimes, residual, stats, value
+from panelyard.operators import gates, joins, paths, regimes, residual, stats, timing, value
 from panelyard.plans import panel_queries as base
 from panelyard.plans.experiment import two_sided_p
 from panelyard.plans.panel_queries import FUTURE_SQL, IC_SQL, RETURNS_SQL, W, _avg_rank, future, r6, returns
@@ -320,6 +320,45 @@ def join_stitched_editions(spark, sf_dir):
     return joins.stitched_interval_join(p, members, spans, ["ts_code"], "trade_date", "in_date", "out_date", ["slice"], "edition").select("trade_date", "ts_code", "slice")
 
 
+@query(f"""{FUTURE_SQL}, y0 AS (SELECT trade_date, ts_code, industry_l1_code AS g, fwd AS y, coalesce(x, median(x) OVER (PARTITION BY trade_date)) AS x FROM (SELECT *, CASE WHEN ts_code % 4 > 0 THEN turnover_rate END AS x FROM fut) WHERE fwd IS NOT NULL),
+y1 AS (SELECT *, y - avg(y) OVER c AS cy, x - avg(x) OVER c AS cx, y - avg(y) OVER d AS dy, count(*) OVER d AS n, dense_rank() OVER (PARTITION BY trade_date ORDER BY g) + dense_rank() OVER (PARTITION BY trade_date ORDER BY g DESC) - 1 AS k, stddev_pop(x) OVER d AS sd FROM y0 WINDOW c AS (PARTITION BY trade_date, g), d AS (PARTITION BY trade_date)),
+y2 AS (SELECT *, coalesce(sum(cx * cy) OVER (PARTITION BY trade_date) / nullif(sum(cx * cx) OVER (PARTITION BY trade_date), 0), 0) AS b FROM y1)
+SELECT trade_date, ts_code, {r6('CASE WHEN n < 5 THEN NULL WHEN n <= 2 + k - 1 + 4 THEN dy ELSE cy - b * cx END')} AS neutral FROM y2""")
+def residual_score(spark, sf_dir):
+    p = future(spark, sf_dir).withColumn("x", F.when(F.col("ts_code") % 4 > 0, F.col("turnover_rate")))
+    return said(residual.neutral_score(p, "fwd", ["x"], "neutral"), "neutral")
+
+
+_MARKET = {"breadth": ("rising", "avg(CASE WHEN step > 0 THEN 1.0 WHEN step IS NOT NULL THEN 0.0 END)"), "money": ("amount", "avg(amount_cny)")}
+
+
+def _series_sql(n: str) -> str:
+    f = lambda k: f"(ORDER BY trade_date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+    past = f"list_filter(list({n}) OVER {f(60)}, lambda z: z IS NOT NULL)"
+    return f"""{n}, CASE WHEN {n} IS NOT NULL AND len({past}) >= 20 THEN len(list_filter({past}, lambda z: z <= {n})) / len({past}) END AS {n}__pct, {n} - lag({n}, 1) OVER (ORDER BY trade_date) AS {n}__chg1, {n} - lag({n}, 5) OVER (ORDER BY trade_date) AS {n}__chg5, CASE WHEN count({n}) OVER {f(60)} >= 20 THEN median({n}) OVER {f(60)} END AS {n}__m"""
+
+
+_TIMED = [f"{g}__{c}" for g, (c, _) in _MARKET.items()]
+
+
+@query(f"""{RETURNS_SQL}, d0 AS (SELECT trade_date, {', '.join(f'{x} AS raw_{g}' for g, (_, x) in _MARKET.items())} FROM ret GROUP BY 1), d1 AS (SELECT trade_date, {', '.join(f'lag(raw_{g}, 1) OVER (ORDER BY trade_date) AS {g}__{c}' for g, (c, _) in _MARKET.items())} FROM d0),
+d2 AS (SELECT trade_date, {', '.join(map(_series_sql, _TIMED))} FROM d1), d3 AS (SELECT *, {', '.join(f'abs({n} - {n}__m) AS {n}__e' for n in _TIMED)} FROM d2),
+d4 AS (SELECT *, {', '.join(f'0.67448975 * ({n} - {n}__m) / nullif(CASE WHEN count({n}__e) OVER w >= 20 THEN median({n}__e) OVER w END, 0) AS {n}__z' for n in _TIMED)} FROM d3 WINDOW w AS (ORDER BY trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
+SELECT trade_date, {', '.join(f'{r6(n + s)} AS {n}{s}' for n in _TIMED for s in ('', '__z', '__pct', '__chg1', '__chg5'))}, {', '.join(f'CAST({n}__pct >= 0.9 AS INT) AS {n}__high, CAST({n}__pct <= {1 - 0.9!r} AS INT) AS {n}__low' for n in _TIMED)}, {r6(f'{_TIMED[0]}__z * {_TIMED[1]}__z')} AS {_TIMED[0]}__x__{_TIMED[1]} FROM d4""")
+def timing_dataset(spark, sf_dir):
+    r = returns(spark, sf_dir)
+    groups = {"breadth": r.groupBy("trade_date").agg(F.avg((F.col("step") > 0).cast("double")).alias("rising")), "money": r.groupBy("trade_date").agg(F.avg("amount_cny").alias("amount"))}
+    made = timing.dataset(r.select("trade_date").distinct(), groups, interactions=(tuple(_TIMED),))
+    return said(made, *(n + s for n in _TIMED for s in ("", "__z", "__pct", "__chg1", "__chg5")), f"{_TIMED[0]}__x__{_TIMED[1]}")
+
+
+@query(f"""{PANEL_SQL}, mo AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, avg(o_totalprice) AS v FROM orders GROUP BY 1), kn AS (SELECT CAST(month + INTERVAL 45 DAY AS DATE) AS known, v FROM mo), d AS (SELECT DISTINCT trade_date FROM panel)
+SELECT trade_date, {r6('v')} AS v FROM d ASOF LEFT JOIN kn ON d.trade_date >= kn.known""")
+def join_asof_macro(spark, sf_dir):
+    m = table(spark, sf_dir, "orders").groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("month")).agg(F.avg("o_totalprice").alias("v")).select(F.date_add("month", 45).alias("known"), "v")
+    return said(timing.known_monthly(weekly_panel(spark, sf_dir).select("trade_date").distinct(), m, "known", ["v"]), "v")
+
+
 def value_features(spark, sf_dir):
     """No SQL: the chain of regressions is held against plain least squares in the tests."""
     p = weekly_panel(spark, sf_dir)
