@@ -13,8 +13,15 @@ an equal share does not leave other shards empty or small.
 
 Slots come from counts of fixed units of rows, so no shard is numbered in one task.
 
+Cutting greedily at the capacity itself would keep every shard within it, but where
+one group is larger than an equal share it leaves the last shards empty (a group of a
+third of all bytes: 3 full shards of 40), so the law ``bytes`` asks for the even cuts.
+
 Cases: null text has no bytes and is grouped with the empty text; repeated rows
-and null ids get slots of their own; an empty table gives no rows.
+and null ids get slots of their own, in the order of their first reading; texts whose
+keys tie are one group only if they are equal but for a chance of 2^-60 a pair; a very
+long text is one group, of which only its size and hashes are kept; other columns are
+not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -15,8 +15,9 @@ lines and the payload's digest, and raises ``ValueError`` at what does not hold.
 
 Cases: null html is an empty payload, a null url no target URI, a null page_id
 no page header (null again when read; smallest where payloads are equal);
-repeated rows of the largest page_id are all responses; an empty table gives no
-rows.
+repeated rows of the largest page_id are all responses; a very long page is one
+frame, held whole while it is written or read; other columns are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
