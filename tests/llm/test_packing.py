@@ -54,3 +54,12 @@ def test_cluster_column_and_empty(spark, no_docs):
     rows = packing.best_fit(docs, cluster="c").collect()
     assert len({r["bin_id"] for r in rows}) == 9
     assert packing.best_fit(no_docs).count() == 0
+
+
+def test_groups_are_of_pieces_not_of_documents(spark):
+    docs = spark.createDataFrame([(i, "x" * 10_000 if i < 5 else "short", f"s{i % 50}") for i in range(60)] + [(999, "twice", "t")] * 40, "doc_id long, text string, source string").repartition(4)
+    rows = packing.best_fit(docs, capacity=100, group_pieces=64).collect()
+    assert len(rows) == 5 * 100 + 55 + 40 and sum(r["n_chars"] for r in rows) == 5 * 10_000 + 55 * 5 + 40 * 5
+    groups = Counter(r["bin_id"] >> 24 for r in rows)
+    assert len(groups) >= 8 and max(groups.values()) < 3 * 64
+    assert max(Counter(r["bin_id"] >> 24 for r in rows if r["doc_id"] == 999).values()) < 25

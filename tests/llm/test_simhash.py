@@ -78,3 +78,40 @@ def test_keep_one_keeps_columns_and_one_row_a_group(docs, corpus):
 def test_empty(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
     assert simhash.keep_one(no_docs).filter(F.lit(True)).count() == 0
+
+
+def test_tallies_are_the_shared_bytes_of_pairs_that_share_one_more():
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 4, (60, 8)).astype(np.uint8)
+    fps[rng.random((60, 8)) < 0.3] += 100
+    values = np.ascontiguousarray(fps).view(np.int64).reshape(-1)
+    cell, known = np.repeat([0, 1, 2], 20), np.repeat([0b111, 0b1011, 0b11100000], 20)
+    for c in range(3):  # a list's rows share the bytes of its key
+        for p in range(8):
+            if int(known[20 * c]) >> p & 1:
+                fps[20 * c : 20 * c + 20, p] = 7
+    values = np.ascontiguousarray(fps).view(np.int64).reshape(-1)
+    i, j, count = simhash.tallied(values, cell, known)
+    want = {(a, b): int((fps[a] == fps[b]).sum()) for a, b in combinations(range(60), 2) if cell[a] == cell[b] and (fps[a] == fps[b]).sum() > 3}
+    assert dict(zip(zip(i.tolist(), j.tolist()), count.tolist())) == want
+
+
+def test_forest_labels_are_the_smallest_reachable_rows():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 40):
+        i, j = rng.integers(0, n, (2, n // 2))
+        label = simhash.forest(n, i, j)
+        own = list(range(n))
+        for _ in range(n):
+            for a, b in zip(i, j):
+                own[a] = own[b] = min(own[a], own[b])
+        assert label.tolist() == own
+
+
+def test_hot_fingerprints_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 3)
+    rows = [(k, "the same few words again and again") for k in range(50)] + [(100 + k, f"text number {k} of its own kind") for k in range(10)] + [(5, "the same few words again and again")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    fps = [plain(t) for _, t in rows]
+    want = closure(fps, [i for i, _ in rows])
+    assert sorted((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in got) == sorted((rows[k][0], fps[k], want[k]) for k in range(len(rows)))
