@@ -28,6 +28,58 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """A table in the format of its suffix, as a folder of parts; nothing that exists is overwritten."""
+    suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if suffix not in READERS:
+        raise ValueError(f"{path}: not one of {', '.join(sorted(READERS))}")
+    kind, options = READERS[suffix]
+    df.write.format(kind).options(**options, **({"header": True} if kind == "csv" else {})).mode("errorifexists").save(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def raw_dataset(spark: SparkSession, root: str, version: str, source: str, name: str) -> DataFrame | None:
+    """A vendor table of a version as it came (``<root>/raw/<version>/<source>/<name>.parquet``), or none if it was never fetched."""
+    path = f"{root.rstrip('/')}/raw/{version}/{source}/{name}.parquet"
+    return spark.read.parquet(path) if _exists(spark, path) else None
+
+
+def manifest(spark: SparkSession, root: str, version: str) -> dict | None:
+    """What was noted when a version was published, or none."""
+    path = f"{root.rstrip('/')}/manifests"
+    if not _exists(spark, path):
+        return None
+    found = spark.read.parquet(path).filter(F.col("version") == version).select("manifest").first()
+    return json.loads(found["manifest"]) if found else None
+
+
+def is_complete(noted: Mapping[str, object], rows: int = 1_000_000, since: str = "2017-01-01") -> bool:
+    """Whether a version holds the whole history: it says so, or is as long and as old as a whole one."""
+    if noted.get("version_kind") is not None:
+        return noted["version_kind"] == "complete"
+    return int(noted.get("rows") or 0) > rows and str(noted.get("start") or "9999") <= since
+
+
+def write_observation(spark: SparkSession, root: str, card: Mapping[str, object], events: DataFrame) -> str:
+    """Writes an observation once: its events, and a card that names their hash and number. The folder's name is the card's hash.
+
+    The card is written last, so a folder without one is no observation; one that has been written is never written again.
+    """
+    from panelyard.sources.panel import content_hash
+
+    said = dict(card) | {"events": content_hash(events)}
+    folder = f"{root.rstrip('/')}/observations/{cache_key(said)}"
+    if _exists(spark, f"{folder}/card.json/_SUCCESS"):
+        raise FileExistsError(folder)
+    events.write.mode("overwrite").parquet(f"{folder}/events.parquet")
+    spark.createDataFrame([(json.dumps(said, sort_keys=True, default=str),)], "card string").coalesce(1).write.mode("overwrite").text(f"{folder}/card.json")
+    return folder
+
+
 def cache_key(identity: Mapping[str, object]) -> str:
     """Hash of everything that a result depends on: its declaration, version of the data, dates, universe, engine."""
     return hashlib.sha256(json.dumps(dict(identity), sort_keys=True, default=str).encode()).hexdigest()
@@ -39,10 +91,8 @@ def cached(spark: SparkSession, root: str, identity: Mapping[str, object], build
     An entry counts once its write has committed (``_SUCCESS``); a half-written one is an error, as is one that repeats a key.
     """
     path = f"{root.rstrip('/')}/{cache_key(identity)}.parquet"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(hadoop):
-        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+    if _exists(spark, path):
+        if not _exists(spark, f"{path}/_SUCCESS"):
             raise DamagedEntry(f"{path} was not finished; remove it and run again")
         return spark.read.parquet(path)
     made = build()
@@ -51,6 +101,7 @@ def cached(spark: SparkSession, root: str, identity: Mapping[str, object], build
     made.write.parquet(path)
     kept = spark.read.parquet(path)
     if kept.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
-        fs.delete(hadoop, True)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
         raise ValueError(f"the result repeats {', '.join(keys)}")
     return kept

@@ -147,3 +147,35 @@ def test_results_are_kept_by_identity(spark, tmp_path):
     with pytest.raises(ValueError):
         files.cached(spark, str(tmp_path), {"version": "v3"}, lambda: build([(1, 2), (1, 2)]))
     assert not (tmp_path / f"{files.cache_key({'version': 'v3'})}.parquet").exists()
+
+
+def test_tables_are_written_by_suffix_and_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "n int, t string")
+    for name in ("t.csv", "t.parquet", "t.json"):
+        files.write_table(df, f"{tmp_path}/{name}")
+        assert sorted((r["n"], r["t"]) for r in files.read_table(spark, f"{tmp_path}/{name}").collect()) == [(1, "a"), (2, None)]
+    with pytest.raises(Exception, match="exists"):
+        files.write_table(df, f"{tmp_path}/t.csv")
+
+
+def test_raw_tables_manifests_and_completeness(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "n int")
+    df.write.parquet(f"{tmp_path}/raw/v1/vendor/daily.parquet")
+    assert files.raw_dataset(spark, str(tmp_path), "v1", "vendor", "daily").count() == 1
+    assert files.raw_dataset(spark, str(tmp_path), "v1", "vendor", "none") is None and files.manifest(spark, str(tmp_path), "v1") is None
+    spark.createDataFrame([("v1", '{"rows": 5}')], "version string, manifest string").write.parquet(f"{tmp_path}/manifests")
+    assert files.manifest(spark, str(tmp_path), "v1") == {"rows": 5} and files.manifest(spark, str(tmp_path), "v2") is None
+    assert files.is_complete({"version_kind": "complete"}) and not files.is_complete({"version_kind": "partial", "rows": 10**7, "start": "2016-01-01"})
+    assert files.is_complete({"rows": 2_000_000, "start": "2016-01-04"}) and not files.is_complete({"rows": 2_000_000, "start": "2018-01-04"}) and not files.is_complete({})
+
+
+def test_observations_are_written_once(spark, tmp_path):
+    import json
+
+    events = spark.createDataFrame([(1, 2.5)], "ts_code int, severity double")
+    folder = files.write_observation(spark, str(tmp_path), {"template": "wick", "as_of": "2024-01-05"}, events)
+    card = json.loads(spark.read.text(f"{folder}/card.json").first()[0])
+    assert card["template"] == "wick" and card["events"].startswith("1-") and spark.read.parquet(f"{folder}/events.parquet").count() == 1
+    with pytest.raises(FileExistsError):
+        files.write_observation(spark, str(tmp_path), {"template": "wick", "as_of": "2024-01-05"}, events)
+    assert files.write_observation(spark, str(tmp_path), {"template": "wick", "as_of": "2024-01-08"}, events) != folder
