@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelyard.functions import frames
-from panelyard.operators.stats import forward_open_return
+from panelyard.operators.stats import newey_west_sums, forward_open_return
 
 
 def labels_and_covariates(panel: DataFrame, horizons: list[int]) -> DataFrame:
@@ -95,3 +95,39 @@ def balance(pairs: DataFrame, covariate: str) -> DataFrame:
     """One row: standardized mean difference of event_<covariate> and control_<covariate>."""
     e, c = F.col(f"event_{covariate}"), F.col(f"control_{covariate}")
     return pairs.agg(frames.safe_ratio(F.avg(e) - F.avg(c), F.sqrt((F.var_pop(e) + F.var_pop(c)) / 2)).alias("smd"))
+
+
+def paired(pairs: DataFrame, values: DataFrame, target: str, severity: str) -> DataFrame:
+    """trade_date, event_code, severity, event_return, control_return, controls, paired_excess: each event against the mean of its controls.
+
+    values: trade_date, ts_code, ``target`` and ``severity``; pairs of which a side has no return don't count.
+    """
+    own = values.select("trade_date", F.col("ts_code").alias("event_code"), F.col(target).alias("event_return"), F.col(severity).alias("severity"))
+    other = values.select("trade_date", F.col("ts_code").alias("control_code"), F.col(target).alias("control_return"))
+    both = pairs.select("trade_date", "event_code", "control_code").join(own, ["trade_date", "event_code"]).join(other, ["trade_date", "control_code"]).filter("event_return is not null and control_return is not null")
+    out = both.groupBy("trade_date", "event_code").agg(F.first("severity").alias("severity"), F.first("event_return").alias("event_return"), F.avg("control_return").alias("control_return"), F.count_distinct("control_code").alias("controls"))
+    return out.withColumn("paired_excess", F.col("event_return") - F.col("control_return"))
+
+
+def paired_summary(rows: DataFrame, axes: list[str], lags: int, least: int = 1) -> DataFrame:
+    """axes, events, means, median, win rate, daily mean, share of days in its direction and its HAC t of ``paired`` rows."""
+    x = F.col("paired_excess")
+    whole = rows.groupBy(*axes).agg(F.count("*").alias("events"), F.avg("event_return").alias("mean_event"), F.avg("control_return").alias("mean_control"), F.avg(x).alias("mean_excess"), F.median(x).alias("median_excess"), F.avg((x > 0).cast("double")).alias("win_rate"))
+    daily = rows.groupBy(*axes, "trade_date").agg(F.avg(x).alias("day"))
+    tested = newey_west_sums(daily, axes, lags, "day").select(*axes, F.col("mean").alias("daily_mean"), "nw_t")
+    sides = daily.join(tested.select(*axes, "daily_mean"), axes).groupBy(*axes).agg(F.avg((F.col("day") * F.when(F.col("daily_mean") >= 0, 1).otherwise(-1) > 0).cast("double")).alias("direction_ratio"))
+    return whole.join(tested, axes).join(sides, axes).filter(F.col("events") >= least)
+
+
+def severity_groups(rows: DataFrame, groups: int = 3, least: int = 30) -> DataFrame:
+    """severity_group, events, its bounds, mean and median excess, and whether the means rise or fall throughout.
+
+    Groups lie between the severities' linear quantiles; equal severities stay together.
+    """
+    edges = rows.agg(F.percentile("severity", [k / groups for k in range(1, groups)]).alias("edges"), F.count("*").alias("n"))  # one row
+    placed = rows.crossJoin(F.broadcast(edges)).filter(F.col("n") >= least).withColumn("severity_group", 1 + F.size(F.filter("edges", lambda e: e < F.col("severity"))))
+    out = placed.groupBy("severity_group").agg(F.count("*").alias("events"), F.min("severity").alias("severity_min"), F.max("severity").alias("severity_max"), F.avg("paired_excess").alias("mean_excess"), F.median("paired_excess").alias("median_excess"))
+    w = Window.orderBy("severity_group")  # of ``groups`` rows
+    step = F.signum(F.col("mean_excess") - F.lag("mean_excess").over(w))
+    whole = Window.partitionBy()
+    return out.withColumn("_s", step).withColumn("monotonic", F.coalesce(F.min("_s").over(whole) == F.max("_s").over(whole), F.lit(True))).drop("_s")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from panelyard.functions import frames, text
 from panelyard.functions.frames import shown
-from panelyard.operators import gates, joins, paths, regimes, residual, stats, timing, value
+from panelyard.operators import events, gates, joins, paths, regimes, residual, stats, timing, value
 from panelyard.plans import panel_queries as base
+from panelyard.plans import research_queries as research
 from panelyard.plans.experiment import two_sided_p
 from panelyard.plans.panel_queries import FUTURE_SQL, IC_SQL, RETURNS_SQL, W, _avg_rank, future, r6, returns
 from panelyard.sources.market import PANEL_SQL, table, weekly_panel
@@ -359,6 +360,36 @@ def join_asof_macro(spark, sf_dir):
     return said(timing.known_monthly(weekly_panel(spark, sf_dir).select("trade_date").distinct(), m, "known", ["v"]), "v")
 
 
+# Matched events
+
+PAIRED_SQL = f"""WITH m AS ({research.ORACLES['event_matching']}), fw AS ({FUTURE_SQL} SELECT trade_date, ts_code, fwd, volume_shares FROM fut),
+pa AS (SELECT m.trade_date, m.event_code, any_value(e.volume_shares) AS severity, any_value(e.fwd) AS event_return, avg(c.fwd) AS control_return, count(DISTINCT m.control_code) AS controls, any_value(e.fwd) - avg(c.fwd) AS x
+ FROM m JOIN fw e ON e.trade_date = m.trade_date AND e.ts_code = m.event_code JOIN fw c ON c.trade_date = m.trade_date AND c.ts_code = m.control_code WHERE e.fwd IS NOT NULL AND c.fwd IS NOT NULL GROUP BY 1, 2)"""
+
+
+def _paired(spark, sf_dir):
+    p = future(spark, sf_dir)
+    pairs = events.match_controls(p.withColumn("is_event", F.col("volume_shares") > 100).withColumn("size", F.col("log_total_mv")), ["size"], 3, 1.0)
+    return events.paired(pairs, p, "fwd", "volume_shares")
+
+
+@query(f"""{PAIRED_SQL}, r AS ({research.ORACLES['event_market_regimes']}), z AS (SELECT pa.*, market_direction AS g FROM pa JOIN r USING (trade_date)), dy AS (SELECT g, trade_date, avg(x) AS day FROM z GROUP BY ALL), c AS (SELECT *, avg(day) OVER (PARTITION BY g) AS m, day - avg(day) OVER (PARTITION BY g) AS d FROM dy),
+p AS (SELECT g, m, day, d * d AS p0, d * lag(d, 1) OVER (PARTITION BY g ORDER BY trade_date) AS p1 FROM c), t AS (SELECT g, any_value(m) AS daily_mean, any_value(m) / nullif(sqrt(greatest(sum(p0) + 2 * 0.5 * coalesce(sum(p1), 0), 0) / count(*) / count(*)), 0) AS nw_t, count(*) AS days, avg(CASE WHEN day * CASE WHEN m >= 0 THEN 1 ELSE -1 END > 0 THEN 1.0 ELSE 0.0 END) AS direction_ratio FROM p GROUP BY 1),
+w AS (SELECT g, count(*) AS events, avg(event_return) AS me, avg(control_return) AS mc, avg(x) AS mx, median(x) AS md, avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) AS wr FROM z GROUP BY 1)
+SELECT g AS market_direction, events, {r6('me')} AS mean_event, {r6('mc')} AS mean_control, {r6('mx')} AS mean_excess, {r6('md')} AS median_excess, {r6('wr')} AS win_rate, {r6('daily_mean')} AS daily_mean, {r6('CASE WHEN days >= 2 THEN nw_t END')} AS nw_t, {r6('direction_ratio')} AS direction_ratio FROM w JOIN t USING (g)""")
+def event_paired_regimes(spark, sf_dir):
+    regime = events.market_regimes(weekly_panel(spark, sf_dir)).select("trade_date", "market_direction")
+    found = events.paired_summary(_paired(spark, sf_dir).join(regime, "trade_date"), ["market_direction"], 1)
+    return said(found, *(c for c in found.columns if c not in ("market_direction", "events")))
+
+
+@query(f"""{PAIRED_SQL}, e AS (SELECT quantile_cont(severity, [{1 / 3!r}, {2 / 3!r}]) AS edges, count(*) AS n FROM pa), g AS (SELECT pa.*, CAST(1 + len(list_filter(edges, lambda q: q < severity)) AS INT) AS severity_group FROM pa, e WHERE n >= 30),
+o AS (SELECT severity_group, count(*) AS events, min(severity) AS severity_min, max(severity) AS severity_max, avg(x) AS m, median(x) AS md FROM g GROUP BY 1), s AS (SELECT *, sign(m - lag(m) OVER (ORDER BY severity_group)) AS s FROM o)
+SELECT severity_group, events, severity_min, severity_max, {r6('m')} AS mean_excess, {r6('md')} AS median_excess, coalesce(min(s) OVER () = max(s) OVER (), true) AS monotonic FROM s""")
+def event_severity_groups(spark, sf_dir):
+    return said(events.severity_groups(_paired(spark, sf_dir)), "mean_excess", "median_excess")
+
+
 def value_features(spark, sf_dir):
     """No SQL: the chain of regressions is held against plain least squares in the tests."""
     p = weekly_panel(spark, sf_dir)
