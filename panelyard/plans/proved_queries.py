@@ -131,6 +131,12 @@ sums AS (SELECT *, sum(ca * ca) {o} + {ridge} AS aa, sum(cb * cb) {o} + {ridge}
 
 _FIT, _RES = _two("own", "usual", "log_total_mv", "trade_date", S.least_section)
 _recipe("residual_concentration", [{"same": "con"}], f"con AND sp >= {S.upper}", f"ep - {S.upper} + sp - {S.upper}", base=_BASE_SQL + _RC.format(fit=_FIT, res=_RES.replace("ba ", "fit.ba ").replace("b_b", "fit.b_b"), pct=_pct("excess"), upper=S.upper), last="fin")
+_FIT, _RES = _two("rs", "log_total_mv", "vol", "trade_date, industry_l1_code", S.least_section)
+_recipe(
+    "enhanced_residual", [{"rp": _pct("residual", "industry_l1_code")}], f"rp >= {S.upper} OR rp <= {1 - S.upper!r}", f"greatest(rp - {S.upper}, {1 - S.upper!r} - rp)",
+    f"CASE WHEN rp >= {S.upper} THEN 'positive_residual' WHEN rp <= {1 - S.upper!r} THEN 'negative_residual' ELSE 'none' END",
+    base=f"{_BASE_SQL}, src AS (SELECT *, CASE WHEN count(r1) OVER {rows('19 PRECEDING', 'CURRENT ROW')} >= 10 THEN stddev_pop(r1) OVER {rows('19 PRECEDING', 'CURRENT ROW')} END AS vol FROM b0), {_FIT}, ex AS (SELECT b0.*, {_RES} AS residual FROM b0 LEFT JOIN fit USING (trade_date, ts_code))", last="ex",
+)
 _LS, _RES = _two("step", "log_total_mv", "turnover_rate", "trade_date", 10)
 proved("residual_least_squares", f"{RETURNS_SQL}, src AS (SELECT * FROM ret), {_LS} SELECT r.trade_date, r.ts_code, {r6(_RES)} AS residual FROM ret r LEFT JOIN fit USING (trade_date, ts_code)", "residual")
 _RI, _RES = _two("step", "log_total_mv", "turnover_rate", "trade_date, industry_l1_code", 5, 1.0, True)
