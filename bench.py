@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 HEADLINE = (
     "factor_momentum", "dsl_cs_rank", "dsl_slope", "dsl_nested", "join_asof", "join_interval", "agg_leave_one_out", "win_prior_percentile", "residual_industry_size",
-    "stat_rank_ic", "stat_conditional_ic", "combine_weighted", "radar_price_drop_without_volume", "event_matching", "path_evaluation", "conditional_grid", "regime_document", "value_features", "portfolio_ledgers", "breakout_boxes", "panel_build", "stream_sessions",
+    "stat_rank_ic", "stat_conditional_ic", "combine_weighted", "radar_price_drop_without_volume", "event_matching", "path_evaluation", "conditional_grid", "regime_document", "portfolio_ledgers", "breakout_boxes", "panel_build", "stream_sessions",
 )
 
 
