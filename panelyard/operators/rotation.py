@@ -102,10 +102,20 @@ def placebo_ring(scores: DataFrame, score: str, code: str = "ts_code") -> DataFr
     return scores.join(F.broadcast(ring), code).join(other, ["trade_date", "_next"], "left").drop("_next")
 
 
-def shuffle_placebo(scores: DataFrame, score: str, salt: str = "placebo") -> DataFrame:
-    """``scores`` with placebo: the date's scores dealt anew by a hash of date, code and salt; the same on every run."""
-    day = Window.partitionBy("trade_date")
-    h = F.xxhash64("trade_date", "ts_code", F.lit(salt))
-    d = scores.withColumn("_to", F.row_number().over(day.orderBy(h, "ts_code"))).withColumn("_from", F.row_number().over(day.orderBy("ts_code")))
-    given = d.select("trade_date", F.col("_from").alias("_to"), F.col(score).alias("placebo"))
-    return d.join(given, ["trade_date", "_to"]).drop("_to", "_from")
+def shuffle_placebo(rows: DataFrame, value: str, by: tuple[str, ...] = ("trade_date",), code: str = "ts_code", salt: str = "placebo", missing: str = "stay") -> DataFrame:
+    """``rows`` with placebo: the values of each cell ``by`` (a date, or a date and state) dealt anew, the same on every run.
+
+    The permutation joins two ranks: the row of the i-th hash of salt, cell and code gets
+    the value of the i-th code.  Missing values ``stay`` where they are, or ``move`` with
+    the others (labels); rows of a cell that has no name get none.
+    """
+    known = F.col(value).isNotNull() if missing == "stay" else F.lit(True)
+    named = F.lit(True)
+    for c in by:
+        named = named & F.col(c).isNotNull()
+    cell = Window.partitionBy(*by, "_dealt")
+    h = F.md5(F.concat_ws(":", F.lit(salt), *(F.col(c).cast("string") for c in (*by, code))).cast("binary"))
+    d = rows.withColumn("_dealt", named & known)
+    d = d.withColumns({"_to": F.row_number().over(cell.orderBy(h, code)), "_from": F.row_number().over(cell.orderBy(code))})
+    given = d.filter("_dealt").select(*by, F.lit(True).alias("_dealt"), F.col("_from").alias("_to"), F.col(value).alias("placebo"))
+    return d.join(given, [*by, "_dealt", "_to"], "left").select(*rows.columns, "placebo")

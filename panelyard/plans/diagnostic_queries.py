@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelyard.functions import frames
-from panelyard.operators import attribution, diagnostics
-from panelyard.plans.panel_queries import FUTURE_SQL, W, future, r6
+from panelyard.operators import attribution, diagnostics, holdings, models, regimes, rotation
+from panelyard.plans.panel_queries import FUTURE_SQL, RETURNS_SQL, W, future, r6, returns
 from panelyard.plans.study_queries import said
+from panelyard.sources.market import weekly_panel
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +135,99 @@ SELECT industry_l1_code, count(b0) AS draws, {r6('quantile_cont(b0, 0.025)')} AS
 def attribution_bootstrap(spark, sf_dir):
     _, style, held = _styles(spark, sf_dir)
     return said(attribution.bootstrap_alpha(held.join(style, "trade_date"), ["industry_l1_code"], "y", list(_SIGNALS), 10, 200), "alpha_low", "alpha_high")
+
+
+# Placebos that keep states
+
+
+def _dealt(of: str, by: str, value: str, salt: str, known: str = "true") -> str:
+    key = f"md5('{salt}:' || " + " || ':' || ".join(f"{c}::VARCHAR" for c in (*by.split(", "), "ts_code")) + ")"
+    return f"""rk AS (SELECT *, row_number() OVER (PARTITION BY {by}, {known} ORDER BY {key}, ts_code) AS too, row_number() OVER (PARTITION BY {by}, {known} ORDER BY ts_code) AS fro, {known} AS known FROM {of}),
+pl AS (SELECT a.*, b.{value} AS placebo FROM rk a LEFT JOIN rk b ON {' AND '.join(f'a.{c} = b.{c}' for c in by.split(', '))} AND a.too = b.fro AND a.known AND b.known)"""
+
+
+_STATE_SQL = f"{RETURNS_SQL}, st AS (SELECT trade_date, ts_code, step, CASE WHEN volume_shares > 60 THEN 'high' WHEN volume_shares > 25 THEN 'mid' END AS state FROM ret)"
+
+
+def _states(spark, sf_dir):
+    v = F.col("volume_shares")
+    return returns(spark, sf_dir).select("trade_date", "ts_code", "step", F.when(v > 60, "high").when(v > 25, "mid").alias("state"))
+
+
+@query(f"{_STATE_SQL}, {_dealt('st', 'trade_date, state', 'step', 'rrg', 'step IS NOT NULL AND state IS NOT NULL')} SELECT trade_date, ts_code, state, {r6('step')} AS step, {r6('placebo')} AS placebo FROM pl")
+def placebo_within_state(spark, sf_dir):
+    return said(rotation.shuffle_placebo(_states(spark, sf_dir), "step", ("trade_date", "state"), salt="rrg"), "step", "placebo")
+
+
+@query(f"{_STATE_SQL}, {_dealt('st', 'trade_date', 'step', 'label')} SELECT trade_date, ts_code, state, {r6('step')} AS step, {r6('placebo')} AS placebo FROM pl")
+def placebo_labels(spark, sf_dir):
+    return said(rotation.shuffle_placebo(_states(spark, sf_dir), "step", salt="label", missing="move"), "step", "placebo")
+
+
+# States of refits
+
+
+@query(f"""{RETURNS_SQL}, raw AS (SELECT industry_l1_code, year(trade_date) * 4 + quarter(trade_date) AS period, CAST(('0x' || substr(md5((ts_code % 3) || ':' || (year(trade_date) * 4 + quarter(trade_date))), 1, 8))::BIGINT AS BIGINT) AS h, ts_code % 3 AS own, avg(turnover_rate) AS a, avg(log_total_mv) AS b FROM ret GROUP BY ALL),
+f AS (SELECT industry_l1_code, period, list([round(a, 9), round(b, 9)] ORDER BY h) AS means FROM raw GROUP BY ALL HAVING count(*) = 3), n AS (SELECT *, row_number() OVER (PARTITION BY industry_l1_code ORDER BY period) AS k FROM f),
+pm AS (SELECT unnest([[0, 1, 2], [0, 2, 1], [1, 0, 2], [1, 2, 0], [2, 0, 1], [2, 1, 0]]) AS p),
+r AS (WITH RECURSIVE w AS (SELECT n.industry_l1_code, k, period, means, list_transform(list_sort(list_transform([0, 1, 2], lambda i: [means[i + 1][1], i::DOUBLE])), lambda x: x[2]::INT) AS aligned FROM n WHERE k = 1
+ UNION ALL SELECT n.industry_l1_code, n.k, n.period, n.means, arg_min(p, (pow(w.means[w.aligned[1] + 1][1] - n.means[p[1] + 1][1], 2) + pow(w.means[w.aligned[1] + 1][2] - n.means[p[1] + 1][2], 2) + pow(w.means[w.aligned[2] + 1][1] - n.means[p[2] + 1][1], 2) + pow(w.means[w.aligned[2] + 1][2] - n.means[p[2] + 1][2], 2) + pow(w.means[w.aligned[3] + 1][1] - n.means[p[3] + 1][1], 2) + pow(w.means[w.aligned[3] + 1][2] - n.means[p[3] + 1][2], 2)))
+ FROM w JOIN n ON n.industry_l1_code = w.industry_l1_code AND n.k = w.k + 1, pm GROUP BY ALL) SELECT * FROM w)
+SELECT industry_l1_code, period, array_to_string(aligned, ',') AS aligned, {r6('means[aligned[1] + 1][2]')} AS size_0, {r6('means[aligned[2] + 1][2]')} AS size_1, {r6('means[aligned[3] + 1][2]')} AS size_2 FROM r""")
+def regime_state_alignment(spark, sf_dir):
+    period = F.year("trade_date") * 4 + F.quarter("trade_date")
+    raw = returns(spark, sf_dir).groupBy("industry_l1_code", period.alias("period"), (F.col("ts_code") % 3).alias("own")).agg(F.round(F.avg("turnover_rate"), 9).alias("a"), F.round(F.avg("log_total_mv"), 9).alias("b"))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", "own", "period").cast("binary")), 1, 8), 16, 10).cast("long")
+    fits = raw.groupBy("industry_l1_code", "period").agg(F.sort_array(F.collect_list(F.struct(h.alias("h"), F.array("a", "b").alias("m")))).alias("all")).filter("size(all) = 3")
+    fits = fits.select("industry_l1_code", "period", F.transform("all", lambda x: x["m"]).alias("means"))
+    out = models.align_states(fits, ["industry_l1_code"], "means", "period", 3)
+    size = lambda i: F.get(F.get("means", F.get("aligned", F.lit(i))), F.lit(1))
+    return said(out.select("industry_l1_code", "period", F.array_join("aligned", ",").alias("aligned"), *(size(i).alias(f"size_{i}") for i in range(3))), "size_0", "size_1", "size_2")
+
+
+def regime_mixture_walk(spark, sf_dir):
+    daily = regimes.breadth_regimes(weekly_panel(spark, sf_dir)).select("trade_date", "market_breadth", (F.col("market_return") * 10).alias("market_return"))
+    return models.mixture_walk_forward(daily, ["market_breadth", "market_return"], 3, 104, 4)
+
+
+QUERIES["regime_mixture_walk"] = regime_mixture_walk  # a fit: tests hold it against plain loops
+
+
+# Holdings
+
+_HOLD_SQL = f"""{RETURNS_SQL}, cal AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS s FROM (SELECT DISTINCT trade_date FROM ret)), sg AS (SELECT trade_date, ts_code FROM ret WHERE step IS NOT NULL QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY step DESC, ts_code) <= 5),
+po AS (SELECT c.trade_date, c.s, ts_code, sg.trade_date AS signal_date FROM sg JOIN cal b ON b.trade_date = sg.trade_date JOIN cal c ON c.s BETWEEN b.s + 1 AND b.s + 4),
+pv AS (SELECT po.*, industry_l1_code, coalesce(adj_close, 1) AS v FROM po LEFT JOIN ret ON ret.trade_date = po.trade_date AND ret.ts_code = po.ts_code), ow AS (SELECT trade_date, s, ts_code, sum(v) AS v, count(*) AS lots, max(industry_l1_code) AS g FROM pv GROUP BY ALL), wt AS (SELECT *, v / sum(v) OVER (PARTITION BY trade_date) AS w FROM ow),
+isl AS (SELECT *, s - row_number() OVER (PARTITION BY ts_code ORDER BY s) AS i FROM ow), sp AS (SELECT ts_code, min(trade_date) AS entry_date, max(trade_date) AS last_date, count(*) AS sessions FROM isl GROUP BY ts_code, i),
+ch AS (SELECT coalesce(a.s, b.s + 1) AS s, a.ts_code AS own, a.lots, a.g, a.w, coalesce(a.w, 0) - coalesce(b.w, 0) AS d, a.ts_code IS NOT NULL AND b.ts_code IS NULL AS fresh, a.ts_code IS NULL AS gone FROM wt a FULL JOIN wt b ON a.ts_code = b.ts_code AND a.s = b.s + 1),
+dy AS (SELECT cal.trade_date, coalesce(sum(lots), 0)::BIGINT AS holding_count, count(own) AS unique_holding_count, count(DISTINCT g) AS group_count, count(*) FILTER (fresh) AS entries, count(*) FILTER (gone) AS exits, coalesce(sum(abs(d)) / 2, 0) AS turnover, max(w) AS largest_weight FROM cal LEFT JOIN ch USING (s) GROUP BY 1)"""
+
+
+def _book(spark, sf_dir):
+    r = returns(spark, sf_dir)
+    best = F.row_number().over(Window.partitionBy("trade_date").orderBy(F.desc("step"), "ts_code"))
+    signals = r.filter("step is not null").withColumn("_k", best).filter("_k <= 5").select("trade_date", "ts_code")
+    held = holdings.lots(signals, r, 1, 4).join(r.select("trade_date", "ts_code", "industry_l1_code", "adj_close"), ["trade_date", "ts_code"], "left")
+    return r.select("trade_date"), signals, held.withColumn("value", F.coalesce("adj_close", F.lit(1.0)))
+
+
+@query(f"{_HOLD_SQL} SELECT ts_code, entry_date, last_date, sessions, last_date = (SELECT max(trade_date) FROM cal) AS open FROM sp")
+def holding_spells(spark, sf_dir):
+    calendar, _, held = _book(spark, sf_dir)
+    return holdings.spells(held, calendar)
+
+
+@query(f"{_HOLD_SQL} SELECT trade_date, holding_count, unique_holding_count, group_count, entries, exits, {r6('turnover')} AS turnover, {r6('largest_weight')} AS largest_weight FROM dy")
+def holding_daily(spark, sf_dir):
+    calendar, _, held = _book(spark, sf_dir)
+    return said(holdings.daily_holdings(held, calendar, "value", "industry_l1_code"), "turnover", "largest_weight")
+
+
+@query(f"""{_HOLD_SQL}, du AS (SELECT EXISTS (SELECT 1 FROM sg e JOIN cal d ON d.trade_date = e.trade_date WHERE e.ts_code = sg.ts_code AND d.s < c.s AND d.s + 4 >= c.s + 1) AS dup FROM sg JOIN cal c USING (trade_date))
+SELECT {r6('avg(holding_count)')} AS average_holding_count, {r6('median(holding_count)')} AS median_holding_count, max(holding_count) AS max_holding_count, {r6('avg(unique_holding_count)')} AS average_unique_holding_count, {r6('median(unique_holding_count)')} AS median_unique_holding_count, max(unique_holding_count) AS max_unique_holding_count,
+ {r6('avg(turnover)')} AS average_turnover, {r6('(SELECT avg(w) FROM wt)')} AS average_position_weight, {r6('(SELECT avg(sessions) FROM sp WHERE last_date < (SELECT max(trade_date) FROM cal))')} AS average_holding_sessions, (SELECT count(*) FROM sp WHERE last_date < (SELECT max(trade_date) FROM cal)) AS ended_spells,
+ {r6('(SELECT avg(CAST(dup AS INT)) FROM du)')} AS duplicate_signal_rate FROM dy""")
+def holding_statistics(spark, sf_dir):
+    calendar, signals, held = _book(spark, sf_dir)
+    out = holdings.holding_statistics(held, calendar, signals, "value", "industry_l1_code", 1, 4)
+    return said(out, *(c for c in out.columns if not c.startswith(("max", "ended"))))

@@ -188,9 +188,11 @@ def rotation_placebo_ring(spark, sf_dir):
     return out.select("trade_date", "ts_code", shown(F.col("score")).alias("score"), shown(F.col("placebo")).alias("placebo"))
 
 
-@query()
+@query(f"""{PANEL_SQL}, r AS (SELECT trade_date, ts_code, adj_close AS score, row_number() OVER (PARTITION BY trade_date ORDER BY md5('placebo:' || trade_date || ':' || ts_code), ts_code) AS too, row_number() OVER (PARTITION BY trade_date ORDER BY ts_code) AS fro FROM panel)
+SELECT a.trade_date, a.ts_code, {r6('a.score')} AS score, {r6('b.score')} AS placebo FROM r a JOIN r b ON a.trade_date = b.trade_date AND a.too = b.fro""")
 def rotation_shuffle_placebo(spark, sf_dir):
-    return rotation.shuffle_placebo(weekly_panel(spark, sf_dir).select("trade_date", "ts_code", F.col("adj_close").alias("score")), "score")
+    out = rotation.shuffle_placebo(weekly_panel(spark, sf_dir).select("trade_date", "ts_code", F.col("adj_close").alias("score")), "score")
+    return out.withColumns({c: shown(F.col(c)) for c in ("score", "placebo")})
 
 
 # Boxes and fundamentals
