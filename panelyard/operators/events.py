@@ -91,10 +91,29 @@ def greedy_cooldown(events: DataFrame, entity: str, ordinal: str, gap: int, incl
     return events.groupBy(entity).applyInPandas(walk, events.schema)
 
 
-def balance(pairs: DataFrame, covariate: str) -> DataFrame:
-    """One row: standardized mean difference of event_<covariate> and control_<covariate>."""
-    e, c = F.col(f"event_{covariate}"), F.col(f"control_{covariate}")
-    return pairs.agg(frames.safe_ratio(F.avg(e) - F.avg(c), F.sqrt((F.var_pop(e) + F.var_pop(c)) / 2)).alias("smd"))
+def with_covariates(pairs: DataFrame, values: DataFrame, covariates: list[str]) -> DataFrame:
+    """``pairs`` with event_<covariate> and control_<covariate> of both sides; values: trade_date, ts_code and the covariates."""
+    side = lambda s: values.select("trade_date", F.col("ts_code").cast("string").alias(f"{s}_code"), *(F.col(c).cast("double").alias(f"{s}_{c}") for c in covariates))
+    return pairs.join(side("event"), ["trade_date", "event_code"], "left").join(side("control"), ["trade_date", "control_code"], "left")
+
+
+def balance(pairs: DataFrame, covariates: list[str], axes: list[str] | None = None) -> DataFrame:
+    """axes, covariate, weighting, events, controls, event_mean, control_mean, smd, abs_smd: standardized mean differences of matched sides.
+
+    weighting ``event_once`` counts an event once whatever its controls, ``all_pairs`` once
+    for each of them; controls always count by pair.  The difference is over the root of
+    the mean of both variances; missing where nothing varies.
+    """
+    axes = axes or []
+    once = F.row_number().over(Window.partitionBy(*axes, "trade_date", "event_code").orderBy("control_code")) == 1
+    each = F.array(*(F.struct(F.lit(c).alias("covariate"), F.col(f"event_{c}").cast("double").alias("e"), F.col(f"control_{c}").cast("double").alias("c")) for c in covariates))
+    rows = pairs.withColumn("_once", once).select(*axes, "_once", F.explode(each).alias("x")).select(*axes, "_once", "x.*")
+    e = {"event_once": F.when(F.col("_once"), F.col("e")), "all_pairs": F.col("e")}
+    sums = [f(v).alias(f"{n}_{k}") for k, v in e.items() for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_pop))]
+    by = rows.groupBy(*axes, "covariate").agg(*sums, F.count("c").alias("controls"), F.avg("c").alias("control_mean"), F.var_pop("c").alias("_var"))
+    cells = F.array(*(F.struct(F.lit(k).alias("weighting"), F.col(f"n_{k}").alias("events"), F.col(f"mean_{k}").alias("event_mean"), frames.safe_ratio(F.col(f"mean_{k}") - F.col("control_mean"), F.sqrt((F.col(f"var_{k}") + F.col("_var")) / 2)).alias("smd")) for k in e))
+    out = by.select(*axes, "covariate", "controls", "control_mean", F.explode(cells).alias("x"))
+    return out.select(*axes, "covariate", "x.weighting", "x.events", "controls", "x.event_mean", "control_mean", "x.smd", F.abs("x.smd").alias("abs_smd"))
 
 
 def paired(pairs: DataFrame, values: DataFrame, target: str, severity: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -119,3 +119,76 @@ def shuffle_placebo(rows: DataFrame, value: str, by: tuple[str, ...] = ("trade_d
     d = d.withColumns({"_to": F.row_number().over(cell.orderBy(h, code)), "_from": F.row_number().over(cell.orderBy(code))})
     given = d.filter("_dealt").select(*by, F.lit(True).alias("_dealt"), F.col("_from").alias("_to"), F.col(value).alias("placebo"))
     return d.join(given, [*by, "_dealt", "_to"], "left").select(*rows.columns, "placebo")
+
+
+def membership_leaks(members: DataFrame, calendar: DataFrame, group: str = "concept_code", code: str = "ts_code") -> DataFrame:
+    """trade_date, group, code, kind of what a backfill of the latest membership changes: members ``leaked`` to dates on which they were none, and ``lost`` ones.
+
+    Only dates on which a pair's membership differs are made: the gaps between its
+    sessions, each exploded by itself.
+    """
+    days = calendar.select("trade_date").distinct().withColumn("_s", F.row_number().over(Window.orderBy("trade_date")))  # one row a session
+    latest, end = members.agg(F.max("trade_date")).scalar(), days.agg(F.max("_s")).scalar()
+    pair = Window.partitionBy(group, code)
+    m = members.select("trade_date", group, code).distinct().join(F.broadcast(days), "trade_date").withColumn("_latest", latest)
+    m = m.withColumns({"_stays": F.max("trade_date").over(pair) == F.col("_latest"), "_before": F.coalesce(F.lag("_s").over(pair.orderBy("_s")), F.lit(0))})
+    lost = m.filter(~F.col("_stays")).select("trade_date", group, code, F.lit("lost").alias("kind"))
+    last = F.col("trade_date") == F.col("_latest")
+    spans = F.array(F.struct((F.col("_before") + 1).alias("a"), (F.col("_s") - 1).alias("b")), F.struct((F.col("_s") + 1).alias("a"), F.when(last, F.col("_end")).otherwise(0).alias("b")))
+    gaps = m.filter("_stays").withColumn("_end", end).select(group, code, F.explode(spans).alias("g")).filter("g.a <= g.b").select(group, code, F.explode(F.sequence("g.a", "g.b")).alias("_s"))
+    leaked = gaps.join(F.broadcast(days), "_s").select("trade_date", group, code, F.lit("leaked").alias("kind"))
+    return leaked.unionByName(lost)
+
+
+def lookahead_effect(members: DataFrame, leaks: DataFrame, values: DataFrame, value: str, group: str = "concept_code", code: str = "ts_code") -> DataFrame:
+    """trade_date, group, members_then, members_backfilled, leaked, lost, and the mean ``value`` of the members then and of the backfilled ones."""
+    kinds = leaks.filter("kind = 'lost'").select("trade_date", group, code, F.lit(True).alias("_lost"))
+    own = members.select("trade_date", group, code).distinct().join(kinds, ["trade_date", group, code], "left").select("trade_date", group, code, F.lit(True).alias("_then"), F.col("_lost").isNull().alias("_now"))
+    new = leaks.filter("kind = 'leaked'").select("trade_date", group, code, F.lit(False).alias("_then"), F.lit(True).alias("_now"))
+    rows = own.unionByName(new).join(values.select("trade_date", code, F.col(value).alias("_v")), ["trade_date", code], "left")
+    count = lambda test: F.sum(test.cast("long"))
+    then, now = F.col("_then"), F.col("_now")
+    return rows.groupBy("trade_date", group).agg(
+        count(then).alias("members_then"), count(now).alias("members_backfilled"), count(now & ~then).alias("leaked"), count(then & ~now).alias("lost"),
+        F.avg(F.when(then, F.col("_v"))).alias("mean_then"), F.avg(F.when(now, F.col("_v"))).alias("mean_backfilled"),
+    )
+
+
+def salted_sums(rows: DataFrame, by: list[str], sums: dict[str, Column], distinct: dict[str, str], salt: str, salts: int = 16) -> DataFrame:
+    """by, sums and counts of distinct values, added up in ``salts`` parts of each group first.
+
+    A part holds the rows whose ``salt`` column hashes to it, so a popular group's rows go
+    to as many tasks; counts of distinct values of ``salt`` itself add up, as a value has
+    one part.
+    """
+    if set(distinct.values()) - {salt}:
+        raise ValueError("only distinct values of the salt column add up over its parts")
+    parts = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts))).groupBy(*by, "_salt").agg(*(F.sum(c).alias(n) for n, c in sums.items()), *(F.count_distinct(c).alias(n) for n, c in distinct.items()))
+    return parts.groupBy(*by).agg(*(F.sum(n).alias(n) for n in (*sums, *distinct)))
+
+
+def bridge(members: DataFrame, stocks: DataFrame, salts: int = 16, least: int = 8, most: int = 500, group: str = "concept_code", code: str = "ts_code") -> DataFrame:
+    """trade_date, group and what its members say of it on that date: counts, coverage, capital, amount, breadth of both kinds, its return and whether it is usable.
+
+    stocks: trade_date, code, mv, amount, up (the state that breadth counts; missing is
+    no), step (the day's return) and mv_before.  A date's return is that of the members
+    of the session before, by yesterday's capital.
+    """
+    key = ["trade_date", code]
+    known = stocks.select(code).distinct()
+    held = members.join(known, code, "left_semi")
+    up = F.coalesce(F.col("up"), F.lit(False)).cast("double")
+    now = salted_sums(
+        held.join(stocks.select(*key, "mv", "amount", "up"), key), ["trade_date", group],
+        {"concept_mv": F.col("mv"), "_up_mv": F.col("mv") * up, "_up": up, "_rows": F.lit(1), "concept_amount": F.col("amount")}, {"matched_member_count": code}, code, salts,
+    )
+    source = salted_sums(members, ["trade_date", group], {"source_member_count": F.lit(1)}, {}, code, salts)
+    days = stocks.select("trade_date").distinct().withColumn("_next", F.lead("trade_date").over(Window.orderBy("trade_date")))  # one row a session
+    later = held.join(F.broadcast(days), "trade_date").select(F.col("_next").alias("trade_date"), group, code).filter("trade_date is not null")
+    moved = salted_sums(later.join(stocks.select(*key, "step", "mv_before"), key), ["trade_date", group], {"_weight": F.col("mv_before"), "_moved": F.col("mv_before") * F.col("step")}, {}, code, salts)
+    out = source.join(now, ["trade_date", group], "left").join(moved, ["trade_date", group], "left")
+    matched = F.coalesce("matched_member_count", F.lit(0))
+    return out.select(
+        "trade_date", group, "source_member_count", matched.alias("matched_member_count"), frames.safe_ratio(matched, F.col("source_member_count")).alias("member_match_coverage"), "concept_mv", "concept_amount",
+        frames.safe_ratio(F.col("_up"), F.col("_rows")).alias("breadth_equal"), frames.safe_ratio(F.col("_up_mv"), F.col("concept_mv")).alias("breadth_capital"), frames.safe_ratio(F.col("_moved"), F.col("_weight")).alias("concept_return"), matched.between(least, most).alias("usable"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,16 +41,48 @@ def mad_z(df: DataFrame, column: str, size: int, least: int, out: str, w=None) -
     return d.withColumn(out, 0.67448975 * frames.safe_ratio(F.col(column) - F.col("_m"), F.col("_mad"))).drop("_m", "_d", "_mad")
 
 
+def with_ewm(df: DataFrame, columns: dict[str, str], alpha: float, least: int = 1, entity: str = "ts_code", time: str = "trade_date") -> DataFrame:
+    """``df`` with recursive exponential means ``columns`` (out -> column); a missing value lets the past decay and adds nothing.
+
+    y follows y = d y_before + (1 - d) x, where d = q / (q + alpha), q = (1 - alpha) ** rows
+    since the value before.  With c the running sum of -ln d, y is a sum of (1 - d) x
+    exp(c_then - c_now).  Rows are cut into blocks of 32 in c: within a block the sum runs
+    on exponents of that size, the two blocks before add their last sums, and what lies
+    further back weighs less than exp(-32) of exp(-32).  Windows of one partitioning only.
+    """
+    w, before = frames.history(entity, time), Window.partitionBy(entity).orderBy("_b")
+    out = df.withColumn("_k", F.row_number().over(w))
+    for name, column in columns.items():
+        x = F.col(column).cast("double")
+        last = F.last(F.when(x.isNotNull(), F.col("_k")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        gap = (F.col("_k") - F.col("_last")).cast("double")
+        q = F.pow(F.lit(1.0 - alpha), gap)
+        first = F.col("_last").isNull()
+        out = out.withColumn("_last", last)
+        out = out.withColumns({"_c": F.when(x.isNotNull() & ~first, F.ln(q + alpha) - gap * math.log(max(1.0 - alpha, 1e-300))).otherwise(0.0), "_a": F.when(first, 1.0).otherwise(alpha / (q + alpha))})
+        out = out.withColumns({"_c": F.sum("_c").over(w), "_n": F.count(x).over(w)}).withColumn("_b", F.floor(F.col("_c") / 32))
+        block = Window.partitionBy(entity, "_b").orderBy(time)
+        out = out.withColumn("_c0", F.first("_c").over(block))
+        out = out.withColumn("_sum", F.exp(F.col("_c0") - F.col("_c")) * F.coalesce(F.sum(F.col("_a") * x * F.exp(F.col("_c") - F.col("_c0"))).over(block), F.lit(0.0)))
+        ends = {f"_e{k}": F.max(F.struct("_k", "_c", "_sum")).over(before.rangeBetween(-k, -k)) for k in (1, 2)}
+        out = out.withColumns(ends)
+        past = sum((F.coalesce(F.col(f"{e}._sum") * F.exp(F.col(f"{e}._c") - F.col("_c")), F.lit(0.0)) for e in ends), F.lit(0.0))
+        out = out.withColumn(name, F.when(F.col("_n") >= max(least, 1), F.col("_sum") + past)).drop("_last", "_c", "_a", "_n", "_b", "_c0", "_sum", *ends)
+    return out.drop("_k")
+
+
 def ewm(df: DataFrame, column: str, out: str, span: float | None = None, alpha: float | None = None, least: int = 1, entity: str = "ts_code", time: str = "trade_date") -> DataFrame:
-    """entity, time, out: recursive exponential mean; a missing value lets the past decay and adds nothing."""
-    a = alpha if alpha is not None else 2 / (span + 1)
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    """entity, time, out: recursive exponential mean of one column (``with_ewm``)."""
+    return with_ewm(df.select(entity, time, column), {out: column}, alpha if alpha is not None else 2 / (span + 1), least, entity, time).select(entity, time, out)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time, ignore_index=True)
-        return pdf[[entity, time]].assign(**{out: pdf[column].astype(float).ewm(alpha=a, adjust=False, min_periods=least).mean()})
 
-    return df.select(entity, time, column).groupBy(entity).applyInPandas(run, f"`{entity}` {kinds[entity]}, `{time}` {kinds[time]}, `{out}` double")
+def denoised(df: DataFrame, column: str, out: str, clip: tuple[float, float] = (0.05, 0.95), window: int = 3, least: int = 2, span: float = 3, entity: str = "ts_code", time: str = "trade_date") -> DataFrame:
+    """``df`` with ``out``: the column clipped to the date's quantiles, its trailing median, and the exponential mean of that."""
+    day = Window.partitionBy(time)
+    low, high = (F.percentile(column, q).over(day) for q in clip)
+    rows = df.withColumn("_w", F.when(F.col(column).isNotNull(), F.least(F.greatest(F.col(column), low), high)))
+    rows = rows.withColumn("_m", frames.rolling(F.col("_w"), window, "median", least, w=frames.history(entity, time)))
+    return with_ewm(rows, {out: "_m"}, 2 / (span + 1), entity=entity, time=time).drop("_w", "_m")
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -163,18 +197,11 @@ def hmm_filter(series: DataFrame, value: str, entity: str, states: int = 2, fit_
 
 def rsi(df: DataFrame, window: int = 14) -> DataFrame:
     """ts_code, trade_date, rsi: Wilder's, from recursive means of gains and losses."""
-    w = frames.history()
-    d = df.withColumn("_d", F.col("adj_close") - F.lag("adj_close").over(w)).withColumns({"_g": F.greatest("_d", F.lit(0.0)), "_l": F.greatest(-F.col("_d"), F.lit(0.0))})
-    d = d.withColumns({c: F.when(F.col("_d").isNotNull(), F.col(c)) for c in ("_g", "_l")})
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_date", ignore_index=True)
-        g, l = (pdf[c].astype(float).ewm(alpha=1 / window, adjust=False, min_periods=window).mean() for c in ("_g", "_l"))  # noqa: E741
-        return pdf[["ts_code", "trade_date"]].assign(rsi=(100 * g / (g + l)).where(g + l > 0, 50.0).where(g.notna()))
-
-    return d.select("ts_code", "trade_date", "_g", "_l").groupBy("ts_code").applyInPandas(run, f"ts_code {kinds['ts_code']}, trade_date {kinds['trade_date']}, rsi double")
-
+    d = df.select("ts_code", "trade_date", (F.col("adj_close") - F.lag("adj_close").over(frames.history())).alias("_d"))
+    d = d.withColumns({"_up": F.when(F.col("_d").isNotNull(), F.greatest("_d", F.lit(0.0))), "_down": F.when(F.col("_d").isNotNull(), F.greatest(-F.col("_d"), F.lit(0.0)))})
+    d = with_ewm(d, {"_g": "_up", "_l": "_down"}, 1 / window, window)
+    share = F.when(F.col("_g") + F.col("_l") > 0, 100 * F.col("_g") / (F.col("_g") + F.col("_l"))).when(F.col("_g").isNotNull(), 50.0)
+    return d.select("ts_code", "trade_date", share.alias("rsi"))
 
 
 def dataset(base: DataFrame, groups: dict[str, DataFrame], lag: int = 1, window: int = 60, least: int = 20, changes: tuple[int, ...] = (1, 5), extreme: float = 0.9, interactions: tuple[tuple[str, str], ...] = (), time: str = "trade_date") -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelyard.functions import frames
-from panelyard.operators import attribution, diagnostics, holdings, models, regimes, rotation
+from panelyard.operators import attribution, diagnostics, events, holdings, models, outcomes, regimes, rotation, timing
+from panelyard.plans import research_queries, study_queries
 from panelyard.plans.panel_queries import FUTURE_SQL, RETURNS_SQL, W, future, r6, returns
 from panelyard.plans.study_queries import said
 from panelyard.sources.market import weekly_panel
@@ -231,3 +232,106 @@ def holding_statistics(spark, sf_dir):
     calendar, signals, held = _book(spark, sf_dir)
     out = holdings.holding_statistics(held, calendar, signals, "value", "industry_l1_code", 1, 4)
     return said(out, *(c for c in out.columns if not c.startswith(("max", "ended"))))
+
+
+# Filters
+
+
+@query(f"""{RETURNS_SQL}, q AS (SELECT trade_date, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM (SELECT trade_date, CASE WHEN is_liquid THEN step END AS v FROM ret) GROUP BY 1),
+cl AS (SELECT trade_date, ts_code, CASE WHEN is_liquid AND step IS NOT NULL THEN least(greatest(step, lo), hi) END AS v FROM ret JOIN q USING (trade_date)), md AS (SELECT *, CASE WHEN count(v) OVER f >= 2 THEN median(v) OVER f END AS m, row_number() OVER {W} AS k FROM cl WINDOW f AS (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+ew AS (WITH RECURSIVE r AS (SELECT ts_code, k, trade_date, m, m AS y, CASE WHEN m IS NULL THEN 0 ELSE 1 END::DOUBLE AS weight FROM md WHERE k = 1
+ UNION ALL SELECT n.ts_code, n.k, n.trade_date, n.m, CASE WHEN n.m IS NULL THEN r.y WHEN r.y IS NULL THEN n.m ELSE (r.weight * 0.5 * r.y + 0.5 * n.m) / (r.weight * 0.5 + 0.5) END, CASE WHEN n.m IS NULL THEN r.weight * 0.5 ELSE 1 END FROM r JOIN md n ON n.ts_code = r.ts_code AND n.k = r.k + 1) SELECT * FROM r)
+SELECT trade_date, ts_code, {r6('y')} AS denoised FROM ew""")
+def timing_denoised(spark, sf_dir):
+    rows = returns(spark, sf_dir).select("trade_date", "ts_code", F.when(F.col("is_liquid"), F.col("step")).alias("v"))
+    return said(timing.denoised(rows, "v", "denoised").select("trade_date", "ts_code", "denoised"), "denoised")
+
+
+# Memberships: what a backfill would leak, and bridges from members to concepts
+
+_MEMBERS_SQL = f"""{RETURNS_SQL}, cal AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS s FROM (SELECT DISTINCT trade_date FROM ret)), mem AS (SELECT DISTINCT trade_date, 'c' || CASE WHEN k = 0 THEN '0' ELSE industry_l2_code END AS concept_code, ts_code
+ FROM ret, range(2) g(k) WHERE k = 0 AND is_tradeable OR k = 1 AND volume_shares > 20 + ts_code % 40), lst AS (SELECT max(trade_date) AS latest FROM mem), lat AS (SELECT concept_code, ts_code FROM mem, lst WHERE trade_date = latest),
+lk AS (SELECT cal.trade_date, concept_code, ts_code, 'leaked' AS kind FROM lat, cal WHERE NOT EXISTS (SELECT 1 FROM mem m WHERE m.trade_date = cal.trade_date AND m.concept_code = lat.concept_code AND m.ts_code = lat.ts_code)
+ UNION ALL SELECT trade_date, concept_code, ts_code, 'lost' FROM mem WHERE NOT EXISTS (SELECT 1 FROM lat WHERE lat.concept_code = mem.concept_code AND lat.ts_code = mem.ts_code))"""
+
+
+def _members(spark, sf_dir):
+    r = returns(spark, sf_dir)
+    own = r.filter(F.col("volume_shares") > 20 + F.col("ts_code") % 40).select("trade_date", F.concat(F.lit("c"), "industry_l2_code").alias("concept_code"), "ts_code")
+    return r, r.filter("is_tradeable").select("trade_date", F.lit("c0").alias("concept_code"), "ts_code").unionByName(own).distinct()
+
+
+@query(f"{_MEMBERS_SQL} SELECT trade_date, concept_code, ts_code, kind FROM lk")
+def membership_leaks(spark, sf_dir):
+    r, m = _members(spark, sf_dir)
+    return rotation.membership_leaks(m, r.select("trade_date"))
+
+
+@query(f"""{_MEMBERS_SQL}, fl AS (SELECT trade_date, concept_code, ts_code, true AS was, NOT EXISTS (SELECT 1 FROM lk WHERE kind = 'lost' AND lk.trade_date = mem.trade_date AND lk.concept_code = mem.concept_code AND lk.ts_code = mem.ts_code) AS now FROM mem UNION ALL SELECT trade_date, concept_code, ts_code, false, true FROM lk WHERE kind = 'leaked')
+SELECT fl.trade_date, concept_code, count(*) FILTER (was) AS members_then, count(*) FILTER (now) AS members_backfilled, count(*) FILTER (now AND NOT was) AS leaked, count(*) FILTER (was AND NOT now) AS lost, {r6('avg(step) FILTER (was)')} AS mean_then, {r6('avg(step) FILTER (now)')} AS mean_backfilled
+FROM fl LEFT JOIN ret ON ret.trade_date = fl.trade_date AND ret.ts_code = fl.ts_code GROUP BY 1, 2""")
+def membership_lookahead(spark, sf_dir):
+    r, m = _members(spark, sf_dir)
+    return said(rotation.lookahead_effect(m, rotation.membership_leaks(m, r.select("trade_date")), r, "step"), "mean_then", "mean_backfilled")
+
+
+@query(f"""{_MEMBERS_SQL}, sk AS (SELECT trade_date, ts_code, total_mv_cny AS mv, amount_cny AS amount, adj_close / lag(adj_close, 4) OVER {W} - 1 > 0 AS up, step, lag(total_mv_cny) OVER {W} AS mv_before FROM ret WHERE ts_code % 10 <> 3),
+sk2 AS (SELECT trade_date, ts_code, mv, amount, CASE WHEN up THEN 1.0 ELSE 0.0 END AS up, step, mv_before FROM sk), held AS (SELECT * FROM mem WHERE ts_code IN (SELECT ts_code FROM sk)), src AS (SELECT trade_date, concept_code, count(*) AS n FROM mem GROUP BY ALL),
+nw AS (SELECT trade_date, concept_code, count(DISTINCT ts_code) AS matched, sum(mv) AS mv, sum(mv * up) AS upmv, avg(up) AS be, sum(amount) AS amount FROM held JOIN sk2 USING (trade_date, ts_code) GROUP BY ALL),
+nx AS (SELECT trade_date, lead(trade_date) OVER (ORDER BY trade_date) AS nxt FROM (SELECT DISTINCT trade_date FROM sk)), mv AS (SELECT nxt AS trade_date, concept_code, sum(mv_before * step) / nullif(sum(mv_before), 0) AS r FROM held JOIN nx USING (trade_date) JOIN sk2 ON sk2.trade_date = nxt AND sk2.ts_code = held.ts_code GROUP BY ALL)
+SELECT trade_date, concept_code, n AS source_member_count, coalesce(matched, 0) AS matched_member_count, {r6('coalesce(matched, 0) / n')} AS member_match_coverage, {r6('nw.mv')} AS concept_mv, {r6('amount')} AS concept_amount, {r6('be')} AS breadth_equal, {r6('upmv / nullif(nw.mv, 0)')} AS breadth_capital, {r6('r')} AS concept_return, coalesce(matched, 0) BETWEEN 3 AND 50 AS usable
+FROM src LEFT JOIN nw USING (trade_date, concept_code) LEFT JOIN mv USING (trade_date, concept_code)""")
+def concept_bridge(spark, sf_dir):
+    r, m = _members(spark, sf_dir)
+    w = frames.history()
+    up = frames.safe_ratio(F.col("adj_close"), F.lag("adj_close", 4).over(w)) - 1 > 0
+    stocks = r.filter("ts_code % 10 <> 3").select("trade_date", "ts_code", F.col("total_mv_cny").alias("mv"), F.col("amount_cny").alias("amount"), up.alias("up"), "step", F.lag("total_mv_cny").over(w).alias("mv_before"))
+    return said(rotation.bridge(m, stocks, least=3, most=50), "member_match_coverage", "concept_mv", "concept_amount", "breadth_equal", "breadth_capital", "concept_return")
+
+
+# Events: balance of both sides, robustness of outcomes
+
+_PAIRS_SQL = research_queries.ORACLES["event_matching"]
+_COVARIATES = ("log_total_mv", "turnover_rate", "step", "amount_cny")
+
+
+@query(f"""WITH pairs AS ({_PAIRS_SQL}), src AS ({RETURNS_SQL} SELECT trade_date, CAST(ts_code AS VARCHAR) AS code, {', '.join(_COVARIATES)} FROM ret), j AS (SELECT p.*, row_number() OVER (PARTITION BY p.trade_date, event_code ORDER BY control_code) = 1 AS once, {', '.join(f'e.{c} AS e_{c}, c.{c} AS c_{c}' for c in _COVARIATES)}
+ FROM pairs p LEFT JOIN src e ON e.trade_date = p.trade_date AND e.code = p.event_code::VARCHAR LEFT JOIN src c ON c.trade_date = p.trade_date AND c.code = p.control_code::VARCHAR),
+""" + "u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS covariate, once, e_{c} AS e, c_{c} AS c FROM j" for c in _COVARIATES) + f"""), a AS (SELECT covariate, 'event_once' AS weighting, count(e) FILTER (once) AS events, avg(e) FILTER (once) AS em, var_pop(e) FILTER (once) AS ev, count(c) AS controls, avg(c) AS cm, var_pop(c) AS cv FROM u GROUP BY 1
+ UNION ALL SELECT covariate, 'all_pairs', count(e), avg(e), var_pop(e), count(c), avg(c), var_pop(c) FROM u GROUP BY 1), s AS (SELECT *, (em - cm) / nullif(sqrt((ev + cv) / 2), 0) AS smd FROM a)
+SELECT covariate, weighting, events, controls, {r6('em')} AS event_mean, {r6('cm')} AS control_mean, {r6('smd')} AS smd, {r6('abs(smd)')} AS abs_smd FROM s""")
+def event_balance(spark, sf_dir):
+    rows = research_queries._flagged(spark, sf_dir)
+    pairs = events.with_covariates(events.match_controls(rows, ["size"], 3, 1.0), rows, list(_COVARIATES))
+    return said(events.balance(pairs, list(_COVARIATES)), "event_mean", "control_mean", "smd", "abs_smd")
+
+
+_OUT_SQL = f"SELECT * FROM ({study_queries.ORACLES['path_evaluation']})"
+
+
+def _outcomes(spark, sf_dir):
+    return study_queries.path_evaluation(spark, sf_dir)  # shown values: both sides start from the same
+
+
+@query(f"""WITH o AS ({_OUT_SQL}), r AS (SELECT horizon, net_return AS v, row_number() OVER (PARTITION BY horizon ORDER BY net_return DESC) AS k, count(*) OVER (PARTITION BY horizon) AS n FROM o), d AS (SELECT *, greatest(ceil(n * 0.05), 1)::BIGINT AS dropped FROM r)
+SELECT horizon, any_value(n) AS n, any_value(dropped) AS dropped, {r6('avg(v)')} AS mean, {r6('avg(v) FILTER (k > dropped)')} AS trimmed_mean FROM d GROUP BY 1""")
+def outcome_trimmed(spark, sf_dir):
+    return said(outcomes.trimmed(_outcomes(spark, sf_dir), ["horizon"], "net_return", 0.05), "mean", "trimmed_mean")
+
+
+@query(f"""WITH o AS ({_OUT_SQL}), y AS (SELECT horizon, year(trade_date) AS year, count(*) AS n, sum(net_return) AS s, avg(net_return) AS m, avg(CASE WHEN net_return > 0 THEN 1.0 ELSE 0.0 END) AS p FROM o GROUP BY ALL),
+b AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY horizon ORDER BY year) > 3 THEN sum(s) OVER w / sum(n) OVER w END AS mb FROM y WINDOW w AS (PARTITION BY horizon ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT horizon, year, n, {r6('m')} AS mean, {r6('p')} AS positive_ratio, {r6('mb')} AS mean_before, mb * m > 0 AS holds FROM b""")
+def outcome_years(spark, sf_dir):
+    return said(outcomes.yearly(_outcomes(spark, sf_dir), ["horizon"], "net_return"), "mean", "positive_ratio", "mean_before")
+
+
+@query(f"""WITH o AS ({_OUT_SQL}), d AS (SELECT horizon, trade_date, avg(net_return) AS d FROM o GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY greatest(d, 0) DESC, trade_date) AS k, CASE WHEN count(*) OVER w >= 20 THEN sum(d) OVER w END AS r FROM d WINDOW w AS (PARTITION BY horizon ORDER BY trade_date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW))
+SELECT horizon, count(*) AS days, {r6('avg(d) * 52')} AS annual_mean, {r6('avg(d) FILTER (k > 10) * 52')} AS without_best, {r6('sum(greatest(d, 0)) FILTER (k <= 10) / sum(greatest(d, 0))')} AS best_share, {r6('avg(CASE WHEN r > 0 THEN 1.0 WHEN r IS NOT NULL THEN 0.0 END)')} AS rolling_positive_ratio FROM k GROUP BY 1""")
+def outcome_days(spark, sf_dir):
+    return said(outcomes.day_concentration(_outcomes(spark, sf_dir), ["horizon"], "net_return", window=52, least=20, year=52), "annual_mean", "without_best", "best_share", "rolling_positive_ratio")
+
+
+@query(f"""WITH o AS ({_OUT_SQL}), c AS (SELECT horizon, cost_bps, gross_return AS g, (1 + gross_return) * (1 - cost_bps / 20000) - 1 - cost_bps / 20000 AS net FROM o, (SELECT unnest([0.0, 10.0, 20.0, 50.0]::DOUBLE[]) AS cost_bps))
+SELECT horizon, cost_bps, count(*) AS n, {r6('avg(net)')} AS mean_net, {r6('median(net)')} AS median_net, {r6('avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END)')} AS positive_ratio, {r6('CASE WHEN avg(g) > 0 THEN 20000 * avg(g) / (2 + avg(g)) ELSE 0 END')} AS break_even_bps FROM c GROUP BY ALL""")
+def outcome_costs(spark, sf_dir):
+    return said(outcomes.cost_curve(_outcomes(spark, sf_dir), ["horizon"], "gross_return", [0, 10, 20, 50]), "mean_net", "median_net", "positive_ratio", "break_even_bps")
