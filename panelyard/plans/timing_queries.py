@@ -145,11 +145,13 @@ def _worth(v: str) -> str:
     return f"({call} - CASE WHEN put THEN s - strike * exp(-0.02::DOUBLE * years) ELSE 0 END)"
 
 
-@query(f"""{_OPTION_SQL}, nm AS (SELECT oq.*, c AS s, date_diff('day', trade_date, mat) AS days, date_diff('day', trade_date, mat) / 365.0::DOUBLE AS years FROM oq JOIN idx USING (trade_date) WHERE px > 0 AND oq.amount >= 0 AND abs(ln(strike / c)) <= 0.05 AND date_diff('day', trade_date, mat) > 7),
+@query(f"""{_OPTION_SQL}, sp AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS trade_date, avg(p_retailprice) AS c FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1), nm AS (SELECT oq.*, c AS s, date_diff('day', trade_date, mat) AS days, date_diff('day', trade_date, mat) / 365.0::DOUBLE AS years FROM oq JOIN sp USING (trade_date) WHERE px > 0 AND amount >= 0 AND abs(ln(strike / c)) <= 0.05 AND date_diff('day', trade_date, mat) > 7),
 iv AS (SELECT *, list_reduce(list_prepend([1e-4::DOUBLE, 5.0::DOUBLE], list_transform(range(40), lambda k: [0.0::DOUBLE, 0.0::DOUBLE])), lambda a, b: CASE WHEN {_worth('((a[1] + a[2]) / 2)')} > px THEN [a[1], (a[1] + a[2]) / 2] ELSE [(a[1] + a[2]) / 2, a[2]] END) AS e FROM nm WHERE {_worth('1e-4::DOUBLE')} <= px AND px <= {_worth('5.0::DOUBLE')}),
 ok AS (SELECT *, (e[1] + e[2]) / 2 AS v FROM iv WHERE (e[1] + e[2]) / 2 BETWEEN 0.01 AND 1.5) SELECT trade_date, round(avg(v), 3) AS iv_atm FROM (SELECT *, min(days) OVER (PARTITION BY trade_date) AS near FROM ok) WHERE days = near GROUP BY 1""")
 def timing_option_surface(spark, sf_dir):
-    return groups.at_the_money(*_options(spark, sf_dir), _index(returns(spark, sf_dir))).select("trade_date", F.round("iv_atm", 3).alias("iv_atm"))
+    sold = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    spot = groups.index_frame(sold.groupBy(_week("l_shipdate").alias("trade_date")).agg(F.avg("p_retailprice").alias("close")))
+    return groups.at_the_money(*_options(spark, sf_dir), spot).select("trade_date", F.round("iv_atm", 3).alias("iv_atm"))
 
 
 @query(f"""{_OPTION_SQL}, iv AS (SELECT trade_date, avg(turnover_rate) * 4 AS iv_atm FROM ret WHERE is_liquid GROUP BY 1), lr AS (SELECT *, ln(c) - ln(lag(c) OVER (ORDER BY trade_date)) AS l FROM idx), rv AS (SELECT trade_date, ({_roll('l', 20, 10, 'stddev_samp')}) * sqrt(252) AS real FROM lr),
