@@ -25,7 +25,7 @@ def _compound(r: Column, size: int) -> Column:
     return frames.compound(r, size, _market())
 
 
-def breadth_regimes(panel: DataFrame, long: int = 20, change: int = 5, cap: str = "total_mv_cny") -> DataFrame:
+def breadth_regimes(panel: DataFrame, long: int = 20, change: int = 5, cap: str = "circ_mv_cny") -> DataFrame:
     """trade_date, market_breadth, breadth_change, market_return, regime: repair, overheat or retreat."""
     s = _stocks(panel, long, cap).filter("is_tradeable")
     daily = s.groupBy("trade_date").agg(
@@ -39,7 +39,7 @@ def breadth_regimes(panel: DataFrame, long: int = 20, change: int = 5, cap: str
     return daily.select("trade_date", "market_breadth", "breadth_change", "market_return", regime.alias("regime"))
 
 
-def document_regimes(panel: DataFrame, long: int = 20, change: int = 5, spread: int = 10, usual: int = 120, least: int = 60, busy: float = 1.15, cap: str = "total_mv_cny") -> DataFrame:
+def document_regimes(panel: DataFrame, long: int = 20, change: int = 5, spread: int = 10, usual: int = 120, least: int = 60, busy: float = 1.15, cap: str = "circ_mv_cny") -> DataFrame:
     """trade_date and regime: overheat, retreat, repair, divergence or neutral, the first that holds; and what it rests on.
 
     Overheated breadth is above the 80 % quantile of its own past; the size spread is

@@ -34,33 +34,52 @@ def industry_and_size(df: DataFrame, y: str, size: str, industry: str, out: str,
     return d.withColumn(out, F.when(enough, F.col("_y") - slope * F.col("_x"))).drop("_y", "_x")
 
 
-def least_squares(df: DataFrame, y: str, controls: list[str], by: list[str], least: int, out: str, ridge: float = 0.0, standardize: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """by, keep, out: residual of y on several controls within each group (a date, or a date and industry: one cross-section)."""
+def fitted(values: np.ndarray, least: int, ridge: float = 0.0, standardize: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Residuals of the first column on an intercept and the others (NaN for rows that lack a value), and the slopes; no slopes from fewer than ``least`` rows.
+
+    A standardized control that does not vary has the slope 0; the ridge leaves the intercept alone.
+    """
+    ok = np.isfinite(values).all(axis=1)
+    res = np.full(len(values), np.nan)
+    if ok.sum() < least:
+        return res, None
+    t, x = values[ok, 0], values[ok, 1:]
+    scale, keep = np.ones(x.shape[1]), np.ones(x.shape[1], bool)
+    if standardize:
+        scale = x.std(axis=0)
+        keep = scale > 1e-12
+        x = (x[:, keep] - x[:, keep].mean(axis=0)) / scale[keep]
+    design = np.column_stack([np.ones(len(t)), x])
+    if ridge:
+        penalty = ridge * np.eye(design.shape[1])
+        penalty[0, 0] = 0.0
+        beta = np.linalg.solve(design.T @ design + penalty, design.T @ t)
+    else:
+        beta = np.linalg.lstsq(design, t, rcond=None)[0]
+    res[ok] = t - design @ beta
+    slopes = np.zeros(len(keep))
+    slopes[keep] = beta[1:] / scale[keep]
+    return res, slopes
+
+
+def missing(values: np.ndarray, index) -> pd.Series:
+    """``values`` with None where they are not finite."""
+    return pd.Series(values, index=index).astype(object).where(np.isfinite(values), None)
+
+
+def least_squares(df: DataFrame, y: str, controls: list[str], by: list[str], least: int, out: str, ridge: float = 0.0, standardize: bool = False, keep: list[str] | None = None, slopes: bool = False) -> DataFrame:
+    """by, keep, out (and ``slopes``, an array): residual of y on several controls within each group (a date, or a date and industry: one cross-section)."""
     keep = keep or ["trade_date", "ts_code"]
     cols = list(dict.fromkeys([*by, *keep, y, *controls]))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     names = list(dict.fromkeys([*by, *keep]))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf[[y, *controls]].to_numpy(float)
-        ok = np.isfinite(values).all(axis=1)
-        res = np.full(len(pdf), np.nan)
-        if ok.sum() >= max(least, len(controls) + 2):
-            t, x = values[ok, 0], values[ok, 1:]
-            if standardize:
-                sd = x.std(axis=0)
-                x = (x - x.mean(axis=0))[:, sd > 1e-12] / sd[sd > 1e-12]
-            design = np.column_stack([np.ones(len(t)), x])
-            if ridge:
-                penalty = ridge * np.eye(design.shape[1])
-                penalty[0, 0] = 0.0
-                beta = np.linalg.solve(design.T @ design + penalty, design.T @ t)
-            else:
-                beta = np.linalg.lstsq(design, t, rcond=None)[0]
-            res[ok] = t - design @ beta
-        return pdf[names].assign(**{out: pd.Series(res, index=pdf.index).astype(object).where(np.isfinite(res), None)})
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", `{out}` double"
+        res, found = fitted(pdf[[y, *controls]].to_numpy(float), max(least, len(controls) + 2), ridge, standardize)
+        made = pdf[names].assign(**{out: missing(res, pdf.index)})
+        return made.assign(slopes=[None if found is None else found.tolist()] * len(pdf)) if slopes else made
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", `{out}` double" + ", slopes array<double>" * slopes
     return df.select(*cols).groupBy(*by).applyInPandas(solve, schema)
 
 

@@ -187,7 +187,7 @@ def regime_state_alignment(spark, sf_dir):
 
 
 def regime_mixture_walk(spark, sf_dir):
-    daily = regimes.breadth_regimes(weekly_panel(spark, sf_dir)).select("trade_date", "market_breadth", (F.col("market_return") * 10).alias("market_return"))
+    daily = regimes.breadth_regimes(weekly_panel(spark, sf_dir), cap="total_mv_cny").select("trade_date", "market_breadth", (F.col("market_return") * 10).alias("market_return"))
     return models.mixture_walk_forward(daily, ["market_breadth", "market_return"], 3, 104, 4)
 
 

@@ -114,7 +114,7 @@ m AS (SELECT trade_date, market_breadth, market_breadth - lag(market_breadth, 5)
 SELECT trade_date, {r6('market_breadth')} AS market_breadth, {r6('breadth_change')} AS breadth_change, {r6('market_return')} AS market_return,
  CASE WHEN market_return > 0 AND breadth_change > 0 AND market_breadth >= 0.3 AND market_breadth < 0.7 THEN 'repair' WHEN market_return > 0 AND market_breadth >= 0.7 THEN 'overheat' ELSE 'retreat' END AS regime FROM m""")
 def regime_breadth(spark, sf_dir):
-    return said(regimes.breadth_regimes(weekly_panel(spark, sf_dir)), "market_breadth", "breadth_change", "market_return")
+    return said(regimes.breadth_regimes(weekly_panel(spark, sf_dir), cap="total_mv_cny"), "market_breadth", "breadth_change", "market_return")
 
 
 def _edge(k: int) -> str:
@@ -137,7 +137,7 @@ m AS (SELECT *, market_breadth - lag(market_breadth, 5) OVER (ORDER BY trade_dat
 SELECT trade_date, {r6('market_breadth')} AS market_breadth, {r6('amount_ratio')} AS amount_ratio, {r6('breadth_change')} AS breadth_change, {r6('market_return')} AS market_return, {r6('size_spread')} AS size_spread,
  CASE WHEN market_return > 0 AND market_breadth >= breadth_high AND amount_ratio >= 1.15 THEN 'overheat' WHEN market_return <= 0 AND breadth_change <= 0 THEN 'retreat' WHEN market_return > 0 AND breadth_change > 0 AND size_spread > 0 THEN 'repair' WHEN market_return > 0 AND size_spread <= 0 THEN 'divergence' ELSE 'neutral' END AS regime FROM m""")
 def regime_document(spark, sf_dir):
-    return said(regimes.document_regimes(weekly_panel(spark, sf_dir)), "market_breadth", "amount_ratio", "breadth_change", "market_return", "size_spread")
+    return said(regimes.document_regimes(weekly_panel(spark, sf_dir), cap="total_mv_cny"), "market_breadth", "amount_ratio", "breadth_change", "market_return", "size_spread")
 
 
 # Judging
@@ -242,10 +242,10 @@ def shrunk_utility(spark, sf_dir):
     return said(gates.shrunk_utility(future(spark, sf_dir), ["industry_l2_code"], "turnover_rate", "fwd", 50.0), "utility")
 
 
-@query(f"""{FUTURE_SQL}, me AS (SELECT trade_date, industry_l2_code AS concept_code, ts_code, adj_close / lag(adj_close, 8) OVER {W} - 1 AS momentum, fwd FROM fut), co AS (SELECT trade_date, concept_code, avg(momentum) AS momentum FROM me GROUP BY ALL),
-ch AS (SELECT trade_date, concept_code, momentum AS concept_momentum FROM co WHERE momentum IS NOT NULL QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY round(momentum, 9) DESC, concept_code) <= 10),
+@query(f"""{FUTURE_SQL}, me AS (SELECT trade_date, industry_l2_code AS concept_code, ts_code, adj_close / lag(adj_close, 8) OVER {W} - 1 AS momentum, fwd FROM fut), co AS (SELECT trade_date, concept_code, round(avg(momentum), 9) AS momentum FROM me GROUP BY ALL),
+ch AS (SELECT trade_date, concept_code, momentum AS concept_momentum FROM co WHERE momentum IS NOT NULL QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY momentum DESC, concept_code) <= 10),
 pk AS (SELECT me.* FROM me JOIN ch USING (trade_date, concept_code) WHERE momentum IS NOT NULL QUALIFY row_number() OVER (PARTITION BY trade_date, concept_code ORDER BY momentum DESC, ts_code) <= 3),
-bs AS (SELECT trade_date, concept_code, count(*) AS basket_stocks, avg(momentum) AS core_momentum, stddev_pop(momentum) AS core_spread, CASE WHEN count(fwd) >= 2 THEN round(avg(fwd) - 0.003, 9) END AS net FROM pk GROUP BY ALL),
+bs AS (SELECT trade_date, concept_code, count(*) AS basket_stocks, avg(momentum) AS core_momentum, stddev_pop(momentum) AS core_spread, CASE WHEN count(fwd) >= 2 THEN avg(fwd) - 0.003 END AS net FROM pk GROUP BY ALL),
 al AS (SELECT ch.*, basket_stocks, core_momentum, core_spread, net, row_number() OVER v AS r, count(net) OVER (PARTITION BY trade_date) AS n, sum(CASE WHEN basket_stocks >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY trade_date) AS usable FROM ch LEFT JOIN bs USING (trade_date, concept_code) WINDOW v AS (PARTITION BY trade_date, net IS NOT NULL ORDER BY net, concept_code))
 SELECT trade_date, concept_code, {r6('concept_momentum')} AS concept_momentum, basket_stocks, {r6('core_momentum')} AS core_momentum, {r6('core_spread')} AS core_spread, {r6('net')} AS net_forward, CASE WHEN net IS NOT NULL AND n >= 5 THEN CAST(least(ceil(r / n * 5) - 1, 4) AS INT) END AS relevance FROM al WHERE usable >= 5""")
 def basket_labels(spark, sf_dir):
@@ -398,9 +398,15 @@ def value_features(spark, sf_dir):
     year = F.avg("amount_cny").over(w.rowsBetween(-64, -52))
     p = p.withColumns({
         "revenue_ttm": amount * 52, "net_assets": F.col("total_mv_cny") / (1 + F.col("ts_code") % 3), "roe_ttm": amount / F.col("total_mv_cny"), "revenue_growth_yoy": frames.safe_ratio(amount, year) - 1,
-        "roe_change_yoy": (amount - year) / F.col("total_mv_cny"), "debt_to_assets": (F.col("ts_code") % 7) / 10.0, "net_profit_ttm": amount - year,
+        "log_circ_mv": F.ln(F.col("total_mv_cny") * (1 - (F.col("ts_code") % 5) / 10.0)), "roe_change_yoy": (amount - year) / F.col("total_mv_cny"), "debt_to_assets": (F.col("ts_code") % 7) / 10.0, "net_profit_ttm": amount - year,
     })
     return value.value_features(p, value.Parameters(revision=4, formation=12, skip=4, delay_window=26, delay_change=4, least=12))
 
 
 QUERIES["value_features"] = value_features
+
+
+@query(f"""{FUTURE_SQL}, lb AS (SELECT trade_date, ts_code, is_tradeable, fwd, lead(adj_open, 6) OVER {W} / lead(adj_open, 1) OVER {W} - 1 AS f5 FROM fut)
+SELECT trade_date, ts_code, {r6('fwd - avg(fwd) FILTER (is_tradeable) OVER (PARTITION BY trade_date)')} AS label_2d, {r6('f5 - avg(f5) FILTER (is_tradeable) OVER (PARTITION BY trade_date)')} AS label_5d FROM lb""")
+def value_labels(spark, sf_dir):
+    return said(value.value_labels(weekly_panel(spark, sf_dir), (2, 5)), "label_2d", "label_5d")

@@ -25,7 +25,7 @@ def test_a_chain_of_residuals_is_plain_least_squares_step_by_step(spark):
     pdf = pd.DataFrame({"trade_date": np.repeat(sessions(3), n // 3), "g": np.tile(np.repeat(["a", "b"], 15), 3), "ts_code": np.tile(np.arange(30), 3), **{c: rng.normal(size=n) for c in "xyzw"}})
     pdf.loc[4, "y"] = None
     steps = [value.Step("r1", "y", ("x",), 2.0), value.Step("r2", "z", ("r1", "x")), value.Step("r3", "w", ("r2", "r1"))]
-    got = {(r["trade_date"], r["ts_code"]): r for r in value.residual_chain(spark.createDataFrame(pdf), steps, ["trade_date", "g"], 5, "r2").collect()}
+    got = {(r["trade_date"], r["ts_code"]): r for r in value.residual_chain(spark.createDataFrame(pdf), steps, ["trade_date", "g"], 5).collect()}
     for _, group in pdf.groupby(["trade_date", "g"]):
         known = {c: group[c].to_numpy(float) for c in "xyzw"}
         for s in steps:
@@ -34,22 +34,107 @@ def test_a_chain_of_residuals_is_plain_least_squares_step_by_step(spark):
             for s in steps:
                 want = known[s.out][i]
                 assert got[d, code][s.out] == (None if np.isnan(want) else pytest.approx(want, abs=1e-9))
-            assert len(got[d, code]["slopes"]) == 2
 
 
-def test_value_features_are_standardized_and_end_where_windows_do(spark):
+def plain_value_features(panel, p):
+    """The eight features by loops over dates and industries; pandas windows of each security."""
+    d = panel.sort_values(["ts_code", "trade_date"], ignore_index=True)
+    by, code = d.groupby("ts_code"), d["ts_code"]
+    shifted = lambda x, k: x.groupby(code).shift(k)
+
+    def roll(x, k, how="mean", shift=0):
+        return (shifted(x, shift) if shift else x).groupby(code).rolling(k, min_periods=k).agg(how).reset_index(level=0, drop=True).reindex(d.index)
+
+    pos = lambda x: x.where(x > 0)
+    ret = np.log(pos(d["adj_close"])).groupby(code).diff()
+    cell = [d["trade_date"], d["industry_l1_code"].fillna("none")]
+    n, total = ret.notna().groupby(cell).transform("sum"), ret.fillna(0).groupby(cell).transform("sum")
+    peers = (total - ret) / (n - 1).replace(0, np.nan)
+    rel = ret - peers
+    ill, turn = ret.abs() / (pos(d["amount_cny"]) / 1e8), d["turnover_rate"].where(d["turnover_rate"] >= 0)
+    change = lambda x: np.log(pos(roll(x, p.confirmation))) - np.log(pos(roll(x, p.liquidity, shift=p.confirmation)))
+
+    def res(y, xs, ridge=0.0):
+        v, out = np.column_stack([y, *xs]), np.full(len(d), np.nan)
+        for _, rows in d.dropna(subset=["industry_l1_code"]).groupby(["trade_date", "industry_l1_code"]):
+            at = rows.index.to_numpy()
+            at = at[np.isfinite(v[at]).all(axis=1)]
+            if len(at) >= max(p.least, len(xs) + 3):
+                x = v[at, 1:]
+                x = x[:, x.std(axis=0) > 1e-12]
+                z = (x - x.mean(axis=0)) / x.std(axis=0)
+                y0 = v[at, 0] - v[at, 0].mean()
+                out[at] = y0 - z @ np.linalg.lstsq(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ y0, rcond=None)[0]
+        return pd.Series(out)
+
+    fund = [np.log(pos(d["revenue_ttm"])), np.log(pos(d["net_assets"])), d["roe_ttm"], d["revenue_growth_yoy"], d["roe_change_yoy"], d["debt_to_assets"], (d["net_profit_ttm"] <= 0) * 1.0]
+    gap = -res(d["log_total_mv"], fund, p.ridge)
+    days, slopes = sorted(d["trade_date"].unique()), {}
+    v = np.column_stack([d["log_total_mv"], *fund])
+    for key, rows in d.dropna(subset=["industry_l1_code"]).groupby(["trade_date", "industry_l1_code"]):
+        at = rows.index[np.isfinite(v[rows.index]).all(axis=1)]
+        if len(at) >= max(p.least, len(fund) + 3):
+            x, y = v[at, 1:], v[at, 0]
+            sd = x.std(axis=0)
+            use = sd > 1e-12
+            z = (x[:, use] - x[:, use].mean(axis=0)) / sd[use]
+            b = np.zeros(len(fund))
+            b[use] = np.linalg.solve(z.T @ z + p.ridge * np.eye(use.sum()), z.T @ (y - y.mean())) / sd[use]
+            slopes[key] = b
+    revision = np.full(len(d), np.nan)
+    before = {c: shifted(x, p.revision) for c, x in enumerate(fund)}
+    group_before = shifted(d["industry_l1_code"], p.revision)
+    for i in d.index:
+        k = days.index(d["trade_date"][i]) - p.revision
+        b = slopes.get((days[k], d["industry_l1_code"][i])) if k >= 0 else None
+        if b is not None and group_before[i] == d["industry_l1_code"][i]:
+            parts = [b[c] * (fund[c][i] - before[c][i]) for c in before]
+            revision[i] = np.nansum(parts) if np.isfinite(parts).any() else np.nan
+    vol, moved, size = roll(ret, 20, "std"), roll(ret.abs(), 5, "sum"), d["log_circ_mv"]
+    f1 = res(gap, [np.log(pos(roll(ill, 20))), np.log(pos(roll(turn, 20))), vol, size], p.ridge)
+    f2 = res(revision, [f1])
+    f8 = res(roll(rel, p.formation, "sum", p.skip), [f1, f2])
+    f3 = res(-roll(rel, p.pullback, "sum", p.pullback_skip), [f1, f2, f8])
+    f4 = res(roll(rel, p.confirmation, "sum"), [f3, f8, -rel, vol])
+    f5 = res(-change(ill), [moved, vol, f3, f4])
+    f6 = res(change(turn), [moved, vol, f5, size, f3, f4])
+
+    def corr(a, b):
+        k = p.delay_window
+        ma, mb = roll(a, k), roll(b, k)
+        spread = (roll(a * a, k) - ma * ma).clip(lower=0) * (roll(b * b, k) - mb * mb).clip(lower=0)
+        return ((roll(a * b, k) - ma * mb) / np.sqrt(spread).replace(0, np.nan)).abs()
+
+    now, later = corr(ret, peers), sum(corr(ret, shifted(peers, k)).fillna(0) for k in range(1, p.delay_lags + 1))
+    delay = later / (now + later).replace(0, np.nan)
+    f7 = res(shifted(delay, p.delay_change) - delay, [f4, f5, f6])
+    out = d[["trade_date", "ts_code"]].copy()
+    for name, f in zip(value.FEATURES, (f1, f2, f8, f3, f4, f5, f6, f7)):
+        g = f.groupby(d["trade_date"])
+        mid = g.transform("median")
+        mad = (f - mid).abs().groupby(d["trade_date"]).transform("median")
+        f = f.where(~(mad > 0), f.clip(mid - p.mad_scale * mad, mid + p.mad_scale * mad))
+        g = f.groupby(d["trade_date"])
+        out[name] = (f - g.transform("mean")) / g.transform(lambda x: x.std(ddof=0)).replace(0, np.nan)
+    return out
+
+
+def test_value_features_are_those_of_plain_loops(spark):
     rng = np.random.default_rng(2)
     panel = make_panel(45, 24).sort_values(["ts_code", "trade_date"], ignore_index=True)
     n = len(panel)
-    panel = panel.assign(adj_close=panel["adj_close"] * np.exp(rng.normal(0, 0.02, n)), amount_cny=rng.uniform(1e7, 1e8, n), turnover_rate=rng.uniform(0.5, 3, n), log_total_mv=np.log(panel["total_mv_cny"]) + rng.normal(0, 0.1, n))
+    panel = panel.assign(adj_close=panel["adj_close"] * np.exp(rng.normal(0, 0.02, n)), amount_cny=rng.uniform(1e7, 1e8, n), turnover_rate=rng.uniform(0.5, 3, n), log_total_mv=np.log(panel["total_mv_cny"]) + rng.normal(0, 0.1, n), log_circ_mv=rng.normal(20, 1, n))
     panel = panel.assign(**{c: rng.uniform(1, 5, n) for c in value.FUNDAMENTALS})
+    panel["net_profit_ttm"] -= 3
+    panel["industry_l1_code"] = panel["industry_l1_code"].astype(object).where(panel["ts_code"] != panel["ts_code"].iloc[-1], None)  # one without an industry
     p = value.Parameters(revision=3, formation=8, skip=3, pullback=6, pullback_skip=2, liquidity=8, delay_window=12, delay_lags=2, delay_change=3, least=10)
-    got = value.value_features(spark.createDataFrame(panel), p).toPandas()
-    assert len(got) == n and set(value.FEATURES) <= set(got.columns)
+    got = value.value_features(spark.createDataFrame(panel), p).toPandas().sort_values(["ts_code", "trade_date"], ignore_index=True)
+    want = plain_value_features(panel, p)
+    assert len(got) == n and (got["ts_code"] == want["ts_code"]).all()
     for name in value.FEATURES:
-        days = got.dropna(subset=[name]).groupby("trade_date")[name]
-        assert days.ngroups > 5 and np.allclose(days.mean(), 0, atol=1e-9) and np.allclose(days.std(ddof=0), 1, atol=1e-9), name
-    assert got.loc[got["trade_date"] < sessions(45)[20], "value_gap"].isna().all()
+        assert want[name].notna().sum() > 100, name
+        assert np.allclose(got[name].to_numpy(float), want[name].to_numpy(float), atol=1e-6, equal_nan=True), name
+    assert got[got["ts_code"] == panel["ts_code"].iloc[-1]][list(value.FEATURES)].isna().all().all()
 
 
 def test_revision_uses_the_slopes_of_then(spark):
@@ -64,13 +149,14 @@ def test_revision_uses_the_slopes_of_then(spark):
     for (d, g), rows in panel.groupby(["trade_date", "industry_l1_code"]):
         at = days.index(d)
         own = got[(got["trade_date"] == d) & (got["industry_l1_code"] == g)].set_index("ts_code")
-        res, _ = value.residual_of(rows["log_total_mv"].to_numpy(), x.loc[rows.index].to_numpy(), 10, 5.0)
-        assert np.allclose(own.loc[rows["ts_code"], "gap"], -res)
+        assert np.allclose(own.loc[rows["ts_code"], "gap"], -plain_residual(rows["log_total_mv"].to_numpy(), x.loc[rows.index].to_numpy(), 10, 5.0))
         if at < 2:
             assert own["revision"].isna().all()
             continue
         then = panel[(panel["trade_date"] == days[at - 2]) & (panel["industry_l1_code"] == g)]
-        _, slopes = value.residual_of(then["log_total_mv"].to_numpy(), x.loc[then.index].to_numpy(), 10, 5.0)
+        past, y = x.loc[then.index].to_numpy(), then["log_total_mv"].to_numpy()
+        z = (past - past.mean(axis=0)) / past.std(axis=0)
+        slopes = np.linalg.solve(z.T @ z + 5.0 * np.eye(z.shape[1]), z.T @ (y - y.mean())) / past.std(axis=0)
         assert np.allclose(own.loc[rows["ts_code"], "revision"], (x.loc[rows.index].to_numpy() - x.loc[then.index].to_numpy()) @ slopes)
 
 
