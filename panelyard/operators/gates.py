@@ -89,16 +89,19 @@ def conditional_grid(rows: DataFrame, scores: Mapping[str, Column], conditions:
     return stats.daily_ic(each, "x", "y", ["score", "condition", "horizon"], least=least)
 
 
-def relation_drift(daily: DataFrame, axes: list[str], value: str, recent: int, baseline: int, smooth: int = 10, threshold: float = 2.0, persistence: int = 3, cusum: bool = False) -> DataFrame:
-    """axes, baseline_mean, recent_mean, delta, robust_z, cusum, persistence_days, is_drift of each series.
+def relation_drift(daily: DataFrame, axes: list[str], value: str, recent: int, baseline: int, smooth: int = 10, threshold: float = 2.0, persistence: int = 3, cusum: bool = False, medium: int = 60, least_recent: int = 1) -> DataFrame:
+    """axes, days of both windows, their means and that of the last ``medium`` values, delta, robust_z, cusum, persistence_days, direction, is_drift of each series.
+
+    A drift needs ``least_recent`` recent values, and the last ``persistence`` of them on its side.
 
     The scale is 1.4826 median absolute deviations of the baseline, or its deviation where that is none.
     """
     newest = Window.partitionBy(*axes).orderBy(F.desc("trade_date"))
-    rows = daily.filter(F.col(value).isNotNull()).select(*axes, "trade_date", F.col(value).alias("v")).withColumn("k", F.row_number().over(newest)).filter(F.col("k") <= recent + baseline)
-    whole, old = Window.partitionBy(*axes), F.when(F.col("k") > recent, F.col("v"))
+    rows = daily.filter(F.col(value).isNotNull()).select(*axes, "trade_date", F.col(value).alias("v")).withColumn("k", F.row_number().over(newest)).filter(F.col("k") <= max(recent + baseline, medium))
+    whole, old = Window.partitionBy(*axes), F.when((F.col("k") > recent) & (F.col("k") <= recent + baseline), F.col("v"))
     rows = rows.withColumn("center", F.median(old).over(whole)).withColumn("mean", F.avg(old).over(whole))
     rows = rows.withColumn("mad", 1.4826 * F.median(F.abs(old - F.col("center"))).over(whole)).withColumn("scale", F.when(F.col("mad") > 1e-12, F.col("mad")).otherwise(F.stddev_pop(old).over(whole)))
+    rows = rows.withColumns({"medium": F.avg(F.when(F.col("k") <= medium, F.col("v"))).over(whole), "old_days": F.count(old).over(whole)})
     now = rows.filter(F.col("k") <= recent).withColumn("delta", F.avg("v").over(whole) - F.col("mean")).withColumn("n", F.count("*").over(whole))
     time = Window.partitionBy(*axes).orderBy("trade_date")
     walk = F.abs(F.sum(frames.safe_ratio(F.col("v") - F.col("mean"), F.col("scale"))).over(time.rowsBetween(Window.unboundedPreceding, 0)))
@@ -106,12 +109,13 @@ def relation_drift(daily: DataFrame, axes: list[str], value: str, recent: int, b
     moved = F.coalesce((frames.rolling(F.col("v"), smooth, w=time) - F.col("mean")) * sign > F.col("scale") / math.sqrt(smooth), F.lit(False))
     now = now.withColumn("walk", walk).withColumn("moved", moved)
     out = now.groupBy(*axes).agg(
-        F.first("mean").alias("baseline_mean"), F.avg("v").alias("recent_mean"), F.first("delta").alias("delta"), F.first("scale").alias("scale"), F.first("n").alias("n"), F.max("walk").alias("walk"),
+        F.first("old_days").alias("baseline_days"), F.count("*").alias("recent_days"), F.first("mean").alias("baseline_mean"), F.first("medium").alias("medium_mean"), F.avg("v").alias("recent_mean"), F.first("delta").alias("delta"), F.first("scale").alias("scale"), F.first("n").alias("n"), F.max("walk").alias("walk"),
         F.coalesce(F.min(F.when(~F.col("moved"), F.col("k"))) - 1, F.first("n")).cast("long").alias("persistence_days"),
     )
     out = out.withColumns({"robust_z": frames.safe_ratio(F.col("delta"), F.col("scale") / F.sqrt("n")), "cusum": F.col("walk") / F.sqrt("n")})
-    drifts = F.coalesce((F.abs(F.col("cusum" if cusum else "robust_z")) >= threshold) & (F.col("persistence_days") >= persistence), F.lit(False))
-    return out.select(*axes, "baseline_mean", "recent_mean", "delta", "robust_z", "cusum", "persistence_days", drifts.alias("is_drift"))
+    drifts = F.coalesce((F.abs(F.col("cusum" if cusum else "robust_z")) >= threshold) & (F.col("persistence_days") >= persistence) & (F.col("recent_days") >= least_recent), F.lit(False))
+    direction = F.when(F.col("delta") > 0, "strengthening").when(F.col("delta") < 0, "weakening").otherwise("none")
+    return out.select(*axes, "baseline_days", "recent_days", "baseline_mean", "medium_mean", "recent_mean", "delta", "robust_z", "cusum", "persistence_days", direction.alias("direction"), drifts.alias("is_drift"))
 
 
 def year_slices(daily: DataFrame, axes: list[str], strategy: str, benchmark: str, sessions: int = 252) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelyard.functions import frames
-from panelyard.operators import attribution, diagnostics, events, holdings, models, outcomes, regimes, rotation, timing
+from panelyard.operators import attribution, diagnostics, events, health, holdings, models, outcomes, regimes, rotation, timing
 from panelyard.plans import research_queries, study_queries
 from panelyard.plans.panel_queries import FUTURE_SQL, RETURNS_SQL, W, future, r6, returns
 from panelyard.plans.study_queries import said
@@ -335,3 +335,46 @@ def outcome_days(spark, sf_dir):
 SELECT horizon, cost_bps, count(*) AS n, {r6('avg(net)')} AS mean_net, {r6('median(net)')} AS median_net, {r6('avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END)')} AS positive_ratio, {r6('CASE WHEN avg(g) > 0 THEN 20000 * avg(g) / (2 + avg(g)) ELSE 0 END')} AS break_even_bps FROM c GROUP BY ALL""")
 def outcome_costs(spark, sf_dir):
     return said(outcomes.cost_curve(_outcomes(spark, sf_dir), ["horizon"], "gross_return", [0, 10, 20, 50]), "mean_net", "median_net", "positive_ratio", "break_even_bps")
+
+
+# Health of a factor
+
+
+def _decile_edges(q: int) -> str:
+    parts = []
+    for k in range(1, q):
+        x = f"((n - 1) * {(k * (1.0 / q)) * 100 / 100!r}::DOUBLE)"
+        low, high, part = f"(floor({x}) + 1)", f"least(floor({x}) + 2, n)", f"({x} - floor({x}))"
+        parts.append(f"CAST((CASE WHEN {part} < 0.5 THEN {low} + ({high} - {low}) * {part} ELSE {high} - ({high} - {low}) * (1 - {part}) END) < k AS INT)")
+    return " + ".join(["1", *parts])
+
+
+_HEALTH = ("rank_ic", "pearson_ic", "decile_monotonicity", "top_decile_return", "bottom_decile_return", "decile_spread", "score_dispersion", "top_bottom_score_gap", "top_decile_turnover", "holding_overlap", "top_stock_concentration", "amount_cny")
+_HEALTH_SQL = f"""{FUTURE_SQL}, pr AS (SELECT trade_date, ts_code, step AS x, fwd AS y, amount_cny, count(*) OVER (PARTITION BY trade_date) AS n FROM fut WHERE step IS NOT NULL AND fwd IS NOT NULL), rk AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY x, ts_code) AS k, {_AVG.format(by='trade_date', x='x')} AS xr, {_AVG.format(by='trade_date', x='y')} AS yr FROM pr WHERE n >= 10),
+bk AS (SELECT *, {_decile_edges(5)} AS d, k / n > 1.0::DOUBLE - 1.0::DOUBLE / 5 AS top, k / n <= 1.0::DOUBLE / 5 AS low FROM rk), dm AS (SELECT trade_date, d, avg(y) AS m FROM bk GROUP BY ALL), dr AS (SELECT *, {_AVG.format(by='trade_date', x='m')} AS r FROM dm), mono AS (SELECT trade_date, CASE WHEN count(*) >= 3 THEN corr(d, r) END AS decile_monotonicity, max(m) FILTER (d = 5) AS t, max(m) FILTER (d = 1) AS b FROM dr GROUP BY 1),
+ag AS (SELECT trade_date, any_value(n) AS observation_count, corr(xr, yr) AS rank_ic, corr(x, y) AS pearson_ic, stddev_samp(x) AS score_dispersion, avg(x) FILTER (top) - avg(x) FILTER (low) AS top_bottom_score_gap, max(abs(x)) FILTER (top) / sum(abs(x)) FILTER (top) AS top_stock_concentration, count(*) FILTER (top) AS held, avg(amount_cny) AS amount_cny FROM bk GROUP BY 1),
+st AS (SELECT *, row_number() OVER (ORDER BY trade_date) AS s, lag(held) OVER (ORDER BY trade_date) AS had FROM ag), tp AS (SELECT s, ts_code FROM bk JOIN st USING (trade_date) WHERE top), kp AS (SELECT a.s, count(*) AS kept FROM tp a JOIN tp b ON a.ts_code = b.ts_code AND a.s = b.s + 1 GROUP BY 1),
+dh AS (SELECT st.*, decile_monotonicity, t AS top_decile_return, b AS bottom_decile_return, t - b AS decile_spread, CASE WHEN had IS NOT NULL THEN coalesce(kept, 0) / (held + had - coalesce(kept, 0)) END AS holding_overlap FROM st JOIN mono USING (trade_date) LEFT JOIN kp USING (s)), hd AS (SELECT *, 1 - holding_overlap AS top_decile_turnover FROM dh)"""
+
+
+def _daily_health(spark, sf_dir):
+    return health.daily_health(future(spark, sf_dir), "step", "fwd", 5, 10, context=["amount_cny"])
+
+
+@query(f"{_HEALTH_SQL} SELECT trade_date, observation_count, {', '.join(f'{r6(c)} AS {c}' for c in _HEALTH)} FROM hd")
+def health_daily(spark, sf_dir):
+    return said(_daily_health(spark, sf_dir).select("trade_date", "observation_count", *_HEALTH), *_HEALTH)
+
+
+def _trail(x: str, size: int, f: str = "avg") -> str:
+    frame = f"(ORDER BY trade_date ROWS BETWEEN {size - 1} PRECEDING AND CURRENT ROW)"
+    return f"(CASE WHEN count({x}) OVER {frame} >= {max(5, size // 2)} THEN {f}({x}) OVER {frame} END)"
+
+
+_ROLLED = tuple(f"{n}_{k}" for n in ("rolling_rank_ic", "icir", "spread") for k in (20, 60, 120)) + tuple(f"{n}_velocity_{a}_{b}" for n in ("spread", "ic") for a, b in ((20, 60), (60, 120)))
+
+
+@query(f"""{_HEALTH_SQL}, rl AS (SELECT trade_date, {', '.join(f"{_trail('rank_ic', k)} AS rolling_rank_ic_{k}, {_trail('rank_ic', k)} / nullif({_trail('rank_ic', k, 'stddev_samp')}, 0) AS icir_{k}, {_trail('decile_spread', k)} AS spread_{k}" for k in (20, 60, 120))} FROM hd),
+rv AS (SELECT *, {', '.join(f'spread_{a} - spread_{b} AS spread_velocity_{a}_{b}, rolling_rank_ic_{a} - rolling_rank_ic_{b} AS ic_velocity_{a}_{b}' for a, b in ((20, 60), (60, 120)))} FROM rl) SELECT trade_date, {', '.join(f'{r6(c)} AS {c}' for c in _ROLLED)} FROM rv""")
+def health_rolling(spark, sf_dir):
+    return said(health.rolling_health(_daily_health(spark, sf_dir)).select("trade_date", *_ROLLED), *_ROLLED)

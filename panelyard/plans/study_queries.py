@@ -220,11 +220,12 @@ k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY trade_date DESC) AS k
 ma AS (SELECT g, 1.4826 * median(abs(v - center)) AS mad FROM k JOIN ba USING (g) WHERE k > 30 GROUP BY 1), sc AS (SELECT g, mean, CASE WHEN mad > 1e-12 THEN mad ELSE sd END AS scale FROM ba JOIN ma USING (g)),
 re AS (SELECT *, avg(v) OVER (PARTITION BY g) - mean AS delta, count(*) OVER (PARTITION BY g) AS n, abs(sum((v - mean) / scale) OVER (PARTITION BY g ORDER BY trade_date)) AS walk, CASE WHEN count(*) OVER t >= 10 THEN avg(v) OVER t END AS smooth FROM k JOIN sc USING (g) WHERE k <= 30 WINDOW t AS (PARTITION BY g ORDER BY trade_date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
 mo AS (SELECT *, coalesce((smooth - mean) * CASE WHEN delta >= 0 THEN 1 ELSE -1 END > scale / {math.sqrt(10)!r}, false) AS moved FROM re),
-ou AS (SELECT g AS industry_l1_code, any_value(mean) AS baseline_mean, avg(v) AS recent_mean, any_value(delta) AS delta, any_value(delta) / (any_value(scale) / sqrt(any_value(n))) AS robust_z, max(walk) / sqrt(any_value(n)) AS cusum, coalesce(min(CASE WHEN NOT moved THEN k END) - 1, any_value(n)) AS persistence_days FROM mo GROUP BY 1)
-SELECT industry_l1_code, {r6('baseline_mean')} AS baseline_mean, {r6('recent_mean')} AS recent_mean, {r6('delta')} AS delta, {r6('robust_z')} AS robust_z, {r6('cusum')} AS cusum, persistence_days, coalesce(abs(robust_z) >= 1 AND persistence_days >= 0, false) AS is_drift FROM ou""")
+ou AS (SELECT g AS industry_l1_code, any_value(mean) AS baseline_mean, avg(v) AS recent_mean, count(*) AS recent_days, any_value(delta) AS delta, any_value(delta) / (any_value(scale) / sqrt(any_value(n))) AS robust_z, max(walk) / sqrt(any_value(n)) AS cusum, coalesce(min(CASE WHEN NOT moved THEN k END) - 1, any_value(n)) AS persistence_days FROM mo GROUP BY 1), md AS (SELECT g AS industry_l1_code, avg(v) FILTER (k <= 60) AS medium_mean, count(*) FILTER (k > 30) AS baseline_days FROM k GROUP BY 1)
+SELECT industry_l1_code, baseline_days, recent_days, {r6('baseline_mean')} AS baseline_mean, {r6('medium_mean')} AS medium_mean, {r6('recent_mean')} AS recent_mean, {r6('delta')} AS delta, {r6('robust_z')} AS robust_z, {r6('cusum')} AS cusum, persistence_days,
+ CASE WHEN delta > 0 THEN 'strengthening' WHEN delta < 0 THEN 'weakening' ELSE 'none' END AS direction, coalesce(abs(robust_z) >= 0.2 AND persistence_days >= 1 AND recent_days >= 20, false) AS is_drift FROM ou JOIN md USING (industry_l1_code)""")
 def relation_drift(spark, sf_dir):
     ic = base.stats.daily_ic(future(spark, sf_dir), "step", "fwd", ["industry_l1_code"])
-    return said(gates.relation_drift(ic, ["industry_l1_code"], "ic", 30, 120, threshold=1.0, persistence=0), "baseline_mean", "recent_mean", "delta", "robust_z", "cusum")
+    return said(gates.relation_drift(ic, ["industry_l1_code"], "ic", 30, 120, threshold=0.2, persistence=1, least_recent=20), "baseline_mean", "medium_mean", "recent_mean", "delta", "robust_z", "cusum")
 
 
 @query(f"""{RETURNS_SQL}, dd AS (SELECT industry_l1_code, trade_date, coalesce(avg(CASE WHEN step IS NOT NULL THEN greatest(least(step, 0.05), -0.05) END), 0) AS s, coalesce(avg(CASE WHEN step IS NOT NULL THEN greatest(least(step, 0.01), -0.01) END), 0) AS b FROM ret GROUP BY ALL), nv AS (SELECT *, year(trade_date) AS year, exp(sum(ln(1 + s)) OVER y) AS nav FROM dd WINDOW y AS (PARTITION BY industry_l1_code, year(trade_date) ORDER BY trade_date)),
