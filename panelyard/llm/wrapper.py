@@ -3,20 +3,22 @@
 A page becomes a tree in which siblings of one label (tag and class or id names;
 for unnamed containers also whether they hold links, prose or bare text) are one
 node.  The trees of a host are aligned with the host's commonest tree by simple
-tree matching.  Over the host's different pages, which are told apart by their
-longest block, a text that stands at a node of nearly every page makes that node
-constant there: it is template.  Nodes whose texts vary are slots.  The slots
-decide where the main text is:
+tree matching.  Every text of every node is counted over the host's different pages,
+which are told apart by their longest block.  A text that stands at a node of nearly
+every page makes that node constant there: it is template.  So are nodes that rotate
+few texts over many pages (adverts) or hold mostly links (menus).  Other nodes whose
+texts vary are slots.  The slots decide where the main text is:
 
 * if article or main elements hold most of the slots' prose, it is there;
-* otherwise it is in the lowest node that holds all slots of prose, and nodes that
-  rotate few texts over many pages (adverts) or hold mostly links (menus) are template.
+* otherwise it is in the lowest node that holds all slots of prose.
 
-A page's main text is the blocks under the node that aligns with that place, in
-page order, without template texts and without elements that are never main text
-(nav, header, footer, aside, form, script and the like, and containers whose class
-or id says that they are one).  Template needs ``LEAST_PAGES`` different pages, so
-a host of fewer drops no text by count; nor do copies of a page, which are one.
+A page's main text is the blocks under the node that aligns with that place, in page
+order, without the template.  Names of elements (nav, footer, aside, form and the like,
+and containers whose class or id says that they are one) decide where counting can't:
+of what varies as prose does (reader comments, sidebars), and on hosts of fewer than
+``LEAST_PAGES`` different pages, from which nothing is template by count.  Inside the
+main place a constant heading among slots stays, and other constant text among them
+is template from ``INNER_PAGES`` different pages on.  Copies of a page are one.
 
 All pages take part: trees and texts are counted by host, node and text with
 partial sums before any shuffle, so a host with a third of the pages is spread
@@ -68,7 +70,7 @@ NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 SPECIAL = re.compile(r"[>\"']")
 DIGITS = re.compile(r"\d+")
 SPLIT = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
-LEAST_PAGES, CONSTANT, ROTATING = 8, 0.9, 0.25
+LEAST_PAGES, INNER_PAGES, CONSTANT, ROTATING = 8, 20, 0.9, 0.25
 
 
 def tokens(html: str) -> Iterator[tuple[int, int, str, bool]]:
@@ -132,16 +134,18 @@ def _closing(tag: str) -> re.Pattern:
 
 
 def excluded(tag: str, names: list[str], in_main: bool) -> bool:
-    """Whether an element is never main text, by its tag and the names of its class, id and role."""
+    """Whether an element is never main text, by its tag and the names of its class, id and role; inside articles only by whole names."""
     lower = [n.lower() for n in names]
     if tag in INLINE:
         return any(n in ADVERTS for n in lower)
     if tag in NEVER or tag == "header" and not in_main:
         return True
-    if tag in TEXTUAL - {"li", "td"} or tag in MAIN or tag in ("body", "html"):
+    if tag in (TEXTUAL if in_main else TEXTUAL - {"li", "td"}) or tag in MAIN or tag in ("body", "html"):
         return False
+    if in_main:
+        return any(n in NAMES for n in lower)
     parts = {p.lower() for n in names for p in SPLIT.split(n)}
-    return any(n in NAMES for n in lower) or bool(parts & PARTS) or "header" in parts and not in_main
+    return any(n in NAMES for n in lower) or bool(parts & PARTS) or "header" in parts
 
 
 class Page:
@@ -151,6 +155,7 @@ class Page:
         self.tag, self.label, self.parent, self.never = [""], [""], [-1], [False]
         self.blocks: list[tuple[int, str, int]] = []
         stack, open_tags, parts, links, in_link, at = [0], Counter(), [], 0, False, 0
+        muted, mute_tag, mute_level = 0, "", 0  # an inline advert is left out, and splits no block
 
         def flush() -> None:
             nonlocal links
@@ -168,7 +173,9 @@ class Page:
             links += len(text.strip()) if in_link else 0
 
         for start, end, tag, closing in tokens(html):
-            if start > at:
+            if muted and len(stack) < mute_level:
+                muted = 0  # its block ended before it
+            if start > at and not muted:
                 add(html[at:start])
             at = end
             if not tag:
@@ -178,6 +185,9 @@ class Page:
                 continue
             if tag == "a":
                 in_link = not closing
+            if muted and tag == mute_tag:
+                muted += -1 if closing else 1
+                continue
             if closing:
                 if open_tags[tag]:
                     flush()
@@ -192,12 +202,14 @@ class Page:
             token = html[start:end]
             names = sorted({w for found in NAMED.findall(token) for w in "".join(found).split()}) if "=" in token else []
             bad = excluded(tag, names, bool(open_tags["article"] or open_tags["main"]))
-            if tag in INLINE and not bad or tag in VOID and tag != "hr":
+            if tag in INLINE and bad and not muted:
+                muted, mute_tag, mute_level = 1, tag, len(stack)
+            if tag in INLINE or tag in VOID and tag != "hr":
                 continue
             flush()
             if tag in VOID:
                 continue
-            while tag not in INLINE and len(stack) > 1 and (self.tag[stack[-1]] == "p" or self.tag[stack[-1]] == tag and tag in CLOSES_ITSELF):
+            while len(stack) > 1 and (self.tag[stack[-1]] == "p" or self.tag[stack[-1]] == tag and tag in CLOSES_ITSELF):
                 open_tags[self.tag[stack.pop()]] -= 1
             up = stack[-1]
             stack.append(len(self.tag))
@@ -207,7 +219,8 @@ class Page:
             self.label.append(("!" if bad else "") + tag + named)
             self.parent.append(up)
             self.never.append(self.never[up] or bad)
-        add(html[at:])
+        if not muted or len(stack) < mute_level:
+            add(html[at:])
         flush()
 
     def folded(self) -> tuple[tuple[list[int], list[str]], list[int]]:
@@ -295,30 +308,39 @@ def summary(html: str) -> tuple[int, str, list[int], list[int], list[int], list[
     """Hash of the longest block, the folded tree as text, and node, hash, characters and linked characters of each different text of a node."""
     page = Page(html)
     tree, number = page.folded()
-    seen = {(number[k], zlib.crc32(text.encode("utf-8", "surrogatepass"))): (len(text), linked) for k, text, linked in page.blocks if not page.never[k]}
+    seen = {(number[k], zlib.crc32(text.encode("utf-8", "surrogatepass"))): (len(text), linked) for k, text, linked in page.blocks}
     longest = max((text for k, text, _ in page.blocks if not page.never[k]), key=len, default="")
     body = xxhash.xxh64_intdigest(longest.encode("utf-8", "surrogatepass")) - 2**63
     return body, json.dumps(tree, separators=(",", ":")), [k for k, _ in seen], [c for _, c in seen], [c for c, _ in seen.values()], [x for _, x in seen.values()]
 
 
-def place_of(shape: str, slots: list[tuple[int, int, int, int, int, int]], constant: list[tuple[int, int, int, int]]) -> tuple[int, list[int]]:
-    """The node of a host's tree that holds its main text, and nodes that are template as a whole.
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+
+
+def place_of(shape: str, slots: list[tuple[int, int, int, int, int, int]], constant: list[tuple[int, int, int, int, int]]) -> tuple[int, list[int], list[int], list[tuple[int, int]]]:
+    """The node of a host's tree that holds its main text; nodes in it and nodes anywhere that are template as a whole; constant texts that are template.
 
     slots: node, pages, different texts, texts, characters, linked characters;
-    constant: node, texts, characters, linked characters of the template's texts.
+    constant: node, hash, texts, characters, linked characters of the texts of nearly every page.
     """
     parents, labels = _tree(shape)
     tags = [re.match(r"!?([^./]*)", label)[1] for label in labels]
-    held, template = [0] * len(labels), []
+    named = [False] * len(labels)
+    for k in range(1, len(labels)):
+        named[k] = named[parents[k]] or labels[k].startswith("!")
+    held, rotating, linked, pages_of = [0] * len(labels), [], [], {}
     taken = Counter(), Counter()
-    for node, _, chars, links in constant:
+    for node, _, _, chars, links in constant:
         taken[0][node] += chars
         taken[1][node] += links
     for node, pages, different, texts, chars, links in slots:
+        pages_of[node] = pages
         chars, links = chars - taken[0][node], links - taken[1][node]
-        if 2 * links > chars or pages >= LEAST_PAGES and different <= ROTATING * texts:
-            template.append(node)
-        else:
+        if 2 * links > chars:
+            linked.append(node)
+        elif pages >= LEAST_PAGES and different <= ROTATING * texts:
+            rotating.append(node)
+        elif not named[node]:
             held[node] = chars
     total, whole = sum(held), list(held)
     for k in range(len(labels) - 1, 0, -1):
@@ -330,9 +352,19 @@ def place_of(shape: str, slots: list[tuple[int, int, int, int, int, int]], const
         if tags[k] in MAIN and not in_main[k] and whole[k]:
             in_main[k] = True
             mains.append(k)
+    template = sorted(linked + rotating)
     if mains and 2 * sum(whole[k] for k in mains) >= total:
-        return lowest(parents, mains), []
-    return lowest(parents, [k for k in range(len(labels)) if held[k]]), template
+        place, inner = lowest(parents, mains), []
+    else:
+        place, inner = lowest(parents, [k for k in range(len(labels)) if held[k]]), template
+    inside = [k == place for k in range(len(labels))]
+    beside = set()  # parents of slots
+    for k in range(1, len(labels)):
+        inside[k] = inside[k] or inside[parents[k]]
+        if held[k]:
+            beside.add(parents[k])
+    stays = lambda k: inside[k] and parents[k] in beside and tags[k] in TEXTUAL and (tags[k] in HEADINGS or pages_of.get(k, 0) < INNER_PAGES)
+    return place, inner, template, [(k, crc) for k, crc, *_ in constant if not stays(k)]
 
 
 def lowest(parents: list[int], nodes: list[int]) -> int:
@@ -346,8 +378,8 @@ def lowest(parents: list[int], nodes: list[int]) -> int:
     return at
 
 
-def main_text(html: str, model: str | None = None, place: int = 0, template: frozenset = frozenset(), constant: frozenset = frozenset()) -> str:
-    """Blocks of the page under the node that aligns with ``place`` of the host's tree ``model``, without the template."""
+def sorted_blocks(html: str, model: str | None = None, place: int = 0, inner: frozenset = frozenset(), template: frozenset = frozenset(), constant: frozenset = frozenset()) -> tuple[list[str], int, int, int]:
+    """The page's main blocks, and how many others are template, are told by a name, or stand elsewhere."""
     page = Page(html)
     tree, number = page.folded()
     parents, labels = tree
@@ -360,16 +392,28 @@ def main_text(html: str, model: str | None = None, place: int = 0, template: fro
         for k in range(1, len(labels)):
             inside[k] = inside[parents[k]] or re.match(r"[^./]*", labels[k])[0] in MAIN
         inside = inside if any(inside) else [True] * len(labels)
-    out = []
+    out, by_count, by_name, elsewhere = [], 0, 0, 0
     for k, text, _ in page.blocks:
-        own = number[k]
-        if inside[own] and not page.never[k] and to[own] not in template and (to[own] < 0 or (to[own], zlib.crc32(text.encode("utf-8", "surrogatepass"))) not in constant):
+        own, at = number[k], to[number[k]]
+        fixed = at >= 0 and (at, zlib.crc32(text.encode("utf-8", "surrogatepass"))) in constant
+        if fixed or at in (inner if inside[own] else template):
+            by_count += 1
+        elif page.never[k]:
+            by_name += 1
+        elif not inside[own]:
+            elsewhere += 1
+        else:
             out.append(text)
-    return "\n\n".join(out)
+    return out, by_count, by_name, elsewhere
+
+
+def main_text(html: str, model: str | None = None, place: int = 0, inner: frozenset = frozenset(), template: frozenset = frozenset(), constant: frozenset = frozenset()) -> str:
+    """Blocks of the page under the node that aligns with ``place`` of the host's tree ``model``, without the template."""
+    return "\n\n".join(sorted_blocks(html, model, place, inner, template, constant)[0])
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """host, model, place, template, constant: the wrapper of each host of ``pages`` (host, html)."""
+    """host, model, place, inner, template, constant: the wrapper of each host of ``pages`` (host, html)."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -412,14 +456,13 @@ def induce(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                fixed = [tuple(x.values()) for x in r["constant"] or []]
-                place, template = place_of(r["model"], [tuple(x.values()) for x in r["slots"] or []], [(k, n, c, x) for k, _, n, c, x in fixed])
-                rows.append((r["host"], r["model"], place, template, [f"{k} {crc}" for k, crc, *_ in fixed]))
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, kinds)], ["host", "model", "place", "template", "constant"])
+                place, inner, template, fixed = place_of(r["model"], [tuple(x.values()) for x in r["slots"] or []], [tuple(x.values()) for x in r["constant"] or []])
+                rows.append((r["host"], r["model"], place, inner, template, [f"{k} {crc}" for k, crc in fixed]))
+            kinds = (pa.string(), pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 2, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, kinds)], ["host", "model", "place", "inner", "template", "constant"])
 
     wrappers = models.join(slots, "host", "left").join(constant, "host", "left").select("host", "model", "slots", "constant")
-    return written(wrappers.mapInArrow(placed, "host string, model string, place long, template array<long>, constant array<string>"), "page-wrappers")
+    return written(wrappers.mapInArrow(placed, "host string, model string, place long, inner array<long>, template array<long>, constant array<string>"), "page-wrappers")
 
 
 @lru_cache(maxsize=64)
@@ -428,13 +471,15 @@ def _pairs(constant: tuple[str, ...]) -> frozenset:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for each row of ``pages``."""
+    """page_id, url, text, n_chars for each row of ``pages``; n_template, n_named, n_elsewhere: blocks left out by counts, by a name, and for standing outside the main place."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    wrappers = induce(rows).select(F.col("host").alias("of_host"), "model", "place", "template", "constant")
+    wrappers = induce(rows).withColumnRenamed("host", "of_host")
 
-    @F.pandas_udf("string")
-    def body(html: pd.Series, model: pd.Series, place: pd.Series, template: pd.Series, constant: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, m, int(p), frozenset(t), _pairs(tuple(c))) for h, m, p, t, c in zip(html, model, place, template, constant)], dtype=object)
+    @F.pandas_udf("text string, n_template int, n_named int, n_elsewhere int")
+    def body(html: pd.Series, model: pd.Series, place: pd.Series, inner: pd.Series, template: pd.Series, constant: pd.Series) -> pd.DataFrame:
+        found = [sorted_blocks(h, m, int(p), frozenset(i), frozenset(t), _pairs(tuple(c))) for h, m, p, i, t, c in zip(html, model, place, inner, template, constant)]
+        return pd.DataFrame([("\n\n".join(blocks), *n) for blocks, *n in found], columns=["text", "n_template", "n_named", "n_elsewhere"])
 
     joined = rows.join(wrappers, F.col("host") == F.col("of_host"))
-    return joined.select("page_id", "url", body("html", "model", "place", "template", "constant").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    made = joined.select("page_id", "url", body("html", "model", "place", "inner", "template", "constant").alias("b"))
+    return made.select("page_id", "url", "b.text", F.length("b.text").cast("long").alias("n_chars"), "b.n_template", "b.n_named", "b.n_elsewhere")

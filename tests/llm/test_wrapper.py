@@ -126,3 +126,36 @@ def test_long_and_unbalanced_pages_take_linear_time(html):
 
 def test_empty(spark):
     assert wrapper.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_names_inside_an_article_need_to_be_whole():
+    html = '<article><div class="comment-syntax">a</div><div class="banner-image">b</div><ul class="navigation-list"><li>c</li></ul><table><tr><td class="alert">d</td></tr></table><div class="comments">no</div></article><div class="top-banner">no</div>'
+    assert wrapper.main_text(html) == "a\n\nb\n\nc\n\nd"
+
+
+def test_an_inline_advert_splits_no_paragraph():
+    assert wrapper.main_text('<p>one <span class="ad">buy <span>now</span></span>two</p><p>three</p>') == "one two\n\nthree"
+    assert wrapper.main_text('<p>one <span class="ad">buy</p><p>three</p>') == "one\n\nthree"
+    assert wrapper.main_text('<div><b class="ads">x<i>y</i></b>z</div>w <b class="ad">never closed') == "z\n\nw"
+
+
+def structured(rng, i):
+    """An article of a structured site: a constant heading and a constant last paragraph of its own, named furniture around it."""
+    w = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "amet", "sit"]) + str(rng.randint(0, 999)) for _ in range(n))
+    title, paras = w(4), [w(rng.randint(12, 40)) for _ in range(3)]
+    end = "Readers may write to the desk."
+    article = f"<article><h1>{title}</h1><p>{paras[0]}</p><h2>Summary</h2><p>{paras[1]}</p><p>{paras[2]}</p><p>{end}</p></article>"
+    html = f'<html><body><nav><ul><li><a href="/">{w(1)}</a></li><li><a href="/b">{w(1)}</a></li></ul></nav><div class="ad">Offer {i % 3}</div>{article}<footer>The daily paper</footer></body></html>'
+    return html, [title, paras[0], "Summary", paras[1], paras[2], end]
+
+
+@pytest.mark.parametrize("pages", [6, 12, 30])
+def test_constant_headings_and_ends_of_articles(spark, pages):
+    rng = random.Random(pages)
+    made = [structured(rng, i) for i in range(pages)]
+    got = {r.page_id: r for r in wrapper.extract(spark.createDataFrame([(i, f"http://h.org/{i}", h) for i, (h, _) in enumerate(made)], "page_id long, url string, html string")).collect()}
+    for i, (_, blocks) in enumerate(made):
+        want = blocks if pages < wrapper.INNER_PAGES else blocks[:-1]  # by then the end is template
+        assert got[i].text == "\n\n".join(want)
+        # Menus are told by their links, adverts and the footer by counts where there are pages enough, by names where not.
+        assert (got[i].n_template, got[i].n_named) == ((4 + (pages >= wrapper.INNER_PAGES), 0) if pages >= wrapper.LEAST_PAGES else (2, 2))
