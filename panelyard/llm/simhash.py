@@ -114,7 +114,11 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def links(distinct: DataFrame, max_bits: int = 4, block: int = 1024) -> DataFrame:
     """Edges (u, v) between distinct fingerprints ``fp`` whose components are those of all links; a task's edges are stars.
+
+    Raises for ``max_bits`` above 4: the keys meet every pair with four equal bytes, and such pairs may have fewer.
     """
+    if max_bits > BYTES - 4:
+        raise ValueError(f"the index guarantees pairs of {BYTES - 4} differing bits at most")
     byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(255)
     triples = position_triples()
     keys = [F.lit(k << 24).cast("long") + byte(a) * 65536 + byte(b) * 256 + byte(c) for k, (a, b, c) in enumerate(triples)]

@@ -1,3 +1,4 @@
+import pytest
 from itertools import combinations
 
 import numpy as np
@@ -115,3 +116,9 @@ def test_hot_fingerprints_are_dealt_out(spark, monkeypatch):
     fps = [plain(t) for _, t in rows]
     want = closure(fps, [i for i, _ in rows])
     assert sorted((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in got) == sorted((rows[k][0], fps[k], want[k]) for k in range(len(rows)))
+
+
+def test_no_more_bits_than_the_index_guarantees(spark):
+    fps = spark.createDataFrame([(1,), (2,)], "fp long")
+    with pytest.raises(ValueError):
+        simhash.links(fps, 5)
