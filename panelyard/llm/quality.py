@@ -3,9 +3,10 @@
 Words, adjacent word pairs and character 3- to 5-grams (with word boundaries)
 are hashed into ``2**bits`` learned vectors.  A document is the mean of its
 vectors; a softmax over two classes reads it.  Training runs on the driver over
-a bounded sample (``max_rows`` labelled documents of at most ``max_text_bytes``
-each, smallest hashes of doc_id first); scoring is one pass over whole texts,
-where the model is folded into one number per hash bucket.
+a bounded sample (``max_rows`` labelled documents, smallest hashes of doc_id first):
+Spark turns their whole texts, of any length, into bags of at most ``2**bits`` buckets
+and counts, and only the bags come to the driver.  Scoring is one pass over whole
+texts, where the model is folded into one number per hash bucket.
 
 Cases: null text is the empty text and gets the score of the bias alone; labels
 that repeat are averaged, null ones and those of absent documents ignored;
@@ -67,8 +68,14 @@ def grams(text: str, bits: int) -> np.ndarray:
     return (np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def fit(samples: list[str], labels: np.ndarray, bits: int = 17, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
-    """Numpy SGD, one document a step; the step is normalised by the document's squared weights."""
+def bag(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a whole text and how often each stands in it."""
+    ids, n = np.unique(grams(text, bits), return_counts=True)
+    return ids.astype(np.int32), n.astype(np.int32)
+
+
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = 17, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
+    """Numpy SGD over ``bag``s, one document a step; the step is normalised by the document's squared weights."""
     labels = np.asarray(labels, int)
     share = float(labels.mean()) if len(labels) else 0.5
     if len(set(labels.tolist())) < 2:
@@ -78,10 +85,7 @@ def fit(samples: list[str], labels: np.ndarray, bits: int = 17, dim: int = 8, ep
     vector = rng.normal(0, 0.1, (2**bits, dim)).astype(np.float32)
     out = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
     bias = np.log(np.array([1 - share, share], np.float32))
-    rows = []
-    for text in samples:
-        ids, n = np.unique(grams(text, bits), return_counts=True)
-        rows.append((ids.astype(np.int32), (n / max(n.sum(), 1)).astype(np.float32)))
+    rows = [(ids, (n / max(n.sum(), 1)).astype(np.float32)) for ids, n in bags]
     steps, total = 0, epochs * len(rows)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
@@ -106,21 +110,18 @@ def score_of(model: Model, text: str) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_text_bytes: int = 16_000) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> DataFrame:
     """quality, text of the ``max_rows`` labelled documents outside the held-out fold of the smallest hashes of doc_id.
 
-    Texts of more than ``max_text_bytes`` are not learnt from, so a row's size is
-    bounded and no text keeps others out; of rows that share an id the text of the
-    smallest hash counts.
+    Texts count whole; of rows that share an id the text of the smallest hash counts.
     """
     marked = (
         labels.filter("doc_id is not null and quality is not null")
         .filter(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     )
-    short = texts(docs, "doc_id").filter(F.octet_length("text") <= max_text_bytes)
-    ids = short.select("doc_id").join(marked, "doc_id").distinct().select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = short.join(F.broadcast(ids), "doc_id")  # at most max_rows rows
+    ids = docs.select("doc_id").join(marked, "doc_id").distinct().select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = texts(docs, "doc_id").join(F.broadcast(ids), "doc_id")  # at most max_rows rows
     return rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "quality", "text")).alias("r")).select("r.quality", "r.text", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("quality", "text")
 
 
@@ -129,9 +130,13 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_text_bytes: int = 16_000, **params) -> Model:
-    rows = labelled_sample(docs, labels, max_rows, max_text_bytes).collect()  # at most max_rows * max_text_bytes
-    return fit([r["text"] for r in rows], np.array([r["quality"] for r in rows], int), **params)
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, bits: int = 17, **params) -> Model:
+    @F.pandas_udf("ids binary, counts binary")
+    def bags(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([tuple(x.tobytes() for x in bag(t, bits)) for t in text], columns=["ids", "counts"])
+
+    rows = labelled_sample(docs, labels, max_rows).select("quality", bags("text").alias("b")).select("quality", "b.*").collect()  # at most max_rows bags of 2**bits
+    return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in rows], np.array([r["quality"] for r in rows], int), bits, **params)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

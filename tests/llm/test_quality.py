@@ -71,9 +71,13 @@ def test_sample_is_bounded_and_no_text_keeps_others_out(spark):
     whole = quality.labelled_sample(docs, labels).collect()
     huge = docs.unionByName(spark.createDataFrame([(i, "an " * 400_000) for i in range(1000, 1004)], docs.schema))
     more = labels.unionByName(spark.createDataFrame([(i, 0) for i in range(1000, 1004)], labels.schema))
-    assert quality.labelled_sample(huge, more).collect() == whole
-    few = quality.labelled_sample(docs, labels, max_text_bytes=100).collect()
-    assert 0 < len(few) and max(len(r["text"].encode()) for r in few) <= 100
+    learnt = quality.labelled_sample(huge, more).collect()  # long texts are learnt from, and keep no other out
+    long = {r["text"] for r in learnt} - {r["text"] for r in whole}
+    assert set(whole) < set(learnt) and long == {"an " * 400_000}
+    ids, counts = quality.bag("an " * 400_000, 17)
+    assert len(ids) < 20 and counts.sum() == len(quality.grams("an " * 400_000, 17))
+    model = quality.train(huge, more)
+    assert quality.score_of(model, "an " * 400_000) < 0.3 < quality.score_of(model, next(t for _, t, q in data if q))
 
 
 def test_scores_and_training_are_those_of_plain_loops():
@@ -81,7 +85,7 @@ def test_scores_and_training_are_those_of_plain_loops():
     data = rows(40)
     texts_, labels = [t for _, t, _ in data], np.array([q for *_, q in data])
     bits, dim, epochs, rate = 12, 3, 2, 0.5
-    model = quality.fit(texts_, labels, bits=bits, dim=dim, epochs=epochs, rate=rate, seed=3)
+    model = quality.fit([quality.bag(t, bits) for t in texts_], labels, bits=bits, dim=dim, epochs=epochs, rate=rate, seed=3)
     rng = np.random.default_rng(3)
     vector, out = rng.normal(0, 0.1, (2**bits, dim)).astype(np.float32).astype(float), rng.normal(0, 0.5, (dim, 2)).astype(np.float32).astype(float)
     bias, steps = [float(np.log(1 - labels.mean())), float(np.log(labels.mean()))], 0
