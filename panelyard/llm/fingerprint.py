@@ -19,13 +19,15 @@ With 32 samples a likeness has a standard error of up to 0.09 (0.5 / sqrt(32)).
 
 Cases: null text is the empty text; without words the fingerprint is all zeros
 (alike to another such); ids that repeat are ordered by their text's hash, null
-ids come first; a single document is its own successor; other columns are not
+ids come first; ids may be of any type that has an order; a single document is its own successor; other columns are not
 read; a very long text is a range of its own, its words one array; an empty table
 gives no rows.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,11 +92,11 @@ def _cuts(rows: DataFrame, range_bytes: int) -> list:
     return firsts.select("first.*").orderBy("at").drop("at").collect()  # MOST_RANGES, and one for each partition
 
 
-def _range_of(cuts: list) -> Column:
+def _range_of(cuts: list, id_kind: str) -> Column:
     """Number of the range of a row (doc_id, h, tie): the last cut that is not above it, by binary search in literals."""
-    longs = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
-    ids, hs, ties = (longs([c[k] or 0 for c in cuts]) for k in ("doc_id", "h", "tie"))
-    no_id, own = sum(c["doc_id"] is None for c in cuts), F.col("doc_id").cast("long")
+    literal = lambda values, kind: F.from_json(F.lit(json.dumps([None if v is None else str(v) for v in values])), "array<string>").cast(f"array<{kind}>")
+    ids, hs, ties = literal([c["doc_id"] for c in cuts], id_kind), literal([c["h"] for c in cuts], "long"), literal([c["tie"] for c in cuts], "long")
+    no_id, own = sum(c["doc_id"] is None for c in cuts), F.col("doc_id")
 
     def reached(k: Column) -> Column:
         later = (F.col("h") > F.get(hs, k)) | (F.col("h") == F.get(hs, k)) & (F.col("tie") >= F.get(ties, k))
@@ -117,7 +119,7 @@ def neighbours(docs: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
     wanted = F.broadcast(heads.select("head_id", "head_h").distinct())  # no more rows than cuts
     firsts = base.join(wanted, same).groupBy("doc_id", "h").agg(F.first("text").alias("text"))  # equal texts
     taken = firsts.join(F.broadcast(heads), same).select("doc_id", "text", "h", F.col("to").alias("range"), F.lit(True).alias("extra"))
-    both = base.select("doc_id", "text", "h", _range_of(cuts).alias("range"), F.lit(False).alias("extra")).unionByName(taken)
+    both = base.select("doc_id", "text", "h", _range_of(cuts, kind).alias("range"), F.lit(False).alias("extra")).unionByName(taken)
     w = Window.partitionBy("range").orderBy("extra", F.col("doc_id").asc_nulls_first(), "h")
     return both.select("range", F.row_number().over(w).alias("rn"), "extra", "doc_id", "text", F.coalesce(F.lead("text").over(w), F.lit("")).alias("next_text"))
 

@@ -1,3 +1,5 @@
+import datetime
+import decimal
 import hashlib
 import math
 from collections import Counter
@@ -87,3 +89,16 @@ def test_outlier_ids_and_hot_rows_are_cut(spark):
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]]))
     want = sorted((repr(i), t, ordered[(k + 1) % len(ordered)][1]) for k, (i, t) in enumerate(ordered))
     assert sorted((repr(r["doc_id"]), r["text"], r["next_text"]) for r in found.filter("not extra").collect()) == want
+
+
+def test_ids_of_any_type(spark):
+    texts_ = [f"w{i} x{i % 5} common" for i in range(80)]
+    for kind, ids in (("string", [f"id,\"{i % 9}é{i}" for i in range(80)]), ("double", [i / 3 - 9 for i in range(80)]), ("date", [datetime.date(2020, 1, 1) + datetime.timedelta(days=i * 3) for i in range(80)]), ("decimal(20,2)", [decimal.Decimal(i) / 4 for i in range(80)])):
+        rows = [*zip(ids, texts_), (None, "no id")]
+        df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+        found = fingerprint.neighbours(df, range_bytes=300)
+        ordered = sorted(rows, key=lambda r: (r[0] is not None, (r[0].encode() if kind == "string" else r[0]) if r[0] is not None else 0))
+        want = {t: ordered[(k + 1) % len(ordered)][1] for k, (_, t) in enumerate(ordered)}
+        assert {r["text"]: r["next_text"] for r in found.filter("not extra").collect()} == want, kind
+        assert found.filter("not extra").select("range").distinct().count() > 10
+        assert fingerprint.compare(df).count() == 81
