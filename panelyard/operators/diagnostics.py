@@ -1,9 +1,7 @@
 """How alike the components of a combination are: by their values, by their information coefficients and by what they pick.
 
 All pairs of components come from one pass over a wide table (a column a component),
-partitioned once by date.  Ranks of a pair count only rows where both sides have a
-value; one sort by a component serves all its pairs, as the rows below it that have
-the other value are a running count in that order.
+partitioned once by date (``stats.rank_correlations``).
 """
 
 from __future__ import annotations
@@ -15,35 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelyard.functions import frames
-
-
-def _pair_rank(x: str, y: str, time: str) -> Column:
-    """Average-tie rank of ``x`` among the date's rows that have both."""
-    both = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.lit(1))
-    upto, ties = F.count(both).over(Window.partitionBy(time).orderBy(x)), F.count(both).over(Window.partitionBy(time, x))
-    return F.when(both == 1, upto - (ties - 1) / 2)
-
-
-def daily_rank_correlations(wide: DataFrame, pairs: list[tuple[str, str]], least: int = 3, time: str = "trade_date") -> DataFrame:
-    """time, ``values_<component>`` (rows with one) and, for the i-th pair, ``r<i>``: the Spearman correlation on dates with ``least`` rows that have both.
-
-    Ranks are halves of whole numbers, so the sums of their products are exact in any order.
-    """
-    own = list(dict.fromkeys(c for p in pairs for c in p))
-    ranked = wide.select(time, *own)
-    ranked = ranked.withColumns({f"_{k}{i}": _pair_rank(*((a, b) if k == "a" else (b, a)), time) for i, (a, b) in enumerate(pairs) for k in "ab"})
-    sums = []
-    for i in range(len(pairs)):
-        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
-        sums += [F.count(a).alias(f"_n{i}"), F.sum(a).alias(f"_s{i}"), F.sum(a * a).alias(f"_aa{i}"), F.sum(b * b).alias(f"_bb{i}"), F.sum(a * b).alias(f"_ab{i}")]
-    day = ranked.groupBy(time).agg(*sums, *(F.count(c).alias(f"values_{c}") for c in own))
-
-    def r(i: int) -> Column:
-        n, square = F.col(f"_n{i}"), F.col(f"_s{i}") * F.col(f"_s{i}")  # both sides' ranks have one sum
-        top, a, b = n * F.col(f"_ab{i}") - square, n * F.col(f"_aa{i}") - square, n * F.col(f"_bb{i}") - square
-        return F.when((n >= least) & (a > 0) & (b > 0), top / F.sqrt(a) / F.sqrt(b))
-
-    return day.select(time, *(f"values_{c}" for c in own), *(r(i).alias(f"r{i}") for i in range(len(pairs))))
+from panelyard.operators import stats
 
 
 def _long(one: DataFrame, pairs: list[tuple[str, str]], names: tuple[str, ...]) -> DataFrame:
@@ -55,7 +25,7 @@ def _long(one: DataFrame, pairs: list[tuple[str, str]], names: tuple[str, ...])
 def value_correlation(wide: DataFrame, components: list[str], least: int = 3, time: str = "trade_date") -> DataFrame:
     """component_a, component_b, mean_daily_spearman, days for each ordered pair; a component and itself: 1, on the dates where it has ``least`` values."""
     pairs = list(combinations(components, 2))
-    day = daily_rank_correlations(wide, pairs, least, time)
+    day = stats.rank_correlations(wide, pairs, [time], least)
     enough = lambda c: F.sum((F.col(f"values_{c}") >= least).cast("long"))
     each = [*((F.avg(f"r{i}"), F.count(f"r{i}")) for i in range(len(pairs))), *((F.lit(1.0), enough(c)) for c in components)]
     one = day.agg(*(c for i, (mean, days) in enumerate(each) for c in (mean.alias(f"mean_daily_spearman{i}"), days.alias(f"days{i}"))))
@@ -64,7 +34,7 @@ def value_correlation(wide: DataFrame, components: list[str], least: int = 3, ti
 
 def ic_correlation(wide: DataFrame, components: list[str], target: str, least: int = 3, time: str = "trade_date") -> DataFrame:
     """component_a, component_b, ic_series_correlation: of the daily rank correlations with ``target``, over dates on which both have one."""
-    ic = daily_rank_correlations(wide, [(c, target) for c in components], least, time)
+    ic = stats.rank_correlations(wide, [(c, target) for c in components], [time], least)
     pairs = [(i, j) for i in range(len(components)) for j in range(i, len(components))]
     both = lambda i, j: F.col(f"r{i}").isNotNull() & F.col(f"r{j}").isNotNull()
     one = ic.agg(*(frames.correlation(F.when(both(i, j), F.col(f"r{i}")), F.when(both(i, j), F.col(f"r{j}"))).alias(f"ic_series_correlation{k}") for k, (i, j) in enumerate(pairs)))

@@ -68,3 +68,33 @@ def document_regimes(panel: DataFrame, long: int = 20, change: int = 5, spread:
         .otherwise("neutral")
     )
     return m.select("trade_date", "market_breadth", "amount_ratio", "breadth_change", "market_return", "size_spread", regime.alias("regime"))
+
+
+MARKET = ("market_return_20d", "market_return_slope_20d", "market_volatility_20d", "market_breadth_5d", "market_breadth_20d", "industry_breadth", "industry_dispersion", "market_turnover_change_5_20")
+
+
+def market_features(panel: DataFrame, universe: str = "is_factor_eligible", industry: str = "industry_l1_code") -> DataFrame:
+    """trade_date and MARKET: what state models of the market read; of the broad universe, equal weights.
+
+    One aggregate a date and industry gives all daily measures, partial sums first; the
+    slope is that of the cumulative log return over 20 sessions.
+    """
+    step = frames.safe_ratio(F.col("adj_close"), F.lag("adj_close").over(frames.history())) - 1
+    s = panel.withColumn("ret", step).filter(F.coalesce(F.col(universe), F.lit(False)))
+    up = F.sum((F.col("ret") > 0).cast("long"))
+    cells = s.groupBy("trade_date", industry).agg(F.count("ret").alias("n"), F.sum("ret").alias("sum"), up.alias("up"), F.sum("amount_cny").alias("amount"))
+    mean = F.when(F.col(industry).isNotNull(), frames.safe_ratio(F.col("sum"), F.col("n")))
+    cells = cells.withColumn("mean", mean)
+    daily = cells.groupBy("trade_date").agg(
+        frames.safe_ratio(F.sum("sum"), F.sum("n")).alias("r"), frames.safe_ratio(F.sum("up"), F.sum("n")).alias("breadth"), F.sum("amount").alias("turnover"),
+        F.avg(F.when(F.col("mean").isNotNull(), (F.col("mean") > 0).cast("double"))).alias("industry_breadth"), F.stddev_pop("mean").alias("industry_dispersion"),
+    )
+    w = _market()
+    m = daily.withColumns({"log": F.when(F.col("r").isNotNull(), F.log1p(F.greatest("r", F.lit(-0.999)))), "k": F.row_number().over(w)})
+    m = m.withColumn("path", F.when(F.col("log").isNotNull(), F.sum("log").over(w)))
+    roll = lambda c, size, kind="mean": frames.rolling(F.col(c), size, kind, w=w)
+    grown = F.when(F.count("r").over(w.rowsBetween(-19, 0)) >= 20, F.product(1 + F.col("r")).over(w.rowsBetween(-19, 0)) - 1)
+    return m.select(
+        "trade_date", grown.alias("market_return_20d"), frames.slope(F.col("path"), F.col("k"), 20, w).alias("market_return_slope_20d"), roll("r", 20, "std").alias("market_volatility_20d"),
+        roll("breadth", 5).alias("market_breadth_5d"), roll("breadth", 20).alias("market_breadth_20d"), "industry_breadth", "industry_dispersion", (frames.safe_ratio(roll("turnover", 5), roll("turnover", 20)) - 1).alias("market_turnover_change_5_20"),
+    )

@@ -43,6 +43,39 @@ def daily_ic(rows: DataFrame, factor: str = "factor_value", target: str = "stock
     return pairs.groupBy(*axes, "trade_date").agg(F.count("*").alias("n"), F.round(frames.correlation(x, y), 12).alias("ic")).select(*axes, "trade_date", "n", F.when(F.col("n") >= least, F.col("ic")).alias("ic"))
 
 
+def _pair_rank(x: str, y: str, by: list[str]) -> Column:
+    """Average-tie rank of ``x`` among the group's rows that have both."""
+    both = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.lit(1))
+    upto, ties = F.count(both).over(Window.partitionBy(*by).orderBy(x)), F.count(both).over(Window.partitionBy(*by, x))
+    return F.when(both == 1, upto - (ties - 1) / 2)
+
+
+def rank_correlations(wide: DataFrame, pairs: list[tuple[str, str]], by: list[str], least: int = 3) -> DataFrame:
+    """by, ``values_<column>`` (rows with one) and, for the i-th pair of columns, ``n<i>`` (rows with both) and ``r<i>``: their Spearman correlation in groups with ``least`` of them.
+
+    Ranks of a pair count only rows where both sides have a value; one sort by a column
+    serves all its pairs, as the rows below it that have the other value are a running
+    count in that order.  The group's rows are partitioned once, whatever the number of
+    pairs.  Ranks are halves of whole numbers, so the sums of their products are exact in
+    any order.
+    """
+    own = list(dict.fromkeys(c for p in pairs for c in p))
+    ranked = wide.select(*by, *own)
+    ranked = ranked.withColumns({f"_{k}{i}": _pair_rank(*((a, b) if k == "a" else (b, a)), by) for i, (a, b) in enumerate(pairs) for k in "ab"})
+    sums = []
+    for i in range(len(pairs)):
+        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
+        sums += [F.count(a).alias(f"n{i}"), F.sum(a).alias(f"_s{i}"), F.sum(a * a).alias(f"_aa{i}"), F.sum(b * b).alias(f"_bb{i}"), F.sum(a * b).alias(f"_ab{i}")]
+    group = ranked.groupBy(*by).agg(*sums, *(F.count(c).alias(f"values_{c}") for c in own))
+
+    def r(i: int) -> Column:
+        n, square = F.col(f"n{i}"), F.col(f"_s{i}") * F.col(f"_s{i}")  # both sides' ranks have one sum
+        top, a, b = n * F.col(f"_ab{i}") - square, n * F.col(f"_aa{i}") - square, n * F.col(f"_bb{i}") - square
+        return F.when((n >= least) & (a > 0) & (b > 0), top / F.sqrt(a) / F.sqrt(b))
+
+    return group.select(*by, *(f"values_{c}" for c in own), *(c for i in range(len(pairs)) for c in (F.col(f"n{i}"), r(i).alias(f"r{i}"))))
+
+
 def ic_summary(ic: DataFrame, axes: Iterable[str] = ()) -> DataFrame:
     """Mean, sample deviation, annual ratio, share of positive days and t of each series."""
     v = F.col("ic")
@@ -138,18 +171,21 @@ def condition_bucket(rank: Column, values: Column, groups: int) -> Column:
 
 
 def block_bootstrap(series: DataFrame, axes: list[str], value: str, order: str, block: int = 20, draws: int = 1000, seed: int = 20240101) -> DataFrame:
-    """axes, mean, low, high: 95 % interval of each series' mean from moving blocks, seeded."""
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].dropna().to_numpy(float)
-        key = {a: [pdf[a].iloc[0]] for a in axes}
-        if len(x) < 2:
-            return pd.DataFrame(key | {"mean": [x.mean() if len(x) else None], "low": [None], "high": [None]})
-        size = min(block, len(x))
-        starts = np.random.default_rng(seed).integers(0, len(x) - size + 1, (draws, math.ceil(len(x) / size)))
-        means = x[(starts[..., None] + np.arange(size)).reshape(draws, -1)[:, : len(x)]].mean(axis=1)
-        low, high = np.quantile(means, [0.025, 0.975])
-        return pd.DataFrame(key | {"mean": [x.mean()], "low": [low], "high": [high]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in series.schema.fields}
-    return series.groupBy(*axes).applyInPandas(draw, ", ".join(f"`{a}` {kinds[a]}" for a in axes) + ", mean double, low double, high double")
+    """axes, mean, low, high: 95 % interval of each series' mean from moving blocks at starts that a hash names.
+
+    A resample is as long as the series: its last block is cut.  Sums of blocks are
+    differences of running sums, so a draw joins as many of them as it has blocks.
+    """
+    w = Window.partitionBy(*axes).orderBy(order)
+    x = series.filter(F.col(value).isNotNull()).select(*axes, order, F.col(value).cast("double").alias("_x"))
+    sums = x.select(*axes, F.row_number().over(w).alias("_at"), F.sum("_x").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_sum"))
+    whole = x.groupBy(*axes).agg(F.count("*").alias("_n"), F.avg("_x").alias("mean")).withColumn("_size", F.least(F.lit(block), F.col("_n").cast("int")))
+    parts = F.ceil(F.col("_n") / F.col("_size")).cast("int")
+    drawn = whole.filter("_n >= 2").withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_k", F.explode(F.sequence(F.lit(0), parts - 1)))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "_draw", "_k").cast("binary")), 1, 8), 16, 10).cast("long")
+    drawn = drawn.withColumn("_start", F.pmod(h, F.col("_n") - F.col("_size") + 1).cast("int"))
+    drawn = drawn.withColumn("_end", F.col("_start") + F.least(F.col("_size"), F.col("_n") - F.col("_k") * F.col("_size")).cast("int"))
+    ends = drawn.select(*axes, "_n", "_draw", F.explode(F.array(F.struct(F.col("_start").alias("_at"), F.lit(-1.0).alias("_sign")), F.struct(F.col("_end").alias("_at"), F.lit(1.0).alias("_sign")))).alias("e")).select(*axes, "_n", "_draw", "e.*").filter("_at > 0")
+    means = ends.join(sums, [*axes, "_at"]).groupBy(*axes, "_draw").agg((F.sum(F.col("_sign") * F.col("_sum")) / F.first("_n")).alias("_m"))
+    bounds = means.groupBy(*axes).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
+    return whole.join(bounds, axes, "left").select(*axes, "mean", "low", "high")

@@ -378,3 +378,20 @@ _ROLLED = tuple(f"{n}_{k}" for n in ("rolling_rank_ic", "icir", "spread") for k
 rv AS (SELECT *, {', '.join(f'spread_{a} - spread_{b} AS spread_velocity_{a}_{b}, rolling_rank_ic_{a} - rolling_rank_ic_{b} AS ic_velocity_{a}_{b}' for a, b in ((20, 60), (60, 120)))} FROM rl) SELECT trade_date, {', '.join(f'{r6(c)} AS {c}' for c in _ROLLED)} FROM rv""")
 def health_rolling(spark, sf_dir):
     return said(health.rolling_health(_daily_health(spark, sf_dir)).select("trade_date", *_ROLLED), *_ROLLED)
+
+
+# What state models of the market read
+
+
+def _m20(x: str, size: int, f: str = "avg") -> str:
+    frame = f"(ORDER BY trade_date ROWS BETWEEN {size - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({x}) OVER {frame} >= {size} THEN {f}({x}) OVER {frame} END"
+
+
+@query(f"""{RETURNS_SQL}, s AS (SELECT * FROM ret WHERE is_factor_eligible), d AS (SELECT trade_date, avg(step) AS r, avg(CASE WHEN step > 0 THEN 1.0 WHEN step IS NOT NULL THEN 0.0 END) AS b, sum(amount_cny) AS t FROM s GROUP BY 1),
+ii AS (SELECT trade_date, industry_l1_code, avg(step) AS m FROM s GROUP BY ALL), i AS (SELECT trade_date, avg(CASE WHEN m > 0 THEN 1.0 WHEN m IS NOT NULL THEN 0.0 END) AS industry_breadth, stddev_pop(m) AS industry_dispersion FROM ii GROUP BY 1),
+k AS (SELECT *, row_number() OVER o AS k, CASE WHEN r IS NOT NULL THEN sum(ln(1 + greatest(r, -0.999))) OVER o END AS path FROM d JOIN i USING (trade_date) WINDOW o AS (ORDER BY trade_date)),
+f AS (SELECT trade_date, CASE WHEN count(r) OVER w >= 20 THEN product(1 + r) OVER w - 1 END AS market_return_20d, CASE WHEN count(path) OVER w >= 20 THEN regr_slope(path, k) OVER w END AS market_return_slope_20d, {_m20('r', 20, 'stddev_pop')} AS market_volatility_20d, {_m20('b', 5)} AS market_breadth_5d, {_m20('b', 20)} AS market_breadth_20d,
+ industry_breadth, industry_dispersion, ({_m20('t', 5)}) / ({_m20('t', 20)}) - 1 AS market_turnover_change_5_20 FROM k WINDOW w AS (ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT trade_date, {', '.join(f'{r6(c)} AS {c}' for c in regimes.MARKET)} FROM f""")
+def regime_market_features(spark, sf_dir):
+    return said(regimes.market_features(weekly_panel(spark, sf_dir)), *regimes.MARKET)

@@ -385,10 +385,14 @@ def stat_conditional_ic(spark, sf_dir):
     return stats.daily_ic(b, "step", "fwd", ["bucket"]).withColumn("ic", shown(F.col("ic")))
 
 
-@query()
+@query(f"""{IC_SQL}, x AS (SELECT year(trade_date) AS year, ic, row_number() OVER (PARTITION BY year(trade_date) ORDER BY trade_date) - 1 AS spot FROM ic WHERE ic IS NOT NULL), n AS (SELECT year, count(*) AS n, avg(ic) AS mean, least(4, count(*)) AS size FROM x GROUP BY 1),
+d AS (SELECT n.*, r.draw, unnest(range(CAST(ceil(n / size) AS BIGINT))) AS k FROM n, range(200) r(draw) WHERE n >= 2), s AS (SELECT *, ('0x' || substr(md5('20240101:' || draw || ':' || k), 1, 8))::BIGINT % (n - size + 1) AS start, least(size, n - k * size) AS len FROM d),
+m AS (SELECT s.year, draw, avg(ic) AS m FROM s JOIN x ON x.year = s.year AND x.spot >= start AND x.spot < start + len GROUP BY ALL)
+SELECT n.year, {r6('any_value(mean)')} AS mean, {r6('quantile_cont(m, 0.025)')} AS low, {r6('quantile_cont(m, 0.975)')} AS high FROM n LEFT JOIN m USING (year) GROUP BY 1""")
 def stat_block_bootstrap(spark, sf_dir):
     ic = _ic(spark, sf_dir).withColumn("year", F.year("trade_date"))
-    return stats.block_bootstrap(ic, ["year"], "ic", "trade_date", block=4, draws=200)
+    out = stats.block_bootstrap(ic, ["year"], "ic", "trade_date", block=4, draws=200)
+    return out.withColumns({c: shown(F.col(c)) for c in ("mean", "low", "high")})
 
 
 @query(f"{PANEL_SQL} SELECT count(*) AS rows, count(DISTINCT ts_code) AS codes, {r6('avg(CASE WHEN is_liquid THEN 1.0 ELSE 0.0 END)')} AS liquid, {r6('(SELECT median(n) FROM (SELECT count(*) AS n FROM panel GROUP BY trade_date))')} AS median_section FROM panel")

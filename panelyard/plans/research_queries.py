@@ -12,6 +12,7 @@ from panelyard.functions import frames
 from panelyard.functions.frames import shown
 from panelyard.operators import boxes, events, radar, rotation, statements, stats, timing
 from panelyard.plans.panel_queries import FUTURE_SQL, RETURNS_SQL, W, future, r6, returns, rows
+from panelyard.sources import files
 from panelyard.sources import panel as panels
 from panelyard.sources.market import PANEL_SQL, table, weekly_panel
 from panelyard.streaming import events as streams
@@ -218,15 +219,32 @@ def _statements(spark, sf_dir):
     return income, balance
 
 
-@query()
+def _ttm(x: str, end: str, own: str, before: str, year_end: str) -> str:
+    return f"CASE WHEN month({end}) = 12 THEN {own}.{x} ELSE {own}.{x} + {year_end}.{x} - {before}.{x} END"
+
+
+_MEAN = "(coalesce({0}, {1}) + coalesce({1}, {0})) / 2"
+_FUNDAMENTALS = ("revenue_ttm", "net_assets", "roe_ttm", "revenue_growth_yoy", "roe_change_yoy", "debt_to_assets", "net_profit_ttm")
+
+
+@query(f"""{PANEL_SQL}, o AS (SELECT o_custkey % 50 AS ts_code, CAST(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS e, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders), q0 AS (SELECT ts_code, e, sum(v) AS v, count(*) AS n FROM o GROUP BY ALL),
+q AS (SELECT ts_code, e, CAST(sum(v) OVER y AS DOUBLE) AS rev, CAST(sum(v) OVER y AS DOUBLE) / 10 AS pro, CAST(sum(n) OVER y AS DOUBLE) AS n FROM q0 WINDOW y AS (PARTITION BY ts_code, year(e) ORDER BY e)),
+t AS (SELECT q.ts_code, q.e, q.n, a.n AS n1, b.n AS n2, {_ttm('rev', 'q.e', 'q', 'a', 'c')} AS r0, {_ttm('rev', 'q.e', 'a', 'b', 'd')} AS r1, {_ttm('pro', 'q.e', 'q', 'a', 'c')} AS p0, {_ttm('pro', 'q.e', 'a', 'b', 'd')} AS p1
+ FROM q LEFT JOIN q a ON a.ts_code = q.ts_code AND a.e = CAST(q.e - INTERVAL 12 MONTH AS DATE) LEFT JOIN q b ON b.ts_code = q.ts_code AND b.e = CAST(q.e - INTERVAL 24 MONTH AS DATE) LEFT JOIN q c ON c.ts_code = q.ts_code AND c.e = make_date(year(q.e) - 1, 12, 31) LEFT JOIN q d ON d.ts_code = q.ts_code AND d.e = make_date(year(q.e) - 2, 12, 31)),
+u AS (SELECT ts_code, CAST(e + 45 AS DATE) AS source_event_date, e AS report_period, r0 AS revenue_ttm, n * 1000 AS net_assets, p0 / ({_MEAN.format('n * 1000', 'n1 * 1000')}) AS roe_ttm, r0 / CASE WHEN r1 > 0 THEN r1 END - 1 AS revenue_growth_yoy, p0 / ({_MEAN.format('n * 1000', 'n1 * 1000')}) - p1 / ({_MEAN.format('n1 * 1000', 'n2 * 1000')}) AS roe_change_yoy, n * 1500 / (n * 2500) AS debt_to_assets, p0 AS net_profit_ttm FROM t),
+s AS (SELECT DISTINCT trade_date FROM panel), w AS (SELECT *, (SELECT min(trade_date) FROM s WHERE trade_date > source_event_date) AS available_date FROM u)
+SELECT ts_code, available_date, source_event_date, report_period, {', '.join(f'{r6(c)} AS {c}' for c in _FUNDAMENTALS)} FROM w WHERE available_date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ts_code, available_date ORDER BY source_event_date DESC) = 1""")
 def fundamentals_pit(spark, sf_dir):
     income, balance = _statements(spark, sf_dir)
-    return statements.fundamentals(income, balance, weekly_panel(spark, sf_dir).select("trade_date").distinct())
+    out = statements.fundamentals(income, balance, weekly_panel(spark, sf_dir).select("trade_date").distinct())
+    return out.withColumns({c: shown(F.col(c)) for c in _FUNDAMENTALS})
 
 
 def _vendor(spark, sf_dir):
-    """The weekly panel in the vendor's units and column names."""
-    p = weekly_panel(spark, sf_dir)
+    """The weekly panel in the vendor's units and column names; written once, as eight tables are made of it."""
+    path = files.shared_folder(spark, "vendor")
+    weekly_panel(spark, sf_dir).write.parquet(path)
+    p = spark.read.parquet(path)
     day = F.date_format("trade_date", "yyyyMMdd").alias("trade_date")
     code = F.col("ts_code").cast("string").alias("ts_code")
     daily = p.select(day, code, F.col("adj_open").alias("open"), F.col("adj_high").alias("high"), F.col("adj_low").alias("low"), F.col("adj_close").alias("close"), F.lag("adj_close").over(frames.history()).alias("pre_close"), (F.col("volume_shares") / 100).alias("vol"), (F.col("amount_cny") / 1000).alias("amount"), F.lit(0.0).alias("pct_chg"))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 from collections.abc import Callable, Mapping
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,19 @@ class DamagedEntry(RuntimeError):
     pass
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="panelyard-")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``; one of our own only where Spark runs on this machine alone."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(named or _own_folder()).rstrip('/')}/panelyard/{name}-{uuid.uuid4().hex}"
+
+
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A table by its suffix; delimited text has a header, and its types come from ``schema`` or one pass over the data."""
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
