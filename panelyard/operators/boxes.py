@@ -1,18 +1,19 @@
 """Breakout boxes: a quiet range is frozen, then breaks upward, fails downward or expires.
 
-Everything before the state machine is windows: true range and its mean, range
-bounds, slope and volatility ratio of the rows before.  Only the walk over boxes,
-which depends on how the last one ended, is a grouped function of a security.
+A row on which a box may open says by itself how that box would end: its bounds are
+those of the rows before, and the end is the first of the next ``max_active`` rows that
+leaves them.  So all candidates are windows; only which of them are taken depends on the
+box before, and that is one fold over a security's candidates (an opening row and an
+ending row each).  Measures of a breakout are columns of the row on which it happened.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.functions import frames
@@ -34,9 +35,13 @@ class BoxRules:
     failure_atr: float = 0.25
     max_active: int = 20
 
+    def past(self) -> int:
+        """Rows before a breakout that its measures may read."""
+        return max(self.process_window + 1, 2 * self.acceleration_window + 1, self.volume_window, self.lookback)
+
 
 def prepared(panel: DataFrame, r: BoxRules) -> DataFrame:
-    """``panel`` with what is known the row before: b_atr, b_upper, b_lower, b_slope, b_ratio."""
+    """``panel`` with its ordinal and what is known the row before: b_atr, b_upper, b_lower, b_slope, b_ratio."""
     w = frames.history()
     past = F.lag("adj_close", 1).over(w)
     d = panel.withColumns({"_tr": frames.true_range(F.col("adj_high"), F.col("adj_low"), past, strict=True), "_step": frames.safe_ratio(F.col("adj_close"), past) - 1, "_ordinal": F.row_number().over(w)})
@@ -49,43 +54,82 @@ def prepared(panel: DataFrame, r: BoxRules) -> DataFrame:
     return d.withColumns({f"b_{n}": F.lag(f"_{c}", 1).over(w) for n, c in (("atr", "atr"), ("upper", "up"), ("lower", "low"), ("slope", "slope"), ("ratio", "ratio"))}).withColumn("ordinal", F.col("_ordinal") - 1)
 
 
-@dataclass
+@dataclass(frozen=True)
+class Row:
+    """A row counted back from the one on which the box broke out."""
+
+    back: int = 0
+
+    def __sub__(self, rows: int) -> Row:
+        return Row(self.back + rows)
+
+
+@dataclass(frozen=True)
+class Values:
+    """A column of the rows up to the breakout: ``values[m.at - 1]`` is the row before."""
+
+    name: str
+
+    def __getitem__(self, row: Row) -> Column:
+        return F.try_element_at("_past", F.lit(-1 - row.back))[self.name]
+
+
+@dataclass(frozen=True)
 class Moment:
-    """What an event measure sees: the box and the security's arrays, at a row."""
+    """What a measure of a breakout sees: the box (upper, lower, atr, slope, ratio, age in rows) and the rows up to it, all as columns."""
 
-    box: dict
-    at: int
-    open: np.ndarray
-    close: np.ndarray
-    volume: np.ndarray
+    box: Mapping[str, Column]
     rules: BoxRules
+    at: Row = Row()
+    open: Values = Values("open")
+    close: Values = Values("close")
+    volume: Values = Values("volume")
 
-    def moves(self, n: int) -> np.ndarray:
-        return np.diff(self.close[self.at - n - 1 : self.at])
+    def moves(self, n: int) -> list[Column]:
+        """The last ``n`` changes of the close before the breakout, the oldest first."""
+        return [self.close[self.at - k] - self.close[self.at - k - 1] for k in range(n, 0, -1)]
 
 
-def _trend(y: np.ndarray) -> float:
-    x = np.arange(len(y)) - (len(y) - 1) / 2
-    return float(x @ (y - y.mean()) / (x @ x))
+def _mean(xs: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, xs) / len(xs)
 
 
-def _volume(m: Moment) -> float:
-    usual = np.median(m.volume[m.at - m.rules.volume_window : m.at])
-    return float(np.log(m.volume[m.at] / usual)) if usual > 0 and m.volume[m.at] > 0 else np.nan
+def _trend(y: list[Column]) -> Column:
+    """Least-squares slope on 0, 1, 2, ..."""
+    x = [k - (len(y) - 1) / 2 for k in range(len(y))]
+    return reduce(lambda a, b: a + b, (v * k for k, v in zip(x, y))) / sum(k * k for k in x)
 
 
-MEASURES: dict[str, Callable[[Moment], float]] = {
+def _median(xs: list[Column]) -> Column:
+    """Median of the values, missing if one is."""
+    ordered, n = F.array_sort(F.array(*xs)), len(xs)
+    known = reduce(lambda a, b: a & b, (x.isNotNull() for x in xs))
+    return F.when(known, (F.get(ordered, F.lit((n - 1) // 2)) + F.get(ordered, F.lit(n // 2))) / 2)
+
+
+def _acceleration(m: Moment) -> Column:
+    a = m.rules.acceleration_window
+    moves = m.moves(2 * a)
+    return (_mean(moves[a:]) - _mean(moves[:a])) / a / m.box["atr"]
+
+
+def _relative_volume(m: Moment) -> Column:
+    now, usual = m.volume[m.at], _median([m.volume[m.at - k] for k in range(m.rules.volume_window, 0, -1)])
+    return F.when((usual > 0) & (now > 0), F.ln(now / usual))
+
+
+MEASURES: dict[str, Callable[[Moment], Column]] = {
     "range_compactness": lambda m: -(m.box["upper"] - m.box["lower"]) / m.box["atr"],
-    "volatility_contraction": lambda m: np.inf if m.box["ratio"] == 0 else -np.log(m.box["ratio"]) if np.isfinite(m.box["ratio"]) else np.nan,
-    "trend_flatness": lambda m: -abs(m.box["slope"]) / m.box["atr"],
-    "approach_velocity": lambda m: _trend(m.close[m.at - m.rules.process_window : m.at]) / m.box["atr"],
-    "pre_acceleration": lambda m: (m.moves(2 * m.rules.acceleration_window)[m.rules.acceleration_window :].mean() - m.moves(2 * m.rules.acceleration_window)[: m.rules.acceleration_window].mean()) / m.rules.acceleration_window / m.box["atr"],
-    "direction_persistence": lambda m: float((m.moves(m.rules.process_window) > 0).mean()),
-    "consolidation_age": lambda m: float(m.rules.lookback + m.at - m.box["created"]),
+    "volatility_contraction": lambda m: F.when(m.box["ratio"] == 0, float("inf")).otherwise(-F.ln(m.box["ratio"])),
+    "trend_flatness": lambda m: -F.abs(m.box["slope"]) / m.box["atr"],
+    "approach_velocity": lambda m: _trend([m.close[m.at - k] for k in range(m.rules.process_window, 0, -1)]) / m.box["atr"],
+    "pre_acceleration": _acceleration,
+    "direction_persistence": lambda m: _mean([(x > 0).cast("double") for x in m.moves(m.rules.process_window)]),
+    "consolidation_age": lambda m: (m.box["age"] + m.rules.lookback).cast("double"),
     "breakout_strength": lambda m: (m.close[m.at] - m.box["upper"]) / m.box["atr"],
     "breakout_velocity": lambda m: (m.close[m.at] - m.close[m.at - 1]) / m.box["atr"],
-    "breakout_acceleration": lambda m: (m.close[m.at] - m.close[m.at - 1] - m.moves(m.rules.acceleration_window).mean()) / m.box["atr"],
-    "relative_volume": _volume,
+    "breakout_acceleration": lambda m: (m.close[m.at] - m.close[m.at - 1] - _mean(m.moves(m.rules.acceleration_window))) / m.box["atr"],
+    "relative_volume": _relative_volume,
     "gap_atr": lambda m: (m.open[m.at] - m.close[m.at - 1]) / m.box["atr"],
 }
 
@@ -94,55 +138,61 @@ MEASURES: dict[str, Callable[[Moment], float]] = {
 class Registry:
     """Named event measures; more can be registered."""
 
-    measures: dict[str, Callable[[Moment], float]] = field(default_factory=lambda: dict(MEASURES))
+    measures: dict[str, Callable[[Moment], Column]] = field(default_factory=lambda: dict(MEASURES))
 
-    def register(self, name: str, measure: Callable[[Moment], float]) -> None:
+    def register(self, name: str, measure: Callable[[Moment], Column]) -> None:
         if name in self.measures:
             raise ValueError(f"measure {name!r} is registered already")
         self.measures[name] = measure
 
 
-def walk(g: pd.DataFrame, r: BoxRules, measures: dict[str, Callable[[Moment], float]]) -> list[dict]:
-    """All boxes of one security in order of time, with measures where they broke out."""
-    g = g.sort_values("trade_date", ignore_index=True)
-    dates = g["trade_date"].tolist()
-    o, c, v = (g[n].to_numpy(float) for n in ("adj_open", "adj_close", "volume_shares"))
-    atr, up, low, slope, ratio = (g[f"b_{n}"].to_numpy(float) for n in ("atr", "upper", "lower", "slope", "ratio"))
-    boxes, box = [], None
-    for t in range(max(r.lookback, r.atr_window + 1, r.long_window + 1), len(g)):
-        if box is None:
-            width, tilt = (up[t] - low[t]) / atr[t] if atr[t] > 0 else np.nan, abs(slope[t]) / atr[t] if atr[t] > 0 else np.nan
-            quiet = width <= r.max_width_atr and tilt <= r.max_slope_atr
-            if quiet and r.max_volatility_ratio is not None:
-                quiet = ratio[t] <= r.max_volatility_ratio
-            if not quiet:
-                continue
-            box = {"upper": up[t], "lower": low[t], "atr": atr[t], "slope": slope[t], "ratio": ratio[t], "created": t, "source_end": dates[t - 1], "created_at": dates[t]}
-        if c[t] > box["upper"] + r.breakout_atr * box["atr"]:
-            moment = Moment(box, t, o, c, v, r)
-            boxes.append(box | {"state": "triggered", "closed_at": dates[t], "reason": "breakout"} | {n: float(f(moment)) for n, f in measures.items()})
-        elif c[t] < box["lower"] - r.failure_atr * box["atr"]:
-            boxes.append(box | {"state": "closed", "closed_at": dates[t], "reason": "downside_failure"})
-        elif t - box["created"] >= r.max_active:
-            boxes.append(box | {"state": "closed", "closed_at": dates[t], "reason": "expired"})
-        else:
-            continue
-        box = None
-    return boxes + ([box | {"state": "active", "closed_at": None, "reason": None}] if box else [])
+def candidates(rows: DataFrame, r: BoxRules) -> DataFrame:
+    """ts_code, created and ended (ordinals; ended is null for a box that stays open), the box and how it ends, of each row of ``prepared`` on which a box may open."""
+    w = frames.history()
+    upper, lower, atr = (F.col(f"b_{c}") for c in ("upper", "lower", "atr"))
+    quiet = (atr > 0) & ((upper - lower) / atr <= r.max_width_atr) & (F.abs("b_slope") / atr <= r.max_slope_atr) & (F.col("ordinal") >= max(r.lookback, r.atr_window + 1, r.long_window + 1))
+    if r.max_volatility_ratio is not None:
+        quiet = quiet & (F.col("b_ratio") <= r.max_volatility_ratio)
+    next_rows = F.collect_list(F.struct("ordinal", F.col("adj_close").alias("close"), F.col("trade_date").alias("day"))).over(w.rowsBetween(0, r.max_active))
+    rows = rows.withColumns({"_next": next_rows, "_source": F.lag("trade_date").over(w)}).filter(F.coalesce(quiet, F.lit(False)))
+
+    def end(x: Column, i: Column) -> Column:
+        reason = F.when(x["close"] > upper + r.breakout_atr * atr, "breakout").when(x["close"] < lower - r.failure_atr * atr, "downside_failure").when(i >= r.max_active, "expired")
+        return F.struct(x["ordinal"].alias("ordinal"), x["day"].alias("day"), reason.alias("reason"))
+
+    ended = F.get(F.filter(F.transform("_next", end), lambda e: e["reason"].isNotNull()), F.lit(0))
+    rows = rows.withColumn("_end", ended)
+    return rows.select(
+        "ts_code", F.col("ordinal").alias("created"), F.col("_end.ordinal").alias("ended"), upper.alias("upper"), lower.alias("lower"), atr.alias("atr"), F.col("b_slope").alias("slope"), F.col("b_ratio").alias("ratio"),
+        F.col("_source").alias("source_end"), F.col("trade_date").alias("created_at"), F.col("_end.day").alias("closed_at"), F.col("_end.reason").alias("reason"),
+    )
+
+
+def taken(found: DataFrame) -> DataFrame:
+    """The candidates that open: the first, and each first one after the box before has ended; one fold over a security's candidates."""
+    own = [c for c in found.columns if c != "ts_code"]
+    each = found.groupBy("ts_code").agg(F.sort_array(F.collect_list(F.struct("created", "ended"))).alias("c"))
+    never = F.lit(1 << 30)
+    start = F.struct(F.lit(-1).alias("until"), F.array().cast("array<int>").alias("kept"))
+
+    def step(a: Column, c: Column) -> Column:
+        opens = c["created"] > a["until"]
+        return F.struct(F.when(opens, F.coalesce(c["ended"], never)).otherwise(a["until"]).alias("until"), F.when(opens, F.concat(a["kept"], F.array(c["created"]))).otherwise(a["kept"]).alias("kept"))
+
+    chosen = each.select("ts_code", F.explode(F.aggregate("c", start, step, lambda a: a["kept"])).alias("created"))
+    return found.join(chosen, ["ts_code", "created"]).select("ts_code", *own)
 
 
 def boxes(panel: DataFrame, rules: BoxRules = BoxRules(), registry: Registry | None = None) -> DataFrame:
     """box_id, ts_code, bounds, dates, state and reason of every box; measures where it broke out."""
     measures = (registry or Registry()).measures
-    code = panel.schema["ts_code"].dataType.simpleString()
-    names = ["upper", "lower", "atr", "source_end", "created_at", "state", "closed_at", "reason", *measures]
-    schema = f"box_id string, ts_code {code}, upper double, lower double, atr double, source_end date, created_at date, state string, closed_at date, reason string" + "".join(f", `{m}` double" for m in measures)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame(walk(pdf, rules, measures), columns=names)
-        found.insert(0, "ts_code", pdf["ts_code"].iloc[0])
-        found.insert(0, "box_id", [f"{pdf['ts_code'].iloc[0]}:{d:%Y%m%d}" for d in found["source_end"]])
-        return found
-
-    cols = ["trade_date", "ts_code", "adj_open", "adj_close", "volume_shares", "b_atr", "b_upper", "b_lower", "b_slope", "b_ratio"]
-    return prepared(panel, rules).select(*cols).groupBy("ts_code").applyInPandas(run, schema)
+    rows = prepared(panel, rules)
+    found = taken(candidates(rows, rules))
+    w = frames.history().rowsBetween(-rules.past(), 0)
+    before = rows.select("ts_code", F.col("ordinal").alias("ended"), F.collect_list(F.struct(F.col("adj_open").alias("open"), F.col("adj_close").alias("close"), F.col("volume_shares").alias("volume"))).over(w).alias("_past"))
+    broke = F.col("reason") == "breakout"
+    out = found.join(before, ["ts_code", "ended"], "left")
+    moment = Moment({c: F.col(c) for c in ("upper", "lower", "atr", "slope", "ratio")} | {"age": F.col("ended") - F.col("created")}, rules)
+    state = F.when(broke, "triggered").when(F.col("reason").isNotNull(), "closed").otherwise("active")
+    box_id = F.concat(F.col("ts_code").cast("string"), F.lit(":"), F.date_format("source_end", "yyyyMMdd"))
+    return out.select(box_id.alias("box_id"), "ts_code", "upper", "lower", "atr", "source_end", "created_at", state.alias("state"), "closed_at", "reason", *(F.when(broke, f(moment)).cast("double").alias(n) for n, f in measures.items()))

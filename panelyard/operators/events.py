@@ -40,7 +40,9 @@ def match_controls(rows: DataFrame, controls: list[str], neighbours: int = 3, ca
     """trade_date, group, event_code, control_code, match_distance, rank.
 
     Events meet the non-events of their own date and group only; distances are root
-    mean squares of robustly scaled differences; ties go to the smaller code.
+    mean squares of robustly scaled differences; ties go to the smaller code.  A pair
+    within the caliper is no farther apart in the first control than its root-of-n-fold,
+    so sides meet in bands of that width alone, not in whole cells.
     """
     cell = Window.partitionBy("trade_date", group)
     d = rows.filter(F.col(group).isNotNull()).select("trade_date", group, "ts_code", event, *controls)
@@ -49,7 +51,10 @@ def match_controls(rows: DataFrame, controls: list[str], neighbours: int = 3, ca
     scale = lambda c: F.when(F.col(f"_m_{c}") > 1e-12, F.col(f"_m_{c}")).when(F.col(f"_s_{c}") > 1e-12, F.col(f"_s_{c}")).otherwise(1.0)
     d = d.select("trade_date", group, "ts_code", event, *((F.col(c) - F.col(f"_c_{c}")).alias(c) / scale(c) for c in controls)).toDF("trade_date", group, "ts_code", event, *controls).dropna(subset=controls)
     e = d.filter(F.col(event)).select("trade_date", group, F.col("ts_code").alias("event_code"), *(F.col(c).alias(f"_e_{c}") for c in controls))
-    pairs = e.join(d.filter(~F.col(event)), ["trade_date", group])
+    width = max(caliper, 1e-12) * len(controls) ** 0.5 * (1 + 1e-9)
+    band = lambda c: F.floor(F.col(c) / width)
+    e = e.withColumn("_band", F.explode(F.sequence(band(f"_e_{controls[0]}") - 1, band(f"_e_{controls[0]}") + 1)))
+    pairs = e.join(d.filter(~F.col(event)).withColumn("_band", band(controls[0])), ["trade_date", group, "_band"])
     distance = F.sqrt(sum(((F.col(c) - F.col(f"_e_{c}")) ** 2 for c in controls), F.lit(0.0)) / len(controls))
     near = pairs.select("trade_date", group, "event_code", F.col("ts_code").alias("control_code"), distance.alias("match_distance")).filter(F.col("match_distance") <= caliper)
     rank = F.row_number().over(Window.partitionBy("trade_date", group, "event_code").orderBy("match_distance", F.col("control_code").cast("string")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelyard.functions.frames import shown
 from panelyard.operators import recipes
 from panelyard.plans import feature_queries, panel_queries, research_queries
+from panelyard.plans.formula_queries import MOMENTUM_SQL
 from panelyard.plans.panel_queries import FUTURE_SQL, RETURNS_SQL, W, _avg_rank, r6, rows
 from panelyard.plans.research_queries import _change, _prior
 from panelyard.sources.market import PANEL_SQL
@@ -212,3 +213,36 @@ UNION ALL SELECT w.trade_date, o.r, CASE WHEN ok THEN list_append(w.kept, o.memb
 SELECT o.trade_date, o.concept_code, {r6('o.score')} AS score, CAST(row_number() OVER (PARTITION BY o.trade_date ORDER BY o.r) AS INT) AS rank FROM w JOIN o USING (trade_date, r) WHERE took""",
     "score",
 )
+
+
+# Experiments of a whole factor
+
+_SMOOTH = f"""{PANEL_SQL}, sm AS (SELECT * REPLACE (avg(adj_open) OVER s AS adj_open, avg(adj_close) OVER s AS adj_close) FROM panel WINDOW s AS (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 25 PRECEDING AND CURRENT ROW))"""
+_FACTOR = MOMENTUM_SQL.replace(PANEL_SQL, _SMOOTH).replace("AS lagged FROM panel)", "AS lagged FROM sm)")
+
+proved(
+    "experiment_quality",
+    f"""{_FACTOR}, dy AS (SELECT trade_date, count(z) AS n FROM f GROUP BY 1) SELECT count(*) AS rows, count(DISTINCT ts_code) AS codes, (SELECT count(*) FROM dy) AS days, {r6('(SELECT median(n) FROM dy)')} AS median_section, {r6('count(z) / count(*)')} AS coverage, {r6('count(DISTINCT z) / count(z)')} AS distinct_ratio FROM f""",
+    "median_section", "coverage", "distinct_ratio",
+)
+
+_LEADS = ", ".join(f"lead(adj_open, {h + 1}) OVER {W} / lead(adj_open, 1) OVER {W} - 1 AS s{h}" for h in (1, 4))
+_PEERS = ", ".join(f"s{h} - (coalesce(sum(s{h}) OVER c, 0) - s{h}) / nullif(count(s{h}) OVER c - 1, 0) AS m{h}" for h in (1, 4))
+_CELLS = " UNION ALL ".join(f"SELECT trade_date, {h} AS horizon, '{t}' AS target, '{u}' AS universe, z AS x, {c}{h} AS y FROM lb WHERE {u}" for h in (1, 4) for t, c in (("stock_return", "s"), ("stock_minus_peers", "m")) for u in ("is_liquid", "is_tradeable"))
+_BY = "trade_date, horizon, target, universe"
+_KEY = "horizon, target, universe"
+_ERF = "(1 / (1 + 0.3275911::DOUBLE * abs(nw_t) / sqrt(2)))"
+_P = f"least({_ERF} * (0.254829592::DOUBLE + {_ERF} * (-0.284496736::DOUBLE + {_ERF} * (1.421413741::DOUBLE + {_ERF} * (-1.453152027::DOUBLE + {_ERF} * 1.061405429::DOUBLE)))) * exp(-nw_t * nw_t / 2), 1)"
+_SHOWN = ("mean", "std", "positive_ratio", "icir", "t_value", "nw_t", "oos_mean", "p_value", "fdr_q")
+
+proved(
+    "experiment_tests",
+    f"""{_FACTOR}, ld AS (SELECT *, {_LEADS} FROM sm), lb AS (SELECT ld.*, z, {_PEERS} FROM ld JOIN f USING (trade_date, ts_code) WINDOW c AS (PARTITION BY trade_date, industry_l1_code)), ce AS ({_CELLS}),
+rk AS (SELECT {_BY}, {_avg_rank('x', _BY)} AS a, {_avg_rank('y', _BY)} AS b FROM ce WHERE x IS NOT NULL AND y IS NOT NULL), ic AS (SELECT {_BY}, CASE WHEN count(*) >= 3 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN round(corr(a, b), 12) END AS ic FROM rk GROUP BY ALL),
+la AS (SELECT trade_date, percent_rank() OVER (ORDER BY trade_date) >= 0.8 AS late FROM (SELECT DISTINCT trade_date FROM sm)), dv AS (SELECT *, ic - avg(ic) OVER (PARTITION BY {_KEY}) AS d FROM ic JOIN la USING (trade_date) WHERE ic IS NOT NULL),
+lg AS (SELECT *, {', '.join(f'd * lag(d, {k}) OVER (PARTITION BY {_KEY} ORDER BY trade_date) AS p{k}' for k in range(1, 6))} FROM dv),
+su AS (SELECT {_KEY}, count(*) AS days, avg(ic) AS mean, stddev_samp(ic) AS std, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS positive_ratio, avg(ic) FILTER (late) AS oos_mean, sum(d * d) AS p0, {', '.join(f'coalesce(sum(p{k}), 0) AS p{k}' for k in range(1, 6))} FROM lg GROUP BY ALL),
+nw AS (SELECT *, mean / std * sqrt(252) AS icir, mean / std * sqrt(days) AS t_value, mean / sqrt((p0 + {' + '.join(f'2 * (1 - {k} / 6.0::DOUBLE) * p{k}' for k in range(1, 6))}) / days / days) AS nw_t FROM su), pv AS (SELECT *, {_P} AS p_value FROM nw), q AS (SELECT *, p_value * count(*) OVER () / row_number() OVER (ORDER BY p_value) AS raw FROM pv),
+fq AS (SELECT *, least(min(raw) OVER (ORDER BY p_value DESC, raw DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS fdr_q FROM q) SELECT {_KEY}, days, {', '.join(f'{r6(c)} AS {c}' for c in _SHOWN)} FROM fq""",
+    *_SHOWN,
+)

@@ -199,11 +199,36 @@ def rotation_shuffle_placebo(spark, sf_dir):
 # Boxes and fundamentals
 
 
-@query()
+def _last(x: str, size: int, f: str, least: int | None = None) -> str:
+    frame = f"(PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN {size - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({x}) OVER {frame} >= {size} THEN {f} OVER {frame} END"
+
+
+_BACK = ", ".join(f"lag(adj_close, {k}) OVER {W} AS c{k}" for k in range(1, 7))
+_BOX_MEASURES = {
+    "range_compactness": "-(upper - lower) / atr", "volatility_contraction": "CASE WHEN ratio = 0 THEN 'inf'::DOUBLE ELSE -ln(ratio) END", "trend_flatness": "-abs(slope) / atr", "approach_velocity": "(-2 * c5 - c4 + c2 + 2 * c1) / 10 / atr",
+    "pre_acceleration": "((c1 - c3) / 2 - (c3 - c5) / 2) / 2 / atr", "direction_persistence": f"({' + '.join(f'CAST(c{k} > c{k + 1} AS INT)' for k in range(1, 6))}) / 5", "consolidation_age": "20 + ended - created", "breakout_strength": "(c0 - upper) / atr",
+    "breakout_velocity": "(c0 - c1) / atr", "breakout_acceleration": "(c0 - c1 - (c1 - c3) / 2) / atr", "relative_volume": "CASE WHEN usual > 0 AND v0 > 0 THEN ln(v0 / usual) END", "gap_atr": "(o0 - c1) / atr",
+}
+_BOX_SHOWN = ("upper", "lower", "atr", *_BOX_MEASURES)
+
+
+@query(f"""WITH RECURSIVE {PANEL_SQL.strip().removeprefix('WITH')}, sm AS (SELECT * REPLACE ({', '.join(f'avg(adj_{c}) OVER s AS adj_{c}' for c in ('open', 'high', 'low', 'close'))}) FROM panel WINDOW s AS (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
+n0 AS (SELECT *, row_number() OVER {W} - 1 AS n, lag(adj_close) OVER {W} AS pc FROM sm), n1 AS (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(adj_high - adj_low, abs(adj_high - pc), abs(adj_low - pc)) END AS tr, adj_close / pc - 1 AS step FROM n0),
+n2 AS (SELECT *, {_last('tr', 14, 'avg(tr)')} AS a, {_last('adj_high', 20, 'max(adj_high)')} AS u, {_last('adj_low', 20, 'min(adj_low)')} AS l, {_last('adj_close', 20, 'regr_slope(adj_close, n)')} AS sl, {_last('step', 5, 'stddev_pop(step)')} AS s5, {_last('step', 20, 'stddev_pop(step)')} AS s20 FROM n1),
+n3 AS (SELECT *, lag(a) OVER {W} AS atr, lag(u) OVER {W} AS upper, lag(l) OVER {W} AS lower, lag(sl) OVER {W} AS slope, lag(CASE WHEN s5 = 0 AND s20 = 0 THEN 0 ELSE s5 / nullif(s20, 0) END) OVER {W} AS ratio, lag(trade_date) OVER {W} AS src, {_BACK}, median(volume_shares) OVER (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS usual FROM n2),
+ca AS (SELECT ts_code, n AS created, trade_date AS created_at, src AS source_end, upper, lower, atr, slope, ratio FROM n3 WHERE n >= 21 AND atr > 0 AND (upper - lower) / atr <= 12 AND abs(slope) / atr <= 0.8),
+en AS (SELECT ca.ts_code, created, min(n3.n) AS ended FROM ca JOIN n3 ON n3.ts_code = ca.ts_code AND n3.n BETWEEN created AND created + 20 AND (n3.adj_close > ca.upper + 0.25 * ca.atr OR n3.adj_close < ca.lower - 0.25 * ca.atr OR n3.n = created + 20) GROUP BY ALL),
+ce AS (SELECT ca.*, ended FROM ca LEFT JOIN en USING (ts_code, created)), st AS (SELECT ts_code, min(created) AS created FROM ce GROUP BY 1), ch AS (SELECT ts_code, created FROM st UNION ALL SELECT k.ts_code, (SELECT min(x.created) FROM ce x WHERE x.ts_code = k.ts_code AND x.created > e.ended) AS created FROM ch k JOIN ce e ON e.ts_code = k.ts_code AND e.created = k.created WHERE e.ended IS NOT NULL),
+bx AS (SELECT ce.*, n3.trade_date AS closed_at, CASE WHEN n3.adj_close > ce.upper + 0.25 * ce.atr THEN 'breakout' WHEN n3.adj_close < ce.lower - 0.25 * ce.atr THEN 'downside_failure' WHEN n3.n IS NOT NULL THEN 'expired' END AS reason, n3.adj_close AS c0, n3.adj_open AS o0, n3.volume_shares AS v0, usual, {', '.join(f'n3.c{k}' for k in range(1, 7))}
+ FROM ce JOIN ch ON ch.ts_code = ce.ts_code AND ch.created = ce.created LEFT JOIN n3 ON n3.ts_code = ce.ts_code AND n3.n = ce.ended)
+SELECT ts_code || ':' || strftime(source_end, '%Y%m%d') AS box_id, ts_code, {r6('upper')} AS upper, {r6('lower')} AS lower, {r6('atr')} AS atr, source_end, created_at, CASE WHEN reason = 'breakout' THEN 'triggered' WHEN reason IS NOT NULL THEN 'closed' ELSE 'active' END AS state, closed_at, reason,
+ {', '.join(f"{r6(f'CASE WHEN reason = {chr(39)}breakout{chr(39)} THEN {x} END')} AS {m}" for m, x in _BOX_MEASURES.items())} FROM bx""")
 def breakout_boxes(spark, sf_dir):
     smooth = lambda c: frames.rolling(F.col(c), 8, "mean", 1)
     p = weekly_panel(spark, sf_dir).withColumns({c: smooth(c) for c in ("adj_open", "adj_high", "adj_low", "adj_close")})
-    return boxes.boxes(p, boxes.BoxRules(max_width_atr=12.0, max_slope_atr=0.8))
+    out = boxes.boxes(p, boxes.BoxRules(max_width_atr=12.0, max_slope_atr=0.8))
+    return out.withColumns({c: shown(F.col(c)) for c in _BOX_SHOWN})
 
 
 def _statements(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelyard.operators import timing_groups as groups
+from panelyard.plans import research_queries
 from panelyard.plans.panel_queries import RETURNS_SQL, r6, returns
 from panelyard.plans.study_queries import said
 from panelyard.sources.market import table
@@ -236,3 +237,13 @@ def timing_table(spark, sf_dir):
     r = returns(spark, sf_dir)
     made = groups.timing_table(_index(r), {"valuation": _valuation(r), "macro": _macro(spark, sf_dir)}, {"macro": 2}, (5,), z=30, pct=60, changes=(5,))
     return said(made.withColumnRenamed("erp_pct_60", "pct").select("trade_date", *_TABLE, "pct", "erp_high_90"), *_TABLE, "pct")
+
+
+_IMPLIED = research_queries.QUERIES["timing_implied_volatility"]
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, 80.0::DOUBLE + o_orderkey % 40 AS strike, 0.1::DOUBLE + (o_orderkey % 9) / 10.0::DOUBLE AS years, o_orderkey % 2 = 1 AS put, 100.0::DOUBLE AS s FROM orders), q AS (SELECT *, greatest(CASE WHEN put THEN strike - 100 ELSE 100 - strike END, 0) + 6.0 AS px FROM o),
+iv AS (SELECT *, list_reduce(list_prepend([1e-4::DOUBLE, 5.0::DOUBLE], list_transform(range(40), lambda k: [0.0::DOUBLE, 0.0::DOUBLE])), lambda a, b: CASE WHEN {_worth('((a[1] + a[2]) / 2)')} > px THEN [a[1], (a[1] + a[2]) / 2] ELSE [(a[1] + a[2]) / 2, a[2]] END) AS e, {_worth('1e-4::DOUBLE')} <= px AND px <= {_worth('5.0::DOUBLE')} AS ok FROM q)
+SELECT o_orderkey, CASE WHEN ok THEN round((e[1] + e[2]) / 2, 3) END AS sigma FROM iv""")
+def timing_implied_volatility(spark, sf_dir):
+    return _IMPLIED(spark, sf_dir).withColumn("sigma", F.round("sigma", 3))  # a bisection ends within 1e-8
