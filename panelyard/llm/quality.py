@@ -133,10 +133,15 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, bits: int = 17, **params) -> Model:
     @F.pandas_udf("ids binary, counts binary")
     def bags(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([tuple(x.tobytes() for x in bag(t, bits)) for t in text], columns=["ids", "counts"])
+        found = [bag(t, bits) for t in text]  # counts take as many bytes as the largest needs
+        return pd.DataFrame([(ids.tobytes(), n.astype(np.min_scalar_type(n.max(initial=0))).tobytes()) for ids, n in found], columns=["ids", "counts"])
 
-    rows = labelled_sample(docs, labels, max_rows).select("quality", bags("text").alias("b")).select("quality", "b.*").collect()  # at most max_rows bags of 2**bits
-    return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in rows], np.array([r["quality"] for r in rows], int), bits, **params)
+    def read(ids: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(ids, np.int32), np.frombuffer(counts, f"u{4 * len(counts) // max(len(ids), 4) or 1}")
+
+    rows = labelled_sample(docs, labels, max_rows).select("quality", bags("text").alias("b")).select("quality", "b.*").toArrow()  # at most max_rows bags of 2**bits
+    pairs = [read(i.as_py(), n.as_py()) for i, n in zip(rows["ids"], rows["counts"])]
+    return fit(pairs, np.array(rows["quality"].to_pylist(), int), bits, **params)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
