@@ -7,6 +7,8 @@ they hold as many values as rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -83,24 +85,34 @@ def correlation(x: Column, y: Column) -> Column:
     return safe_ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once: a window that is named several times is computed as often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _share(seen: Column, x: Column, least: int, less: float, same: float, plus: float = 0.0) -> Column:
+    """Share of the values ``seen`` that lie below ``x``, those below and equal to it weighing ``less`` and ``same``."""
+
+    def of(values: Column) -> Column:
+        total = F.aggregate(values, F.lit(plus), lambda a, z: a + F.when(z < x, less).when(z == x, same).otherwise(0.0))
+        return F.when(x.isNotNull() & (F.size(values) >= least), total / F.size(values))
+
+    return once(seen, of)
+
+
 def prior_percentile(x: Column, size: int, least: int, w: WindowSpec | None = None) -> Column:
     """Mid-rank share of ``x`` among the values of the ``size`` rows before it."""
-    prior = F.collect_list(x).over((w or history()).rowsBetween(-size, -1))
-    less, same = F.size(F.filter(prior, lambda z: z < x)), F.size(F.filter(prior, lambda z: z == x))
-    return F.when(x.isNotNull() & (F.size(prior) >= least), (less + 0.5 * same) / F.size(prior))
+    return _share(F.collect_list(x).over((w or history()).rowsBetween(-size, -1)), x, least, 1.0, 0.5)
 
 
 def trailing_rank(x: Column, size: int, least: int, w: WindowSpec | None = None) -> Column:
     """Average-tie percent rank of ``x`` among the last ``size`` rows, itself included."""
-    seen = F.collect_list(x).over((w or history()).rowsBetween(1 - size, 0))
-    less, same = F.size(F.filter(seen, lambda z: z < x)), F.size(F.filter(seen, lambda z: z == x))
-    return F.when(x.isNotNull() & (F.size(seen) >= least), (less + (same + 1) / 2) / F.size(seen))
+    return _share(F.collect_list(x).over((w or history()).rowsBetween(1 - size, 0)), x, least, 1.0, 0.5, 0.5)
 
 
 def trailing_share(x: Column, size: int, least: int, w: WindowSpec | None = None) -> Column:
     """Share of the values of the last ``size`` rows, this one included, that are at most ``x``."""
-    seen = F.collect_list(x).over((w or history()).rowsBetween(1 - size, 0))
-    return F.when(x.isNotNull() & (F.size(seen) >= least), F.size(F.filter(seen, lambda z: z <= x)) / F.size(seen))
+    return _share(F.collect_list(x).over((w or history()).rowsBetween(1 - size, 0)), x, least, 1.0, 1.0)
 
 
 def forward(x: Column, size: int, kind: str = "max", w: WindowSpec | None = None) -> Column:

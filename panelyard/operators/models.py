@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelyard.functions import frames
+from panelyard.sources import files
 
 
 def sessions(panel: DataFrame) -> DataFrame:
@@ -52,7 +53,9 @@ def walk_forward(rows: DataFrame, features: list[str], label: str, plan: DataFra
         "trees": lambda: GBTRegressor(labelCol=label, weightCol="weight", maxIter=params.get("trees", 10), maxDepth=3, seed=7),
         "logistic": lambda: LogisticRegression(labelCol=label, weightCol="weight", regParam=params.get("reg", 0.01)),
     }
-    data = VectorAssembler(inputCols=features, outputCol="features").transform(weights(rows.dropna(subset=[*features, label])))
+    path = files.shared_folder(rows.sparkSession, "folds")  # every fold reads the rows twice
+    VectorAssembler(inputCols=features, outputCol="features").transform(weights(rows.dropna(subset=[*features, label]))).write.parquet(path)
+    data = rows.sparkSession.read.parquet(path)
     out = None
     for k in [r["fold"] for r in plan.select("fold").distinct().orderBy("fold").collect()]:  # the folds of the plan
         own = plan.filter(F.col("fold") == k)

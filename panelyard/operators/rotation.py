@@ -99,7 +99,7 @@ def placebo_ring(scores: DataFrame, score: str, code: str = "ts_code") -> DataFr
     w = Window.orderBy(code)  # one row a code
     ring = codes.select(F.col(code), F.coalesce(F.lead(code).over(w), F.min(code).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_next"))
     other = scores.select("trade_date", F.col(code).alias("_next"), F.col(score).alias("placebo"))
-    return scores.join(F.broadcast(ring), code).join(other, ["trade_date", "_next"], "left").drop("_next")
+    return scores.join(ring, code).join(other, ["trade_date", "_next"], "left").drop("_next")
 
 
 def shuffle_placebo(rows: DataFrame, value: str, by: tuple[str, ...] = ("trade_date",), code: str = "ts_code", salt: str = "placebo", missing: str = "stay") -> DataFrame:
