@@ -18,6 +18,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,6 +75,16 @@ def bag(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int32), n.astype(np.int32)
 
 
+def packed(ids: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """A bag as few bytes: steps from bucket to bucket, and counts, compressed."""
+    return zlib.compress(np.diff(ids, prepend=np.int32(0)).tobytes(), 1), zlib.compress(n.tobytes(), 1)
+
+
+def unpacked(ids: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = np.frombuffer(zlib.decompress(n), np.int32)
+    return np.cumsum(np.frombuffer(zlib.decompress(ids), np.int32), dtype=np.int32), n.astype(np.min_scalar_type(n.max(initial=0)))
+
+
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = 17, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
     """Numpy SGD over ``bag``s, one document a step; the step is normalised by the document's squared weights."""
     labels = np.asarray(labels, int)
@@ -85,11 +96,11 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int
     vector = rng.normal(0, 0.1, (2**bits, dim)).astype(np.float32)
     out = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
     bias = np.log(np.array([1 - share, share], np.float32))
-    rows = [(ids, (n / max(n.sum(), 1)).astype(np.float32)) for ids, n in bags]
-    steps, total = 0, epochs * len(rows)
+    steps, total = 0, epochs * len(bags)
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            ids, w = rows[i]
+        for i in rng.permutation(len(bags)):
+            ids, n = bags[i]
+            w = (n / max(n.sum(), 1)).astype(np.float32)
             lr = rate * (1 - steps / total)
             steps += 1
             hidden = w @ vector[ids]
@@ -133,15 +144,10 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, bits: int = 17, **params) -> Model:
     @F.pandas_udf("ids binary, counts binary")
     def bags(text: pd.Series) -> pd.DataFrame:
-        found = [bag(t, bits) for t in text]  # counts take as many bytes as the largest needs
-        return pd.DataFrame([(ids.tobytes(), n.astype(np.min_scalar_type(n.max(initial=0))).tobytes()) for ids, n in found], columns=["ids", "counts"])
-
-    def read(ids: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(ids, np.int32), np.frombuffer(counts, f"u{4 * len(counts) // max(len(ids), 4) or 1}")
+        return pd.DataFrame([packed(*bag(t, bits)) for t in text], columns=["ids", "counts"])
 
     rows = labelled_sample(docs, labels, max_rows).select("quality", bags("text").alias("b")).select("quality", "b.*").toArrow()  # at most max_rows bags of 2**bits
-    pairs = [read(i.as_py(), n.as_py()) for i, n in zip(rows["ids"], rows["counts"])]
-    return fit(pairs, np.array(rows["quality"].to_pylist(), int), bits, **params)
+    return fit([unpacked(i.as_py(), n.as_py()) for i, n in zip(rows["ids"], rows["counts"])], np.array(rows["quality"].to_pylist(), int), bits, **params)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -76,6 +76,9 @@ def test_sample_is_bounded_and_no_text_keeps_others_out(spark):
     assert set(whole) < set(learnt) and long == {"an " * 400_000}
     ids, counts = quality.bag("an " * 400_000, 17)
     assert len(ids) < 20 and counts.sum() == len(quality.grams("an " * 400_000, 17))
+    for text in ("an " * 400_000, data[0][1], "", "a b"):
+        whole_bag = quality.bag(text, 17)
+        assert all((a == b).all() for a, b in zip(quality.unpacked(*quality.packed(*whole_bag)), whole_bag))
     model = quality.train(huge, more)
     assert quality.score_of(model, "an " * 400_000) < 0.3 < quality.score_of(model, next(t for _, t, q in data if q))
 
