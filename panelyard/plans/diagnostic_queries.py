@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelyard.functions import frames
-from panelyard.operators import attribution, diagnostics, events, health, holdings, models, outcomes, regimes, rotation, timing
+from panelyard.operators import attribution, diagnostics, events, health, holdings, models, outcomes, regimes, rotation, scoring, stats, timing
 from panelyard.plans import research_queries, study_queries
 from panelyard.plans.panel_queries import FUTURE_SQL, RETURNS_SQL, W, future, r6, returns
 from panelyard.plans.study_queries import said
@@ -395,3 +395,66 @@ f AS (SELECT trade_date, CASE WHEN count(r) OVER w >= 20 THEN product(1 + r) OVE
  industry_breadth, industry_dispersion, ({_m20('t', 5)}) / ({_m20('t', 20)}) - 1 AS market_turnover_change_5_20 FROM k WINDOW w AS (ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT trade_date, {', '.join(f'{r6(c)} AS {c}' for c in regimes.MARKET)} FROM f""")
 def regime_market_features(spark, sf_dir):
     return said(regimes.market_features(weekly_panel(spark, sf_dir)), *regimes.MARKET)
+
+
+# Points and classes of factors
+
+_SCORED = {"reversal": "-step", "momentum": "step", "small": "-log_total_mv", "busy": "turnover_rate"}
+
+
+def _factor_runs(spark, sf_dir):
+    """Daily returns of the best codes of each factor at several sizes, holdings and costs, as means over the picks."""
+    p = future(spark, sf_dir).withColumn("fwd4", stats.forward_open_return(4))
+    each = F.array(*(F.struct(F.lit(n).alias("factor"), F.expr(x).cast("double").alias("x")) for n, x in _SCORED.items()))
+    held = F.array(*(F.struct(F.lit(h).alias("holding"), (F.col(c) / h).alias("y")) for h, c in ((2, "fwd"), (4, "fwd4"))))
+    rows = p.select("trade_date", "ts_code", "is_tradeable", held.alias("h"), each.alias("f")).select("trade_date", "ts_code", "is_tradeable", F.explode("f").alias("f"), "h").select("trade_date", "ts_code", "is_tradeable", "f.*", F.explode("h").alias("h"))
+    rows = rows.select("trade_date", "ts_code", "is_tradeable", "factor", "x", "h.*").filter("x is not null and y is not null")
+    day = Window.partitionBy("trade_date", "factor", "holding")
+    rows = rows.withColumns({"k": F.row_number().over(day.orderBy(F.desc("x"), "ts_code")), "all": F.avg("y").over(day)}).filter("k <= 20")
+    sizes = rows.withColumn("top_n", F.explode(F.array(*(F.lit(n) for n in scoring.SIZES)))).filter("k <= top_n")
+    daily = sizes.groupBy("factor", "top_n", "holding", "trade_date").agg(F.avg("y").alias("gross"), F.first("all").alias("all"), F.avg(F.col("is_tradeable").cast("double")).alias("executed"))
+    costed = daily.withColumn("cost_bps", F.explode(F.array(F.lit(0.0), F.lit(20.0)))).withColumn("return", (F.col("gross") - F.col("cost_bps") / 10_000 / F.col("holding")) / 50)
+    return costed.select("factor", "top_n", "holding", "cost_bps", "trade_date", "return", (F.col("return") - F.col("all") / 50).alias("excess"), "executed")
+
+
+_RUN_SQL = f"""{FUTURE_SQL}, f4 AS (SELECT *, lead(adj_open, 5) OVER {W} / lead(adj_open, 1) OVER {W} - 1 AS fwd4 FROM fut), ff AS ({' UNION ALL '.join(f"SELECT trade_date, ts_code, is_tradeable, fwd, fwd4, '{n}' AS factor, {x} AS x FROM f4" for n, x in _SCORED.items())}),
+hh AS (SELECT trade_date, ts_code, is_tradeable, factor, x, 2 AS holding, fwd / 2 AS y FROM ff UNION ALL SELECT trade_date, ts_code, is_tradeable, factor, x, 4, fwd4 / 4 FROM ff), rk AS (SELECT *, row_number() OVER (PARTITION BY trade_date, factor, holding ORDER BY x DESC, ts_code) AS k, avg(y) OVER (PARTITION BY trade_date, factor, holding) AS a FROM hh WHERE x IS NOT NULL AND y IS NOT NULL),
+dy AS (SELECT factor, top_n, holding, trade_date, avg(y) AS g, any_value(a) AS a, avg(CASE WHEN is_tradeable THEN 1.0 ELSE 0.0 END) AS executed FROM rk JOIN (SELECT unnest([2, 5, 10, 20]) AS top_n) ON k <= top_n GROUP BY ALL),
+ru AS (SELECT factor, top_n, holding, cost_bps, trade_date, (g - cost_bps / 10000 / holding) / 50 AS ret, (g - cost_bps / 10000 / holding) / 50 - a / 50 AS excess, executed FROM dy, (SELECT unnest([0.0, 20.0]::DOUBLE[]) AS cost_bps)),
+rn AS (SELECT *, row_number() OVER t AS k, count(*) OVER r AS n, exp(sum(ln(1 + greatest(ret, -0.999999))) OVER t) AS nav, CASE WHEN count(*) OVER w >= 63 THEN sum(excess) OVER w END AS roll, row_number() OVER (PARTITION BY factor, top_n, holding, cost_bps ORDER BY greatest(excess, 0) DESC, trade_date) <= 10 AS best FROM ru
+ WINDOW r AS (PARTITION BY factor, top_n, holding, cost_bps), t AS (PARTITION BY factor, top_n, holding, cost_bps ORDER BY trade_date), w AS (PARTITION BY factor, top_n, holding, cost_bps ORDER BY trade_date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)),
+rf AS (SELECT *, k <= greatest(floor(n * (1 - 0.2::DOUBLE)), 1) AS old, nav / max(nav) OVER (PARTITION BY factor, top_n, holding, cost_bps ORDER BY trade_date) - 1 AS fall FROM rn), yr AS (SELECT factor, top_n, holding, cost_bps, year(trade_date) AS y, sum(excess) AS e, sum(excess) FILTER (NOT old) AS l FROM rf GROUP BY ALL),
+ys AS (SELECT factor, top_n, holding, cost_bps, avg(CASE WHEN e > 0 THEN 1.0 WHEN e IS NOT NULL THEN 0.0 END) AS years, coalesce(avg(CASE WHEN l > 0 THEN 1.0 WHEN l IS NOT NULL THEN 0.0 END), 0) AS walk FROM yr GROUP BY ALL),
+ms AS (SELECT factor, top_n, holding, cost_bps, coalesce(avg(excess) FILTER (old) * 252, 0) AS is_excess, coalesce(avg(excess) FILTER (NOT old) * 252, 0) AS oos_excess, avg(excess) * 252 AS excess, avg(executed) AS execution, avg(ret) * 252 / nullif(abs(min(fall)), 0) AS calmar, coalesce(avg(CASE WHEN roll > 0 THEN 1.0 WHEN roll IS NOT NULL THEN 0.0 END), 0) AS rolling,
+ coalesce(sum(greatest(excess, 0)) FILTER (best) / nullif(sum(greatest(excess, 0)), 0), 1) AS concentration FROM rf GROUP BY ALL), mr AS (SELECT * FROM ms JOIN ys USING (factor, top_n, holding, cost_bps))"""
+_RUN_COLUMNS = ("is_excess", "oos_excess", "excess", "execution", "calmar", "rolling", "concentration", "years", "walk")
+
+
+@query(f"{_RUN_SQL} SELECT factor, top_n, holding, cost_bps, {', '.join(f'{r6(c)} AS {c}' for c in _RUN_COLUMNS)} FROM mr")
+def score_runs(spark, sf_dir):
+    return said(scoring.run_measures(_factor_runs(spark, sf_dir)), *_RUN_COLUMNS)
+
+
+def _points(value: str, name: str) -> str:
+    return "CASE " + " ".join(f"WHEN {value} >= {least} THEN {points}" for least, points in scoring.BANDS[name]) + " ELSE 0 END"
+
+
+_IC_AXES = "SELECT factor, trade_date, CASE WHEN count(*) >= 3 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN round(corr(a, b), 12) END AS ic FROM (SELECT factor, trade_date, " + _AVG.format(by="factor, trade_date", x="x") + " AS a, " + _AVG.format(by="factor, trade_date", x="fwd") + " AS b FROM ff WHERE x IS NOT NULL AND fwd IS NOT NULL) GROUP BY ALL"
+
+
+@query(f"""{_RUN_SQL}, ic AS ({_IC_AXES}), la AS (SELECT *, percent_rank() OVER (PARTITION BY factor ORDER BY trade_date) >= 0.8 AS late FROM ic), te AS (SELECT factor, avg(ic) AS ic, avg(ic) / stddev_samp(ic) * sqrt(252) AS icir, avg(ic) FILTER (late) AS oos_ic FROM la GROUP BY 1),
+pr AS (SELECT factor, {', '.join(f'median({c}) FILTER (top_n = 2 AND cost_bps = 20) AS {c}' for c in _RUN_COLUMNS if c != 'walk')}, avg(walk) FILTER (top_n = 2 AND cost_bps = 20) AS walk, median(excess) FILTER (top_n = 2 AND cost_bps = 0) AS gross, {', '.join(f'median(excess) FILTER (top_n = {n} AND cost_bps = 20) AS top{n}' for n in scoring.SIZES)} FROM mr GROUP BY 1),
+jo AS (SELECT pr.*, ic, icir, oos_ic, CASE WHEN is_excess > 0 THEN oos_excess / is_excess WHEN oos_excess > 0 THEN 1.0 ELSE -1.0 END AS retention, CASE WHEN gross > 0 THEN excess / gross ELSE 0.0 END AS resilience FROM pr JOIN te USING (factor)),
+po AS (SELECT factor, CASE WHEN oos_excess > 0 THEN 8 ELSE 0 END + {_points('retention', 'retention')} + {_points('walk', 'walk')} + CASE WHEN oos_ic > 0 THEN 4 ELSE 0 END AS oos_effectiveness, {_points('excess', 'excess')} + {_points('coalesce(calmar, 0)', 'calmar')} + {_points('resilience', 'resilience')} + {_points('execution', 'execution')} AS tradable_performance,
+ {_points('years', 'years')} + {_points('rolling', 'rolling')} + {_points('(1 - concentration)', 'spread')} AS stability, CASE WHEN NOT coalesce(top2 > 0, false) THEN 0 WHEN top2 >= top5 AND top5 >= top10 AND top10 >= top20 AND top20 > 0 THEN 10 WHEN top5 > 0 THEN 7 ELSE 5 END AS topn_structure, {_points('ic', 'ic')} + {_points('icir', 'icir')} AS statistical_evidence,
+ CASE WHEN factor <> 'busy' THEN 2 ELSE 0 END AS independence_explanation, is_excess > 0 AND oos_excess < 0 AND oos_ic < 0 AS rev FROM jo), tt AS (SELECT *, oos_effectiveness + tradable_performance + stability + topn_structure + statistical_evidence + independence_explanation AS total FROM po)
+SELECT factor, oos_effectiveness, tradable_performance, stability, topn_structure, statistical_evidence, independence_explanation, total, CASE WHEN factor = 'small' THEN 'INVALID' WHEN rev OR total <= 49 THEN 'REJECTED' WHEN total <= 64 THEN 'WATCHLIST' WHEN total <= 79 THEN 'CANDIDATE' WHEN oos_effectiveness >= 17 AND tradable_performance >= 17 AND stability >= 12 THEN 'APPROVED' ELSE 'CANDIDATE' END AS classification FROM tt""")
+def score_factors(spark, sf_dir):
+    p = future(spark, sf_dir)
+    each = F.array(*(F.struct(F.lit(n).alias("factor"), F.expr(x).cast("double").alias("x")) for n, x in _SCORED.items()))
+    ic = stats.daily_ic(p.select("trade_date", "fwd", F.explode(each).alias("f")).select("trade_date", "fwd", "f.*"), "x", "fwd", ["factor"])
+    late = F.percent_rank().over(Window.partitionBy("factor").orderBy("trade_date")) >= 0.8
+    tests = stats.ic_summary(ic, ["factor"]).join(ic.withColumn("late", late).filter("late").groupBy("factor").agg(F.avg("ic").alias("oos_ic")), "factor", "left")
+    tests = tests.select("factor", F.col("mean").alias("ic"), "icir", "oos_ic", F.lit(None).cast("double").alias("fdr_q"), F.lit(None).cast("double").alias("structure"))
+    basics = tests.select("factor", (F.col("factor") == "small").cast("int").alias("violations"), F.lit(True).alias("covered"), (F.col("factor") != "busy").alias("explained"))
+    return scoring.score(scoring.run_measures(_factor_runs(spark, sf_dir)), tests, basics)
