@@ -146,52 +146,54 @@ class Registry:
         self.measures[name] = measure
 
 
-def candidates(rows: DataFrame, r: BoxRules) -> DataFrame:
-    """ts_code, created and ended (ordinals; ended is null for a box that stays open), the box and how it ends, of each row of ``prepared`` on which a box may open."""
+REASONS = ("breakout", "downside_failure", "expired")
+
+
+def candidates(panel: DataFrame, r: BoxRules) -> DataFrame:
+    """ts_code, created and ended (ordinals; ended is null for a box that stays open), the box and how it ends, of each row on which a box may open."""
     w = frames.history()
     upper, lower, atr = (F.col(f"b_{c}") for c in ("upper", "lower", "atr"))
     quiet = (atr > 0) & ((upper - lower) / atr <= r.max_width_atr) & (F.abs("b_slope") / atr <= r.max_slope_atr) & (F.col("ordinal") >= max(r.lookback, r.atr_window + 1, r.long_window + 1))
     if r.max_volatility_ratio is not None:
         quiet = quiet & (F.col("b_ratio") <= r.max_volatility_ratio)
-    next_rows = F.collect_list(F.struct("ordinal", F.col("adj_close").alias("close"), F.col("trade_date").alias("day"))).over(w.rowsBetween(0, r.max_active))
-    rows = rows.withColumns({"_next": next_rows, "_source": F.lag("trade_date").over(w)}).filter(F.coalesce(quiet, F.lit(False)))
-
-    def end(x: Column, i: Column) -> Column:
-        reason = F.when(x["close"] > upper + r.breakout_atr * atr, "breakout").when(x["close"] < lower - r.failure_atr * atr, "downside_failure").when(i >= r.max_active, "expired")
-        return F.struct(x["ordinal"].alias("ordinal"), x["day"].alias("day"), reason.alias("reason"))
-
-    ended = F.get(F.filter(F.transform("_next", end), lambda e: e["reason"].isNotNull()), F.lit(0))
-    rows = rows.withColumn("_end", ended)
+    ahead = {f"_c{i}": F.lead("adj_close", i).over(w) for i in range(1, r.max_active + 1)}
+    rows = prepared(panel, r).withColumns(ahead | {"_c0": F.col("adj_close"), "_whole": F.lead("ordinal", r.max_active).over(w).isNotNull(), "_source": F.lag("trade_date").over(w)}).filter(F.coalesce(quiet, F.lit(False)))
+    high, low, step = upper + r.breakout_atr * atr, lower - r.failure_atr * atr, len(REASONS) + 1
+    # Rows from the opening one, and the number of the reason: the first row that leaves the bounds, or the last that the box may see.
+    left = [F.when(F.col(f"_c{i}") > high, i * step + 1).when(F.col(f"_c{i}") < low, i * step + 2) for i in range(r.max_active + 1)]
+    rows = rows.withColumn("_end", F.coalesce(*left, F.when(F.col("_whole"), r.max_active * step + 3)))
+    reason = F.get(F.array(*(F.lit(x) for x in REASONS)), F.col("_end") % step - 1)
     return rows.select(
-        "ts_code", F.col("ordinal").alias("created"), F.col("_end.ordinal").alias("ended"), upper.alias("upper"), lower.alias("lower"), atr.alias("atr"), F.col("b_slope").alias("slope"), F.col("b_ratio").alias("ratio"),
-        F.col("_source").alias("source_end"), F.col("trade_date").alias("created_at"), F.col("_end.day").alias("closed_at"), F.col("_end.reason").alias("reason"),
+        "ts_code", F.col("ordinal").alias("created"), (F.col("ordinal") + F.floor(F.col("_end") / step)).cast("int").alias("ended"), upper.alias("upper"), lower.alias("lower"), atr.alias("atr"), F.col("b_slope").alias("slope"), F.col("b_ratio").alias("ratio"),
+        F.col("_source").alias("source_end"), F.col("trade_date").alias("created_at"), reason.alias("reason"),
     )
 
 
 def taken(found: DataFrame) -> DataFrame:
     """The candidates that open: the first, and each first one after the box before has ended; one fold over a security's candidates."""
-    own = [c for c in found.columns if c != "ts_code"]
-    each = found.groupBy("ts_code").agg(F.sort_array(F.collect_list(F.struct("created", "ended"))).alias("c"))
-    never = F.lit(1 << 30)
-    start = F.struct(F.lit(-1).alias("until"), F.array().cast("array<int>").alias("kept"))
+    own = ["created", *(c for c in found.columns if c not in ("ts_code", "created"))]
+    each = found.groupBy("ts_code").agg(F.sort_array(F.collect_list(F.struct(*own))).alias("c"))
+    start = F.struct(F.lit(-1).alias("until"), F.slice("c", F.lit(1), F.lit(0)).alias("kept"))
 
     def step(a: Column, c: Column) -> Column:
         opens = c["created"] > a["until"]
-        return F.struct(F.when(opens, F.coalesce(c["ended"], never)).otherwise(a["until"]).alias("until"), F.when(opens, F.concat(a["kept"], F.array(c["created"]))).otherwise(a["kept"]).alias("kept"))
+        return F.when(opens, F.struct(F.coalesce(c["ended"], F.lit((1 << 31) - 1)).alias("until"), F.concat(a["kept"], F.array(c)).alias("kept"))).otherwise(a)
 
-    chosen = each.select("ts_code", F.explode(F.aggregate("c", start, step, lambda a: a["kept"])).alias("created"))
-    return found.join(chosen, ["ts_code", "created"]).select("ts_code", *own)
+    return each.select("ts_code", F.explode(F.aggregate("c", start, step, lambda a: a["kept"])).alias("b")).select("ts_code", "b.*")
 
 
 def boxes(panel: DataFrame, rules: BoxRules = BoxRules(), registry: Registry | None = None) -> DataFrame:
     """box_id, ts_code, bounds, dates, state and reason of every box; measures where it broke out."""
     measures = (registry or Registry()).measures
-    rows = prepared(panel, rules)
-    found = taken(candidates(rows, rules))
-    w = frames.history().rowsBetween(-rules.past(), 0)
-    before = rows.select("ts_code", F.col("ordinal").alias("ended"), F.collect_list(F.struct(F.col("adj_open").alias("open"), F.col("adj_close").alias("close"), F.col("volume_shares").alias("volume"))).over(w).alias("_past"))
+    found = taken(candidates(panel, rules))
     broke = F.col("reason") == "breakout"
-    out = found.join(before, ["ts_code", "ended"], "left")
+    # The rows that a box's end needs: its own, and those before where it broke out.
+    back = F.sequence(F.lit(0), F.when(broke, F.lit(rules.past())).otherwise(0))
+    wanted = found.withColumn("_back", F.explode(back)).withColumn("_row", F.col("ended") - F.col("_back"))
+    rows = panel.select("ts_code", (F.row_number().over(frames.history()) - 1).alias("_row"), F.col("trade_date").alias("day"), F.col("adj_open").alias("open"), F.col("adj_close").alias("close"), F.col("volume_shares").alias("volume"))
+    met = wanted.join(rows, ["ts_code", "_row"], "left")
+    key = found.columns
+    out = met.groupBy(*key).agg(F.sort_array(F.collect_list(F.when(F.col("day").isNotNull(), F.struct("_row", "open", "close", "volume")))).alias("_past"), F.max("day").alias("closed_at"))
     moment = Moment({c: F.col(c) for c in ("upper", "lower", "atr", "slope", "ratio")} | {"age": F.col("ended") - F.col("created")}, rules)
     state = F.when(broke, "triggered").when(F.col("reason").isNotNull(), "closed").otherwise("active")
     box_id = F.concat(F.col("ts_code").cast("string"), F.lit(":"), F.date_format("source_end", "yyyyMMdd"))
