@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,29 +37,70 @@ def market_regimes(panel: DataFrame) -> DataFrame:
     return out.select("trade_date", "market_daily_return", "market_return_20d", "market_volatility_20d", direction.alias("market_direction"), volatility.alias("market_volatility"))
 
 
+def nearest(codes: np.ndarray, event: np.ndarray, values: np.ndarray, neighbours: int, caliper: float, cells: int = 1 << 20) -> tuple[np.ndarray, ...]:
+    """Event's row, control's row, distance and rank of one cell's neighbours; ``values`` are its rows' scaled controls.
+
+    The cell's controls stand in order of the first column.  Events look to both sides of
+    their places, ``cells`` differences at a time, and those twice as far again whose last
+    neighbour is no nearer than the first column alone lets rows beyond be.  Of equal
+    controls only the first codes can be neighbours.
+    """
+    places = np.unique(codes, return_inverse=True)[1]
+    pool, asking = np.flatnonzero(~event), np.flatnonzero(event)
+    pool = pool[np.lexsort((places[pool], *values[pool].T[::-1]))]
+    at = np.arange(len(pool))
+    new = np.r_[True, (values[pool[1:]] != values[pool[:-1]]).any(axis=1)] if len(pool) else np.zeros(0, bool)
+    pool = pool[at - np.maximum.accumulate(np.where(new, at, 0)) < neighbours]
+    first, found, reach = values[pool, 0], [], 4 * neighbours
+    while len(asking) and len(pool):
+        later = []
+        for part in np.array_split(asking, len(asking) * 2 * reach // cells + 1):
+            seen = np.searchsorted(first, values[part, 0])[:, None] + np.arange(-reach, reach)
+            held = seen.clip(0, len(pool) - 1)
+            distance = np.sqrt(sum((values[pool, k][held] - values[part, k][:, None]) ** 2 for k in range(values.shape[1])) / values.shape[1])
+            distance[held != seen] = np.inf
+            last = np.minimum(np.partition(distance, neighbours - 1, axis=1)[:, neighbours - 1], caliper)
+            limit = last * values.shape[1] ** 0.5 * (1 + 1e-9)
+            done = (seen[:, 0] <= 0) | (values[part, 0] - first[held[:, 0]] > limit)
+            done &= (seen[:, -1] >= len(pool) - 1) | (first[held[:, -1]] - values[part, 0] > limit)
+            later.append(part[~done])
+            i, j = np.nonzero((distance <= last[:, None]) & done[:, None])
+            found.append((part[i], pool[held[i, j]], distance[i, j]))
+        asking, reach = np.concatenate(later), 2 * reach
+    e, c, d = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    order = np.lexsort((places[c], d, e))
+    e, c, d = e[order], c[order], d[order]
+    rank = np.arange(len(e)) - np.searchsorted(e, e) + 1
+    near = rank <= neighbours
+    return e[near], c[near], d[near], rank[near]
+
+
 def match_controls(rows: DataFrame, controls: list[str], neighbours: int = 3, caliper: float = 1.0, event: str = "is_event", group: str = "industry_l1_code") -> DataFrame:
     """trade_date, group, event_code, control_code, match_distance, rank.
 
     Events meet the non-events of their own date and group only; distances are root
-    mean squares of robustly scaled differences; ties go to the smaller code.  A pair
-    within the caliper is no farther apart in the first control than its root-of-n-fold,
-    so sides meet in bands of that width alone, not in whole cells.
+    mean squares of robustly scaled differences; ties go to the smaller code.  Pairs
+    are never formed but around an event's place in its cell (``nearest``), so what
+    moves grows with the rows.
     """
     cell = Window.partitionBy("trade_date", group)
     d = rows.filter(F.col(group).isNotNull()).select("trade_date", group, "ts_code", event, *controls)
     d = d.withColumns({f"_c_{c}": F.median(c).over(cell) for c in controls})
     d = d.withColumns({f"_m_{c}": 1.4826 * F.median(F.abs(F.col(c) - F.col(f"_c_{c}"))).over(cell) for c in controls} | {f"_s_{c}": F.stddev_pop(c).over(cell) for c in controls})
     scale = lambda c: F.when(F.col(f"_m_{c}") > 1e-12, F.col(f"_m_{c}")).when(F.col(f"_s_{c}") > 1e-12, F.col(f"_s_{c}")).otherwise(1.0)
-    d = d.select("trade_date", group, "ts_code", event, *((F.col(c) - F.col(f"_c_{c}")).alias(c) / scale(c) for c in controls)).toDF("trade_date", group, "ts_code", event, *controls).dropna(subset=controls)
-    e = d.filter(F.col(event)).select("trade_date", group, F.col("ts_code").alias("event_code"), *(F.col(c).alias(f"_e_{c}") for c in controls))
-    width = max(caliper, 1e-12) * len(controls) ** 0.5 * (1 + 1e-9)
-    band = lambda c: F.floor(F.col(c) / width)
-    e = e.withColumn("_band", F.explode(F.sequence(band(f"_e_{controls[0]}") - 1, band(f"_e_{controls[0]}") + 1)))
-    pairs = e.join(d.filter(~F.col(event)).withColumn("_band", band(controls[0])), ["trade_date", group, "_band"])
-    distance = F.sqrt(sum(((F.col(c) - F.col(f"_e_{c}")) ** 2 for c in controls), F.lit(0.0)) / len(controls))
-    near = pairs.select("trade_date", group, "event_code", F.col("ts_code").alias("control_code"), distance.alias("match_distance")).filter(F.col("match_distance") <= caliper)
-    rank = F.row_number().over(Window.partitionBy("trade_date", group, "event_code").orderBy("match_distance", F.col("control_code").cast("string")))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= neighbours)
+    names = [f"c{i}" for i in range(len(controls))]
+    d = d.select("trade_date", group, F.col("ts_code").cast("string").alias("code"), F.col(event).alias("event"), *(((F.col(c) - F.col(f"_c_{c}")) / scale(c)).alias(n) for c, n in zip(controls, names))).dropna(subset=["event", *names])
+    kinds = dict(rows.select("trade_date", group, "ts_code").dtypes)
+    schema = f"trade_date {kinds['trade_date']}, `{group}` {kinds[group]}, event_code string, control_code string, match_distance double, rank int"
+
+    def matched(key: tuple, sides: pd.DataFrame) -> pd.DataFrame:
+        codes = sides["code"].fillna("").to_numpy(str)
+        e, c, distance, rank = nearest(codes, sides["event"].to_numpy(bool), sides[names].to_numpy(float), neighbours, caliper)
+        said = sides["code"].to_numpy(object)
+        return pd.DataFrame({"trade_date": key[0], group: key[1], "event_code": said[e], "control_code": said[c], "match_distance": distance, "rank": rank})
+
+    found = d.groupBy("trade_date", group).applyInPandas(matched, schema)
+    return found.withColumns({c: F.col(c).cast(kinds["ts_code"]) for c in ("event_code", "control_code")})
 
 
 def rotated_controls(rows: DataFrame, neighbours: int = 3, event: str = "is_event", group: str = "industry_l1_code") -> DataFrame:
