@@ -104,25 +104,43 @@ def _walk(rows: pd.DataFrame, top_n: int, holding: int, cost_bps: float | None,
     return out, trades
 
 
+def touched(panel: DataFrame, scores: DataFrame, scenarios: DataFrame, universe: str, rules: Rules, buffer: int) -> DataFrame:
+    """What the ledger of each scenario can meet: a date's candidates, and a candidate's rows from then on to the first at which any of the scenarios must have sold it.
+
+    This grows with sessions and depth, not with securities.
+    """
+    data = executable(panel, rules)
+    inside = F.coalesce(universe, F.lit(False)) & F.col("factor_value").isNotNull()
+    sized = scenarios.withColumn("depth", F.col("top_n") * buffer)
+    deepest, longest = sized.agg(F.max("depth"), F.max("holding_days")).first()
+    scored = data.join(scores.select("trade_date", "ts_code", "factor_value"), ["trade_date", "ts_code"]).filter(inside)
+    rank = F.row_number().over(Window.partitionBy("trade_date").orderBy(F.col("factor_value").desc(), "ts_code"))
+    picks = scored.select("trade_date", "ts_code", rank.alias("rank")).filter(F.col("rank") <= deepest + 1)  # the one too many tells that a date has more
+    depths = picks.groupBy("trade_date").agg(F.max("rank").alias("deep"))
+    picks = picks.filter(F.col("rank") <= deepest)
+    rows = data.join(picks.select("ts_code").distinct(), "ts_code").join(picks, ["trade_date", "ts_code"], "left").select("trade_date", "ts_code", "raw_open", "adj_open", "adj_close", "can_buy", "can_sell", "rank")
+    calendar = rows.select("trade_date").distinct().withColumn("day", F.row_number().over(Window.orderBy("trade_date")))  # one row a session
+    w = frames.history().rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(calendar, "trade_date").withColumns({
+        "adj_close": F.last(F.when(~F.isnan("adj_close"), F.col("adj_close")), ignorenulls=True).over(w),  # as the ledger marks what it holds
+        "picked": F.max(F.when(F.col("rank").isNotNull(), F.col("day"))).over(w),
+        "sellable": F.max(F.when(F.col("can_sell"), F.col("day"))).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        "head": F.min("ts_code").over(Window.partitionBy("trade_date")) == F.col("ts_code"),  # every session has a row
+    })
+    open_ = F.col("picked").isNotNull() & ~F.coalesce(F.col("sellable") > F.col("picked") + longest, F.lit(False))
+    rows = rows.filter(open_ | F.col("head")).drop("day", "picked", "sellable", "head").join(depths, "trade_date", "left")
+    each = rows.join(F.broadcast(sized))  # scenarios are a stated grid
+    return each.withColumn("cut", F.coalesce(F.col("deep") > F.col("depth"), F.lit(False))).withColumn("candidate", F.coalesce(F.col("rank") <= F.col("depth"), F.lit(False))).drop("deep")
+
+
 def ledgers(panel: DataFrame, scores: DataFrame, scenarios: DataFrame, universe: str = "is_liquid", rules: Rules = Rules(), buffer: int = 4, multiplier: dict | None = None, what: str = "days") -> DataFrame:
     """The days (or trades) of each of ``scenarios`` (scenario, top_n, holding_days, cost_bps).
 
     ``panel`` has trade_date, ts_code, raw_open, adj_open, adj_close and flags; ``scores``
     trade_date, ts_code, factor_value.  A ledger sees, of each date, ``buffer`` times
-    top_n candidates (and fails rather than run short of them) and the prices of all
-    codes that were ever candidates.
+    top_n candidates (and fails rather than run short of them), and the rows ``touched``.
     """
-    data = executable(panel, rules).join(scores.select("trade_date", "ts_code", "factor_value"), ["trade_date", "ts_code"], "left")
-    inside = F.coalesce(universe, F.lit(False)) & F.col("factor_value").isNotNull()
-    rank = F.row_number().over(Window.partitionBy("trade_date", inside).orderBy(F.col("factor_value").desc(), "ts_code"))
-    data = data.withColumn("candidate", inside).withColumn("rank", F.when(inside, rank))
-    sized = scenarios.withColumn("depth", F.col("top_n") * buffer)
-    deepest = sized.agg(F.max("depth")).first()[0]
-    codes = data.filter(F.col("rank") <= deepest).select("ts_code").distinct()
-    rows = data.join(codes, "ts_code").select("trade_date", "ts_code", "raw_open", "adj_open", "adj_close", "can_buy", "can_sell", "candidate", "rank")
-    each = rows.join(F.broadcast(sized))  # scenarios are a stated grid
-    each = each.withColumn("cut", F.max(F.coalesce(F.col("rank"), F.lit(0))).over(Window.partitionBy("scenario", "trade_date")) > F.col("depth"))
-    each = each.withColumn("candidate", F.col("candidate") & (F.col("rank") <= F.col("depth")))
+    each = touched(panel, scores, scenarios, universe, rules, buffer)
     day_schema = "scenario string, trade_date date, nav double, cash double, gross_exposure double, new_signals int, buys int, sells int, holdings int, turnover double, cost double"
     code = panel.schema["ts_code"].dataType.simpleString()
     trade_schema = f"scenario string, trade_date date, signal_date date, sleeve int, ts_code {code}, side string, shares long, gross double, cost double"
