@@ -32,26 +32,33 @@ def evaluate_paths(panel: DataFrame, signal: Column, horizons: Sequence[int], co
 
     ``panel`` has is_buyable and is_sellable.  Signals that can't be bought, whose plan
     lies beyond the data or that are never sold again have no row.  The benchmark is
-    the mean planned return of the date's group.
+    the mean planned return of the date's group: an aggregate of prices alone, joined to
+    the signals, so no group of whole rows is sorted.
     """
     w, back = frames.history(), Window.partitionBy(CODE).orderBy(F.desc(TIME))
-    rows = numbered(panel).withColumn("_signal", signal).withColumn("_entry", F.struct(*(F.lead(c, 1).over(w).alias(c) for c in (TIME, "adj_open", "is_buyable"))))
+    ratio = lambda h: frames.safe_ratio(F.lead("adj_open", h + 1).over(w), F.lead("adj_open", 1).over(w)) - 1
+    means = panel.select(F.col(TIME).alias("_on"), F.col(group).alias("_in"), *(ratio(h).alias(f"_m{h}") for h in horizons))
+    means = means.groupBy("_on", "_in").agg(F.array(*(F.avg(f"_m{h}") for h in horizons)).alias("_means"))
+    sold = F.when(F.col("is_sellable"), F.struct("_back", TIME, "adj_open"))
+    rows = panel.withColumn("_back", F.row_number().over(back))  # both windows back in time first: each order is sorted once
+    rows = rows.withColumns({f"_x{h}": F.last(sold, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -(h + 1))) for h in horizons})
     price = F.col("_entry.adj_open")
-    for h in horizons:
-        ahead = w.rowsBetween(1, h + 1)
-        exits = F.last(F.when(F.col("is_sellable"), F.struct(ROW, TIME, "adj_open")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -(h + 1)))
-        rows = rows.withColumn(f"_{h}", F.struct(
-            F.lit(h).alias("horizon"), F.lead(TIME, h + 1).over(w).alias("planned_exit_date"), F.lead("adj_open", h + 1).over(w).alias("planned_open"), exits.alias("exit"),
-            F.max("adj_high").over(ahead).alias("high"), F.min("adj_low").over(ahead).alias("low"),
-        ))
-    each = rows.select(TIME, CODE, group, ROW, "_signal", "_entry", F.explode(F.array(*(f"_{h}" for h in horizons))).alias("p"))
+    ahead = lambda h: w.rowsBetween(1, h + 1)
+    rows = rows.withColumns({"_signal": signal, "_entry": F.struct(*(F.lead(c, 1).over(w).alias(c) for c in (TIME, "adj_open", "is_buyable")))} | {
+        f"_{h}": F.struct(
+            F.lit(h).alias("horizon"), F.lead(TIME, h + 1).over(w).alias("planned_exit_date"), F.lead("adj_open", h + 1).over(w).alias("planned_open"), F.col(f"_x{h}").alias("exit"),
+            F.max("adj_high").over(ahead(h)).alias("high"), F.min("adj_low").over(ahead(h)).alias("low"),
+        ) for h in horizons
+    })
+    bought = rows.filter(F.col("_signal") & F.col("_entry.is_buyable") & (price > 0)).select(TIME, CODE, group, "_back", "_entry", *(f"_{h}" for h in horizons))
+    bought = bought.join(means, F.col(TIME).eqNullSafe(F.col("_on")) & F.col(group).eqNullSafe(F.col("_in")))
+    each = bought.select(TIME, CODE, group, "_back", "_entry", F.explode(F.array(*(F.col(f"_{h}").withField("benchmark", F.get("_means", F.lit(i))) for i, h in enumerate(horizons)))).alias("p"))
+    made = each.filter(F.col("p.planned_open").isNotNull() & F.col("p.exit").isNotNull())
     planned = frames.safe_ratio(F.col("p.planned_open"), price) - 1
     gross = frames.safe_ratio(F.col("p.exit.adj_open"), price) - 1
-    each = each.withColumn("planned", planned).withColumn("benchmark", F.avg("planned").over(Window.partitionBy(TIME, group, "p.horizon")))
-    made = each.filter(F.col("_signal") & F.col("_entry.is_buyable") & (price > 0) & F.col("p.planned_open").isNotNull() & F.col("p.exit").isNotNull())
     return made.select(
         TIME, CODE, group, "p.horizon", F.col(f"_entry.{TIME}").alias("entry_date"), "p.planned_exit_date", F.col(f"p.exit.{TIME}").alias("actual_exit_date"),
-        (F.col(f"p.exit.{ROW}") - F.col(ROW) - F.col("p.horizon") - 1).alias("exit_delay"), gross.alias("gross_return"), F.col("planned").alias("planned_gross_return"), (F.col("planned") - F.col("benchmark")).alias("group_excess"),
+        (F.col("_back") - F.col("p.exit._back") - F.col("p.horizon") - 1).alias("exit_delay"), gross.alias("gross_return"), planned.alias("planned_gross_return"), (planned - F.col("p.benchmark")).alias("group_excess"),
         (F.col("p.high") / price - 1).alias("mfe"), (F.col("p.low") / price - 1).alias("mae"), net_of(gross, cost_bps).alias("net_return"),
     )
 
