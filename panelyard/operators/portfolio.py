@@ -2,7 +2,7 @@
 
 A ledger is a state machine over sessions, so a scenario is one grouped function;
 a grid of scenarios runs in parallel.  Before that Spark cuts the panel down to what
-a ledger can touch: the best candidates of each date and the prices of their codes.
+a ledger can touch: the best candidates of each date and their prices up to the sale.
 """
 
 from __future__ import annotations
