@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,37 +37,55 @@ def daily_ic(rows: DataFrame, factor: str = "factor_value", target: str = "stock
     axes = list(axes)
     pairs = rows.filter(F.col(factor).isNotNull() & F.col(target).isNotNull()).select(*axes, "trade_date", F.col(factor).alias("_x"), F.col(target).alias("_y"))
     if method == "spearman":
-        pairs = pairs.withColumns({f"{c}r": frames.pct_rank(F.col(c), *axes) for c in ("_x", "_y")})
-        x, y = F.col("_xr"), F.col("_yr")
-    else:
-        x, y = F.col("_x"), F.col("_y")
+        found = rank_correlations(pairs, [("_x", "_y")], [*axes, "trade_date"], 1)
+        return found.select(*axes, "trade_date", F.col("n0").alias("n"), F.when(F.col("n0") >= least, F.round("r0", 12)).alias("ic"))
+    x, y = F.col("_x"), F.col("_y")
     return pairs.groupBy(*axes, "trade_date").agg(F.count("*").alias("n"), F.round(frames.correlation(x, y), 12).alias("ic")).select(*axes, "trade_date", "n", F.when(F.col("n") >= least, F.col("ic")).alias("ic"))
 
 
-def _pair_rank(x: str, y: str, by: list[str]) -> Column:
-    """Average-tie rank of ``x`` among the group's rows that have both."""
-    both = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.lit(1))
-    upto, ties = F.count(both).over(Window.partitionBy(*by).orderBy(x)), F.count(both).over(Window.partitionBy(*by, x))
-    return F.when(both == 1, upto - (ties - 1) / 2)
+def _rank_sums(known: np.ndarray, codes: np.ndarray, pairs: list[tuple[int, int]]) -> list[float]:
+    """Rows with both, sums of the first side's ranks, of both sides' squares and of their product, for each pair of columns.
+
+    known, codes: of each column which rows have a value and the values' ordinals; ranks of a pair count rows with both only.
+    """
+
+    def ranks(own: np.ndarray) -> np.ndarray:
+        ties = np.bincount(own)
+        return (np.cumsum(ties) - (ties - 1) / 2)[own]
+
+    out = []
+    for i, j in pairs:
+        both = known[i] & known[j]
+        a, b = ranks(codes[i][both]), ranks(codes[j][both])
+        out += [float(len(a)), a.sum(), a @ a, b @ b, a @ b]
+    return out
 
 
 def rank_correlations(wide: DataFrame, pairs: list[tuple[str, str]], by: list[str], least: int = 3) -> DataFrame:
     """by, ``values_<column>`` (rows with one) and, for the i-th pair of columns, ``n<i>`` (rows with both) and ``r<i>``: their Spearman correlation in groups with ``least`` of them.
 
-    Ranks of a pair count only rows where both sides have a value; one sort by a column
-    serves all its pairs, as the rows below it that have the other value are a running
-    count in that order.  The group's rows are partitioned once, whatever the number of
-    pairs.  Ranks are halves of whole numbers, so the sums of their products are exact in
-    any order.
+    Ranks of a pair count only rows where both sides have a value.  The group's rows are
+    shuffled once, as they are; a column's values are sorted once, and each pair's ranks
+    are running counts of their ordinals.  A group (a date's section) is held as Arrow
+    columns, some 20 bytes a value.  Ranks are halves of whole numbers, so the sums of
+    their products are exact in any order up to some 190,000 rows a group.
     """
     own = list(dict.fromkeys(c for p in pairs for c in p))
-    ranked = wide.select(*by, *own)
-    ranked = ranked.withColumns({f"_{k}{i}": _pair_rank(*((a, b) if k == "a" else (b, a)), by) for i, (a, b) in enumerate(pairs) for k in "ab"})
-    sums = []
-    for i in range(len(pairs)):
-        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
-        sums += [F.count(a).alias(f"n{i}"), F.sum(a).alias(f"_s{i}"), F.sum(a * a).alias(f"_aa{i}"), F.sum(b * b).alias(f"_bb{i}"), F.sum(a * b).alias(f"_ab{i}")]
-    group = ranked.groupBy(*by).agg(*sums, *(F.count(c).alias(f"values_{c}") for c in own))
+    at = [(own.index(a), own.index(b)) for a, b in pairs]
+    sums = [f"{s}{i}" for i in range(len(pairs)) for s in ("_n", "_s", "_aa", "_bb", "_ab")]
+    kinds = {f.name: f.dataType.simpleString() for f in wide.schema.fields}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), *(f"`values_{c}` long" for c in own), *(f"{c} double" for c in sums)])
+
+    def group_sums(key: tuple, rows: pa.Table) -> pa.Table:
+        known, codes = np.zeros((len(own), len(rows)), bool), np.zeros((len(own), len(rows)), np.int32)
+        for k, c in enumerate(own):
+            known[k] = rows.column(c).is_valid().to_numpy()
+            codes[k][known[k]] = np.unique(rows.column(c).drop_null().to_numpy(), return_inverse=True)[1]
+        head = [pa.array([k.as_py()], rows.schema.field(c).type) for k, c in zip(key, by)]
+        return pa.table([*head, *(pa.array([int(k.sum())], pa.int64()) for k in known), *(pa.array([v], pa.float64()) for v in _rank_sums(known, codes, at))], names=[*by, *(f"values_{c}" for c in own), *sums])
+
+    group = wide.select(*by, *(F.col(c).cast("double").alias(c) for c in own)).groupBy(*by).applyInArrow(group_sums, schema)
+    group = group.withColumns({f"n{i}": F.col(f"_n{i}").cast("long") for i in range(len(pairs))})
 
     def r(i: int) -> Column:
         n, square = F.col(f"n{i}"), F.col(f"_s{i}") * F.col(f"_s{i}")  # both sides' ranks have one sum
