@@ -137,6 +137,9 @@ def mixture_walk_forward(daily: DataFrame, features: list[str], k: int = 3, hist
     spark, size = daily.sparkSession, len(features)
     w = Window.orderBy(time)  # one row a session
     rows = daily.dropna(subset=features).select(time, F.array(*(F.col(f).cast("double") for f in features)).alias("_x")).withColumn("_s", F.row_number().over(w) - 1)
+    path = files.shared_folder(spark, "sessions")  # every step reads them again: without this it makes them anew from the panel
+    rows.write.parquet(path)
+    rows = spark.read.parquet(path)
     refits = -(-max(rows.count() - history, 0) // every)  # refit r is fitted on the sessions from r * every to before r * every + history
     if not refits:
         return rows.select(time, F.lit(0).alias("refit"), F.lit(0).alias("state"), F.array(F.lit(0.0)).alias("probabilities")).limit(0)
