@@ -43,10 +43,11 @@ def ic_correlation(wide: DataFrame, components: list[str], target: str, least: i
 
 def top_overlap(wide: DataFrame, components: list[str], sizes: tuple[int, ...] = (2, 5, 10, 20), time: str = "trade_date", code: str = "ts_code") -> DataFrame:
     """component_a, component_b, top_n, mean_jaccard of what both pick, over dates on which both have a value; ties by ``code``."""
-    day = Window.partitionBy(time)
-    place = lambda c: F.when(F.col(c).isNotNull(), F.row_number().over(day.orderBy(F.col(c).desc_nulls_last(), code)))
-    ranked = wide.select(time, code, *components).withColumns({f"_p{i}": place(c) for i, c in enumerate(components)})
-    first = ranked.filter(F.least(*(F.col(f"_p{i}") for i in range(len(components)))) <= max(sizes))  # the smallest place of a row; nulls are skipped
+    each = F.array(*(F.struct(F.lit(i).alias("_i"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(components)))
+    long = wide.select(time, code, F.explode(each).alias("_c")).select(time, code, "_c.*").filter("_v is not null")
+    place = F.row_number().over(Window.partitionBy(time, "_i").orderBy(F.desc("_v"), code))
+    picked = long.withColumn("_p", place).filter(F.col("_p") <= max(sizes))  # Spark cuts each task's rows to the largest size before it shuffles them
+    first = picked.groupBy(time, code).agg(*(F.min(F.when(F.col("_i") == i, F.col("_p"))).alias(f"_p{i}") for i in range(len(components))))
     pairs = list(combinations(range(len(components)), 2))
     top = lambda i, n: F.coalesce(F.col(f"_p{i}") <= n, F.lit(False))
     count = lambda test: F.sum(test.cast("long"))
