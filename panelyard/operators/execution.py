@@ -151,16 +151,18 @@ def equal_targets(scores: DataFrame, calendar: DataFrame, every: int, n: int, ca
 def exit_states(flags: DataFrame, confirm: int = 2, severe_rank: int = 10, entity: str = "ts_code") -> DataFrame:
     """``flags`` (price_weak, diffusion_weak, relative_weak, breakdown, rank) with the streaks of weakness and a state.
 
-    A streak is the place in a run of true flags: two window passes, no loop.
+    A streak is the rows since the last false flag: all of them in one order of rows.
     """
     w = Window.partitionBy(entity).orderBy("trade_date")
     true = lambda c: F.coalesce(c, F.lit(False))
     dual = true(F.col("price_weak")) & true(F.col("diffusion_weak"))
     severe = dual & true(F.col("relative_weak")) & true(F.col("rank") > severe_rank)
-    out = flags
+    out, so_far = flags.withColumn("_k", F.row_number().over(w)), w.rowsBetween(Window.unboundedPreceding, 0)
+    streaks = {}
     for name, flag in (("price", true(F.col("price_weak"))), ("dual", dual), ("severe", severe)):
-        out = out.withColumn(f"_{name}", flag).withColumn(f"_{name}_island", F.sum((~F.col(f"_{name}")).cast("int")).over(w))
-        out = out.withColumn(f"{name}_streak", frames.run_length(F.col(f"_{name}"), F.col(f"_{name}_island"), Window.partitionBy(entity, f"_{name}_island").orderBy("trade_date")).cast("int"))
+        last = F.coalesce(F.max(F.when(~flag, F.col("_k"))).over(so_far), F.lit(0))
+        streaks[f"{name}_streak"] = F.when(flag, F.col("_k") - last).otherwise(0).cast("int")
+    out = out.withColumns(streaks)
     weak: Column = true(F.col("price_weak")) | true(F.col("diffusion_weak")) | true(F.col("relative_weak"))
     state = F.when(true(F.col("breakdown")) | (F.col("severe_streak") >= confirm), "SELL").when(F.col("dual_streak") >= confirm, "REDUCE").when(weak, "WATCH").otherwise("HOLD")
-    return out.withColumn("state", state).drop(*(f"_{n}{s}" for n in ("price", "dual", "severe") for s in ("", "_island")))
+    return out.withColumn("state", state).drop("_k")
