@@ -153,12 +153,21 @@ def content_hash(df: DataFrame) -> str:
 
 def publish(df: DataFrame, root: str, note: str = "") -> str:
     """Writes an immutable version under ``root``, partitioned by year; its name holds the content's hash. Blocked by any BLOCKING issue."""
-    blocking = [r["rule"] for r in quality_issues(df).filter("severity = 'BLOCKING'").collect()]  # rules, not rows
+    spark, own = df.sparkSession, uuid.uuid4().hex
+    dated_ = df.withColumn("year", F.year("trade_date"))
+    staged = f"{root}/versions/_staged-{own}"  # made and written once; checks and hash read what was written
+    dated_.sortWithinPartitions("year", "ts_code", "trade_date").write.partitionBy("year").parquet(staged)
+    kept = spark.read.schema(dated_.schema).parquet(staged).select(*df.columns)
+    blocking = [r["rule"] for r in quality_issues(kept).filter("severity = 'BLOCKING'").collect()]  # rules, not rows
+    here = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
     if blocking:
+        fs.delete(here, True)
         raise ValueError(f"not published: {', '.join(blocking)}")
-    version = f"{content_hash(df)}-{uuid.uuid4().hex[:8]}"
-    df.withColumn("year", F.year("trade_date")).repartition("year").sortWithinPartitions("ts_code", "trade_date").write.partitionBy("year").parquet(f"{root}/versions/{version}")
-    span = df.agg(F.count("*").alias("rows"), F.min("trade_date").alias("start"), F.max("trade_date").alias("end")).first()
+    version = f"{content_hash(kept)}-{own[:8]}"
+    span = kept.agg(F.count("*").alias("rows"), F.min("trade_date").alias("start"), F.max("trade_date").alias("end")).first()
+    if not fs.rename(here, spark._jvm.org.apache.hadoop.fs.Path(f"{root}/versions/{version}")):
+        raise OSError(f"{staged} could not be renamed to {version}")
     manifest = {"version": version, "rows": span["rows"], "start": str(span["start"]), "end": str(span["end"]), "note": note}
     # The manifest is the commit: a version without one is never read.
     df.sparkSession.createDataFrame([(version, json.dumps(manifest))], "version string, manifest string").coalesce(1).write.mode("append").parquet(f"{root}/manifests")

@@ -1,9 +1,12 @@
 """Steps that sort or make their rows once."""
 
+import uuid
+
 from panels import make_panel
 from pyspark.sql import functions as F
 
 from panelyard.operators import diagnostics, execution, models
+from panelyard.sources import panel as versions
 
 
 def _plan(df) -> str:
@@ -26,6 +29,22 @@ def test_picks_are_cut_before_the_shuffle(spark):
     assert {r["top_n"]: r["mean_jaccard"] for r in made.collect()} == {2: 0.0, 5: 4 / 6}
 
 
+def test_a_version_is_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    p = spark.createDataFrame(make_panel(days=4, stocks=3)).withColumns({"st_status_known": F.lit(True), "circ_mv_cny": F.col("total_mv_cny")})
+    root = f"/tmp/versions-{uuid.uuid4().hex}"
+    versions.publish(p.mapInPandas(count, p.schema), root, "n")
+    assert made.value == 12
+    back = versions.load(spark, root)
+    assert sorted(back.columns) == sorted(p.columns) and versions.content_hash(back) == versions.content_hash(p)
+
+
 def test_refits_do_not_make_the_sessions_again(spark):
     made = spark.sparkContext.accumulator(0)
 
