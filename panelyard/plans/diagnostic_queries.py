@@ -407,10 +407,12 @@ def _factor_runs(spark, sf_dir):
     p = future(spark, sf_dir).withColumn("fwd4", stats.forward_open_return(4))
     each = F.array(*(F.struct(F.lit(n).alias("factor"), F.expr(x).cast("double").alias("x")) for n, x in _SCORED.items()))
     held = F.array(*(F.struct(F.lit(h).alias("holding"), (F.col(c) / h).alias("y")) for h, c in ((2, "fwd"), (4, "fwd4"))))
+    known = F.filter(F.array(*(F.struct(F.lit(n).alias("factor"), F.lit(h).alias("holding"), F.when(F.expr(x).isNotNull(), F.col(c) / h).alias("y")) for n, x in _SCORED.items() for h, c in ((2, "fwd"), (4, "fwd4")))), lambda s: s["y"].isNotNull())
+    means = p.select("trade_date", F.explode(known).alias("k")).groupBy("trade_date", "k.factor", "k.holding").agg(F.avg("k.y").alias("all"))  # in partial sums: no section is sorted for it
     rows = p.select("trade_date", "ts_code", "is_tradeable", held.alias("h"), each.alias("f")).select("trade_date", "ts_code", "is_tradeable", F.explode("f").alias("f"), "h").select("trade_date", "ts_code", "is_tradeable", "f.*", F.explode("h").alias("h"))
     rows = rows.select("trade_date", "ts_code", "is_tradeable", "factor", "x", "h.*").filter("x is not null and y is not null")
     day = Window.partitionBy("trade_date", "factor", "holding")
-    rows = rows.withColumns({"k": F.row_number().over(day.orderBy(F.desc("x"), "ts_code")), "all": F.avg("y").over(day)}).filter("k <= 20")
+    rows = rows.withColumn("k", F.row_number().over(day.orderBy(F.desc("x"), "ts_code"))).filter("k <= 20").join(means, ["trade_date", "factor", "holding"])  # cut before the shuffle
     sizes = rows.withColumn("top_n", F.explode(F.array(*(F.lit(n) for n in scoring.SIZES)))).filter("k <= top_n")
     daily = sizes.groupBy("factor", "top_n", "holding", "trade_date").agg(F.avg("y").alias("gross"), F.first("all").alias("all"), F.avg(F.col("is_tradeable").cast("double")).alias("executed"))
     costed = daily.withColumn("cost_bps", F.explode(F.array(F.lit(0.0), F.lit(20.0)))).withColumn("return", (F.col("gross") - F.col("cost_bps") / 10_000 / F.col("holding")) / 50)
@@ -451,8 +453,9 @@ po AS (SELECT factor, CASE WHEN oos_excess > 0 THEN 8 ELSE 0 END + {_points('ret
 SELECT factor, oos_effectiveness, tradable_performance, stability, topn_structure, statistical_evidence, independence_explanation, total, CASE WHEN factor = 'small' THEN 'INVALID' WHEN rev OR total <= 49 THEN 'REJECTED' WHEN total <= 64 THEN 'WATCHLIST' WHEN total <= 79 THEN 'CANDIDATE' WHEN oos_effectiveness >= 17 AND tradable_performance >= 17 AND stability >= 12 THEN 'APPROVED' ELSE 'CANDIDATE' END AS classification FROM tt""")
 def score_factors(spark, sf_dir):
     p = future(spark, sf_dir)
-    each = F.array(*(F.struct(F.lit(n).alias("factor"), F.expr(x).cast("double").alias("x")) for n, x in _SCORED.items()))
-    ic = stats.daily_ic(p.select("trade_date", "fwd", F.explode(each).alias("f")).select("trade_date", "fwd", "f.*"), "x", "fwd", ["factor"])
+    found = stats.rank_correlations(p.select("trade_date", "fwd", *(F.expr(x).cast("double").alias(n) for n, x in _SCORED.items())), [(n, "fwd") for n in _SCORED], ["trade_date"])
+    each = F.array(*(F.struct(F.lit(n).alias("factor"), F.col(f"n{i}").alias("n"), F.round(f"r{i}", 12).alias("ic")) for i, n in enumerate(_SCORED)))
+    ic = found.select("trade_date", F.explode(each).alias("c")).select("c.factor", "trade_date", "c.n", "c.ic").filter("n > 0").repartition("factor")  # a row a factor and session, made once for both summaries
     late = F.percent_rank().over(Window.partitionBy("factor").orderBy("trade_date")) >= 0.8
     tests = stats.ic_summary(ic, ["factor"]).join(ic.withColumn("late", late).filter("late").groupBy("factor").agg(F.avg("ic").alias("oos_ic")), "factor", "left")
     tests = tests.select("factor", F.col("mean").alias("ic"), "icir", "oos_ic", F.lit(None).cast("double").alias("fdr_q"), F.lit(None).cast("double").alias("structure"))
