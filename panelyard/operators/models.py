@@ -41,25 +41,29 @@ def folds(panel: DataFrame, first: int, step: int, horizon: int, embargo: int =
 
 def weights(rows: DataFrame, half_life: int = 126, time: str = "trade_date") -> DataFrame:
     """``rows`` with weight: each date counts the same, and half as much for every ``half_life`` sessions of age."""
-    aged = sessions(rows.withColumnRenamed(time, "trade_date") if time != "trade_date" else rows).withColumn("_age", F.max("session").over(Window.partitionBy()) - F.col("session"))
-    return rows.join(F.broadcast(aged.select(F.col("trade_date").alias(time), "_age")), time).withColumn("weight", F.pow(F.lit(0.5), F.col("_age") / half_life) / F.count("*").over(Window.partitionBy(time))).drop("_age")
+    w = Window.orderBy(time)  # one row a session
+    dated_ = rows.groupBy(time).agg(F.count("*").alias("_n")).withColumn("_s", F.row_number().over(w))
+    aged = dated_.select(time, "_n", (F.max("_s").over(Window.partitionBy()) - F.col("_s")).alias("_age"))
+    return rows.join(F.broadcast(aged), time).withColumn("weight", F.pow(F.lit(0.5), F.col("_age") / half_life) / F.col("_n")).drop("_age", "_n")
 
 
 def walk_forward(rows: DataFrame, features: list[str], label: str, plan: DataFrame, kind: str = "ridge", **params) -> DataFrame:
-    """fold, trade_date, ts_code, label, prediction of the test part of each fold; each fold is fitted on its own training part."""
+    """fold, trade_date, ts_code, label, prediction of the test part of each fold; each fold is fitted on its own training part.
+
+    Every fold reads ``rows`` and ``plan`` more than once: give them as ``files.written``.
+    """
     models = {
         "ridge": lambda: LinearRegression(labelCol=label, weightCol="weight", regParam=params.get("reg", 0.1)),
         "elastic": lambda: LinearRegression(labelCol=label, weightCol="weight", regParam=params.get("reg", 0.01), elasticNetParam=0.5),
         "trees": lambda: GBTRegressor(labelCol=label, weightCol="weight", maxIter=params.get("trees", 10), maxDepth=3, seed=7),
         "logistic": lambda: LogisticRegression(labelCol=label, weightCol="weight", regParam=params.get("reg", 0.01)),
     }
-    path = files.shared_folder(rows.sparkSession, "folds")  # every fold reads the rows twice
-    VectorAssembler(inputCols=features, outputCol="features").transform(weights(rows.dropna(subset=[*features, label]))).write.parquet(path)
-    data = rows.sparkSession.read.parquet(path)
+    data = rows.dropna(subset=[*features, label])
+    weighted, assembler = weights(data), VectorAssembler(inputCols=features, outputCol="features")
     out = None
     for k in [r["fold"] for r in plan.select("fold").distinct().orderBy("fold").collect()]:  # the folds of the plan
         own = plan.filter(F.col("fold") == k)
-        train, test = (data.join(F.broadcast(own.filter(F.col("part") == p).select("trade_date")), "trade_date") for p in ("train", "test"))
+        train, test = (assembler.transform(d.join(F.broadcast(own.filter(F.col("part") == p).select("trade_date")), "trade_date")) for p, d in (("train", weighted), ("test", data)))
         scored = models[kind]().fit(train).transform(test)
         value = vector_to_array("probability")[1] if kind == "logistic" else F.col("prediction")
         part = scored.select(F.lit(k).alias("fold"), "trade_date", "ts_code", label, value.alias("prediction"))

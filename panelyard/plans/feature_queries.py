@@ -13,6 +13,7 @@ from panelyard.operators import events, execution, models, portfolio, recipes, s
 from panelyard.plans import experiment
 from panelyard.plans.formula_queries import MOMENTUM
 from panelyard.plans.panel_queries import RETURNS_SQL, W, future, r6, rows
+from panelyard.sources import files
 from panelyard.sources.market import PANEL_SQL, weekly_panel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,8 +111,9 @@ def exit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _learned(spark, sf_dir, kind: str, label: str = "fwd") -> DataFrame:
     p = future(spark, sf_dir).withColumn("r4", frames.rolling(F.col("step"), 4, "sum")).withColumn("up", (F.col("fwd") > 0).cast("double"))
-    rows_ = p.filter("fwd is not null and r4 is not null").select("trade_date", "ts_code", "step", "r4", "turnover_rate", "log_total_mv", "fwd", "up")
-    return models.walk_forward(rows_, ["step", "r4", "turnover_rate", "log_total_mv"], label, models.folds(rows_, 150, 100, 2, embargo=1), kind)
+    rows_ = files.written(p.filter("fwd is not null and r4 is not null").select("trade_date", "ts_code", "step", "r4", "turnover_rate", "log_total_mv", "fwd", "up"), "learned")
+    plan = files.written(models.folds(rows_, 150, 100, 2, embargo=1), "folds")
+    return models.walk_forward(rows_, ["step", "r4", "turnover_rate", "log_total_mv"], label, plan, kind)
 
 
 def model_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:

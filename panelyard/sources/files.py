@@ -32,6 +32,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{(named or _own_folder()).rstrip('/')}/panelyard/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as read back from a new shared folder, for what reads it several times and must not make it anew."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A table by its suffix; delimited text has a header, and its types come from ``schema`` or one pass over the data."""
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""

@@ -6,6 +6,7 @@ from panels import make_panel
 from pyspark.sql import functions as F
 
 from panelyard.operators import diagnostics, execution, models
+from panelyard.plans import feature_queries
 from panelyard.sources import panel as versions
 
 
@@ -56,3 +57,24 @@ def test_refits_do_not_make_the_sessions_again(spark):
     daily = spark.createDataFrame([(i, (i * 37 % 11) / 10, (i * 53 % 7) / 10) for i in range(40)], "trade_date int, a double, b double")
     out = models.mixture_walk_forward(daily.mapInPandas(count, daily.schema), ["a", "b"], 2, 20, 10, iterations=3)
     assert out.count() == 20 and made.value == 40
+
+
+def test_folds_and_fits_make_their_rows_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    said = [(d, s, (d * 7 + s * 3) % 5 / 10, (d * 3 + s * 5) % 7 / 10, s / 10 + d % 3, float(s)) for d in range(170) for s in range(6)]
+    panel = spark.createDataFrame(said, "trade_date int, ts_code int, step double, fwd double, turnover_rate double, log_total_mv double")
+    monkeypatch.setattr(feature_queries, "future", lambda *_: panel.mapInPandas(count, panel.schema))
+    assert feature_queries.model_walk_forward(spark, "").count() == 17 and made.value == len(said)
+
+
+def test_weights_leave_the_rows_where_they_are(spark):
+    rows = spark.createDataFrame([(d, s) for d in range(3) for s in range(d + 1)], "trade_date int, ts_code int")
+    made = models.weights(rows, 1)
+    assert not any("Window [count(1)" in line for line in _plan(made).splitlines())
+    assert {(r["trade_date"], r["weight"]) for r in made.collect()} == {(0, 0.25), (1, 0.25), (2, 1 / 3)}
