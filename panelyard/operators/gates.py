@@ -82,15 +82,15 @@ def decile_returns(rows: DataFrame, score: str, targets: Mapping[int, str]) -> D
 def conditional_grid(rows: DataFrame, scores: Mapping[str, Column], conditions: Mapping[str, Column], targets: Mapping[int, str], least: int = 3) -> DataFrame:
     """score, condition, horizon, trade_date, n, ic: daily rank ICs of every score in every slice at every horizon, in one plan.
 
-    A row is repeated for its slices alone: scores and horizons stay columns, so a date's
-    slice is partitioned once and sorted once by each of them.
+    Slices, scores and horizons are columns: a date's rows move once, and each column is
+    sorted once for all slices.
     """
-    slices = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in conditions.items())), lambda n: n.isNotNull())
-    wide = rows.select("trade_date", F.explode(slices).alias("condition"), *(x.cast("double").alias(f"_x{i}") for i, x in enumerate(scores.values())), *(F.col(c).alias(f"_y{h}") for h, c in targets.items()))
+    flags = {n: f"_in{i}" for i, n in enumerate(conditions)}
+    wide = rows.select("trade_date", *(c.alias(flags[n]) for n, c in conditions.items()), *(x.cast("double").alias(f"_x{i}") for i, x in enumerate(scores.values())), *(F.col(c).alias(f"_y{h}") for h, c in targets.items()))
     cells = [(n, h, f"_x{i}", f"_y{h}") for i, n in enumerate(scores) for h in targets]
-    found = stats.rank_correlations(wide, [(x, y) for *_, x, y in cells], ["trade_date", "condition"], least)
+    found = stats.rank_correlations(wide, [(x, y) for *_, x, y in cells], ["trade_date"], least, flags)
     each = F.array(*(F.struct(F.lit(n).alias("score"), F.lit(h).alias("horizon"), F.col(f"n{i}").alias("n"), F.round(f"r{i}", 12).alias("ic")) for i, (n, h, *_) in enumerate(cells)))
-    return found.select("trade_date", "condition", F.explode(each).alias("c")).select("c.score", "condition", "c.horizon", "trade_date", "c.n", "c.ic").filter("n > 0")
+    return found.select("trade_date", F.col("slice").alias("condition"), F.explode(each).alias("c")).select("c.score", "condition", "c.horizon", "trade_date", "c.n", "c.ic").filter("n > 0")
 
 
 def relation_drift(daily: DataFrame, axes: list[str], value: str, recent: int, baseline: int, smooth: int = 10, threshold: float = 2.0, persistence: int = 3, cusum: bool = False, medium: int = 60, least_recent: int = 1) -> DataFrame:

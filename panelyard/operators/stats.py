@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 import numpy as np
 import pandas as pd
@@ -62,7 +62,7 @@ def _rank_sums(known: np.ndarray, codes: np.ndarray, pairs: list[tuple[int, int]
     return out
 
 
-def rank_correlations(wide: DataFrame, pairs: list[tuple[str, str]], by: list[str], least: int = 3) -> DataFrame:
+def rank_correlations(wide: DataFrame, pairs: list[tuple[str, str]], by: list[str], least: int = 3, slices: Mapping[str, str] | None = None) -> DataFrame:
     """by, ``values_<column>`` (rows with one) and, for the i-th pair of columns, ``n<i>`` (rows with both) and ``r<i>``: their Spearman correlation in groups with ``least`` of them.
 
     Ranks of a pair count only rows where both sides have a value.  The group's rows are
@@ -70,22 +70,32 @@ def rank_correlations(wide: DataFrame, pairs: list[tuple[str, str]], by: list[st
     are running counts of their ordinals.  A group (a date's section) is held as Arrow
     columns, some 20 bytes a value.  Ranks are halves of whole numbers, so the sums of
     their products are exact in any order up to some 190,000 rows a group.
+
+    ``slices`` (boolean columns by name) give a group one row for each of them, named in
+    ``slice``, of the rows where it is true: a row in several slices moves and is sorted once.
     """
     own = list(dict.fromkeys(c for p in pairs for c in p))
     at = [(own.index(a), own.index(b)) for a, b in pairs]
     sums = [f"{s}{i}" for i in range(len(pairs)) for s in ("_n", "_s", "_aa", "_bb", "_ab")]
     kinds = {f.name: f.dataType.simpleString() for f in wide.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), *(f"`values_{c}` long" for c in own), *(f"{c} double" for c in sums)])
+    names = by if slices is None else [*by, "slice"]
+    kinds["slice"] = "string"
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), *(f"`values_{c}` long" for c in own), *(f"{c} double" for c in sums)])
 
     def group_sums(key: tuple, rows: pa.Table) -> pa.Table:
         known, codes = np.zeros((len(own), len(rows)), bool), np.zeros((len(own), len(rows)), np.int32)
         for k, c in enumerate(own):
             known[k] = rows.column(c).is_valid().to_numpy()
             codes[k][known[k]] = np.unique(rows.column(c).drop_null().to_numpy(), return_inverse=True)[1]
-        head = [pa.array([k.as_py()], rows.schema.field(c).type) for k, c in zip(key, by)]
-        return pa.table([*head, *(pa.array([int(k.sum())], pa.int64()) for k in known), *(pa.array([v], pa.float64()) for v in _rank_sums(known, codes, at))], names=[*by, *(f"values_{c}" for c in own), *sums])
-
-    group = wide.select(*by, *(F.col(c).cast("double").alias(c) for c in own)).groupBy(*by).applyInArrow(group_sums, schema)
+        inside = {None: slice(None)} if slices is None else {n: rows.column(c).to_numpy() for n, c in slices.items()}
+        made = [(n, known[:, m], codes[:, m]) for n, m in inside.items()]
+        head = [pa.array([k.as_py()] * len(made), rows.schema.field(c).type) for k, c in zip(key, by)]
+        head += [] if slices is None else [pa.array([n for n, *_ in made], pa.string())]
+        values = np.array([own_known.sum(axis=1) for _, own_known, _ in made], np.int64).T
+        return pa.table([*head, *(pa.array(v) for v in values), *(pa.array(v) for v in np.array([_rank_sums(k, c, at) for _, k, c in made], float).T)], names=[*names, *(f"values_{c}" for c in own), *sums])
+
+    flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in (slices or {}).values()]
+    group = wide.select(*by, *flags, *(F.col(c).cast("double").alias(c) for c in own)).groupBy(*by).applyInArrow(group_sums, schema)
     group = group.withColumns({f"n{i}": F.col(f"_n{i}").cast("long") for i in range(len(pairs))})
 
     def r(i: int) -> Column:
@@ -93,7 +103,7 @@ def rank_correlations(wide: DataFrame, pairs: list[tuple[str, str]], by: list[st
         top, a, b = n * F.col(f"_ab{i}") - square, n * F.col(f"_aa{i}") - square, n * F.col(f"_bb{i}") - square
         return F.when((n >= least) & (a > 0) & (b > 0), top / F.sqrt(a) / F.sqrt(b))
 
-    return group.select(*by, *(f"values_{c}" for c in own), *(c for i in range(len(pairs)) for c in (F.col(f"n{i}"), r(i).alias(f"r{i}"))))
+    return group.select(*names, *(f"values_{c}" for c in own), *(c for i in range(len(pairs)) for c in (F.col(f"n{i}"), r(i).alias(f"r{i}"))))
 
 
 def ic_summary(ic: DataFrame, axes: Iterable[str] = ()) -> DataFrame:

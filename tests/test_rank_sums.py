@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from panelyard.operators import stats
+from panelyard.operators import gates, stats
 
 
 def test_pairs_add_no_windows_and_agree_with_plain_ranks(spark):
@@ -25,3 +25,15 @@ def test_pairs_add_no_windows_and_agree_with_plain_ranks(spark):
             assert r[f"n{i}"] == len(both)
             want = both[a].corr(both[b]) if both[a].std() > 0 else None
             assert (r[f"r{i}"] is None) == (want is None) and (want is None or abs(r[f"r{i}"] - want) < 1e-12)
+
+
+def test_a_row_of_many_slices_moves_once(spark):
+    pdf = pd.DataFrame({"trade_date": [1] * 8 + [2] * 8, "x": [float(i * 5 % 8) for i in range(16)], "y": [float(i * 3 % 7) for i in range(16)], "up": [i % 3 > 0 for i in range(16)]})
+    made = gates.conditional_grid(spark.createDataFrame(pdf), {"x": F.col("x")}, {"all": F.lit(True), "up": F.col("up"), "none": F.col("x") > 99, "unknown": F.lit(None).cast("boolean")}, {1: "y"})
+    below = made._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[1]
+    assert "Generate" not in below  # a copy of the row for each of its slices went through the shuffle and the sort
+    got = {(r["trade_date"], r["condition"]): r for r in made.collect()}
+    assert set(got) == {(d, c) for d in (1, 2) for c in ("all", "up")}
+    for (d, c), r in got.items():
+        own = pdf[(pdf.trade_date == d) & ((c == "all") | pdf.up)][["x", "y"]].rank()
+        assert r["n"] == len(own) and abs(r["ic"] - own.x.corr(own.y)) < 1e-11
