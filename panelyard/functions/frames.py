@@ -7,7 +7,7 @@ they hold as many values as rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,13 +164,19 @@ def leave_one_out(x: Column, s: WindowSpec) -> Column:
     return safe_ratio(F.coalesce(F.sum(x).over(s), F.lit(0.0)) - x, F.count(x).over(s) - 1)
 
 
-def winsorize_mad(df: DataFrame, column: str, scale: float = 5.0, time: str = TIME) -> DataFrame:
-    """Clips ``column`` to the date's median plus or minus ``scale`` median absolute deviations (plain, not normalised); no spread, no clip."""
+def winsorize_mad(df: DataFrame, columns: str | Sequence[str], scale: float = 5.0, time: str = TIME) -> DataFrame:
+    """Clips each of ``columns`` to the date's median plus or minus ``scale`` median absolute deviations (plain, not normalised); no spread, no clip."""
     d = section(time=time)
-    df = df.withColumn("_median", F.median(column).over(d)).withColumn("_mad", F.median(F.abs(F.col(column) - F.col("_median"))).over(d))
-    low, high = F.col("_median") - scale * F.col("_mad"), F.col("_median") + scale * F.col("_mad")
-    clipped = F.when(F.col("_mad") > 0, F.when(F.col(column).isNotNull(), F.least(F.greatest(F.col(column), low), high))).otherwise(F.col(column))
-    return df.withColumn(column, clipped).drop("_median", "_mad")
+    names = [columns] if isinstance(columns, str) else list(columns)
+    df = df.withColumns({f"_median{i}": F.median(c).over(d) for i, c in enumerate(names)})
+    df = df.withColumns({f"_mad{i}": F.median(F.abs(F.col(c) - F.col(f"_median{i}"))).over(d) for i, c in enumerate(names)})
+
+    def clipped(c: str, median: Column, mad: Column) -> Column:
+        held = F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), median - scale * mad), median + scale * mad))
+        return F.when(mad > 0, held).otherwise(F.col(c))
+
+    made = {c: clipped(c, F.col(f"_median{i}"), F.col(f"_mad{i}")) for i, c in enumerate(names)}
+    return df.withColumns(made).drop(*(f"{kind}{i}" for kind in ("_median", "_mad") for i in range(len(names))))
 
 
 def quantile_bucket(rank: Column, n: Column, q: int) -> Column:

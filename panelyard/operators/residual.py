@@ -63,12 +63,13 @@ def fitted(values: np.ndarray, least: int, ridge: float = 0.0, standardize: bool
 
 
 def missing(values: np.ndarray, index) -> pd.Series:
-    """``values`` with None where they are not finite."""
-    return pd.Series(values, index=index).astype(object).where(np.isfinite(values), None)
+    """``values``, missing where they are not finite."""
+    lost = ~np.isfinite(values)
+    return pd.Series(pd.arrays.FloatingArray(np.where(lost, 0.0, values), lost), index=index)
 
 
 def least_squares(df: DataFrame, y: str, controls: list[str], by: list[str], least: int, out: str, ridge: float = 0.0, standardize: bool = False, keep: list[str] | None = None, slopes: bool = False) -> DataFrame:
-    """by, keep, out (and ``slopes``, an array): residual of y on several controls within each group (a date, or a date and industry: one cross-section)."""
+    """by, keep, out (and ``slopes``, an array, in one row of each group that has them): residual of y on several controls within each group (a date, or a date and industry: one cross-section)."""
     keep = keep or ["trade_date", "ts_code"]
     cols = list(dict.fromkeys([*by, *keep, y, *controls]))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -77,7 +78,7 @@ def least_squares(df: DataFrame, y: str, controls: list[str], by: list[str], lea
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         res, found = fitted(pdf[[y, *controls]].to_numpy(float), max(least, len(controls) + 2), ridge, standardize)
         made = pdf[names].assign(**{out: missing(res, pdf.index)})
-        return made.assign(slopes=[None if found is None else found.tolist()] * len(pdf)) if slopes else made
+        return made.assign(slopes=[None if found is None else found.tolist(), *[None] * (len(pdf) - 1)]) if slopes else made
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", `{out}` double" + ", slopes array<double>" * slopes
     return df.select(*cols).groupBy(*by).applyInPandas(solve, schema)

@@ -5,7 +5,8 @@ import uuid
 from panels import make_panel
 from pyspark.sql import functions as F
 
-from panelyard.operators import diagnostics, execution, models
+from panelyard.functions import frames
+from panelyard.operators import diagnostics, execution, models, residual, value
 from panelyard.plans import feature_queries
 from panelyard.sources import panel as versions
 
@@ -78,3 +79,19 @@ def test_weights_leave_the_rows_where_they_are(spark):
     made = models.weights(rows, 1)
     assert not any("Window [count(1)" in line for line in _plan(made).splitlines())
     assert {(r["trade_date"], r["weight"]) for r in made.collect()} == {(0, 0.25), (1, 0.25), (2, 1 / 3)}
+
+
+def test_value_features_share_windows_and_fits(spark):
+    assert residual.least_squares(spark.createDataFrame([(1, i, i * 1.5 + i % 2, float(i)) for i in range(9)], "trade_date int, ts_code int, y double, x double"), "y", ["x"], ["trade_date"], 5, "r", slopes=True).filter("slopes is not null").count() == 1
+    wide = frames.winsorize_mad(spark.createDataFrame([(1, float(i), float(i * i)) for i in range(9)], "trade_date int, a double, b double"), ["a", "b"], 1.0)
+    assert sum("Window [" in line for line in _plan(wide).splitlines()) == 2  # each column had two of its own
+    assert sorted((r["a"], r["b"]) for r in wide.collect())[::8] == [(2.0, 1.0), (6.0, 31.0)]
+    panel = spark.createDataFrame([(d, s, (d * 7 + s * 3) % 5 / 10, (d * 3 + s * 5) % 7 / 10) for d in range(30) for s in range(2)], "trade_date int, ts_code int, x double, y double")
+    rows, corrs = value._moment_corrs(panel, "x", "y", 8, 3)
+    made = rows.select("trade_date", "ts_code", "x", "y", *(c.alias(f"c{k}") for k, c in enumerate(corrs)))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("avg(") <= 8  # five for each lag before
+    pdf = made.toPandas().sort_values(["ts_code", "trade_date"])
+    for _, own in pdf.groupby("ts_code"):
+        for k in range(4):
+            want = own["x"].rolling(8).corr(own["y"].shift(k))
+            assert (own[f"c{k}"].isna() == want.isna()).all() and (own[f"c{k}"] - want).abs().max() < 1e-9
