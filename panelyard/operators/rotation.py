@@ -129,9 +129,11 @@ def membership_leaks(members: DataFrame, calendar: DataFrame, group: str = "conc
     """
     days = calendar.select("trade_date").distinct().withColumn("_s", F.row_number().over(Window.orderBy("trade_date")))  # one row a session
     latest, end = members.agg(F.max("trade_date")).scalar(), days.agg(F.max("_s")).scalar()
-    pair = Window.partitionBy(group, code)
-    m = members.select("trade_date", group, code).distinct().join(F.broadcast(days), "trade_date").withColumn("_latest", latest)
-    m = m.withColumns({"_stays": F.max("trade_date").over(pair) == F.col("_latest"), "_before": F.coalesce(F.lag("_s").over(pair.orderBy("_s")), F.lit(0))})
+    pair = Window.partitionBy(group, code).orderBy("_s")
+    whole = pair.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one shuffle and one sort for all
+    m = members.select("trade_date", group, code).join(F.broadcast(days), "trade_date").withColumn("_latest", latest)
+    m = m.withColumns({"_stays": F.max("trade_date").over(whole) == F.col("_latest"), "_before": F.coalesce(F.lag("_s").over(pair), F.lit(0))})
+    m = m.filter(F.col("_before") < F.col("_s"))  # a pair's second row of a session goes
     lost = m.filter(~F.col("_stays")).select("trade_date", group, code, F.lit("lost").alias("kind"))
     last = F.col("trade_date") == F.col("_latest")
     spans = F.array(F.struct((F.col("_before") + 1).alias("a"), (F.col("_s") - 1).alias("b")), F.struct((F.col("_s") + 1).alias("a"), F.when(last, F.col("_end")).otherwise(0).alias("b")))

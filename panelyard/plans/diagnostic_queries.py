@@ -255,15 +255,16 @@ lk AS (SELECT cal.trade_date, concept_code, ts_code, 'leaked' AS kind FROM lat,
  UNION ALL SELECT trade_date, concept_code, ts_code, 'lost' FROM mem WHERE NOT EXISTS (SELECT 1 FROM lat WHERE lat.concept_code = mem.concept_code AND lat.ts_code = mem.ts_code))"""
 
 
-def _members(spark, sf_dir):
+def _members(spark, sf_dir, repeats=False):
     r = returns(spark, sf_dir)
     own = r.filter(F.col("volume_shares") > 20 + F.col("ts_code") % 40).select("trade_date", F.concat(F.lit("c"), "industry_l2_code").alias("concept_code"), "ts_code")
-    return r, r.filter("is_tradeable").select("trade_date", F.lit("c0").alias("concept_code"), "ts_code").unionByName(own).distinct()
+    both = r.filter("is_tradeable").select("trade_date", F.lit("c0").alias("concept_code"), "ts_code").unionByName(own)
+    return r, both if repeats else both.distinct()
 
 
 @query(f"{_MEMBERS_SQL} SELECT trade_date, concept_code, ts_code, kind FROM lk")
 def membership_leaks(spark, sf_dir):
-    r, m = _members(spark, sf_dir)
+    r, m = _members(spark, sf_dir, repeats=True)
     return rotation.membership_leaks(m, r.select("trade_date"))
 
 

@@ -6,7 +6,7 @@ from panels import make_panel
 from pyspark.sql import functions as F
 
 from panelyard.functions import frames
-from panelyard.operators import diagnostics, execution, models, residual, value
+from panelyard.operators import diagnostics, execution, models, residual, rotation, value
 from panelyard.plans import feature_queries
 from panelyard.sources import panel as versions
 
@@ -95,3 +95,11 @@ def test_value_features_share_windows_and_fits(spark):
         for k in range(4):
             want = own["x"].rolling(8).corr(own["y"].shift(k))
             assert (own[f"c{k}"].isna() == want.isna()).all() and (own[f"c{k}"] - want).abs().max() < 1e-9
+
+
+def test_memberships_are_sorted_once_and_repeats_go(spark):
+    m = spark.createDataFrame([(1, "c", 7), (1, "c", 7), (3, "c", 7), (3, "c", 7), (2, "c", 8), (2, "c", 8)], "trade_date int, concept_code string, ts_code int")
+    found = rotation.membership_leaks(m, spark.createDataFrame([(d,) for d in range(1, 5)], "trade_date int"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate [" in line and "ts_code" in line for line in plan.splitlines())  # their distinct rows were hashed first
+    assert sorted(tuple(r) for r in found.collect()) == [(2, "c", 7, "leaked"), (2, "c", 8, "lost"), (4, "c", 7, "leaked")]
